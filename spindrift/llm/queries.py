@@ -1,16 +1,20 @@
-"""The ten queries of this subpackage and the pipeline, with SQL where it can say the same."""
+"""The ten queries of this subpackage, with SQL where it can say the same."""
 
 from __future__ import annotations
 
 from . import quality
 from .language import op4_language
+from .media import op8_media
+from .mixing import op9_mixing
 from .packing import op2_packing
 from .quality import op6_quality
+from .toxicity import op7_toxicity
+from .urls import op10_urls
 from .warc import op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op4_language, op6_quality)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op4_language, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
