@@ -8,13 +8,14 @@ from .media import op8_media
 from .mixing import op9_mixing
 from .packing import op2_packing
 from .quality import op6_quality
+from .suffix import op5_suffix
 from .toxicity import op7_toxicity
 from .urls import op10_urls
 from .warc import op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op4_language, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op4_language, op5_suffix, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
