@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality
+from .jaccard import op3_jaccard
 from .language import op4_language
 from .media import op8_media
 from .mixing import op9_mixing
@@ -15,7 +16,7 @@ from .warc import op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op4_language, op5_suffix, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard, op4_language, op5_suffix, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
