@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 _made: list[str] = []
+_stale: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +56,21 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables made so far. Only for callers that have written out all earlier results."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
-    collect_garbage(spark)
+def stage(function):
+    """A pipeline stage: when it starts, the scratch tables of the stage before, whose rows are written by then, go."""
+
+    def run(spark, docs, sf_dir):
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while _stale:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stale.pop())
+            path.getFileSystem(conf).delete(path, True)
+        collect_garbage(spark)
+        before = len(_made)
+        out = function(spark, docs, sf_dir)
+        _stale.extend(_made[before:])
+        return out
+
+    return run
 
 
 def parts_of(df: DataFrame) -> int:

@@ -70,19 +70,19 @@ def _packed(dest: np.ndarray, arrays: dict[str, np.ndarray], kind: int, base: in
     head = runs(dest[order])
     edges = np.append(head, len(order)).tolist()
     cols = [pa.array((dest[order[head]] + base).astype(np.int64)), pa.array(np.full(len(head), kind, np.int32))]
-    for name in "abcd":
+    for name in "abcde":
         a = arrays.get(name)
         a = a[order] if a is not None else None
         cols.append(pa.array([b"" if a is None else a[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["dest", "kind", *"abcd"])
+    return pa.RecordBatch.from_arrays(cols, ["dest", "kind", *"abcde"])
 
 
-_PACKED = "dest long, kind int, a binary, b binary, c binary, d binary"
+_PACKED = "dest long, kind int, a binary, b binary, c binary, d binary, e binary"
 DOCS, SHARED = 0, 1
 
 
 def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: int) -> DataFrame:
-    """doc_id, n, c (the set's fingerprint), alive: whether step 1 leaves the set in."""
+    """id, text_key, n, c (the set's fingerprint), alive: whether step 1 leaves the set in."""
     limit = np.uint64(int(SHARE * 2**64))
 
     def emit(batches):
@@ -109,7 +109,7 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
             of = np.repeat(np.arange(len(counts)), counts)
             pick = h < limit
             sampled = np.bincount(of[pick], minlength=len(counts)).astype(np.int64)
-            yield _packed((c.view(np.uint64) % np.uint64(groups)).astype(np.int64), {"a": c, "b": counts.astype(np.int64), "c": sampled, "d": batch.column("id").to_numpy()}, DOCS, buckets) if len(c) else None
+            yield _packed((c.view(np.uint64) % np.uint64(groups)).astype(np.int64), {"a": c, "b": counts.astype(np.int64), "c": sampled, "d": batch.column("id").to_numpy(), "e": batch.column("text_key").to_numpy()}, DOCS, buckets) if len(c) else None
             held.append((h[pick], c[of[pick]]))
             records += len(held[-1][0])
             if records > 1_500_000:
@@ -138,7 +138,7 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
     def tally(_key, rows):
         kinds = rows.column("kind").to_numpy()
         docs_, shared_ = rows.filter(pa.array(kinds == DOCS)), rows.filter(pa.array(kinds == SHARED))
-        c, n, s, ids = (joined(docs_.column(x), np.int64) for x in "abcd")
+        c, n, s, ids, text_key = (joined(docs_.column(x), np.int64) for x in "abcde")
         keys, counts = joined(shared_.column("a"), np.int64), joined(shared_.column("b"), np.int64)
         known, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, counts, len(known)).astype(np.int64) if len(known) else np.zeros(0, np.int64)
@@ -147,11 +147,11 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
             at = np.minimum(np.searchsorted(known, c), len(known) - 1)
             met = np.where(known[at] == c, total[at], 0)
         alive = (n > 0) & (s - met <= n * (100 - percent) // 100)
-        return pa.table({"id": ids, "n": n, "c": c, "alive": alive})
+        return pa.table({"id": ids, "text_key": text_key, "n": n, "c": c, "alive": alive})
 
-    sent = docs.select("id", "text").mapInArrow(lambda b: filter(None, emit(b)), _PACKED)
+    sent = docs.select("id", "text", "text_key").mapInArrow(lambda b: filter(None, emit(b)), _PACKED)
     met = sent.groupBy("dest").applyInArrow(meet, _PACKED)
-    return met.groupBy("dest").applyInArrow(tally, "id long, n long, c long, alive boolean")
+    return met.groupBy("dest").applyInArrow(tally, "id long, text_key long, n long, c long, alive boolean")
 
 
 def _prefixes(texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -211,7 +211,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs(doc_id, text), repeated rows included.
+    """doc_id, n_shingles, component_id, text_key, label for each row of docs(doc_id, text), repeated rows included.
+
+    text_key is a hash of the text, label names the component (null for an empty set).
 
     component_id is the smallest doc_id in the set's component. A set without words, or of a null text, is empty, links
     with nothing, and has its own doc_id. Rows with equal sets are one node. Null ids are no candidates for the
@@ -221,7 +223,7 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     tune(spark)
     parts = parts_of(docs)
     buckets = 4 * parts
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     described = materialise(_described(base, buckets, 2 * parts, percent, size))
     collect_garbage(spark)
     classes = described.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("alive").alias("alive"))
@@ -271,12 +273,26 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
 
     named = classes.join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("least"))
-    known = named.join(least, "label").select(F.col("c").alias("_c"), "least")
+    known = named.join(least, "label").select(F.col("c").alias("_c"), "least", "label")
     rows = described.join(known, F.col("c") == F.col("_c"), "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
     real = lambda x: F.when(x != LAST, x)
-    return rows.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"))
+    return rows.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), "text_key", "label")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row of the smallest (doc_id, text), and every empty set.
+
+    Of rows equal in id and text one stays, unless they are empty sets.
+    """
+    found = join(docs, **options).withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
+    first = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("_id", "text_key")).alias("f")).select("f._id", "f.text_key", F.lit(True).alias("_one"))
+    empty = found.where("n_shingles = 0").select("_id", "text_key", F.lit(False).alias("_one")).distinct()
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(first.unionByName(empty), ["_id", "text_key"])
+    number = F.row_number().over(W.partitionBy("_id", "text_key").orderBy("_one"))
+    return rows.withColumn("_k", number).where(~F.col("_one") | (F.col("_k") == 1)).select(*docs.columns)
 
 
 def op3_jaccard(spark, sf_dir):
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

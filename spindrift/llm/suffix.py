@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import collect_garbage, joined, materialise, mix, parts_of, ragged, runs, table, tune
-from .flat import flat
+from .flat import flat, small
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
@@ -177,7 +177,7 @@ def _settle(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
             gone = doc > least
             yield _rows(doc[gone] % groups, [_sent(h[gone], ctx[gone]), np.full(int(gone.sum()), GONE, np.int64), doc[gone]], names, buckets)
 
-        for batch in batches:
+        for batch in small(batches, most=1 << 22):
             got = anchors(*flat(batch.column("text")))
             ids = batch.column("id").to_numpy()
             held.append((got["h"], got["ctx"], ids[got["doc"]]))
@@ -302,7 +302,9 @@ def covered(buf: np.ndarray, got: dict[str, np.ndarray], mask: np.ndarray) -> np
 
 
 def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, and `columns`) for each row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, text and `columns`) for each row of docs.
+
+    text is kept as a string, without the bytes of characters that were cut in two.
 
     docs: (doc_id, text, ...). A null text is empty. A null id counts as larger than all others. Rows that repeat an id
     are one document: they do not remove from each other. Texts of any length are judged whole; those under LENGTH
@@ -320,7 +322,7 @@ def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] =
     collect_garbage(spark)
     second = materialise(_compare(texts, first, buckets, groups))
     collect_garbage(spark)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, text string" * with_kept
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.select(*columns).schema)
 
     def cut(_key, left, right):
@@ -340,6 +342,7 @@ def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] =
         cols = {"doc_id": left.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(total(head)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
         if with_kept:
             cols["kept"] = pa.array(kept, pa.binary())
+            cols["text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         return pa.table(cols | {c: left.column(c) for c in columns})
 
     return texts.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(cut, schema)
