@@ -7,6 +7,7 @@ crosses documents. Sequences of one length form a bucket, from which batches of
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ragged, table, tune
-from .flat import LOWER, flat, span_hashes, word_bounds
+from .flat import LOWER, flat, small, span_hashes, word_bounds
 
 MOST = 2048
 CACHE = 2_000_000  # distinct pieces whose ids a worker holds; beyond that it starts anew
@@ -39,15 +40,11 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str):
-        import json
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        with open(tokenizer_path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 3, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.clear()
 
     def clear(self):
@@ -101,7 +98,7 @@ class Encoder:
         kind[lead] = kind[lead + 1] = _LETTER
         low = LOWER[buf]
         low[lead[buf[lead + 1] < 0x9F] + 1] += 32
-        odds = np.concatenate([[0], np.cumsum(kind == _ODD)])
+        odds = np.concatenate([[0], np.cumsum(kind == _ODD)]).astype(np.int32)
         odd = odds[ends] > odds[starts]
         inside = np.zeros(len(buf) + 1, np.int8)
         inside[starts[odd]] += 1
@@ -153,7 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, most: int = MOST, end_id: int
 
         encode, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
         numbers = [0] * (bits + 1)
-        for batch in batches:
+        for batch in small(batches):
             ids, counts = encode(*flat(batch.column("text")))
             rows, whole_ids, at = [], [], 0
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
