@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, tune
+from .flat import small
 
 UNIT, RATE, MULAW, ALAW, ADPCM = 192, 8000, 7, 6, 17
 
@@ -109,7 +110,7 @@ def store(docs: DataFrame, *, unit: int = UNIT) -> DataFrame:
     tune(docs.sparkSession, 500)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, most=1 << 22):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             media = [wav(t.ljust(max(1, -(-len(t) // unit)) * unit)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -131,7 +132,7 @@ def features(stored: DataFrame, *, unit: int = UNIT, with_pcm: bool = False) ->
     tune(stored.sparkSession, 500)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, "media", 1 << 22):
             media = batch.column("media").to_pylist()
             payloads = [read_wav(m)[2] for m in media]
             edges = np.cumsum([0] + [len(p) for p in payloads])

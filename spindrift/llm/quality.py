@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, ragged, runs, table, tune
-from .flat import WHITE, flat, span_hashes, window_starts, windows, word_bounds, word_counts
+from .flat import WHITE, flat, small, span_hashes, window_starts, windows, word_bounds, word_counts
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -66,7 +66,7 @@ def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             counts = text_counts(*flat(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], ["doc_id", "host", *COUNTS])
 
