@@ -1,11 +1,698 @@
-"""Every registered query of the engine's own operators, with the SQL that says the same."""
+"""Every registered query of the engine's own operators, with the SQL that says the same.
+
+Where the star schema has no counterpart, small tables are given as values; the same values stand in the SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import budget, chunking, decisions, index, integrity, rerank, search
+from ..session import ship
+from ..sources.models import HashEmbedder
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+MODEL = "nomic-embed-text"
+LIMIT = 2048
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(spark, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(name: str, columns: str, rows: list[tuple]) -> str:
+    def lit(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).upper()
+        if isinstance(x, str):
+            return "'" + x.replace("'", "''") + "'"
+        if isinstance(x, (list, tuple)):
+            return "[" + ", ".join(map(lit, x)) + "]"
+        if isinstance(x, dict):
+            return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in x.items()) + "}" if x else "MAP {}"
+        return repr(x)
+
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    return index.vectors_of(_table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("ordinal"), "vector", "norm", "label")
+
+
+def _query_vector(spark, sf_dir, vec_id: int = 0) -> list[float]:
+    row = _table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row[0])
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
+    return _chunks(spark, sf_dir).join(docs, "ordinal")
+
+
+_SCORES = """
+q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id AS ordinal, label, list_dot_product(embedding::DOUBLE[], v) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v))) AS cosine FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, ordinal) AS rank FROM s)"""
+
+
+@query(f"""WITH {_SCORES}, t AS (SELECT * FROM r WHERE rank <= 10)
+SELECT rank, ordinal, d.source || '/' || ordinal AS path, round(cosine, 6) AS cosine, round((SELECT max(cosine) - min(cosine) FROM t), 6) AS spread,
+  (SELECT max(cosine) - min(cosine) FROM t) < 0.06 AS weak_ranking FROM t LEFT JOIN documents d ON d.doc_id = ordinal""")
+def topk_citations(spark, sf_dir):
+    best = search.search(_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "source")
+    rows = docs.join(F.broadcast(best), "ordinal", "right")  # best has ten rows
+    return rows.select("rank", "ordinal", F.concat_ws("/", "source", F.col("ordinal").cast("string")).alias("path"), F.round("cosine", 6).alias("cosine"), F.round("spread", 6).alias("spread"), "weak_ranking")
+
+
+@query(f"WITH {_SCORES} SELECT ordinal, round(cosine, 6) AS cosine FROM s")
+def score_all(spark, sf_dir):
+    return search.scored(_chunks(spark, sf_dir), _query_vector(spark, sf_dir)).select("ordinal", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {_SCORES}, t AS (SELECT * FROM r WHERE rank <= 5) SELECT count(*) AS k, round(max(cosine) - min(cosine), 6) AS spread, max(cosine) - min(cosine) < 0.06 AS weak_ranking FROM t")
+def spread_flag(spark, sf_dir):
+    best = search.top(search.scored(_chunks(spark, sf_dir), _query_vector(spark, sf_dir)), 5)
+    spread = F.max("cosine") - F.min("cosine")
+    return best.agg(F.count("*").alias("k"), F.round(spread, 6).alias("spread"), (spread < search.WEAK_SPREAD).alias("weak_ranking"))
+
+
+@query(f"WITH {_SCORES}, t AS (SELECT * FROM r WHERE rank <= 20) SELECT count(*) AS pool, round(max(cosine) - min(cosine), 6) AS spread, count(*) > 1 AND max(cosine) - min(cosine) < 0.05 AS flat FROM t")
+def pool_spread(spark, sf_dir):
+    return search.pool_spread(_chunks(spark, sf_dir), _query_vector(spark, sf_dir)).withColumn("spread", F.round("spread", 6))
+
+
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings),
+s AS (SELECT q.vec_id AS qid, c.vec_id AS ordinal, list_dot_product(c.v, q.v) / (c.size * q.size) AS cosine FROM n q JOIN n c ON q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, ordinal) AS rank FROM s)
+SELECT qid, rank, ordinal, round(cosine, 6) AS cosine FROM r WHERE rank <= 10""")
+def multi_query_topk(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    asked = chunks.where(F.col("ordinal") % 100 == 0).select(F.col("ordinal").alias("qid"), "vector")
+    return search.many(chunks, asked, 10).select("qid", "rank", "ordinal", F.round("cosine", 6).alias("cosine"))
+
+
+_EXPLAIN = f"""WITH {_SCORES}, m AS (SELECT r.* FROM r JOIN documents d ON d.doc_id = r.ordinal),
+o AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, ordinal) AS k, count(*) OVER () AS n FROM m),
+h AS (SELECT o.* FROM o JOIN documents d ON d.doc_id = o.ordinal WHERE contains(lower(d.text), 'license') ORDER BY k LIMIT 10)"""
+
+
+@query(f"{_EXPLAIN} SELECT k AS rank, n AS of, ordinal, round(cosine, 6) AS cosine, k <= 20 AS in_pool FROM h")
+def explain_rank(spark, sf_dir):
+    return search.explain(_texts(spark, sf_dir), _query_vector(spark, sf_dir), "License").select("rank", "of", "ordinal", F.round("cosine", 6).alias("cosine"), "in_pool")
+
+
+@query(f"""{_EXPLAIN}, b AS (SELECT min(k) AS k FROM h)
+SELECT 'license' AS needle, CASE WHEN k IS NULL THEN 'recall_failure_or_not_indexed' WHEN k <= 10 THEN 'no_failure' WHEN k <= 20 THEN 'ranking_failure' ELSE 'recall_failure' END AS diagnosis FROM b
+UNION ALL SELECT 'no such phrase anywhere', 'recall_failure_or_not_indexed'""")
+def explain_diagnosis(spark, sf_dir):
+    rows, q = _texts(spark, sf_dir), _query_vector(spark, sf_dir)
+    out = [search.explain(rows, q, n).limit(1).select(F.lit(n).alias("needle"), "diagnosis") for n in ("license", "no such phrase anywhere")]
+    return out[0].unionByName(out[1])
+
+
+_IDS = ["abc123def456:0003", "abc123def456:0001", "abc123def456:7", "abc123def456:0007", "abc123def456:99999999"]
+
+
+@query("""SELECT w.ordinal, w.id, CASE WHEN d.text IS NULL THEN 'not_in_index' ELSE 'ok' END AS state, length(d.text) AS chars
+FROM (VALUES (1, 'abc123def456:0001'), (3, 'abc123def456:0003'), (7, 'abc123def456:0007'), (99999999, 'abc123def456:99999999')) w(ordinal, id) LEFT JOIN documents d ON d.doc_id = w.ordinal""")
+def get_by_ids(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
+    got = search.hydrate(docs, "abc123def456", _IDS, cap=10**9)
+    return got.select(F.col("ordinal").cast("int").alias("ordinal"), "id", "state", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("SELECT 'stale_id' AS verdict, '1 ids are of another generation: 999999:0000' AS error UNION ALL SELECT 'invalid_request', 'not chunk ids: nonsense'")
+def get_stale_ids(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
+    out = []
+    for ids in (["999999:0000", "nonsense"], ["nonsense"]):
+        try:
+            search.hydrate(docs, "abc123def456", ids)
+        except search.Refused as e:
+            out.append((e.verdict, e.error))
+    return _values(spark, "verdict string, error string", out)
+
+
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, strlen(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT source, doc_id, k, n, CASE WHEN n <= 20000 THEN n ELSE 0 END AS used, n <= 20000 AS fits FROM d WHERE k = 1
+  UNION ALL SELECT d.source, d.doc_id, d.k, d.n, CASE WHEN f.used + d.n <= 20000 THEN f.used + d.n ELSE f.used END, f.used + d.n <= 20000 FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)
+SELECT source, doc_id, CASE WHEN fits THEN 'ok' ELSE 'omitted_for_size' END AS state FROM f""")
+def get_byte_cap(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("id"), "text")
+    return search.fitted(rows, 20_000, ("source",)).select("source", F.col("ordinal").alias("doc_id"), "state")
+
+
+# --- identity and chunks --------------------------------------------------------------------------------------------
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text", "source", "doc_id")
+
+
+_FILES = "f AS (SELECT source || '/' || doc_id || '.md' AS file, text, source, doc_id, substr(sha256(text), 1, 16) AS digest FROM documents)"
+
+
+@query(f"WITH {_FILES} SELECT file, digest FROM f")
+def corpus_digest(spark, sf_dir):
+    return index.digests(_corpus(spark, sf_dir)).select("file", "digest")
+
+
+@query(f"""WITH {_FILES} SELECT source, substr(sha256('2' || chr(0) || 'nomic-embed-text' || chr(0) || 'search_document: ' || chr(0) || 'search_query: ' || chr(0) || '1500' || chr(0)
+  || string_agg(file || chr(0) || digest || chr(0), '' ORDER BY string_split(file, '/'))), 1, 12) AS generation, count(*) AS file_count FROM f GROUP BY source""")
+def index_generation(spark, sf_dir):
+    doc, q = T.prefixes_for(MODEL)
+    return index.generation(index.digests(_corpus(spark, sf_dir)), model=MODEL, doc_prefix=doc, query_prefix=q, by=("source",))
+
+
+def _markdown(spark, sf_dir) -> DataFrame:
+    part = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text"))
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))).alias("x"))
+    return turns.select("conv_id", F.array_join(F.transform("x", lambda r: r["t"]), "\n\n").alias("text"))
+
+
+# Lines of the conversations' markdown; chr(10) alone ends a line there, and blocks carry text, lines and heading.
+_BLOCKS = r"""
+md AS (SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+ln AS (SELECT conv_id, n, string_split(text, chr(10))[n] AS line FROM (SELECT conv_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM md)),
+fl AS (SELECT *, regexp_matches(line, '^\s*$') AS blank, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS fences,
+  sum(CASE WHEN regexp_matches(line, '^\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS island FROM ln),
+b0 AS (SELECT conv_id, island, trim(string_agg(line, chr(10) ORDER BY n), chr(10) || chr(9) || ' ') AS text, min(n) AS line_start, max(n) AS line_end, max(fences) AS fences, first(line ORDER BY n) AS head FROM fl WHERE NOT blank GROUP BY conv_id, island),
+b1 AS (SELECT *, CASE WHEN fences % 2 = 0 AND regexp_matches(trim(head), '^#{1,6}\s+\S') THEN regexp_extract(trim(head), '^#{1,6}\s+(\S.*?)\s*#*\s*$', 1) END AS h FROM b0),
+b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY line_start) - 1 AS pos, text, line_start, line_end, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_start ROWS UNBOUNDED PRECEDING), '') AS heading FROM b1)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT conv_id, pos, text, line_start, line_end, heading FROM b")
+def paragraph_blocks(spark, sf_dir):
+    return chunking.paragraph_blocks(_markdown(spark, sf_dir), "conv_id")
+
+
+_SLICES = """
+d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+a AS (SELECT doc_id, t, unnest(range(0, length(t), 1300)) AS o FROM d WHERE length(t) > 1500),
+p AS (SELECT doc_id, t, o, o // 1300 AS pos, CASE WHEN o > 0 THEN instr(substr(t, o + 1, 1500), ' ') ELSE 0 END AS blank, least(o + 1500, length(t)) AS stop FROM a),
+sl AS (SELECT doc_id, pos, substr(t, o + blank + 1, stop - o - blank) AS text, 1 + length(substr(t, 1, o + blank)) - length(replace(substr(t, 1, o + blank), chr(10), '')) AS line_start,
+  1 + length(substr(t, 1, stop)) - length(replace(substr(t, 1, stop), chr(10), '')) AS line_end FROM p)"""
+
+
+@query(f"WITH {_SLICES} SELECT doc_id, pos, text, line_start, line_end FROM sl")
+def oversize_slices(spark, sf_dir):
+    return chunking.long_slices(_table(spark, sf_dir, "documents"), key="doc_id")
+
+
+# The fold over blocks: packs up to 400 characters, and opens the next chunk with the tail of the last.
+_PACK = f"""{_BLOCKS},
+st AS (SELECT conv_id, pos, text AS cur, NULL::VARCHAR AS done FROM b WHERE pos = 0 AND length(text) <= 400
+  UNION ALL SELECT conv_id, pos, '' AS cur, NULL FROM b WHERE pos = 0 AND length(text) > 400
+  UNION ALL SELECT b.conv_id, b.pos,
+    CASE WHEN length(b.text) > 400 THEN '' WHEN st.cur = '' THEN b.text WHEN length(st.cur) + length(b.text) + 2 <= 400 THEN st.cur || chr(10) || chr(10) || b.text
+      ELSE CASE WHEN length(st.cur) <= 200 THEN st.cur ELSE substr(right(st.cur, 200), instr(right(st.cur, 200), ' ') + 1) END || chr(10) || chr(10) || b.text END,
+    CASE WHEN st.cur = '' THEN NULL WHEN length(b.text) > 400 THEN st.cur WHEN length(st.cur) + length(b.text) + 2 <= 400 THEN NULL ELSE st.cur END
+  FROM st JOIN b ON b.conv_id = st.conv_id AND b.pos = st.pos + 1),
+big AS (SELECT conv_id, pos AS bpos, text AS t, unnest(range(0, length(text), 200)) AS o FROM b WHERE length(text) > 400),
+bs AS (SELECT conv_id, bpos, o, CASE WHEN o > 0 THEN instr(substr(t, o + 1, 400), ' ') ELSE 0 END AS blank, t FROM big),
+ch AS (SELECT conv_id, done AS text FROM st WHERE done IS NOT NULL
+  UNION ALL SELECT conv_id, substr(t, o + blank + 1, 400 - blank) FROM bs
+  UNION ALL SELECT conv_id, cur FROM st WHERE cur <> '' AND pos = (SELECT max(pos) FROM b WHERE b.conv_id = st.conv_id))"""
+
+
+@query(f"WITH RECURSIVE {_PACK} SELECT conv_id, text FROM ch")
+def chunk_pack(spark, sf_dir):
+    return chunking.chunked(_markdown(spark, sf_dir), 400, "conv_id").select("conv_id", "text")
+
+
+@query(f"WITH RECURSIVE {_PACK} SELECT conv_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM ch GROUP BY conv_id")
+def chunk_stats(spark, sf_dir):
+    return chunking.chunked(_markdown(spark, sf_dir), 400, "conv_id").groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
+
+
+@query()
+def chunk_citations(spark, sf_dir):
+    """Chunks with their lines and heading, as they are cited; held against a plain restatement by the tests."""
+    got = chunking.chunked(_markdown(spark, sf_dir), 400, "conv_id")
+    return got.select("conv_id", "pos", "heading", "line_start", "line_end", T.citation(F.col("conv_id").cast("string"), "line_start", "line_end", "heading").alias("citation"), T.snippet("text", 150).alias("snippet"))
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT file, greatest(1, ceil(length(text) / 1300.0))::BIGINT AS n FROM f),
+o AS (SELECT file, n, sum(n) OVER (ORDER BY string_split(file, '/') ROWS UNBOUNDED PRECEDING) - n AS first FROM n)
+SELECT file, pos, (first + pos)::BIGINT AS ordinal, 'abc123def456:' || lpad((first + pos)::VARCHAR, greatest(4, length((first + pos)::VARCHAR))::INT, '0') AS id FROM (SELECT file, first, unnest(range(0, n)) AS pos FROM o)""")
+def chunk_ids(spark, sf_dir):
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1300.0)).cast("bigint")
+    pieces = _corpus(spark, sf_dir).select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("pos"))
+    return index.ordinals(pieces).select("file", "pos", "ordinal", T.chunk_id(F.lit("abc123def456"), "ordinal").alias("id"))
+
+
+# --- incremental builds ---------------------------------------------------------------------------------------------
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A prior index without every seventh document and with every eleventh in an older text; without every thirteenth now."""
+    now = index.digests(_corpus(spark, sf_dir))
+    prior = now.where("doc_id % 7 != 0").withColumn("digest", F.when(F.col("doc_id") % 11 == 0, T.digest(F.concat(F.lit("old "), F.col("text")))).otherwise(F.col("digest")))
+    return prior.select("file", "digest"), now.where("doc_id % 13 != 0").select("file", "digest")
+
+
+_SNAPSHOTS = f"""{_FILES}, prior AS (SELECT file, CASE WHEN doc_id % 11 = 0 THEN substr(sha256('old ' || text), 1, 16) ELSE digest END AS digest FROM f WHERE doc_id % 7 <> 0),
+now AS (SELECT file, digest FROM f WHERE doc_id % 13 <> 0),
+dr AS (SELECT coalesce(p.file, n.file) AS file, CASE WHEN p.file IS NULL THEN 'added' WHEN n.file IS NULL THEN 'removed' WHEN p.digest <> n.digest THEN 'changed' ELSE 'same' END AS status FROM prior p FULL JOIN now n ON p.file = n.file)"""
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT n.file, n.digest, CASE WHEN p.file IS NULL THEN 'embed' ELSE 'reuse' END AS action FROM now n LEFT JOIN prior p ON p.file = n.file AND p.digest = n.digest")
+def incremental_reuse(spark, sf_dir):
+    prior, now = _snapshots(spark, sf_dir)
+    return index.reuse(now, prior)
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT file, status FROM dr")
+def corpus_drift(spark, sf_dir):
+    return index.drift(*_snapshots(spark, sf_dir))
+
+
+@query(f"""WITH {_SNAPSHOTS}, k AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY string_split(file, '/')) AS k FROM dr)
+SELECT status, count(*) AS files, coalesce(string_agg(file, ',' ORDER BY k) FILTER (k <= 20 AND status <> 'same'), '') AS names FROM k GROUP BY status""")
+def drift_counts(spark, sf_dir):
+    return index.drift_summary(index.drift(*_snapshots(spark, sf_dir)))
+
+
+_HEADERS = [("broken", True, None, None, None, None, None, None), ("legacy", False, None, "old notes", "", "m", 3, 9), ("future", False, 3, "", None, None, 1, 1)]
+
+
+@query(f"""WITH {_sql_values('h', 'name, corrupt, format, description, built_at, model, file_count, chunk_count', _HEADERS)},
+a AS (SELECT * FROM h UNION ALL SELECT source, false, 2, 'documents of ' || source, NULL, 'nomic-embed-text', count(*), sum(greatest(1, ceil(length(text) / 1300.0)))::BIGINT FROM documents GROUP BY source)
+SELECT name, coalesce(nullif(description, ''), 'unknown') AS description, coalesce(nullif(built_at, ''), 'unknown') AS built_at, coalesce(nullif(model, ''), 'unknown') AS model, coalesce(file_count, 0)::BIGINT AS file_count,
+  coalesce(chunk_count, 0)::BIGINT AS chunk_count, CASE WHEN corrupt THEN 'index_unreadable' WHEN format IS NULL OR format <> 2 THEN 'unsupported_index' ELSE 'ok' END AS verdict FROM a""")
+def index_inventory(spark, sf_dir):
+    odd = _values(spark, "name string, corrupt boolean, format int, description string, built_at string, model string, file_count bigint, chunk_count bigint", _HEADERS)
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1300.0)).cast("bigint")
+    good = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("file_count"), F.sum(n).alias("chunk_count"))
+    good = good.select("name", F.lit(False).alias("corrupt"), F.lit(2).alias("format"), F.concat(F.lit("documents of "), "name").alias("description"), F.lit(None).cast("string").alias("built_at"), F.lit(MODEL).alias("model"), "file_count", "chunk_count")
+    return index.inventory(odd.unionByName(good))
+
+
+@query()
+def embed_batches(spark, sf_dir):
+    """Vectors of every chunk from the offline embedder, sixteen texts a call."""
+    chunks = chunking.chunked(_corpus(spark, sf_dir))
+    got = index.embedded(chunks, HashEmbedder(), T.prefixes_for(MODEL)[0])
+    return got.select("file", "pos", F.size("vector").cast("bigint").alias("dimensions"), F.round("norm", 6).alias("norm"))
+
+
+@query()
+def index_build(spark, sf_dir):
+    """A whole build in memory with the offline embedder: its header, held against its tables."""
+    ship(spark)
+    tables = index.build(spark, _corpus(spark, sf_dir).where("source IS NOT NULL"), "documents", HashEmbedder(), model=MODEL, limit=LIMIT)
+    return tables["header"].drop("built_at")
+
+
+# --- reranking from recorded replies --------------------------------------------------------------------------------
+
+
+def _pool(spark, sf_dir, pool: int = 20) -> DataFrame:
+    """The pool of candidates with their position, and a reply for each batch made from the labels."""
+    best = search.top(search.scored(_chunks(spark, sf_dir), _query_vector(spark, sf_dir)), pool)
+    return best.select((F.col("rank") - 1).alias("pos"), "ordinal", "cosine", "label")
+
+
+def _replies(pool: DataFrame) -> DataFrame:
+    rows = rerank.batches(pool)
+    line = F.when(F.col("batch") % 2 == 0, F.concat(F.lit("["), F.col("local").cast("string"), F.lit("] = "), (F.col("label") % 3).cast("string"))).otherwise(F.concat(F.lit('"'), F.col("local").cast("string"), F.lit('": '), (F.col("label") % 3).cast("string")))
+    rows = rows.withColumn("_line", line).groupBy("batch").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("local", "_line"))).alias("x"))
+    body = F.transform("x", lambda r: r["_line"])
+    reply = F.when(F.col("batch") % 2 == 0, F.concat(F.array_join(body, "\n"), F.lit("\n7=2\n0=1"))).when(F.col("batch") == 3, F.lit("no scores here")).otherwise(F.concat(F.lit("{"), F.array_join(body, ", "), F.lit("}")))
+    return rows.select("batch", "size", reply.alias("reply"), F.lit(None).cast("string").alias("error"))
+
+
+_RERANK = f"""{_SCORES}, p AS (SELECT rank - 1 AS pos, ordinal, cosine, label, (rank - 1) // 5 AS batch, (rank - 1) % 5 AS local FROM r WHERE rank <= 20),
+sc AS (SELECT pos, CASE WHEN batch % 2 = 0 AND local = 0 THEN 1.0 ELSE (label % 3)::DOUBLE END AS score FROM p WHERE batch <> 3),
+ord AS (SELECT p.*, sc.score, row_number() OVER (ORDER BY coalesce(score, -1) DESC, cosine DESC, p.pos) AS place FROM p LEFT JOIN sc USING (pos))"""
+
+
+@query(f"WITH {_RERANK} SELECT pos, ordinal, batch::BIGINT AS batch, local::BIGINT AS local FROM p")
+def rerank_batches(spark, sf_dir):
+    return rerank.batches(_pool(spark, sf_dir)).select("pos", "ordinal", "batch", "local")
+
+
+@query()
+def rerank_prompts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("file"), "text")
+    return rerank.prompts(docs.join(F.broadcast(_pool(spark, sf_dir)), "ordinal"), "why?")  # twenty rows
+
+
+@query(f"WITH {_RERANK} SELECT pos, score FROM sc")
+def rerank_parse(spark, sf_dir):
+    return rerank.parsed(_replies(_pool(spark, sf_dir)))
+
+
+@query("SELECT 3::BIGINT AS batch, 'unparseable (no scores here)' AS failure")
+def rerank_failures(spark, sf_dir):
+    replies = _replies(_pool(spark, sf_dir))
+    return rerank.failures(replies, rerank.parsed(replies))
+
+
+@query(f"WITH {_RERANK} SELECT place, pos, ordinal, score FROM ord WHERE place <= 10")
+def rerank_order(spark, sf_dir):
+    pool = _pool(spark, sf_dir)
+    return rerank.ordered(pool, rerank.parsed(_replies(pool)), 10).select("place", "pos", "ordinal", "score")
+
+
+@query(f"WITH {_RERANK} SELECT score, printf('%g', score) AS label, count(*) AS n FROM sc GROUP BY score")
+def rerank_distribution(spark, sf_dir):
+    return rerank.distribution(rerank.parsed(_replies(_pool(spark, sf_dir))))
+
+
+@query(f"""WITH {_RERANK}, best AS (SELECT max(score) AS best FROM ord WHERE place <= 10), a AS (SELECT count(*) AS judged, min(score) AS low, max(score) AS high FROM sc),
+t AS (SELECT count(*) AS at_top FROM sc WHERE score = (SELECT high FROM a))
+SELECT judged, 20::BIGINT AS of_pool, low, high, at_top > judged / 2 AS weak_discrimination, high > 2 OR low < 0 AS own_scale, high <= 2 AND best > 0 AND best < 2 AS pool_may_be_short, 40::BIGINT AS next_pool, best = 0 AS none_answers FROM a, best, t""")
+def rerank_flags(spark, sf_dir):
+    pool = _pool(spark, sf_dir)
+    scores = rerank.parsed(_replies(pool))
+    return rerank.flags(scores, rerank.ordered(pool, scores, 10), 20)
+
+
+# --- budgets and guards ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, length(text) AS chars, floor(length(text) / 3.2)::BIGINT + 1 AS estimate FROM documents")
+def token_estimate(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars"), T.tokens(F.length("text")).alias("estimate"))
+
+
+@query("""WITH e AS (SELECT doc_id, floor(length(text) / 3.2)::BIGINT + 1 AS estimate, CASE doc_id % 3 WHEN 0 THEN 2048 WHEN 1 THEN 512 END AS lim FROM documents)
+SELECT doc_id, estimate, floor(lim * 0.85::DOUBLE)::BIGINT AS usable, CASE WHEN lim IS NULL THEN 'context_unknown' WHEN estimate > floor(lim * 0.85::DOUBLE) THEN 'context_exceeded' ELSE 'ok' END AS verdict FROM e""")
+def context_check(spark, sf_dir):
+    limit = F.when(F.col("doc_id") % 3 == 0, 2048).when(F.col("doc_id") % 3 == 1, 512).cast("bigint")
+    return budget.context_checks(_table(spark, sf_dir, "documents"), "text", limit).select("doc_id", "estimate", "usable", "verdict")
+
+
+@query("SELECT doc_id, length(text) AS chars, floor(length(text) / 3.2)::BIGINT + 1 AS estimate FROM documents WHERE floor(length(text) / 3.2) + 1 > 2048")
+def oversized_inputs(spark, sf_dir):
+    return budget.oversized(_table(spark, sf_dir, "documents"), "text", LIMIT).select("doc_id", "chars", "estimate")
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS turns, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM conversations GROUP BY conv_id), e AS (SELECT *, floor(chars / 3.2)::BIGINT + 1 AS estimate FROM c)
+SELECT conv_id, turns, chars, estimate, 870::BIGINT AS usable, CASE WHEN estimate > 870 THEN 'context_exceeded' ELSE 'ok' END AS verdict FROM e""")
+def conversation_budget(spark, sf_dir):
+    return budget.conversation_checks(_table(spark, sf_dir, "conversations"), 1024)
+
+
+@query("""SELECT conv_id, min(turn) FILTER (role NOT IN ('system', 'user', 'assistant', 'tool') OR role IS NULL OR text IS NULL) AS bad_turn,
+CASE WHEN count(*) FILTER (role NOT IN ('system', 'user', 'assistant', 'tool') OR role IS NULL OR text IS NULL) = 0 THEN 'ok' ELSE 'invalid_request' END AS verdict
+FROM (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'narrator' ELSE role END AS role, text FROM conversations) GROUP BY conv_id""")
+def role_validation(spark, sf_dir):
+    odd = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), "narrator").otherwise(F.col("role"))
+    return budget.role_checks(_table(spark, sf_dir, "conversations").withColumn("role", odd))
+
+
+_MODELS = [("a", {"x.context_length": "2048"}, "num_ctx 8192\nstop x"), ("b", {"y.context_length": "262144"}, "num_ctx                        262144"), ("c", {"z.context_length": "131072"}, None), ("d", {"other": "5"}, "temperature 1"), ("e", {"w.context_length": "0"}, "num_ctx 4096")]
+
+
+@query(f"""WITH {_sql_values('m', 'name, info, params', [(n, next((int(v) for k, v in i.items() if k.endswith('context_length')), None), p) for n, i, p in _MODELS])},
+l AS (SELECT name, info::BIGINT AS arch, try_cast(nullif(regexp_extract(coalesce(params, ''), 'num_ctx\\s+(\\d+)', 1), '') AS BIGINT) AS num_ctx FROM m)
+SELECT name, arch, num_ctx, least(nullif(arch, 0), nullif(num_ctx, 0)) AS "limit", coalesce(arch <> num_ctx, false) AS disagree, least(1500, floor(least(nullif(arch, 0), nullif(num_ctx, 0)) * 3.2::DOUBLE))::BIGINT AS chunk_chars FROM l""")
+def context_limits(spark, sf_dir):
+    got = budget.limits(_values(spark, "name string, model_info map<string,string>, parameters string", _MODELS))
+    return got.select("name", "arch", "num_ctx", "limit", "disagree", T.chunk_size(chunking.TARGET, "limit").alias("chunk_chars"))
+
+
+@query("""WITH c AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'stop' WHEN 'click' THEN 'length' WHEN 'error' THEN NULL WHEN 'signup' THEN 'load' ELSE 'stop' END AS done_reason,
+  CASE WHEN event_id % 17 = 0 THEN '  ' WHEN event_id % 5 = 0 THEN 'text  ' ELSE 'text' END AS text FROM events)
+SELECT event_id, CASE WHEN trim(text) = '' THEN 'empty_generation' WHEN done_reason = 'length' THEN 'truncated' WHEN done_reason IS NULL OR done_reason <> 'stop' THEN 'completion_unverified' ELSE 'ok' END AS verdict,
+  trim(text) <> '' AND done_reason IS NULL AND text <> rtrim(text) AS trailing_white FROM c""")
+def completion_verdicts(spark, sf_dir):
+    kind = F.col("event_type")
+    reason = F.when(kind == "view", "stop").when(kind == "click", "length").when(kind == "signup", "load").when(kind != "error", "stop")
+    text = F.when(F.col("event_id") % 17 == 0, "  ").when(F.col("event_id") % 5 == 0, "text  ").otherwise("text")
+    rows = _table(spark, sf_dir, "events").select("event_id", reason.alias("done_reason"), text.alias("text"))
+    return rows.select("event_id", T.completion_verdict("text", "done_reason").alias("verdict"), T.trailing_white("text", "done_reason").alias("trailing_white"))
+
+
+@query("""WITH c AS (SELECT event_type, floor(value)::BIGINT AS n, (event_id % 1000) * 1000000 AS ns, user_id % 7 AS p, (event_id % 300) * 1000000 AS ld FROM events),
+g AS (SELECT event_type, sum(n)::BIGINT AS tokens, sum(ns)::BIGINT AS ns, sum(p)::BIGINT AS prompt_tokens, max(ld)::BIGINT AS ld FROM c GROUP BY event_type)
+SELECT event_type, tokens, prompt_tokens, CASE WHEN tokens <> 0 AND ns <> 0 THEN round(tokens / (ns / 1e9::DOUBLE), 1) END AS tokens_per_second, CASE WHEN ld > 100000000 THEN round(ld / 1e9::DOUBLE, 1) END AS cold_load_seconds FROM g""")
+def throughput_rollup(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(
+        "event_type", F.floor("value").cast("bigint").alias("eval_count"), ((F.col("event_id") % 1000) * 1_000_000).alias("eval_duration"),
+        (F.col("user_id") % 7).alias("prompt_eval_count"), ((F.col("event_id") % 300) * 1_000_000).alias("load_duration"),
+    )
+    return rerank.throughput(rows, ("event_type",))
+
+
+_NAMES = [("llama3:latest", 4_700_000_000), ("Qwen:cloud", 350), ("stub", 350), ("big:CLOUD", None), ("plain", None), ("tiny", 0), ("host:5000/m:cloud", 900_000), ("exact", 1_048_576)]
+
+
+@query(f"""WITH {_sql_values('m', 'name, size', _NAMES)}, d AS (SELECT name, size::BIGINT AS size, CASE WHEN instr(name, ':') > 0 THEN lower(substr(name, instr(name, ':') + 1)) ELSE '' END AS tag FROM m)
+SELECT name, CASE WHEN size IS NULL OR size = 0 THEN 'unknown' WHEN size < 1024 THEN printf('%.1f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE) ELSE printf('%.1f GB', size / 1073741824.0::DOUBLE) END AS size_label,
+  CASE WHEN tag = 'cloud' THEN 'cloud' WHEN size < 1048576 THEN 'cloud?' ELSE 'local' END AS location, CASE WHEN name = 'plain' THEN 'HTTP 404' WHEN name = 'tiny' THEN 'not fetched' END AS details_error FROM d""")
+def model_inventory(spark, sf_dir):
+    details = _values(spark, "name string, error string", [(n, "HTTP 404" if n == "plain" else None) for n, _ in _NAMES if n != "tiny"])
+    return budget.inventory(_values(spark, "name string, size bigint", _NAMES), details)
+
+
+@query("SELECT 8::BIGINT AS models, 3::BIGINT AS local_models, 'Qwen:cloud,big:CLOUD,host:5000/m:cloud,stub,tiny' AS hosted, 'ok' AS verdict UNION ALL SELECT 0, 0, '', 'no_models_installed'")
+def inventory_summary(spark, sf_dir):
+    models = _values(spark, "name string, size bigint", _NAMES)
+    return budget.inventory_summary(models).unionByName(budget.inventory_summary(models.where("false")))
+
+
+_CALLS = [("a", ["completion", "tools"], "completion"), ("b", ["embedding"], "completion"), ("c", ["decision", "vision"], "completion"), ("d", [], "embedding"), ("e", None, "decision"), ("f", ["vision"], "decision"), ("g", ["completion"], "embedding")]
+
+
+@query("SELECT * FROM (VALUES ('a', 'ok', NULL), ('b', 'wrong_capability', 'embed'), ('c', 'wrong_capability', 'decide'), ('d', 'ok', NULL), ('e', 'ok', NULL), ('f', 'ok', NULL), ('g', 'wrong_capability', 'generate or chat')) t(model, verdict, use_tool)")
+def capability_routing(spark, sf_dir):
+    return budget.routed(_values(spark, "model string, capabilities array<string>, needs string", _CALLS)).select("model", "verdict", "use_tool")
+
+
+_GUARDED = [("chat", "llama3"), ("chat", "llama3:latest"), ("chat", "other"), ("chat", " "), ("delete", "llama3"), ("pull", "x"), ("list", None)]
+
+
+@query(f"WITH {_sql_values('c', 'op, model', _GUARDED)} SELECT op, model, CASE WHEN op IN ('delete', 'pull') THEN 'not_permitted' WHEN trim(model) = '' THEN 'invalid_request' WHEN model IS NOT NULL AND regexp_replace(trim(model), ':latest$', '') NOT IN ('llama3', 'gemma') THEN 'not_permitted' ELSE 'ok' END AS verdict FROM c")
+def allowlist_semi(spark, sf_dir):
+    return budget.guarded(_values(spark, "op string, model string", _GUARDED), _values(spark, "model string", [("llama3:latest",), ("gemma",)]))
+
+
+_VERSIONS = [("0.40.15",), ("0.35.0",), ("0.9.99",), ("v1.0.0-rc",), (" 0.34.9",), ("dev",), (None,)]
+
+
+@query(f"""WITH {_sql_values('v', 'version', _VERSIONS)}, p AS (SELECT version, regexp_extract(coalesce(version, ''), '^\\s*v?(\\d+)\\.(\\d+)\\.(\\d+)', ['a', 'b', 'c']) AS x FROM v)
+SELECT version, CASE WHEN x.a = '' THEN 'unknown' WHEN (try_cast(x.a AS INT), try_cast(x.b AS INT), try_cast(x.c AS INT)) >= (0, 35, 0) THEN 'yes' ELSE 'no' END AS supported FROM p""")
+def version_gate(spark, sf_dir):
+    return _values(spark, "version string", _VERSIONS).select("version", T.supports_decide("version").alias("supported"))
+
+
+_INDEX_NAMES = [("notes",), ("notes\n",), ("My Notes",), ("a-b_9",), ("",), ("nötes",)]
+
+
+@query("SELECT * FROM (VALUES ('notes', true), ('notes' || chr(10), false), ('My Notes', false), ('a-b_9', true), ('', false), ('nötes', false)) t(name, valid)")
+def name_validation(spark, sf_dir):
+    return _values(spark, "name string", _INDEX_NAMES).select("name", F.col("name").rlike(T.NAME).alias("valid"))
+
+
+# --- decisions ------------------------------------------------------------------------------------------------------
+
+_ASKED = [
+    ("good", "q1", 0, "choice", "pick", ["a", "b"], None), ("good", "q2", 1, "noul", "how likely", None, None), ("good", "q3", 2, "score", "grade", None, ["lo", "mid", "hi"]),
+    ("type", "q1", 0, "rank", "x", None, None), ("blank", "q1", 0, "noul", " ", None, None), ("labels", "q1", 0, "choice", "x", ["a"], None),
+    ("levels", "q1", 0, "score", "x", None, ["a"]), ("second", "q1", 0, "noul", "x", None, None), ("second", "q2", 1, None, "x", None, None),
+]
+_QUESTION = "item string, qid string, pos int, type string, instructions string, labels array<string>, levels array<string>"
+
+
+@query("SELECT * FROM (VALUES ('good', NULL), ('type', 'q1: unknown type'), ('blank', 'q1: no instructions'), ('labels', 'q1: fewer than two labels'), ('levels', 'q1: fewer than two levels'), ('second', 'q2: unknown type')) t(item, problem)")
+def question_shape(spark, sf_dir):
+    return decisions.question_problems(_values(spark, _QUESTION, _ASKED))
+
+
+def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """For each label row a choice and a probability; some answers are wrong in each way there is."""
+    rows = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("item"), "doc_id", "quality", "toxic")
+    none = F.lit(None)
+    asked = rows.select("item", F.explode(F.array(*(F.struct(F.lit(q).alias("qid"), F.lit(t).alias("type"), (F.array(*map(F.lit, ls)) if ls else none.cast("array<string>")).alias("labels"), none.cast("array<string>").alias("levels")) for q, t, ls in (("pick", "choice", ["high", "low"]), ("toxic", "noul", None))))).alias("q")).select("item", "q.*")
+    i = F.col("doc_id")
+    choice = F.when(i % 11 == 0, "other").when(F.col("quality") == 1, "high").otherwise("low")
+    first = rows.where(i % 7 != 0).select("item", F.lit("pick").alias("qid"), F.when(i % 13 == 0, "noul").alias("type"), choice.alias("choice"), none.cast("double").alias("noul"), none.cast("double").alias("score"), F.create_map(F.lit("high"), F.when(i % 17 == 0, 0.9).otherwise(0.75), F.lit("low"), F.lit(0.25)).alias("probabilities"))
+    second = rows.where(i % 5 != 0).select("item", F.lit("toxic").alias("qid"), none.cast("string").alias("type"), none.cast("string").alias("choice"), F.when(i % 19 == 0, 1.5).otherwise(F.col("toxic").cast("double")).alias("noul"), none.cast("double").alias("score"), none.cast("map<string,double>").alias("probabilities"))
+    return asked, first.unionByName(second)
+
+
+_DECIDED = """l AS (SELECT doc_id::VARCHAR AS item, doc_id AS i, quality, toxic FROM labels),
+pr AS (SELECT item, 'pick' AS qid, CASE WHEN i % 7 = 0 THEN ['no answer for pick'] WHEN i % 13 = 0 THEN ['pick: answered as another type']
+    ELSE list_filter([CASE WHEN i % 11 = 0 THEN 'pick: choice was not offered' END, CASE WHEN i % 17 = 0 THEN 'pick: probabilities do not sum to 1' END], lambda x: x IS NOT NULL) END AS p FROM l
+  UNION ALL SELECT item, 'toxic', CASE WHEN i % 5 = 0 THEN ['no answer for toxic'] WHEN i % 19 = 0 THEN ['toxic: noul is not a probability'] ELSE [] END FROM l)"""
+
+
+@query(f"WITH {_DECIDED} SELECT item, qid, array_to_string(p, '; ') AS problems FROM pr")
+def answer_problems(spark, sf_dir):
+    return decisions.answer_problems(*_decided(spark, sf_dir)).withColumn("problems", F.array_join("problems", "; "))
+
+
+@query(f"""WITH {_DECIDED}, a AS (SELECT item, unnest(p) AS p FROM pr), g AS (SELECT item, count(*) AS n, bool_and(starts_with(p, 'no answer')) AS missing FROM a GROUP BY item)
+SELECT l.item, coalesce(n, 0) AS n_problems, CASE WHEN n IS NULL THEN 'ok' WHEN missing THEN 'incomplete' ELSE 'bad_response' END AS verdict FROM (SELECT DISTINCT item FROM l) l LEFT JOIN g ON g.item = l.item""")
+def answer_verdict(spark, sf_dir):
+    return decisions.verdicts(decisions.answer_problems(*_decided(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE quality END AS expected, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS got, (doc_id % 100) / 100.0::DOUBLE AS confidence FROM labels)
+SELECT count(expected) AS labelled, count(*) - count(expected) AS unlabelled, count(*) FILTER (expected = got) AS correct, round(avg((expected = got)::INT::DOUBLE), 6) AS accuracy,
+  round(avg(confidence) FILTER (expected = got), 6) AS confidence_right, round(avg(confidence) FILTER (expected <> got), 6) AS confidence_wrong, count(*) FILTER (expected IS NOT NULL AND confidence >= 0.5) AS kept,
+  round(avg((expected = got)::INT::DOUBLE) FILTER (confidence >= 0.5), 6) AS kept_accuracy FROM d""")
+def decision_eval(spark, sf_dir):
+    i, q = F.col("doc_id"), F.col("quality")
+    rows = _table(spark, sf_dir, "labels").select(F.when(i % 10 != 0, q).alias("expected"), F.when(i % 4 == 0, 1 - q).otherwise(q).alias("got"), ((i % 100) / 100.0).cast("double").alias("confidence"))
+    return decisions.evaluation(rows)
+
+
+@query("SELECT * FROM (VALUES ('0.30.0', 'endpoint_unavailable'), ('0.40.0', 'model_not_found'), ('0.40.1', 'endpoint_unavailable'), (NULL, 'model_not_found')) t(version, verdict)")
+def missing_endpoint(spark, sf_dir):
+    calls = _values(spark, "version string, capabilities array<string>", [("0.30.0", None), ("0.40.0", None), ("0.40.1", ["decision"]), (None, None)])
+    return decisions.missing_endpoint(calls).select("version", "verdict")
+
+
+# --- registers ------------------------------------------------------------------------------------------------------
+
+_EDGES = [("search", "load"), ("search", "score"), ("load", "refuse"), ("score", "embed"), ("embed", "request"), ("request", "refuse"), ("get", "load"), ("refuse", "load"), ("lost", "search")]
+
+
+@query(f"WITH RECURSIVE {_sql_values('e', 'src, dst', _EDGES)}, r AS (SELECT * FROM (VALUES ('search', 'search'), ('get', 'get'), ('alone', 'alone')) s(start, node) UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r")
+def verdict_closure(spark, sf_dir):
+    return integrity.reachable(_values(spark, "src string, dst string", _EDGES), _values(spark, "start string", [("search",), ("get",), ("alone",)]))
+
+
+_TESTS = [
+    ("T1", "pass", ["UR-1", "UR-2"], "f", "e", "o", None, None), ("T2", "fail", ["UR-2"], "f", "e", "o", "D-1", None), ("T2", "pass", ["UR-3"], "", "e", "o", None, None),
+    ("T3", "not_run", ["UR-9"], "f", "e", None, "D-7", None), ("T4", "odd", [], "f", None, None, None, None), ("T5", "deferred", ["UR-4"], "f", "e", None, None, "later"),
+]
+_REQUIREMENTS = [("UR-1", "✅"), ("UR-2", "✅"), ("UR-3", "❌"), ("UR-4", "✅"), ("UR-5", "❌"), ("UR-6", None)]
+_DEFECTS = [("X1", "D-1", "t", "minor", "r", "n", "fix before release", "open"), ("X1", "D-2", "t", "minor", "", "n", "ship", "open"), ("X3", "D-3", "t", "major", "r", "n", "fix before release", "resolved")]
+
+
+def _manifest(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tests = _values(spark, "id string, result string, discharges array<string>, falsifier string, expected string, observed string, issue string, release_decision string", _TESTS)
+    defects = _values(spark, "id string, tracked_as string, title string, severity string, rationale string, release_note string, release_decision string, status string", _DEFECTS)
+    return tests, defects, _values(spark, "id string, mark string", _REQUIREMENTS)
+
+
+_MANIFEST = f"""{_sql_values('t', 'id, result, discharges, falsifier, expected, observed, issue, release_decision', _TESTS)}, {_sql_values('rq', 'id, mark', _REQUIREMENTS)},
+{_sql_values('df', 'id, tracked_as, title, severity, rationale, release_note, release_decision, status', _DEFECTS)},
+dc AS (SELECT id AS test, result, unnest(discharges) AS id FROM t), cv AS (SELECT id, bool_or(result IN ('fail', 'not_run')) AS any_bad, bool_and(result = 'pass') AS all_pass FROM dc GROUP BY id),
+ct AS (SELECT rq.id, mark, CASE WHEN mark = '✅' AND any_bad THEN 'done but a test is not passing' WHEN mark = '❌' AND all_pass THEN 'open but every test passes' END AS finding FROM rq JOIN cv ON cv.id = rq.id)"""
+
+
+@query(f"WITH {_MANIFEST} SELECT id FROM rq WHERE id NOT IN (SELECT id FROM dc)")
+def coverage_holes(spark, sf_dir):
+    tests, _, requirements = _manifest(spark)
+    return integrity.holes(requirements, tests)
+
+
+@query(f"WITH {_MANIFEST} SELECT id, mark, finding FROM ct WHERE finding IS NOT NULL")
+def state_contradictions(spark, sf_dir):
+    tests, _, requirements = _manifest(spark)
+    return integrity.contradictions(requirements, tests)
+
+
+@query(f"WITH {_MANIFEST} SELECT id, count(*) AS n FROM t GROUP BY id HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return integrity.duplicates(_manifest(spark)[0], "id")
+
+
+@query(f"WITH {_MANIFEST} SELECT id, issue FROM t WHERE issue IS NOT NULL AND issue NOT IN (SELECT tracked_as FROM df)")
+def referential_integrity(spark, sf_dir):
+    tests, defects, _ = _manifest(spark)
+    return integrity.unresolved(tests, "id", "issue", defects, "tracked_as").select("id", "issue")
+
+
+@query(f"""WITH {_MANIFEST}
+SELECT id, 'duplicate test id' AS finding FROM t GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'duplicate defect id' FROM df GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id, 'result outside its domain' FROM t WHERE result NOT IN ('pass', 'fail', 'deferred', 'not_run')
+UNION ALL SELECT id, 'no falsifier' FROM t WHERE coalesce(trim(falsifier), '') = '' UNION ALL SELECT id, 'no expected' FROM t WHERE coalesce(trim(expected), '') = ''
+UNION ALL SELECT id, 'no observed' FROM t WHERE result IN ('pass', 'fail') AND coalesce(trim(observed), '') = ''
+UNION ALL SELECT id, 'no release_decision' FROM t WHERE result = 'deferred' AND coalesce(trim(release_decision), '') = '' UNION ALL SELECT id, 'no issue' FROM t WHERE result IN ('deferred', 'fail') AND coalesce(trim(issue), '') = ''
+UNION ALL SELECT id, 'issue not in the register' FROM t WHERE issue IS NOT NULL AND issue NOT IN (SELECT tracked_as FROM df)
+UNION ALL SELECT test, 'requirement not in the register' FROM dc WHERE id NOT IN (SELECT id FROM rq) UNION ALL SELECT id, 'no test and no deferral' FROM rq WHERE id NOT IN (SELECT id FROM dc)
+UNION ALL SELECT id, finding FROM ct WHERE finding IS NOT NULL UNION ALL SELECT id, 'no rationale' FROM df WHERE coalesce(trim(rationale), '') = ''""")
+def manifest_findings(spark, sf_dir):
+    return integrity.manifest_findings(*_manifest(spark))
+
+
+@query(f"""WITH {_MANIFEST} SELECT id, 'to be fixed and still open' AS finding FROM df WHERE release_decision = 'fix before release' AND status <> 'resolved'
+UNION ALL SELECT id, 'mark is not publishable' FROM rq WHERE mark <> '✅' UNION ALL SELECT id, 'neither passed nor deferred' FROM t WHERE result NOT IN ('pass', 'deferred')""")
+def release_gate(spark, sf_dir):
+    return integrity.release_gate(*_manifest(spark))
+
+
+@query("SELECT * FROM (VALUES ('delete', 'missing'), ('extra', 'unexpected')) t(tool, side)")
+def tool_differences(spark, sf_dir):
+    want = _values(spark, "tool string", [("search",), ("get",), ("delete",)])
+    return integrity.differences(want, _values(spark, "tool string", [("get",), ("search",), ("extra",)]))
+
+
+_SCAN = """SELECT '{k}' || {id} AS file, starts_with({c}, chr(65279)) AS bom, CASE WHEN contains({c}, chr(13)) THEN instr({c}, chr(13)) - 1 END AS cr_at, length({c}) - length(replace({c}, chr(13), '')) AS cr_count,
+  CASE WHEN contains({c}, chr(160)) THEN instr({c}, chr(160)) - 1 END AS nbsp_at, length({c}) - length(replace({c}, chr(160), '')) AS nbsp_count, true AS valid,
+  starts_with({c}, chr(65279))::BIGINT + (contains({c}, chr(13)))::BIGINT + (contains({c}, chr(160)))::BIGINT AS problems FROM {t}"""
+
+
+@query(_SCAN.format(k="d", id="doc_id", c="text", t="(SELECT doc_id, CASE doc_id % 50 WHEN 1 THEN text || chr(13) || 'x' || chr(13) WHEN 2 THEN 'a' || chr(160) || text WHEN 3 THEN chr(65279) || text ELSE text END AS text FROM documents)") + " UNION ALL " + _SCAN.format(k="p", id="page_id", c="html", t="pages"))
+def encoding_scan(spark, sf_dir):
+    i, t = F.col("doc_id") % 50, F.col("text")
+    text = F.when(i == 1, F.concat(t, F.lit("\rx\r"))).when(i == 2, F.concat(F.lit("a\u00a0"), t)).when(i == 3, F.concat(F.lit("\ufeff"), t)).otherwise(t)
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), text.alias("content"))
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("file"), F.col("html").alias("content"))
+    return integrity.encoding_scan(docs.unionByName(pages), "file", "content")
+
+
+@query("SELECT 'log' AS name, '- one' || chr(10) || '### sub' || chr(10) || 'two' AS body UNION ALL SELECT 'none', NULL")
+def release_section(spark, sf_dir):
+    rows = _values(spark, "name string, text string", [("log", "# Log\n## 2.0\n- one\n### sub\ntwo\n## 1.0\nold"), ("none", "# Log\n## 1.0\nold")])
+    return rows.select("name", integrity.section(F.col("text"), "2.0").alias("body"))
+
+
+@query("SELECT * FROM (VALUES ('UR-1', '❌'), ('UR-2', '✅'), ('FS-10', NULL)) t(id, mark)")
+def register_marks(spark, sf_dir):
+    lines = [("| UR-1 | text ✅ | ✅ | ❌ |",), ("| UR-2 | ✅ |",), ("| FS-10 | none |",), ("| Id | State |",), ("no table",)]
+    return integrity.table_marks(_values(spark, "line string", lines))
+
+
+@query("SELECT 'see ISSUE-1, ISSUE-10 and XD-1' AS text")
+def published_ids(spark, sf_dir):
+    return _values(spark, "text string", [("see D-1, D-10 and XD-1",)]).select(integrity.published(F.col("text"), {"D-1": "ISSUE-1", "D-10": "ISSUE-10"}).alias("text"))
+
+
+@query("""WITH r AS (SELECT orders.o_orderstatus AS status, lineitem.l_returnflag AS flag, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT status, flag, n FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY n DESC, flag) AS k FROM r) WHERE k <= 3""")
+def star_rank(spark, sf_dir):
+    """No counterpart of its own: a join, a group count and a rank over the star schema, as a check of scans and joins."""
+    n = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderstatus").alias("status"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+    return n.withColumn("k", F.row_number().over(W.partitionBy("status").orderBy(F.desc("n"), "flag"))).where("k <= 3").drop("k")
