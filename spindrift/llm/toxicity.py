@@ -28,7 +28,7 @@ STANDS_FOR = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j",
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "υ": "u", "ι": "i", "κ": "k", "ν": "v", "ı": "i",
-    "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
+    "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u00ad": "", "\u0307": "",
 }
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "stupid simple", "idiot proof")
 _FOLD = str.maketrans(STANDS_FOR | {chr(0xFF41 + k): chr(97 + k) for k in range(26)})
