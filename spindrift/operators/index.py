@@ -7,6 +7,7 @@ lines, vector, norm). Files without chunks stay in the file table, so that they
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,12 +48,13 @@ def generation(files: DataFrame, *, model: str, doc_prefix: str = "", query_pref
     return files.groupBy(*by).agg(F.substring(F.sha2(F.concat(head, body).cast("binary"), 256), 1, 12).alias("generation"), F.count("*").alias("file_count"))
 
 
-def ordinals(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def ordinals(chunks: DataFrame, by: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """Adds ordinal, from 0 over files in path order and chunks in theirs.
 
     Only a row for each file goes through the ordered window; chunks add their own position to the file's offset.
+    counted: the same rows without what is dear to compute, from which the files' chunks are counted.
     """
-    files = chunks.groupBy(*by, "file").agg(F.count("*").alias("_n"))
+    files = (chunks if counted is None else counted).groupBy(*by, "file").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy(path_order(), "file").rowsBetween(W.unboundedPreceding, -1)
     files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return chunks.join(files, [*by, "file"]).withColumn("ordinal", F.col("_before") + F.col("pos")).drop("_before")
@@ -131,8 +133,17 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
         old = prior["file"].select("file", "digest")
         todo = files.join(old, ["file", "digest"], "left_anti")
         kept = prior["chunk"].join(files.select("file", "digest").join(old, ["file", "digest"], "left_semi"), "file").select("file", "pos", "text", "heading", "line_start", "line_end", "vector", "norm")
-    fresh = embedded(chunking.chunked(todo, size), embed, doc_prefix, batch)
-    chunk = ordinals(fresh.unionByName(kept) if kept is not None else fresh)
+    plain = chunking.chunked(todo, size)
+    fresh, counted = embedded(plain, embed, doc_prefix, batch), plain.select("file", "pos")
+    if kept is not None:
+        fresh, counted = fresh.unionByName(kept), counted.unionByName(kept.select("file", "pos"))
+    chunk = ordinals(fresh, counted=counted)
+    if path:  # every text is embedded once: what follows reads the stored rows
+        build_id = uuid.uuid4().hex[:12]
+        chunk.write.parquet(f"{path}/{name}/{build_id}/chunk")
+        chunk = spark.read.parquet(f"{path}/{name}/{build_id}/chunk")
+    else:
+        chunk = chunk.persist()
     file = files.select("file", "digest")
     made = generation(file, model=model, doc_prefix=doc_prefix, query_prefix=query_prefix, chunk_chars=size)
     counts = chunk.agg(F.count("*").alias("chunk_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimensions"))
@@ -141,8 +152,9 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("built_at"), "generation", F.lit(model).alias("model"),
         F.lit(doc_prefix).alias("doc_prefix"), F.lit(query_prefix).alias("query_prefix"), F.lit(size).alias("chunk_chars"), "dimensions", "file_count", "chunk_count",
     )
-    tables = {"header": header, "file": file, "chunk": chunk}
-    return write(tables, path, name) if path else tables
+    if path:
+        return publish(header, file, chunk, path, name, build_id)
+    return {"header": header, "file": file, "chunk": chunk}
 
 
 def embedded(chunks: DataFrame, embed, prefix: str = "", batch: int = 16) -> DataFrame:
@@ -168,20 +180,18 @@ def embedded(chunks: DataFrame, embed, prefix: str = "", batch: int = 16) -> Dat
     return chunks.mapInArrow(run, schema).withColumn("norm", norm(F.col("vector")))
 
 
-def write(tables: dict[str, DataFrame], path: str, name: str) -> dict[str, DataFrame]:
-    """Writes the tables beside the prior ones under a folder of this build, and names that folder last.
+def publish(header: DataFrame, file: DataFrame, chunk: DataFrame, path: str, name: str, build_id: str) -> dict[str, DataFrame]:
+    """Writes what is missing of a build into its own folder and points to it last.
 
     Readers of the old build are not disturbed, and a build that reuses old rows may read them while it writes.
     """
-    spark = tables["header"].sparkSession
-    import uuid
-
-    build_id = uuid.uuid4().hex[:12]
-    for kind, df in tables.items():
+    spark = header.sparkSession
+    out = {"chunk": chunk}
+    for kind, df in (("file", file), ("header", header)):
         df.write.parquet(f"{path}/{name}/{build_id}/{kind}")
-    spark.createDataFrame([(build_id,)], "build string").coalesce(1).write.mode("append").parquet(f"{path}/{name}/builds")
+        out[kind] = spark.read.parquet(f"{path}/{name}/{build_id}/{kind}")
     spark.createDataFrame([(build_id,)], "build string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/current")
-    return {kind: spark.read.parquet(f"{path}/{name}/{build_id}/{kind}") for kind in tables}
+    return out
 
 
 def read(spark: SparkSession, path: str, name: str) -> dict[str, DataFrame]:

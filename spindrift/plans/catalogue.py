@@ -95,7 +95,7 @@ def topk_citations(spark, sf_dir):
     best = search.search(_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10)
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "source")
     rows = docs.join(F.broadcast(best), "ordinal", "right")  # best has ten rows
-    return rows.select("rank", "ordinal", F.concat_ws("/", "source", F.col("ordinal").cast("string")).alias("path"), F.round("cosine", 6).alias("cosine"), F.round("spread", 6).alias("spread"), "weak_ranking")
+    return rows.select("rank", "ordinal", F.concat("source", F.lit("/"), F.col("ordinal").cast("string")).alias("path"), F.round("cosine", 6).alias("cosine"), F.round("spread", 6).alias("spread"), "weak_ranking")
 
 
 @query(f"WITH {_SCORES} SELECT ordinal, round(cosine, 6) AS cosine FROM s")
