@@ -158,3 +158,64 @@ def completed(prompts: DataFrame, call, prompt: str = "prompt") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r.get(k) for r in rows], pa.string() if t == "string" else pa.int64()) for k, t in fields)], [*names, *(k for k, _ in fields)])
 
     return prompts.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", " + COMPLETION)
+
+
+def models_table(spark, config: Config) -> DataFrame:
+    """name, size, family, parameter_size, quantization, modified of every installed model."""
+    found = request(config, "GET", "/api/tags").get("models") or []
+    rows = [(m.get("name") or m.get("model"), m.get("size"), *((m.get("details") or {}).get(k) for k in ("family", "parameter_size", "quantization_level")), m.get("modified_at")) for m in found]
+    return spark.createDataFrame(rows, "name string, size bigint, family string, parameter_size string, quantization string, modified string")
+
+
+def running_table(spark, config: Config) -> DataFrame:
+    """name, size, size_vram, expires of every loaded model."""
+    rows = [(m.get("name"), m.get("size"), m.get("size_vram"), m.get("expires_at")) for m in request(config, "GET", "/api/ps").get("models") or []]
+    return spark.createDataFrame(rows, "name string, size bigint, size_vram bigint, expires string")
+
+
+def details_table(spark, config: Config, names: list[str]) -> DataFrame:
+    """name, model_info, parameters, capabilities, error: a model whose details fail is a row that says why."""
+    rows = []
+    for name in names:
+        try:
+            d = request(config, "POST", "/api/show", {"model": name}, timeout=30)
+            info = {k: str(v) for k, v in (d.get("model_info") or {}).items()}
+            rows.append((name, info, d.get("parameters"), d.get("capabilities"), None))
+        except Refused as e:
+            rows.append((name, None, None, None, e.verdict))
+    return spark.createDataFrame(rows, "name string, model_info map<string,string>, parameters string, capabilities array<string>, error string")
+
+
+def server_table(spark, config: Config) -> DataFrame:
+    """The configuration and the server's health as setting, value."""
+    health = probe(config)
+    return spark.createDataFrame([*config.rows(), *((f"server_{k}", str(v)) for k, v in health.items())], "setting string, value string")
+
+
+class HttpDecider:
+    """state and questions -> answers, raw; to be held against the questions by operators.decisions."""
+
+    def __init__(self, config: Config, model: str):
+        self.config, self.model = config, model
+
+    def __call__(self, state: str, questions: dict) -> dict:
+        if not state.strip():
+            raise Refused("invalid_request", "state is empty", "pass what is to be decided about")
+        answers = request(self.config, "POST", "/v1/systemone", {"model": self.model, "state": state, "questions": questions}).get("answers")
+        if not isinstance(answers, dict):
+            raise Refused("bad_response", "the answer has no answers", "check the model")
+        return answers
+
+
+def pull(config: Config, model: str) -> dict:
+    from ..operators.budget import check_write
+
+    check_write("pull", allow_pull=config.allow_pull)
+    return request(config, "POST", "/api/pull", {"model": model, "stream": False}, timeout=3600)
+
+
+def delete(config: Config, model: str) -> dict:
+    from ..operators.budget import check_write
+
+    check_write("delete", allow_delete=config.allow_delete)
+    return request(config, "DELETE", "/api/delete", {"model": model})
