@@ -4,14 +4,16 @@ Two sets link at a similarity of at least `percent`; the radius is r = 1 - perce
 here, as most sets are at distance 1 of each other. So the space is first cut where distance 1 can be seen:
 
 1. A set with more than r of its size in shingles that no other set has cannot link. Shingles whose hash lies under a
-   fixed share of its range are compared across all sets, and sets above the bound leave.
-2. What stays is dealt into cells: linked sets must share one of their floor(r * size) + 1 least shingles by hash (their
-   prefix), so each prefix shingle is a cell of the sets that hold it there.
-3. A pivot is elected in each cell, the same one in all cells it is in. Distances to pivots are exact, over whole texts.
-   Sets within r of a pivot form its region and are one component with it. A cell whose sets are in one component is
-   done. The others are cut again by more pivots, four times as many each time, until every cell is done; a set meets a
-   new pivot only if their distances to the first pivot differ by at most r (the triangle inequality's window), their
-   sizes allow a link, they are not in one component already and have not met.
+   fixed share of its range are compared across all sets, and sets above the bound leave; those that stay are compared
+   once more, by all their shingles.
+2. Linked sets must share one of their floor(r * size) + 1 first shingles in any common order (their prefix), so each
+   prefix shingle is a cell of the sets that hold it there. The order is by hash, the most frequent shingles last.
+3. A pivot is elected in each cell, by a hash, so that like sets elect the same one. A pivot's region is all sets of
+   its cells; linked sets share a region. Distances to pivots are exact, over whole texts, and sets within r of a pivot
+   are one component with it.
+4. A region is cut into rings of width r around its pivot. By the triangle inequality linked sets lie in one ring or in
+   neighbours, so a set also goes to the next ring outwards. Rings whose sets are one component already are done.
+   Others are joined exactly; a ring of more than MEMBERS sets is cut into blocks again, and pairs of blocks join.
 
 So components come out as if all pairs had been compared, while a group of n near copies costs about n distances.
 Equal 64-bit hashes are taken for equal shingles, and equal fingerprints of sets for equal sets.
@@ -29,7 +31,8 @@ from .common import collect_garbage, joined, materialise, mix, parts_of, ragged,
 from .flat import LOWER, flat, small, span_hashes, window_starts, windows, word_bounds, word_counts
 
 SHINGLE, PERCENT = 5, 80
-SHARE = 0.3  # of the hash range, in step 1
+SHARE = 0.3  # of the hash range, in the first comparison
+HOT, HOTTEST = 256, 1 << 16  # shingles of more prefixes go last in the order, at most so many; the order alone changes
 LAST = 2**63 - 1  # stands for a null id
 MEMBERS = 256  # sets that meet a pivot in one group
 
@@ -81,9 +84,9 @@ _PACKED = "dest long, kind int, a binary, b binary, c binary, d binary, e binary
 DOCS, SHARED = 0, 1
 
 
-def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: int) -> DataFrame:
+def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: int, share: float) -> DataFrame:
     """id, text_key, n, c (the set's fingerprint), alive: whether step 1 leaves the set in."""
-    limit = np.uint64(int(SHARE * 2**64))
+    limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def emit(batches):
         held, records = [], 0
@@ -154,19 +157,24 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
     return met.groupBy("dest").applyInArrow(tally, "id long, text_key long, n long, c long, alive boolean")
 
 
-def _prefixes(texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """h, c, n: the prefix shingles of each set."""
+def _prefixes(texts: DataFrame, hot, percent: int, size: int) -> DataFrame:
+    """h, c: the prefix shingles of each set; hot: a broadcast of sorted hashes that come last in the order."""
 
     def run(batches):
+        late = hot.value
         for batch in small(batches):
             h, counts = sets_of(*flat(batch.column("text")), size)
-            take = counts * (100 - percent) // 100 + 1
-            at = ragged(np.cumsum(counts) - counts, np.minimum(take, counts))
-            of = np.repeat(np.arange(len(counts)), np.minimum(take, counts))
+            of = np.repeat(np.arange(len(counts)), counts)
+            if len(late):
+                is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                order = np.lexsort((h, is_late, of))
+                h = h[order]
+            take = np.minimum(counts * (100 - percent) // 100 + 1, counts)
+            at = ragged(np.cumsum(counts) - counts, take)
             c = batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[of]), pa.array(counts[of].astype(np.int64))], ["h", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[of[at]])], ["h", "c"])
 
-    return texts.select("c", "text").mapInArrow(run, "h long, c long, n long")
+    return texts.select("c", "text").mapInArrow(run, "h long, c long")
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
@@ -196,6 +204,59 @@ def _distances(pairs: DataFrame, texts: DataFrame, buckets: int, percent: int, s
     return rows.groupBy("g").applyInArrow(meet, "x long, p long, both long, link boolean, d double")
 
 
+def _rings(rows: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
+    """x, p of links within each group of rows(ring, block, c, text): edges enough to connect what links connect."""
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("ring", "block"), F.lit(buckets))).select("g", "ring", "block", "c", "text")
+
+    def meet(_key, got):
+        key = mix(got.column("ring").to_numpy().view(np.uint64) ^ mix(got.column("block").to_numpy().view(np.uint64)))
+        got = got.take(pa.array(np.argsort(key, kind="stable")))
+        key = np.sort(key)
+        head = np.append(runs(key), len(key))
+        links: list[tuple[int, int]] = []
+        for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
+            part = got.slice(a, b - a)
+            links += _linked(part.column("c").to_numpy(), *sets_of(*flat(part.column("text")), size), percent)
+        return pa.table({"x": pa.array([x for x, _ in links], pa.int64()), "p": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("g").applyInArrow(meet, "x long, p long")
+
+
+def _linked(c: np.ndarray, h: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a few sets, by products of their shingle matrix, a stripe of shingles at a time."""
+    n = len(c)
+    of = np.repeat(np.arange(n), counts)
+    order = np.argsort(h, kind="stable")
+    h, of = h[order], of[order]
+    head = runs(h)
+    number = np.diff(np.append(head, len(h)))
+    keep = np.repeat(number > 1, number)
+    column = np.cumsum(np.concatenate([[True], h[keep][1:] != h[keep][:-1]])) - 1 if keep.any() else np.zeros(0, np.int64)
+    of = of[keep]
+    both = np.zeros((n, n), np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        m = np.zeros((n, 4096), np.float32)
+        m[of[lo:hi], column[lo:hi] - at] = 1
+        both += m @ m.T
+    union = counts[:, None] + counts[None, :] - both
+    a, b = np.nonzero(np.triu(100 * both >= percent * union, 1) & (c[:, None] != c[None, :]))
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[x] = y
+            out.append((int(c[i]), int(c[j])))
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """c, label of all ends of links(x, p): the least c that links reach. Labels spread and jump until none changes."""
     edges = materialise(links.select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(links.select(F.col("p").alias("a"), F.col("x").alias("b"))).distinct())
@@ -224,52 +285,46 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     parts = parts_of(docs)
     buckets = 4 * parts
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    described = materialise(_described(base, buckets, 2 * parts, percent, size))
+    described = materialise(_described(base, buckets, 2 * parts, percent, size, SHARE))
     collect_garbage(spark)
     classes = described.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("alive").alias("alive"))
 
-    alive = classes.where("alive").select("id", "c")
-
     def same_set(batches):  # a repeated id may stand for other sets too
         for batch in small(batches):
             h, counts = sets_of(*flat(batch.column("text")), size)
             yield batch.filter(pa.array(fingerprints(h, counts) == batch.column("c").to_numpy()))
 
-    texts = materialise(base.join(alive, "id").select("c", "text").mapInArrow(same_set, "c long, text string").dropDuplicates(["c"]))
+    texts = base.join(classes.where("alive").select("id", "c"), "id").select("c", "text")
+    texts = materialise(texts.mapInArrow(same_set, "c long, text string").dropDuplicates(["c"]))
     collect_garbage(spark)
-
-    entries = materialise(_prefixes(texts, percent, size))
-    rank = F.xxhash64("c")
-    first = entries.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), "c", "n")).alias("f"), F.count("*").alias("m")).where("m > 1")
-    cells = materialise(entries.join(first.select("h", "f"), "h").select("h", "c", "n", F.col("f.c").alias("p1"), F.col("f.n").alias("pn")))
-    fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    pairs = cells.where((F.col("c") != F.col("p1")) & fits).select(F.col("c").alias("x"), F.col("p1").alias("p")).distinct()
-    met = materialise(_distances(materialise(pairs), texts, buckets, percent, size))
-    labels = components(met.where("link"))
+    again = texts.select(F.col("c").alias("id"), "text", F.lit(0).cast("long").alias("text_key"))
+    alive = materialise(_described(again, buckets, 2 * parts, percent, size, 1.0).where("alive").select("c"))
     collect_garbage(spark)
-
-    # The distance to the cell's first pivot stays with the member; where sizes rule a link out it is not known.
-    near = met.select(F.col("x").alias("c"), F.col("p").alias("p1"), "d")
-    cells = cells.where("c != p1").join(near, ["c", "p1"], "left").select("h", "c", "n", "d")
-    pivots = 4
-    while True:
-        named = cells.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        open_ = named.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("h")
-        left = named.join(open_, "h")
-        left = materialise(left.withColumn("_k", F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("c"), "c"))))
-        if not left.limit(1).count():
-            break
-        chosen = left.where(F.col("_k") <= pivots).select("h", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("label").alias("plabel"), F.col("_k").alias("_pk"))
-        window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= (100 - percent) / 100 + 1e-12, F.lit(True))
-        pairs = left.join(chosen, "h").where((F.col("label") != F.col("plabel")) & (F.col("_k") > F.col("_pk")) & fits & window)
-        pairs = pairs.select(F.greatest("c", "p").alias("x"), F.least("c", "p").alias("p")).distinct()
-        seen = met.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
-        new = materialise(_distances(materialise(pairs.join(seen, ["x", "p"], "left_anti")), texts, buckets, percent, size))
-        met = met.unionByName(new)
-        if new.where("link").limit(1).count():
-            labels = components(met.where("link"))
-        cells = left.where(F.col("_k") > pivots).select("h", "c", "n", "d")
-        pivots *= 4
+    texts = materialise(texts.join(alive, "c"))
+
+    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    often = _prefixes(texts, none, percent, size).groupBy("h").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(HOTTEST)
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("h").collect()], np.int64).view(np.uint64)))  # at most HOTTEST
+    entries = materialise(_prefixes(texts, hot, percent, size))
+    first = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("c").alias("rank"), "c")).alias("f"), F.count("*").alias("m")).where("m > 1")
+    regions = materialise(entries.join(first.select("h", "f"), "h").select("c", F.col("f.c").alias("p")).distinct())
+    met = materialise(_distances(regions.where("c != p").select(F.col("c").alias("x"), "p"), texts, buckets, percent, size))
+    links = met.where("link").select("x", "p")
+    labels = components(links)
+
+    width = (100 - percent) / 100 + 1e-9
+    member = regions.join(met.select(F.col("x").alias("c"), "p", "d"), ["c", "p"], "left").join(labels, "c", "left")
+    ring = F.floor(F.coalesce("d", F.lit(0.0)) / width).cast("long")
+    rings = F.sequence(ring, F.least(ring + 1, F.lit(int(1 / width)).cast("long")))
+    member = member.select("c", F.coalesce("label", "c").alias("label"), "p", F.explode(rings).alias("k"))
+    member = member.select("c", "label", F.xxhash64("p", "k").alias("ring"))
+    counts = member.groupBy("ring").agg(F.count("*").alias("m"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("ring", F.ceil(F.col("m") / F.lit(float(MEMBERS))).cast("long").alias("blocks"))
+    member = member.join(counts, "ring").withColumn("i", F.pmod(F.xxhash64("c", F.lit(7)), "blocks"))
+    member = member.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = F.greatest("i", "j") * F.col("blocks") + F.least("i", "j")
+    member = materialise(member.select("c", "ring", block.alias("block")).distinct())
+    links = links.unionByName(materialise(_rings(member.join(texts, "c"), buckets, percent, size)))
+    labels = components(links)
 
     named = classes.join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("least"))
@@ -296,3 +351,14 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 def op3_jaccard(spark, sf_dir):
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * inter >= 80 * (a.n + b.n - inter)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
+"""
