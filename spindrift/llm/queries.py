@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import jaccard, quality, suffix, warc
 from .jaccard import op3_jaccard
 from .language import op4_language
 from .media import op8_media
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_jaccard": jaccard.ORACLE, "op5_suffix": suffix.ORACLE, "op6_quality": quality.ORACLE}

@@ -244,3 +244,11 @@ def op1_warc(spark, sf_dir):
         _page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         _page("refers_to_id").alias("refers_to"), F.col("error").alias("read_error"),
     )
+
+
+ORACLE = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS top FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, NULL::VARCHAR AS read_error FROM m
+"""
