@@ -20,6 +20,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("document", F.col("_metadata.file_name")).withColumn("verdict", verdict)
 
 
+_slot: dict[str, object] = {}
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """read(path), kept while the files' names, times and sizes stay; one document set is kept at a time."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop.Path(f"{path}*"))
+    found = [f for s in files for f in ([s] if s.isFile() else s.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(s.getPath()))]
+    key = (path, tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in found)))
+    if _slot.get("key") != key:
+        if _slot:
+            _slot["rows"].unpersist()
+        _slot.update(key=key, rows=read(spark, path).persist())
+    return _slot["rows"]
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """document, file, digest, pos, text, heading, line_start, line_end, vector of the readable documents."""
     files = documents.where("verdict = 'ok'").select("document", F.explode("files").alias("f"))

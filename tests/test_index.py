@@ -199,6 +199,10 @@ def test_index_documents(spark, tmp_path):
     (tmp_path / "broken.json").write_text('{"format": 2, "files": [')
     rows = index_json.read(spark, str(tmp_path))
     assert {r.document: r.verdict for r in rows.select("document", "verdict").collect()} == {"good.json": "ok", "legacy.json": "unsupported_index", "broken.json": "index_unreadable"}
+    kept = index_json.cached(spark, str(tmp_path))
+    assert kept.count() == 3 and index_json.cached(spark, str(tmp_path)) is kept
+    (tmp_path / "legacy.json").write_text(json.dumps({"name": "older", "files": []}))
+    assert index_json.cached(spark, str(tmp_path)) is not kept
     got = index_json.chunks(rows).orderBy("pos").collect()
     assert [(r.file, r.pos, r.text, r.line_start, r.line_end) for r in got] == [("a.md", 0, "x", 1, 2), ("a.md", 1, "y", 4, 9)]
 
