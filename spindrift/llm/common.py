@@ -51,9 +51,12 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds unreachable lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def stage(function):

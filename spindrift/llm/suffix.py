@@ -138,7 +138,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _sent(h: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    return mix(h ^ mix(ctx))
+    """One key for a context in its document, from the upper 48 bits of both hashes."""
+    return mix((h >> np.uint64(16)) ^ mix(ctx >> np.uint64(16)))
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    """The upper 48 bits, as six bytes each."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1).view("V6")
+
+
+def _eight(column) -> np.ndarray:
+    got = joined(column, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(got), 8), np.uint8)
+    out[:, 2:] = got
+    return out.reshape(-1).view(np.uint64)
 
 
 def _rows(dest: np.ndarray, arrays: list[np.ndarray], names: list[str], base: int = 0) -> pa.RecordBatch | None:
@@ -173,7 +186,7 @@ def _settle(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
             new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
             head = np.flatnonzero(new)
             least = np.repeat(doc[head], np.diff(np.append(head, len(h))))
-            yield _rows((h[head] % np.uint64(buckets)).astype(np.int64), [h[head], ctx[head], doc[head]], names)
+            yield _rows((h[head] % np.uint64(buckets)).astype(np.int64), [_six(h[head]), _six(ctx[head]), doc[head]], names)
             gone = doc > least
             yield _rows(doc[gone] % groups, [_sent(h[gone], ctx[gone]), np.full(int(gone.sum()), GONE, np.int64), doc[gone]], names, buckets)
 
@@ -191,7 +204,7 @@ def _settle(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     def settle(key, rows):
         if key[0].as_py() >= buckets:
             return pa.table({"g": pa.array(np.full(len(rows), key[0].as_py() - buckets)), "doc": rows.column("doc"), "key": rows.column("a"), "mask": rows.column("b")})
-        h, ctx, doc = joined(rows.column("a"), np.uint64), joined(rows.column("b"), np.uint64), joined(rows.column("doc"), np.int64)
+        h, ctx, doc = _eight(rows.column("a")), _eight(rows.column("b")), joined(rows.column("doc"), np.int64)
         order = np.lexsort((doc, ctx, h))
         h, ctx, doc = h[order], ctx[order], doc[order]
         new = np.ones(len(h), bool)
@@ -313,8 +326,8 @@ def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] =
     spark = docs.sparkSession
     tune(spark)
     parts = parts_of(docs)
-    buckets = 4 * parts
-    groups = next(p for p in range(4 * parts + 1, 100 * parts + 100) if all(p % q for q in range(2, int(p**0.5) + 1)))
+    buckets = parts
+    groups = next(p for p in range(2 * parts + 1, 100 * parts + 100) if all(p % q for q in range(2, int(p**0.5) + 1)))
     text = F.col("text").cast("string").alias("text")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text, *columns)
     texts = base.withColumn("g", F.pmod("id", F.lit(groups)))
@@ -350,3 +363,18 @@ def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] =
 
 def op5_suffix(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS MATERIALIZED (SELECT doc_id, o, substr(x, 2 * o + 1, 698) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49, 300)) AS o FROM d)),
+w AS MATERIALIZED (SELECT doc_id, o + i AS i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, o, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM b)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT w.doc_id, w.i, w.i - lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS gap FROM w JOIN f USING (s) WHERE f.least < w.doc_id),
+k AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g),
+sp AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, n),
+seg AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q, b - a AS gone FROM sp
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), length(any_value(x)) // 2, 0 FROM d LEFT JOIN sp USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, any_value(length(x)) // 2 AS n_bytes, sum(gone)::BIGINT AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(substr(x, 2 * p + 1, 2 * (q - p)), '' ORDER BY p, q))) AS kept_sha256
+FROM d JOIN seg USING (doc_id) GROUP BY d.doc_id
+"""
