@@ -120,6 +120,16 @@ def cold_load_seconds(nanoseconds) -> Column:
     return F.when(_c(nanoseconds) > 100_000_000, F.round(_c(nanoseconds) / 1e9, 1))
 
 
+def thinking_chars(thinking) -> Column:
+    """Length of a reasoning text; null where there is none. The text itself is not handed on."""
+    return F.when(F.length(_c(thinking)) > 0, F.length(_c(thinking)).cast("bigint"))
+
+
+def empty_remedy(text, thinking) -> Column:
+    """What to do about an empty answer: a budget spent on reasoning has another remedy than silence."""
+    return F.when(blank(text), F.when(thinking_chars(thinking).isNotNull(), "raise max_tokens or think less").otherwise("check max_tokens or try another model"))
+
+
 def context_limit(arch, num_ctx) -> Column:
     """The lower of the limits that are known and not 0; null where neither is."""
     return F.least(F.nullif(_c(arch), F.lit(0)), F.nullif(_c(num_ctx), F.lit(0)))

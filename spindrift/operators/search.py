@@ -153,5 +153,19 @@ def many(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int =
     return best.where(F.col("rank") <= k)
 
 
+NOTE = "positions and text are as of built_at; files may have changed since"
+
+
+def cited(rows: DataFrame, header: DataFrame) -> DataFrame:
+    """Adds id, citation, model, built_at and a note on staleness to rows(ordinal, file, line_start, line_end, heading).
+
+    header: the index's one row; a field that it lacks is "unknown", never guessed.
+    """
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")).alias(c)
+    one = F.broadcast(header.select("generation", known("model"), known("built_at")).limit(1))
+    out = rows.join(one, F.lit(True)).withColumn("id", T.chunk_id("generation", "ordinal"))
+    return out.withColumn("citation", T.citation("file", "line_start", "line_end", "heading")).withColumn("note", F.lit(NOTE)).drop("generation")
+
+
 def with_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("snippet", T.snippet("text"))

@@ -24,6 +24,12 @@ def test_completion(spark):
     assert [g[1] for g in got] == [False, False, False, True, False, False, False]
 
 
+def test_thinking(spark):
+    rows = [("", "hm"), ("", None), ("a", "hm"), (" ", "")]
+    got = _one(spark, "t string, h string", rows, T.thinking_chars("h"), T.empty_remedy("t", "h"))
+    assert got == [(2, "raise max_tokens or think less"), (None, "check max_tokens or try another model"), (2, None), (None, "check max_tokens or try another model")]
+
+
 def test_budget_edges(spark):
     rows = spark.createDataFrame([("x" * 3100, 1000), ("x" * 2717, 1000), ("x" * 10, None), (None, 8)], "t string, l bigint")
     got = budget.context_checks(rows, "t", F.col("l")).collect()

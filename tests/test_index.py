@@ -207,6 +207,13 @@ def test_index_documents(spark, tmp_path):
     assert [(r.file, r.pos, r.text, r.line_start, r.line_end) for r in got] == [("a.md", 0, "x", 1, 2), ("a.md", 1, "y", 4, 9)]
 
 
+def test_citations(spark):
+    rows = spark.createDataFrame([(7, "a.md", 1, 4, "H"), (12345, "b.md", 2, 2, "")], "ordinal bigint, file string, line_start bigint, line_end bigint, heading string")
+    header = spark.createDataFrame([("abc", "m", None)], "generation string, model string, built_at string")
+    got = {r.id: (r.citation, r.built_at) for r in search.cited(rows, header).collect()}
+    assert got == {"abc:0007": ("a.md:1-4  (H)", "unknown"), "abc:12345": ("b.md:2-2", "unknown")}
+
+
 def test_export(spark):
     tables = index.build(spark, spark.createDataFrame([("b.md", "two"), ("a/c.md", "one\n\nmore")], "file string, text string"), "n", HashEmbedder(4), model="m", limit=2048)
     doc = json.loads(index_json.documents(tables).first()[0])
