@@ -6,7 +6,9 @@ millions of small ones keeps the shuffle small; groups are sized by a bucket cou
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -29,12 +31,18 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@functools.cache
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="spindrift-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the cluster's shared one; a local folder only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "spindrift")
-        os.makedirs(base, exist_ok=True)
+        base = _local_folder()
     path = f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex[:12]}"
     _made.append(path)
     return path
