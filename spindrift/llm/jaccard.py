@@ -283,9 +283,9 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     spark = docs.sparkSession
     tune(spark)
     parts = parts_of(docs)
-    buckets = 4 * parts
+    buckets = parts
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    described = materialise(_described(base, buckets, 2 * parts, percent, size, SHARE))
+    described = materialise(_described(base, buckets, parts, percent, size, SHARE))
     collect_garbage(spark)
     classes = described.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("alive").alias("alive"))
 
@@ -298,7 +298,7 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     texts = materialise(texts.mapInArrow(same_set, "c long, text string").dropDuplicates(["c"]))
     collect_garbage(spark)
     again = texts.select(F.col("c").alias("id"), "text", F.lit(0).cast("long").alias("text_key"))
-    alive = materialise(_described(again, buckets, 2 * parts, percent, size, 1.0).where("alive").select("c"))
+    alive = materialise(_described(again, buckets, parts, percent, size, 1.0).where("alive").select("c"))
     collect_garbage(spark)
     texts = materialise(texts.join(alive, "c"))
 
