@@ -35,14 +35,16 @@ _VALUE = mix(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+def anchors(buf: np.ndarray, offsets: np.ndarray, block: int | None = None) -> dict[str, np.ndarray]:
     """The contexts of all texts: anchor hash, context hash, text, first window and number of windows.
 
-    Works in blocks of window starts; a context cut by a block's edge counts as two.
+    Works in blocks of window starts. A context that blocks cut is joined again by the place of its anchor, so contexts
+    depend on their text alone and not on where it lies in the buffer.
     """
-    out: dict[str, list] = {k: [] for k in ("h", "ctx", "doc", "start", "count")}
-    for at in range(0, max(0, len(buf) - LENGTH + 1), BLOCK):
-        to = min(at + BLOCK, len(buf) - LENGTH + 1)
+    block = block or BLOCK
+    out: dict[str, list] = {k: [] for k in ("h", "place", "doc", "start", "last", "first_edge", "last_edge")}
+    for at in range(0, max(0, len(buf) - LENGTH + 1), block):
+        to = min(at + block, len(buf) - LENGTH + 1)
         low = np.clip(offsets[:-1], at, to)
         counts = np.maximum(0, np.clip(offsets[1:] - LENGTH + 1, at, to) - low)
         window = ragged(low, counts) - at
@@ -63,12 +65,21 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         a, b = window[head], window[np.append(head[1:], len(window)) - 1]
         edge = lambda i: mix(h[i] * _ODD[0] + h[i + 16] * _ODD[1] + h[i + 32] * _ODD[2] + h[i + 34] * _ODD[3])  # noqa: E731, B023
         out["h"].append(h[place[head]])
-        out["ctx"].append(mix(edge(a) * _ODD[4] + edge(b) * _ODD[5] + (b - a).astype(np.uint64)))
+        out["place"].append(place[head] + at)
         out["doc"].append(np.repeat(np.arange(len(counts)), counts)[head])
         out["start"].append(a + at)
-        out["count"].append(b - a + 1)
-    kinds = {"h": np.uint64, "ctx": np.uint64}
-    return {k: np.concatenate(v) if v else np.zeros(0, kinds.get(k, np.int64)) for k, v in out.items()}
+        out["last"].append(b + at)
+        out["first_edge"].append(edge(a) * _ODD[4])
+        out["last_edge"].append(edge(b) * _ODD[5])
+    if not out["h"]:
+        kinds = {"h": np.uint64, "ctx": np.uint64}
+        return {k: np.zeros(0, kinds.get(k, np.int64)) for k in ("h", "ctx", "doc", "start", "count")}
+    got = {k: np.concatenate(out.pop(k)) for k in list(out)}
+    head = runs(got["place"])  # a place lies in one text, and the windows of an anchor are in a row
+    tail = np.append(head[1:], len(got["place"])) - 1
+    start, span = got["start"][head], got["last"][tail] - got["start"][head]
+    ctx = mix(got["first_edge"][head] + got["last_edge"][tail] + span.astype(np.uint64))
+    return {"h": got["h"][head], "ctx": ctx, "doc": got["doc"][head], "start": start, "count": span + 1}
 
 
 def two_stage(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -60,6 +60,29 @@ def test_passages_over_flushes_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(passages(rows))
 
 
+def _alone(data):
+    return suffix.anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+
+
+@pytest.mark.parametrize("block", [1, 7, 34, 35, 97, 128, 1000, None])
+def test_contexts_do_not_depend_on_the_buffer(block):
+    """Against the anchor of each window taken alone; a context's hash is that of its bytes taken alone."""
+    rng = random.Random(11)
+    texts = [bytes(rng.choices(range(97, 123), k=n)) for n in (0, 49, 50, 51, 85, 300, 0, 20, 131, 240)]
+    want = []
+    for i, t in enumerate(texts):
+        own = [int(_alone(t[w : w + suffix.LENGTH])["h"][0]) for w in range(len(t) - suffix.LENGTH + 1)]
+        starts = [w for w in range(len(own)) if w == 0 or own[w] != own[w - 1]]
+        for a, b in zip(starts, [*starts[1:], len(own)], strict=False):
+            want.append((i, a, b - a, own[a], int(_alone(t[a : b - 1 + suffix.LENGTH])["ctx"][0])))
+    for lead in (0, 1, 13, 60, 96):
+        every = [bytes(rng.choices(range(97, 123), k=lead)), *texts]
+        offsets = np.cumsum([0, *map(len, every)])
+        got = suffix.anchors(np.frombuffer(b"".join(every), np.uint8), offsets, block)
+        rows = zip((got["doc"] - 1).tolist(), (got["start"] - offsets[got["doc"]]).tolist(), got["count"].tolist(), got["h"].tolist(), got["ctx"].tolist(), strict=True)
+        assert [r for r in rows if r[0] >= 0] == want
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_two_stage_sorting(seed):
     rng = random.Random(seed)
