@@ -6,8 +6,9 @@ Each language has, for every order, sorted hash arrays of n-grams (with interpol
 (with back-off weights). The language of the lowest cross-entropy per symbol wins. Its cross-entropy is accepted up to
 a limit calibrated on training documents of that language.
 
-N-gram counts come from all training rows. Only n-grams above a count are kept in the model, so that it holds at most
-`max_grams` of the highest order; that bounds the model, not the rows.
+N-gram counts come from all training rows, and the models keep every n-gram: a rare language stands beside large ones
+as it would alone, and discounts and continuation counts are of whole counts. So the models grow with the distinct
+n-grams of the training rows, and so does what the driver builds and every worker holds.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from .flat import LOWER, flat, small, span_hashes
 
 ORDER = 5
 PAD, END = 2, 3
-MAX_GRAMS = 2_000_000
 SAMPLE = 4000  # training documents on which the limits are calibrated
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _LETTER = np.zeros(256, bool)
@@ -179,23 +179,23 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, *, max_grams: int = MAX_GRAMS) -> tuple[list[str], list[KneserNey]]:
-    """Languages (by code point) and their models, from all rows(lang, text) whose lang is not null."""
+def train(rows: DataFrame) -> tuple[list[str], list[KneserNey]]:
+    """Languages (by code point) and their models, from all n-grams of all rows(lang, text) whose lang is not null."""
     counts = materialise(gram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL")))
-    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()  # a row for each power of two
-    least, total = 0, 0
-    for b, number in sorted(map(tuple, sizes), reverse=True):
-        total += number
-        if total > max_grams:
-            least = 1 << (b + 1)
-            break
-    got = counts.where(F.col("n") >= least).toArrow()
-    langs = np.array(got.column("lang").to_pylist(), object)
-    grams = np.array(got.column("gram").to_pylist(), f"<U{ORDER}")
-    symbols = grams.view(np.uint32).reshape(-1, ORDER)
-    n = got.column("n").to_numpy()
-    names = sorted(set(langs.tolist()))
-    return names, [KneserNey(symbols[langs == x], n[langs == x]) for x in names]
+    held: dict[str, list] = {}
+    got = counts.toArrow()
+    for batch in got.to_batches(max_chunksize=100_000):
+        langs = batch.column("lang").dictionary_encode()
+        of = langs.indices.to_numpy()
+        grams, n = np.array(batch.column("gram").to_pylist(), f"<U{ORDER}"), batch.column("n").to_numpy()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            held.setdefault(lang, []).append((grams[of == k], n[of == k]))
+    del got
+    names, models = sorted(held), []
+    for name in names:
+        grams, n = (np.concatenate(x) for x in zip(*held.pop(name), strict=True))
+        models.append(KneserNey(grams.view(np.uint32).reshape(-1, ORDER), n))
+    return names, models
 
 
 def identify(docs: DataFrame, training: DataFrame, *, slack: float = 1.25, quantile: float = 0.999, short: float = 8.0, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, training: DataFrame, *, slack: float = 1.25, quant
     tune(spark)
     training = training.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL")
     names, models = train(training)
-    shared = spark.sparkContext.broadcast(models)  # at most MAX_GRAMS n-grams
+    shared = spark.sparkContext.broadcast(models)  # all n-grams; grows with the distinct ones
 
     def scored(batches):
         scorer = Scorer(shared.value)

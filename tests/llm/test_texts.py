@@ -100,6 +100,18 @@ def test_language_is_found_on_held_out_texts(spark):
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and not got[1001].accepted and got[None].lang_pred == "aa"
 
 
+def test_a_rare_language_keeps_its_ngrams(spark):
+    """Beside a language of 2.1 million n-grams, each seen once or twice, one whose n-grams are all seen once."""
+    points = np.random.default_rng(4).integers(0x4E00, 0x9000, (100, 21_000)).astype(np.uint32)
+    rows = [("big", p.tobytes().decode("utf-32-le")) for p in points] + [("rare", "lorienta mudos")]
+    names, models = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert names == ["big", "rare"]
+    assert len(models[0].grams[-1][0]) > 2_050_000 and len(models[1].grams[-1][0]) == 15
+    symbols, _ = language._grams(["lorienta", "mudos"])
+    alone = language.KneserNey(symbols, np.ones(len(symbols)))
+    assert np.allclose(models[1].probability(symbols), alone.probability(symbols), rtol=1e-12)
+
+
 def test_noise_is_rejected(spark):
     df = spark.createDataFrame(_labelled(), "doc_id bigint, text string, lang string")
     noise = spark.createDataFrame([(1, "qxzkw vjhqp xxqzj wkvvq " * 12)], "doc_id bigint, text string")
