@@ -2,7 +2,8 @@
 
 Host names are segmented by a unigram Viterbi whose word counts come from all page titles. A multinomial naive Bayes
 over host and path tokens is trained on the pages themselves: a page whose segmented host holds a seed word is an
-example of block, any other of allow. Both models are bounded by `MAX_WORDS`, the most frequent first.
+example of block, any other of allow. Both models stay tables of any size: rows are dealt to groups, and each group
+gets the word counts, split hosts and token weights that its own rows need, each at most once a group.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, tune
+from .common import materialise, parts_of, table, tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 SEEDS = ("adult", "bets", "betting", "casino", "escort", "gambling", "jackpot", "lottery", "pills", "poker", "porn", "sex", "slots", "viagra", "xxx")
-MAX_WORDS = 50_000
 MAX_RULES = 10_000
 LONGEST = 24
 
@@ -61,8 +61,8 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 class Segmenter:
     """Most likely split of a name into words; unknown stretches cost by their length."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total) + 2
         self.held: dict[str, list[str]] = {}
@@ -87,26 +87,51 @@ class Segmenter:
         return words
 
 
-def tokens(host: str, path: str, split: Segmenter) -> list[str]:
-    """Words of the host's labels and of the path; the kind of place is part of a token."""
-    out = []
-    labels = host.split(":")[0].split(".")
-    for label in labels[:-1]:
-        for part in re.findall(r"[^\W\d_]+", label):
-            out += [f"h:{w}" for w in split(part)]
-    out.append(f"t:{labels[-1]}")
-    return out + [f"p:{w}" for w in re.findall(r"[a-z]+", path.lower())]
+def parts(host: str) -> list[str]:
+    """Runs of letters of the host's labels but the last."""
+    return [part for label in host.split(":")[0].split(".")[:-1] for part in re.findall(r"[^\W\d_]+", label)]
 
 
-def title_words(pages: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of all titles."""
+def host_tokens(host: str, split: Segmenter) -> list[str]:
+    """Words of the host's labels; the kind of place is part of a token."""
+    return [f"h:{w}" for part in parts(host) for w in split(part)] + [f"t:{host.split(':')[0].split('.')[-1]}"]
+
+
+def path_tokens(path: str) -> list[str]:
+    return [f"p:{w}" for w in re.findall(r"[a-z]+", path.lower())]
+
+
+def title_words(pages: DataFrame) -> DataFrame:
+    """word, n: counts of all words of all titles."""
     title = F.translate(F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?i)<title[^>]*>([^<]*)", 1), UPPER, LOWER)
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"([\p{L}]{2,24})"))).alias("word"))
-    counts = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    return {r["word"]: r["count"] for r in counts.toLocalIterator()}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS, max_words: int = MAX_WORDS) -> DataFrame:
+def split_hosts(hosts: DataFrame, words: DataFrame, total: int, groups: int) -> DataFrame:
+    """host, tokens of distinct hosts; a group of hosts gets the counts of those words(word, n) that occur in them."""
+    hosts = hosts.withColumn("g", F.pmod(F.xxhash64("host"), F.lit(groups)))
+
+    def occurring(batches):
+        for batch in batches:
+            found = set()
+            for g, host in zip(batch.column("g").to_pylist(), batch.column("host").to_pylist(), strict=True):
+                for p in set(parts(host)):
+                    found.update((g, p[i:j]) for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST) + 1))
+            found = list(found)
+            for at in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found[at : at + 100_000]], t) for k, t in enumerate((pa.int64(), pa.string()))], ["g", "word"])
+
+    def split(_key, left, right):
+        segment = Segmenter(dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True)), total)
+        own = left.column("host").to_pylist()
+        return pa.table({"host": pa.array(own, pa.string()), "tokens": pa.array([host_tokens(h, segment) for h in own], pa.list_(pa.string()))})
+
+    needed = hosts.mapInArrow(occurring, "g long, word string").distinct().join(words, "word").select(F.col("g").alias("of"), "word", "n")
+    return hosts.groupBy("g").cogroup(needed.groupBy("of")).applyInArrow(split, "host string, tokens array<string>")
+
+
+def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, log_odds, verdict for each row of pages(page_id, url, html), repeated rows included.
 
     verdict is the rule's where one fits, else block if the classifier's log odds are above 0. An empty host has no
@@ -114,42 +139,51 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS, max_words: int = MAX
     """
     spark = pages.sparkSession
     tune(spark)
-    words = title_words(pages, max_words)
-    floor = max(words.values(), default=1) // 100 + 1
-    words |= {s: max(words.get(s, 0), floor) for s in (*seeds, "free", "online", "best")}
-    shared = spark.sparkContext.broadcast(words)  # at most max_words and the seeds
+    groups = parts_of(pages)
+    words = materialise(title_words(pages))
+    floor = (words.agg(F.max("n")).first()[0] or 1) // 100 + 1
+    seeded = spark.range(1).select(F.explode(F.array(*(F.lit(s) for s in (*seeds, "free", "online", "best")))).alias("word"), F.lit(floor).cast("long").alias("n"))
+    words = words.unionByName(seeded).groupBy("word").agg(F.max("n").alias("n"))
+    total = words.agg(F.sum("n")).first()[0]
     bad = frozenset(f"h:{s}" for s in seeds)
     rows = ruled(parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")), rules).select("page_id", "host", "path", "rule", "rule_verdict")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(groups)))
+    hosts = materialise(rows.select("g", "host").distinct())
+    split = materialise(split_hosts(hosts.select("host").distinct(), words, total, groups))
+
+    def tokenised(_key, left, right):
+        of = dict(zip(right.column("host").to_pylist(), right.column("tokens").to_pylist(), strict=True))
+        got = [of[h] + path_tokens(p) for h, p in zip(left.column("host").to_pylist(), left.column("path").to_pylist(), strict=True)]
+        return left.append_column("tokens", pa.array(got, pa.list_(pa.string())))
+
+    schema = "page_id long, host string, path string, rule string, rule_verdict string, g long"
+    rows = materialise(rows.groupBy("g").cogroup(hosts.join(split, "host").groupBy("g")).applyInArrow(tokenised, f"{schema}, tokens array<string>"))
 
     def counted(batches):
-        split, seen = Segmenter(shared.value), Counter()
+        seen = Counter()
         for batch in batches:
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                got = tokens(host, path, split)
+            for got in batch.column("tokens").to_pylist():
                 block = int(not bad.isdisjoint(got))
                 seen[("", block)] += 1
                 seen.update((t, block) for t in got)
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["token", "block", "n"])
 
-    counts = rows.mapInArrow(counted, "token string, block long, n long").groupBy("token").agg(F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("ok"), F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("bad"))
+    counts = rows.select("tokens").mapInArrow(counted, "token string, block long, n long").groupBy("token").agg(F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("ok"), F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("bad"))
     counts = materialise(counts)
     whole = counts.where("token != ''").agg(F.count("*"), F.sum("ok"), F.sum("bad")).first()
     prior = counts.where("token = ''").first()
     kinds, ok_all, bad_all = (whole[0] or 1), (whole[1] or 0), (whole[2] or 0)
-    top = counts.where("token != ''").orderBy(F.desc(F.col("ok") + F.col("bad")), "token").limit(max_words)
-    weight = {r["token"]: math.log((r["bad"] + 1) / (bad_all + kinds)) - math.log((r["ok"] + 1) / (ok_all + kinds)) for r in top.toLocalIterator()}
     base = math.log(((prior["bad"] if prior else 0) + 1) / ((prior["ok"] if prior else 0) + 1))
-    model = spark.sparkContext.broadcast(weight)
 
-    def scored(batches):
-        split, weights = Segmenter(shared.value), model.value
-        for batch in batches:
-            odds = [base + sum(weights.get(t, 0.0) for t in tokens(h, p, split)) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            verdict = [r or ("block" if x > 0 else "allow") for r, x in zip(batch.column("rule_verdict").to_pylist(), odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(odds, pa.float64()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "log_odds", "verdict"])
+    def scored(_key, left, right):
+        weights = {t: math.log((n + 1) / (bad_all + kinds)) - math.log((m + 1) / (ok_all + kinds)) for t, m, n in zip(*(right.column(c).to_pylist() for c in ("token", "ok", "bad")), strict=True)}
+        odds = [base + sum(weights[t] for t in got) for got in left.column("tokens").to_pylist()]
+        verdict = [r or ("block" if x > 0 else "allow") for r, x in zip(left.column("rule_verdict").to_pylist(), odds, strict=True)]
+        return left.select(["page_id", "host", "path", "rule"]).append_column("log_odds", pa.array(odds, pa.float64())).append_column("verdict", pa.array(verdict, pa.string()))
 
-    return rows.mapInArrow(scored, "page_id long, host string, path string, rule string, log_odds double, verdict string")
+    needed = rows.select("g", F.explode("tokens").alias("token")).distinct().join(counts, "token").select(F.col("g").alias("of"), "token", "ok", "bad")
+    return rows.groupBy("g").cogroup(needed.groupBy("of")).applyInArrow(scored, "page_id long, host string, path string, rule string, log_odds double, verdict string")
 
 
 def op10_urls(spark, sf_dir):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 
 import numpy as np
@@ -126,6 +127,19 @@ def test_rules(spark):
     assert urls.classify(_pages(spark, [])).count() == 0
 
 
+def test_rare_words_and_seeds_count_beside_many_others(spark):
+    """More than 50,000 words of titles and paths, all more frequent than the words of one blocked host."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q"
+    rows = [(i, f"http://site.org/{name(i % 51_000)}", f"<title>{name(i % 51_000)}</title>") for i in range(102_000)]
+    rows += [(200_000, "http://zumbelescort.net/", "<title>zumbel</title>")]
+    got = {r.page_id: r for r in urls.classify(_pages(spark, rows), rules=()).where("page_id IN (0, 200000)").collect()}
+    ok, bad, kinds = 102_000 * 3, 3, 51_000 + 2 + 3
+    weight = lambda m, n: math.log((n + 1) / (bad + kinds)) - math.log((m + 1) / (ok + kinds))
+    base = math.log(2 / 102_001)
+    assert abs(got[200_000].log_odds - (base + 3 * weight(0, 1))) < 1e-9
+    assert abs(got[0].log_odds - (base + weight(102_000, 0) * 2 + weight(2, 0))) < 1e-9
+
+
 def test_segmentation():
     split = urls.Segmenter({"free": 50, "bets": 20, "the": 100, "there": 30, "in": 60, "rein": 5})
     assert split("freebets") == ["free", "bets"] and split("therein") == ["there", "in"] and "".join(split("qqfreezz")) == "qqfreezz"
