@@ -25,7 +25,6 @@ from .flat import LOWER, flat, small, span_hashes
 
 ORDER = 5
 PAD, END = 2, 3
-SAMPLE = 4000  # training documents on which the limits are calibrated
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -204,7 +203,7 @@ def identify(docs: DataFrame, training: DataFrame, *, slack: float = 1.25, quant
     training: (doc_id, text, lang). A text that is null or has no letter is `und` with score 0 and is not accepted.
     score is the winner's share of the likelihoods at the length of 16 symbols at most; ties go to the language first
     by code point. A text of n symbols is accepted if its cross-entropy is at most `slack` times the given quantile over
-    a sample of training documents of the language it was given, plus `short` / sqrt(n). With nothing to learn from, every text is `und`.
+    all training documents of the language it was given (to 0.0001 bits), plus `short` / sqrt(n). With nothing to learn from, every text is `und`.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -230,9 +229,9 @@ def identify(docs: DataFrame, training: DataFrame, *, slack: float = 1.25, quant
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(number), *(batch.column(c) for c in batch.schema.names[2:])], ["doc_id", "lang_pred", "score", "cross_entropy", "n_symbols", *batch.schema.names[2:]])
 
     out = "doc_id long, lang_pred string, score double, cross_entropy double, n_symbols long"
-    few = F.broadcast(training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE))
-    sample = training.join(few, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(scored, f"{out}, lang string")
-    limits = dict(sample.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile("cross_entropy", F.lit(quantile))).collect())
+    own = training.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(scored, f"{out}, lang string").where("lang = lang_pred")
+    own = own.groupBy("lang_pred", F.round("cross_entropy", 4).alias("bits")).agg(F.count("*").alias("n"))  # bounds the distinct values of a language
+    limits = dict(own.groupBy("lang_pred").agg(F.percentile("bits", F.lit(quantile), F.col("n"))).collect())
     most = max((v for v in limits.values() if v is not None), default=float("inf"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns))
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*(f"_{c}" for c in columns)).schema)

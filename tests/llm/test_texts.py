@@ -9,6 +9,7 @@ import pytest
 from brute import counts
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spindrift.llm import language, packing, quality, toxicity
 from spindrift.llm.flat import flat
@@ -112,6 +113,17 @@ def test_a_rare_language_keeps_its_ngrams(spark):
     assert np.allclose(models[1].probability(symbols), alone.probability(symbols), rtol=1e-12)
 
 
+def test_a_rare_language_has_limits_of_its_own(spark):
+    """Ten documents of a language beside 4,100 of a plainer one; by a hash of the id they are the last."""
+    ids = [r.id for r in spark.range(4110).orderBy(F.xxhash64("id")).collect()]
+    rng = np.random.default_rng(6)
+    rows = [(i, "lo ri lo lo ri ri lo " * 3, "aa") for i in ids[:-10]]
+    rows += [(i, " ".join("".join(map(chr, rng.integers(0x4E00, 0x4E40, 4))) for _ in range(300)), "bb") for i in ids[-10:]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.identify(df, df, columns=("lang",)).where("lang = 'bb'").collect()
+    assert len(got) == 10 and all(r.lang_pred == "bb" and r.accepted for r in got)
+
+
 def test_noise_is_rejected(spark):
     df = spark.createDataFrame(_labelled(), "doc_id bigint, text string, lang string")
     noise = spark.createDataFrame([(1, "qxzkw vjhqp xxqzj wkvvq " * 12)], "doc_id bigint, text string")
