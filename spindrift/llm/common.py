@@ -38,11 +38,39 @@ def _local_folder() -> str:
     return path
 
 
+def _delete(paths: list[str]) -> None:
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    conf = jvm.org.apache.hadoop.conf.Configuration() if SparkContext._active_spark_context is None else SparkContext._active_spark_context._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@functools.cache
+def _sweep_at_exit() -> None:
+    """Scratch tables that a result may still read stay until this process ends."""
+
+    def sweep():
+        try:
+            _delete(_made)
+        except Exception:  # noqa: BLE001, S110 - the JVM may be gone; nothing is left to tell
+            pass
+
+    atexit.register(sweep)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a local folder only where the session names none."""
+    """A new folder in the cluster's shared one. Where the session names none, a local folder, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors cannot read each other's local folders")
         base = _local_folder()
+    _sweep_at_exit()
     path = f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex[:12]}"
     _made.append(path)
     return path
@@ -56,6 +84,16 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes materialised tables that no later step reads."""
+    for df in tables:
+        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        gone = [p for p in _made if any(q.endswith(p.split("://")[-1]) for q in paths)]
+        _delete(gone)
+        for p in gone:
+            _made.remove(p)
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps."""
     import gc
@@ -70,11 +108,11 @@ def collect_garbage(spark: SparkSession) -> None:
 def stage(function):
     """A pipeline stage: when it starts, the scratch tables of the stage before, whose rows are written by then, go."""
 
+    @functools.wraps(function)
     def run(spark, docs, sf_dir):
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        while _stale:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stale.pop())
-            path.getFileSystem(conf).delete(path, True)
+        _delete(_stale)
+        _made[:] = [p for p in _made if p not in _stale]
+        _stale.clear()
         collect_garbage(spark)
         before = len(_made)
         out = function(spark, docs, sf_dir)
@@ -90,6 +128,15 @@ def parts_of(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def groups_of(df: DataFrame, each: int = 1 << 22) -> int:
+    """How many groups of about `each` bytes of its files the input makes, and at least its partitions.
+
+    A group is held whole by a worker, so groups follow the input's bytes and not the number of tasks.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(parts_of(df), -(-size // each) if size < 1 << 60 else 1)  # without statistics the size is a huge default
+
+
 def joined(column, dtype) -> np.ndarray:
     """One array from the packed arrays of a binary Arrow column."""
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype=dtype)

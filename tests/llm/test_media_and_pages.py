@@ -1,6 +1,7 @@
 """Audio columns, WARC archives, URL filters, mixing."""
 
 import base64
+import gzip
 import hashlib
 import io
 import math
@@ -80,6 +81,8 @@ def test_archives(spark, least):
         first = len(b) < least or top == i
         want.append((f"urn:page:{i}", len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else f"urn:page:{top}"))
     assert sorted(((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to_id) for r in got), key=str) == sorted(want, key=str)
+    whole = open(manifest.first().archive.removeprefix("file:"), "rb").read()  # one gzip layer, a member a record
+    assert gzip.decompress(whole).startswith(b"WARC/1.1\r\n")
     assert all(hashlib.sha1(r.payload).digest() == base64.b32decode(r.payload_digest) for r in got if r.record_type == "response")
 
 
@@ -96,12 +99,40 @@ def test_damage_is_a_row_and_reading_goes_on():
         assert sum(r["error"] is not None for r in got) >= bad and (bad or not any(r["error"] for r in got))
     ids = [r["id"] for r in warc.read_records(io.BytesIO(a + bytes(broken) + c)) if not r["error"]]
     assert ids[0] == "urn:page:1" and ids[-1] == "urn:page:3"
-    import gzip
-
     plain = gzip.decompress(a).replace(b"hello", b"jello")
     assert "digest" in next(warc.read_records(io.BytesIO(gzip.compress(plain))))["error"]
 
 
+@pytest.mark.parametrize("size", [60, 1_000, 30_000, 300_000])
+def test_damage_loses_one_record(size):
+    rng = random.Random(size)
+    parts = [_record(i, rng.randbytes(size // 2) + b"gzip \x1f\x8b\x08\x00 inside " + rng.randbytes(size // 2)) for i in range(10)]
+    for hurt in range(10):
+        for place in (0.02, 0.5, 0.97):
+            broken = bytearray(parts[hurt])
+            broken[max(12, int(len(broken) * place))] ^= 0x55
+            got = list(warc.read_records(io.BytesIO(b"".join(parts[:hurt]) + bytes(broken) + b"".join(parts[hurt + 1 :]))))
+            assert [r["id"] for r in got if not r["error"]] == [f"urn:page:{i}" for i in range(10) if i != hurt]
+            assert sum(r["error"] is not None for r in got) == 1
+
+
+def test_headers_of_any_length():
+    url = "http://x/" + "y" * (3 << 20)
+    data = warc.record("response", "urn:page:1", url, b"body", hashlib.sha1(b"body").digest()) + _record(2)
+    got = list(warc.read_records(io.BytesIO(data)))
+    assert [(r["id"], r["error"]) for r in got] == [("urn:page:1", None), ("urn:page:2", None)] and got[0]["uri"] == url and got[0]["payload"] == b"body"
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_revisits_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST", most)
+    pages = [(i if i % 7 else None, "u", None if i % 2 else f"<p>{i % 10}") for i in range(200)]
+    got = warc.read_archives(warc.write_archives(_pages(spark, pages), shared_folder(spark))).collect()
+    top = {h: max(i for i, _, g in pages if g == h and i is not None) for _, _, h in pages}
+    want = [(f"urn:page:{i}", f"urn:page:{top[h]}" if i != top[h] else None) for i, _, h in pages]
+    assert sorted(((r.record_id, r.refers_to_id) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_archives_of_nothing(spark):
     manifest = warc.write_archives(_pages(spark, []), shared_folder(spark))
     assert warc.read_archives(manifest).count() == 0
