@@ -1,9 +1,12 @@
 """URL filters: rules first, and for the rest a classifier over the words of host and path.
 
 Host names are segmented by a unigram Viterbi whose word counts come from all page titles. A multinomial naive Bayes
-over host and path tokens is trained on the pages themselves: a page whose segmented host holds a seed word is an
-example of block, any other of allow. Both models stay tables of any size: rows are dealt to groups, and each group
-gets the word counts, split hosts and token weights that its own rows need, each at most once a group.
+over the words of host and path is trained on the pages themselves, and what a page is an example of is told by other
+evidence than these words where there is any: the rule that fits it; else a seed word in its title or its segmented host
+makes it an example of block, and any other page is one of allow. So words of hosts and paths that go with blocked
+content or with ruled places get weight, whether or not they are on a list. Both models stay tables of any size: rows
+are dealt to groups, and each group gets the word counts, split hosts and token weights that its own rows need, each at
+most once a group.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 SEEDS = ("adult", "bets", "betting", "casino", "escort", "gambling", "jackpot", "lottery", "pills", "poker", "porn", "sex", "slots", "viagra", "xxx")
 MAX_RULES = 10_000
-LONGEST = 24
+STEM = 24  # longer words of titles are found by their first so many letters, and then held against the name itself
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -52,8 +55,8 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     for host, paths in by_host.items():
         entries += [F.lit(host), F.array(*(F.struct(F.lit(len(host) + len(p)).alias("n"), F.lit(host + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(p).alias("path")) for p, v in paths.items()))]
     known = F.create_map(*entries)
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    deepest = max(h.count(".") + 1 for h in by_host)  # only as many labels as some rule's host has
+    hosts = F.array_distinct(F.array(*(F.substring_index("host", ".", -k) for k in range(1, deepest + 1))))
     fits = F.filter(F.flatten(F.filter(F.transform(hosts, lambda h: F.try_element_at(known, h)), lambda x: x.isNotNull())), lambda r: F.startswith(F.col("path"), r["path"]))
     return pages.withColumn("_r", F.array_max(fits)).withColumns({"rule": F.col("_r.rule"), "rule_verdict": F.col("_r.verdict")}).drop("_r")
 
@@ -64,6 +67,7 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
+        self.longest = max(map(len, counts), default=0)
         self.unknown = math.log(total) + 2
         self.held: dict[str, list[str]] = {}
 
@@ -71,10 +75,15 @@ class Segmenter:
         if (got := self.held.get(name)) is not None:
             return got
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+        opened, since = math.inf, 0  # an unknown stretch that is still open, and where it began
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                cost = best[start] + self.cost.get(word, self.unknown + 2.5 * (end - start))
+            begin = best[end - 1] + self.unknown
+            if begin < opened:
+                opened, since = begin, end - 1
+            opened += 2.5
+            best[end], back[end] = opened, since
+            for start in range(max(0, end - self.longest), end):
+                cost = best[start] + self.cost.get(name[start:end], math.inf)
                 if cost < best[end]:
                     best[end], back[end] = cost, start
         words, end = [], len(name)
@@ -101,10 +110,14 @@ def path_tokens(path: str) -> list[str]:
     return [f"p:{w}" for w in re.findall(r"[a-z]+", path.lower())]
 
 
+def title():
+    """The lower-case title of a page's html; empty where there is none."""
+    return F.translate(F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?i)<title[^>]*>([^<]*)", 1), UPPER, LOWER)
+
+
 def title_words(pages: DataFrame) -> DataFrame:
-    """word, n: counts of all words of all titles."""
-    title = F.translate(F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?i)<title[^>]*>([^<]*)", 1), UPPER, LOWER)
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"([\p{L}]{2,24})"))).alias("word"))
+    """word, n: counts of all words of two letters or more, of any length, of all titles."""
+    words = pages.select(F.explode(F.regexp_extract_all(title(), F.lit(r"([\p{L}]{2,})"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -117,17 +130,18 @@ def split_hosts(hosts: DataFrame, words: DataFrame, total: int, groups: int) ->
             found = set()
             for g, host in zip(batch.column("g").to_pylist(), batch.column("host").to_pylist(), strict=True):
                 for p in set(parts(host)):
-                    found.update((g, p[i:j]) for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST) + 1))
+                    found.update((g, p[i:j]) for i in range(len(p)) for j in range(i + 1, min(len(p), i + STEM) + 1))
             found = list(found)
             for at in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found[at : at + 100_000]], t) for k, t in enumerate((pa.int64(), pa.string()))], ["g", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found[at : at + 100_000]], t) for k, t in enumerate((pa.int64(), pa.string()))], ["g", "stem"])
 
     def split(_key, left, right):
         segment = Segmenter(dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True)), total)
         own = left.column("host").to_pylist()
         return pa.table({"host": pa.array(own, pa.string()), "tokens": pa.array([host_tokens(h, segment) for h in own], pa.list_(pa.string()))})
 
-    needed = hosts.mapInArrow(occurring, "g long, word string").distinct().join(words, "word").select(F.col("g").alias("of"), "word", "n")
+    stems = words.withColumn("stem", F.substring("word", 1, STEM))
+    needed = hosts.mapInArrow(occurring, "g long, stem string").distinct().join(stems, "stem").select(F.col("g").alias("of"), "word", "n")
     return hosts.groupBy("g").cogroup(needed.groupBy("of")).applyInArrow(split, "host string, tokens array<string>")
 
 
@@ -135,7 +149,9 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, log_odds, verdict for each row of pages(page_id, url, html), repeated rows included.
 
     verdict is the rule's where one fits, else block if the classifier's log odds are above 0. An empty host has no
-    evidence but the classes' shares. Further columns are ignored.
+    evidence but the classes' shares; a null url has an empty host and path, a null html no title, a null page_id stays
+    null. Names, paths and titles of any length are used whole, without a cap on words or tokens. Further columns are
+    ignored and may have any names. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     tune(spark)
@@ -146,7 +162,9 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
     words = words.unionByName(seeded).groupBy("word").agg(F.max("n").alias("n"))
     total = words.agg(F.sum("n")).first()[0]
     bad = frozenset(f"h:{s}" for s in seeds)
-    rows = ruled(parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")), rules).select("page_id", "host", "path", "rule", "rule_verdict")
+    seeded_title = F.arrays_overlap(F.regexp_extract_all(title(), F.lit(r"([\p{L}]{2,})")), F.array(*map(F.lit, seeds)))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", seeded_title.alias("seeded"))
+    rows = ruled(parsed(rows), rules).select("page_id", "host", "path", "rule", "rule_verdict", "seeded")
     rows = rows.withColumn("g", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(groups)))
     hosts = materialise(rows.select("g", "host").distinct())
     split = materialise(split_hosts(hosts.select("host").distinct(), words, total, groups))
@@ -156,20 +174,20 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
         got = [of[h] + path_tokens(p) for h, p in zip(left.column("host").to_pylist(), left.column("path").to_pylist(), strict=True)]
         return left.append_column("tokens", pa.array(got, pa.list_(pa.string())))
 
-    schema = "page_id long, host string, path string, rule string, rule_verdict string, g long"
+    schema = "page_id long, host string, path string, rule string, rule_verdict string, seeded boolean, g long"
     rows = materialise(rows.groupBy("g").cogroup(hosts.join(split, "host").groupBy("g")).applyInArrow(tokenised, f"{schema}, tokens array<string>"))
 
     def counted(batches):
         seen = Counter()
         for batch in batches:
-            for got in batch.column("tokens").to_pylist():
-                block = int(not bad.isdisjoint(got))
+            for got, verdict, title_has in zip(*(batch.column(c).to_pylist() for c in ("tokens", "rule_verdict", "seeded")), strict=True):
+                block = int(verdict == "block" if verdict else title_has or not bad.isdisjoint(got))
                 seen[("", block)] += 1
                 seen.update((t, block) for t in got)
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["token", "block", "n"])
 
-    counts = rows.select("tokens").mapInArrow(counted, "token string, block long, n long").groupBy("token").agg(F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("ok"), F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("bad"))
+    counts = rows.select("tokens", "rule_verdict", "seeded").mapInArrow(counted, "token string, block long, n long").groupBy("token").agg(F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("ok"), F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("bad"))
     counts = materialise(counts)
     whole = counts.where("token != ''").agg(F.count("*"), F.sum("ok"), F.sum("bad")).first()
     prior = counts.where("token = ''").first()
@@ -187,4 +205,5 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
 
 
 def op10_urls(spark, sf_dir):
+    """page_id, host, path, rule, verdict of every page; see classify for nulls, repeats, long and empty values."""
     return classify(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

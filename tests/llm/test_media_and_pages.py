@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import media, mixing, urls, warc
 from spindrift.llm.common import shared_folder
@@ -147,7 +148,7 @@ URLS = [
 
 
 def test_rules(spark):
-    rows = [(i, u, "<title>some words here</title>") for i, (u, *_) in enumerate(URLS)] + [(99, "http://free-bets.example.edu/fr/1", None)] * 2 + [(100 + i, f"http://plain{i}.example.edu/fr/1", "<title>Plain words</title>") for i in range(30)]
+    rows = [(i, u, "<title>some words here</title>") for i, (u, *_) in enumerate(URLS)] + [(99, "http://free-bets.example.edu/fr/1", None)] * 6 + [(100 + i, f"http://plain{i}.example.edu/fr/1", "<title>Plain words</title>") for i in range(30)]
     got = urls.classify(_pages(spark, rows).withColumnRenamed("sha1", "token").withColumnRenamed("payload", "block")).collect()
     assert len(got) == len(rows)
     by_id = {r.page_id: r for r in got}
@@ -171,6 +172,46 @@ def test_rare_words_and_seeds_count_beside_many_others(spark):
     assert abs(got[0].log_odds - (base + weight(102_000, 0) * 2 + weight(2, 0))) < 1e-9
 
 
+def _plain_split(counts, name):
+    """Every split of a name, the cheapest first, over all words and all unknown stretches."""
+    total = sum(counts.values())
+    cost = lambda w: -math.log(counts[w] / total) if w in counts else math.log(total) + 2 + 2.5 * len(w)
+    best = {0: (0.0, [])}
+    for end in range(1, len(name) + 1):
+        best[end] = min(((best[s][0] + cost(name[s:end]), best[s][1] + [name[s:end]]) for s in range(end)), key=lambda x: x[0])
+    return best[len(name)][0], cost
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_segmentation_against_all_splits(seed):
+    rng = random.Random(seed)
+    vocabulary = {"".join(rng.choices("ab", k=rng.choice([1, 2, 3, 5, 30]))): rng.randint(1, 50) for _ in range(8)}
+    name = "".join(rng.choice([*vocabulary, "x", "yy"]) for _ in range(8))
+    got = urls.Segmenter(vocabulary)(name)
+    least, cost = _plain_split(vocabulary, name)
+    assert "".join(got) == name and abs(sum(map(cost, got)) - least) < 1e-9
+
+
+def test_long_words_and_many_labels(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    rows = [(1, f"http://{long}free.edu/", f"<title>{long} free {long}</title>"), (2, "http://" + "a." * 8000 + "example.com/en/7", None)]
+    got = {r.page_id: r for r in urls.classify(_pages(spark, rows)).collect()}
+    assert got[2].rule == "example.com/en/7"
+    hosts = spark.createDataFrame([(f"{long}free.edu",)], "host string")
+    words = spark.createDataFrame([(long, 5), ("free", 9), (long[:24] + "x", 3)], "word string, n long")
+    assert urls.split_hosts(hosts, words, 17, 3).first().tokens == [f"h:{long}", "h:free", "t:edu"]
+
+
+def test_labels_of_titles_and_rules_teach_words_of_urls(spark):
+    """Hosts that share a word with pages of blocked content are blocked, without that word on any list."""
+    rows = [(i, f"http://zork{i}.zumbel.edu/a", "<title>casino night</title>") for i in range(30)]
+    rows += [(100 + i, f"http://quiet{i}.garden.edu/a", "<title>quiet garden</title>") for i in range(60)]
+    rows += [(500, "http://zork99.zumbel.edu/b", "<title>nothing here</title>"), (501, "http://quiet99.garden.edu/b", None)]
+    rows += [(600 + i, f"http://place{i}.com/en/secretword", None) for i in range(30)] + [(700, "http://place.org/secretword", None)]
+    got = {r.page_id: r.verdict for r in urls.classify(_pages(spark, rows)).collect()}
+    assert got[500] == "block" and got[501] == "allow" and got[700] == "block"
+
+
 def test_segmentation():
     split = urls.Segmenter({"free": 50, "bets": 20, "the": 100, "there": 30, "in": 60, "rein": 5})
     assert split("freebets") == ["free", "bets"] and split("therein") == ["there", "in"] and "".join(split("qqfreezz")) == "qqfreezz"
@@ -211,6 +252,24 @@ def test_mixing(spark, docs, rows):
     assert mixing.apply(df).count() == sum(r.copies for r in got if r.copies) and mixing.apply(df).columns == df.columns
 
 
+def test_many_equal_rows(spark):
+    """Equal rows are documents of their own, and their number does not slow the duels down."""
+    same = spark.range(60_000).selectExpr("7L AS doc_id", "'a b c' AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars")
+    other = spark.range(100).selectExpr("id + 10 AS doc_id", "'a b c' AS text", "'en' AS lang", "'t' AS source", "5L AS n_chars")
+    got = mixing.mix(same.unionByName(other)).where("source = 's'").agg(F.sum("taken"), F.max("target"), F.max("copies"), F.min("copies"), F.count("*")).first()
+    assert abs(got[0] - got[1]) <= 3 and (got[2], got[3], got[4]) == (2, 1, 60_000)
+    assert mixing.apply(same.unionByName(other)).where("source = 's'").count() * 3 == got[0]
+
+
+def test_clashing_names_are_kept(spark):
+    names = ["key", "copies", "_n", "_key", "_times", "_i", "n", "own", "_mix_key", "_mix_row"]
+    df = spark.createDataFrame([(i, f"w {i % 5}", "ab"[i % 2]) for i in range(50)] * 2, "doc_id long, text string, source string")
+    for name in names:
+        df = df.selectExpr("*", f"concat('{name}', doc_id) AS `{name}`")
+    got = mixing.apply(df).collect()
+    assert mixing.apply(df).columns == df.columns and got and all(r[name] == f"{name}{r.doc_id}" for r in got for name in names)
+
+
 def test_mixing_odd_tables(spark, empty):
     assert mixing.mix(empty).count() == 0 and mixing.apply(empty).count() == 0
     nothing = spark.createDataFrame([(1, None, None, "a", 0), (2, "", None, None, 0)], empty.schema)
