@@ -4,7 +4,7 @@ A word is predicted character by character from the four symbols before it, word
 words, so a text's cross-entropy is a sum over its words and is computed once per distinct word and distinct n-gram.
 Each language has, for every order, sorted hash arrays of n-grams (with interpolated probabilities) and of contexts
 (with back-off weights). The language of the lowest cross-entropy per symbol wins. Its cross-entropy is accepted up to
-a limit calibrated on training documents of that language.
+a limit calibrated on training documents of that language, scored by models that had not seen them.
 
 N-gram counts come from all training rows, and the models keep every n-gram: a rare language stands beside large ones
 as it would alone, and discounts and continuation counts are of whole counts. So the models grow with the distinct
@@ -13,8 +13,6 @@ n-grams of the training rows, and so does what the driver builds and every worke
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +23,7 @@ from .flat import LOWER, flat, small, span_hashes
 
 ORDER = 5
 PAD, END = 2, 3
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+LEFT_OUT = 8  # one training row in so many, by a hash, is left out of the models that limits are calibrated with
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -147,10 +145,10 @@ class Scorer:
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts of rows(lang, text), summed in each task first."""
+    """lang, gram, n, kept over all texts of rows(lang, text, left), summed in each task first; kept: without rows left out."""
 
     def run(batches):
-        held: dict[str, list] = {}
+        held: dict[tuple[str, bool], list] = {}
 
         def merged(parts):
             symbols, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -159,60 +157,75 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
         for batch in small(batches, most=1 << 22):
             langs = batch.column("lang").dictionary_encode()
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                mask = pa.compute.equal(langs.indices, k)
+            for k, lang, left in ((k, lang, left) for k, lang in enumerate(langs.dictionary.to_pylist()) for left in (False, True)):
+                mask = pa.compute.and_(pa.compute.equal(langs.indices, k), pa.compute.equal(batch.column("left"), left))
                 words, which, _ = _words(*flat(batch.column("text").filter(mask)))
                 if words:
                     symbols, lengths = _grams(words)
-                    parts = held.setdefault(lang, [])
+                    parts = held.setdefault((lang, left), [])
                     parts.append(merged([(symbols, np.repeat(np.bincount(which, minlength=len(words)), lengths).astype(np.float64))]))
                     if len(parts) > 7:
                         parts[:] = [merged(parts)]
-        for lang, parts in held.items():
+        for (lang, left), parts in held.items():
             symbols, n = merged(parts)
             for a in range(0, len(n), 100_000):
                 grams = np.ascontiguousarray(symbols[a : a + 100_000]).view(f"<U{ORDER}")[:, 0]
                 m = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n[a : a + m].astype(np.int64))], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n[a : a + m].astype(np.int64)), pa.array((n[a : a + m] * (not left)).astype(np.int64))], ["lang", "gram", "n", "kept"])
 
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, gram string, n long, kept long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
 
 
-def train(rows: DataFrame) -> tuple[list[str], list[KneserNey]]:
-    """Languages (by code point) and their models, from all n-grams of all rows(lang, text) whose lang is not null."""
-    counts = materialise(gram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL")))
-    held: dict[str, list] = {}
-    got = counts.toArrow()
-    for batch in got.to_batches(max_chunksize=100_000):
-        langs = batch.column("lang").dictionary_encode()
-        of = langs.indices.to_numpy()
-        grams, n = np.array(batch.column("gram").to_pylist(), f"<U{ORDER}"), batch.column("n").to_numpy()
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            held.setdefault(lang, []).append((grams[of == k], n[of == k]))
-    del got
-    names, models = sorted(held), []
+def _counted(rows: DataFrame) -> pa.Table:
+    """The counts of all n-grams of all rows(lang, text, left); what the driver holds grows with the distinct n-grams."""
+    return materialise(gram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL"))).toArrow()
+
+
+def _models(counts: pa.Table, column: str) -> tuple[list[str], list[KneserNey]]:
+    """Languages (by code point) and their models, from the counts in one column that are not 0."""
+    counts = counts.filter(pa.compute.greater(counts.column(column), 0)).combine_chunks()
+    names = sorted(pa.compute.unique(counts.column("lang")).to_pylist())
+    models = []
     for name in names:
-        grams, n = (np.concatenate(x) for x in zip(*held.pop(name), strict=True))
-        models.append(KneserNey(grams.view(np.uint32).reshape(-1, ORDER), n))
+        own = counts.filter(pa.compute.equal(counts.column("lang"), name))
+        points = pa.compute.binary_join(pa.array([own.column("gram").to_pylist()], pa.list_(pa.string())), "")[0].as_py()
+        models.append(KneserNey(np.frombuffer(points.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER), own.column(column).to_numpy()))
     return names, models
 
 
+def train(rows: DataFrame) -> tuple[list[str], list[KneserNey]]:
+    """Languages (by code point) and their models, from all n-grams of all rows(lang, text) whose lang and text are not null.
+
+    Repeated rows count each time; texts without letters have no n-grams, and a language of such texts has no model.
+    Further columns are ignored; an empty table gives no languages.
+    """
+    return _models(_counted(rows.select("lang", "text", F.lit(False).alias("left"))), "n")
+
+
 def identify(docs: DataFrame, training: DataFrame, *, slack: float = 1.25, quantile: float = 0.999, short: float = 8.0, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, accepted (and `columns`) for each row of docs(doc_id, text), repeated rows included.
 
     training: (doc_id, text, lang). A text that is null or has no letter is `und` with score 0 and is not accepted.
+    A letter is a character of Unicode's letter categories, so digits in other forms (one half, superscripts) are none.
     score is the winner's share of the likelihoods at the length of 16 symbols at most; ties go to the language first
     by code point. A text of n symbols is accepted if its cross-entropy is at most `slack` times the given quantile over
-    all training documents of the language it was given (to 0.0001 bits), plus `short` / sqrt(n). With nothing to learn from, every text is `und`.
+    the training documents left out of the models for this (to 0.0001 bits), plus `short` / sqrt(n). With nothing to
+    learn from, every text is `und`; an empty docs gives an empty result. Texts of any length are scored whole.
     """
     spark = docs.sparkSession
     tune(spark)
-    training = training.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL")
-    names, models = train(training)
-    shared = spark.sparkContext.broadcast(models)  # all n-grams; grows with the distinct ones
+    training = training.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(LEFT_OUT)) == 0).alias("left")).where("lang IS NOT NULL")
+    counts = _counted(training)
+    names, models = _models(counts, "n")
+    others, rest = _models(counts, "kept")
+    del counts
+    shared = spark.sparkContext.broadcast((names, models))  # all n-grams; grows with the distinct ones
+    partly = spark.sparkContext.broadcast((others, rest))
+    out = "doc_id long, lang_pred string, score double, cross_entropy double, n_symbols long"
 
-    def scored(batches):
-        scorer = Scorer(shared.value)
+    def scored(batches, held=shared):
+        names, models = held.value
+        scorer = Scorer(models)
         for batch in small(batches):
             bits, number = scorer(*flat(batch.column("text"))) if names else (None, np.zeros(batch.num_rows, np.int64))
             if len(names):
@@ -222,16 +235,22 @@ def identify(docs: DataFrame, training: DataFrame, *, slack: float = 1.25, quant
             texts = batch.column("text")
             pred, score, entropy = [], [], []
             for i in range(len(number)):
-                ok = len(names) and number[i] > 0 and _HAS_LETTER.search(texts[i].as_py() or "")
+                ok = len(names) and number[i] > 0 and any(map(str.isalpha, texts[i].as_py() or ""))
                 pred.append(names[best[i]] if ok else "und")
                 score.append(float(share[i]) if ok else 0.0)
                 entropy.append(float(low[i]) if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(number), *(batch.column(c) for c in batch.schema.names[2:])], ["doc_id", "lang_pred", "score", "cross_entropy", "n_symbols", *batch.schema.names[2:]])
 
-    out = "doc_id long, lang_pred string, score double, cross_entropy double, n_symbols long"
-    own = training.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(scored, f"{out}, lang string").where("lang = lang_pred")
-    own = own.groupBy("lang_pred", F.round("cross_entropy", 4).alias("bits")).agg(F.count("*").alias("n"))  # bounds the distinct values of a language
-    limits = dict(own.groupBy("lang_pred").agg(F.percentile("bits", F.lit(quantile), F.col("n"))).collect())
+    def limits_of(rows, run):
+        own = rows.select(F.lit(0).cast("long").alias("doc_id"), "text", "lang").mapInArrow(run, f"{out}, lang string").where("lang = lang_pred")
+        own = own.groupBy("lang_pred", F.round("cross_entropy", 4).alias("bits")).agg(F.count("*").alias("n"))  # bounds the distinct values of a language
+        return dict(own.groupBy("lang_pred").agg(F.percentile("bits", F.lit(quantile), F.col("n"))).collect())
+
+    limits = limits_of(training.where("left"), lambda batches: scored(batches, partly)) if others else {}
+    partly.unpersist()
+    few = [n for n in names if limits.get(n) is None]  # languages of which no row was left out: by their own rows
+    if few:
+        limits |= limits_of(training.where(F.col("lang").isin(few)), scored)
     most = max((v for v in limits.values() if v is not None), default=float("inf"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns))
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*(f"_{c}" for c in columns)).schema)
@@ -247,6 +266,10 @@ def fold_of(column: str, folds: int):
 
 
 def op4_language(spark, sf_dir):
+    """doc_id, held_out, lang_pred, score (and cross_entropy, accepted) of every document; a null doc_id is not held out.
+
+    Null texts and texts without a letter are `und` with score 0; repeated rows are scored each; see identify.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of("doc_id", 4) == 2
     got = identify(docs, docs.where(~F.coalesce(held_out, F.lit(False))))

@@ -1,13 +1,18 @@
 """Telephony audio in binary columns.
 
-Payloads are stored as 8-bit mu-law samples of a WAV file (format 7, mono, 8 kHz), which is lossless for any bytes.
-Readers expand mu-law and A-law by lookup tables, decode IMA ADPCM with numpy across all blocks of a batch at once, and
-resample to 16-bit PCM at 16 kHz. All features are integers, so equal payloads give equal values anywhere.
+Payloads are stored as they are as the data of a mono WAV file, in one of three codecs: mu-law or A-law of 8 kHz, or
+IMA ADPCM of 16 kHz in blocks of `UNIT` bytes; which one is told by the payload's CRC, so equal payloads are equal files.
+The reader goes by the file's own format tag: it expands mu-law and A-law by lookup tables, decodes ADPCM with numpy
+across all blocks of a batch at once, and resamples to 16-bit PCM of another rate with a low-pass filter. Media and PCM
+are columns of tables in the shared folder, and features are computed from the stored PCM. All arithmetic is on whole
+numbers, so equal payloads give equal values anywhere. Long signals are worked on in blocks.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import struct
 import zlib
 
@@ -16,10 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import materialise, release, table, tune
 from .flat import small
 
 UNIT, RATE, MULAW, ALAW, ADPCM = 192, 8000, 7, 6, 17
+CODECS = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
+RATES = {MULAW: RATE, ALAW: RATE, ADPCM: 2 * RATE}  # 8,000 bytes a second in each
+BLOCK = 1 << 18  # samples, and ADPCM bytes, that are worked on at once
+PCM_RATE = 4000  # of op8_media, whose scratch space is limited; PCM of 16 kHz takes 3.5 times the texts
+TAPS = 12  # samples on either side that the filter sees, at the lower of two rates
 
 # Fixed values of the IMA ADPCM format: quantizer steps, and how a code moves the step index.
 STEPS = [
@@ -67,9 +77,12 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def wav(data: bytes, kind: int = MULAW, rate: int = RATE, block: int = 1, bits: int = 8) -> bytes:
-    fmt = struct.pack("<HHIIHHH", kind, 1, rate, rate * block, block, bits, 0)
-    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data)) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+def wav(data: bytes, kind: int = MULAW, rate: int = RATE, block: int = 1) -> bytes:
+    """A RIFF file with this data; an ADPCM file's header says how many samples its blocks hold."""
+    samples = 2 * (block - 4) + 1 if kind == ADPCM else 1
+    fmt = struct.pack("<HHIIHH", kind, 1, rate, rate * block // samples, block, 4 if kind == ADPCM else 8)
+    fmt += struct.pack("<HH", 2, samples) if kind == ADPCM else struct.pack("<H", 0)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data) // block * samples) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -92,74 +105,141 @@ def read_wav(media: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data chunk")
 
 
-def double_rate(pcm: np.ndarray) -> np.ndarray:
-    """Linear interpolation to twice the rate; the last sample is held."""
-    out = np.empty(2 * len(pcm), np.int16)
-    out[::2] = pcm
-    out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-    if len(pcm):
-        out[-1] = pcm[-1]
+@functools.cache
+def _filters(up: int, down: int) -> tuple[np.ndarray, int]:
+    """Whole-number coefficients (up, taps), one row a phase, each of sum 2**15, and the samples seen before."""
+    half = TAPS * max(1, -(-down // up))
+    wide = np.arange(-half, half + 1)
+    out = np.zeros((up, 2 * half + 1), np.int64)
+    for phase in range(up):
+        x = wide - phase / up
+        cut = min(1.0, up / down)
+        h = np.sinc(cut * x) * np.cos(np.pi * x / (2 * (half + 1))) ** 2
+        h = np.round(h / h.sum() * (1 << 15)).astype(np.int64)
+        h[half] += (1 << 15) - h.sum()
+        out[phase] = h
+    return out, half
+
+
+def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """16-bit samples at another rate: ceil(n * to / rate) of them, low-pass filtered, the ends as if silence lay beyond."""
+    common = math.gcd(rate, to)
+    up, down = to // common, rate // common
+    taps, half = _filters(up, down)
+    total = -(-len(pcm) * up // down)
+    out = np.empty(total, np.int16)
+    step = max(1, BLOCK // down) * up  # whole turns of the phases
+    for at in range(0, total, step):
+        n = min(step, total - at)
+        first = at // up * down
+        last = first + (n - 1) * down // up + 1
+        part = np.zeros(last - first + 2 * half, np.float64)  # sums stay below 2**53: exact
+        lo, hi = max(0, first - half), min(len(pcm), last + half)
+        part[lo - first + half : hi - first + half] = pcm[lo:hi]
+        for phase in range(min(up, n)):
+            number = -(-(n - phase) // up)
+            begin = phase * down // up
+            own = np.correlate(part[begin : begin + (number - 1) * down + 2 * half + 1], taps[phase * down % up].astype(np.float64), "valid")[::down]
+            out[at + phase : at + n : up] = np.clip((own.astype(np.int64) + (1 << 14)) >> 15, -32768, 32767)
     return out
 
 
-def store(docs: DataFrame, *, unit: int = UNIT) -> DataFrame:
+def decoded(kinds: list[int], payloads: list[bytes], unit: int) -> list[np.ndarray]:
+    """The samples of each payload; the ADPCM blocks of all of them together, some blocks at a time."""
+    out: list = [None] * len(payloads)
+    adpcm = [i for i, k in enumerate(kinds) if k == ADPCM]
+    if adpcm:
+        blocks = np.frombuffer(b"".join(payloads[i] for i in adpcm), np.uint8).reshape(-1, unit)
+        every = np.empty((len(blocks), 2 * (unit - 4) + 1), np.int16)
+        for at in range(0, len(blocks), most := max(1, BLOCK // unit)):
+            every[at : at + most] = decode_adpcm(blocks[at : at + most])
+        ends = np.cumsum([len(payloads[i]) // unit for i in adpcm])
+        for i, part in zip(adpcm, np.split(every, ends[:-1]), strict=True):
+            out[i] = part.reshape(-1)
+    for i, k in enumerate(kinds):
+        if k != ADPCM:
+            if k not in CODECS:
+                raise ValueError(f"format {k} is none of mu-law, A-law and IMA ADPCM")
+            out[i] = (MULAW_PCM if k == MULAW else ALAW_PCM)[np.frombuffer(payloads[i], np.uint8)]
+    return out
+
+
+def store(docs: DataFrame, *, unit: int = UNIT, codecs: tuple[int, ...] = tuple(CODECS)) -> DataFrame:
     """doc_id, n_bytes, media: each text in UTF-8 (null: empty), filled up with blanks to a positive multiple of `unit`.
 
-    Repeated rows, null ids, empty and very long texts each give one row; further columns are dropped.
+    Repeated rows, null ids, empty and very long texts each give one row; further columns are dropped, and an empty table
+    gives an empty one. The codec is that of `codecs` which the CRC of the payload picks.
     """
     tune(docs.sparkSession, 500)
 
     def run(batches):
         for batch in small(batches, most=1 << 22):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            media = [wav(t.ljust(max(1, -(-len(t) // unit)) * unit)) for t in texts]
+            payloads = [t.ljust(max(1, -(-len(t) // unit)) * unit) for t in texts]
+            kinds = [codecs[zlib.crc32(p) % len(codecs)] for p in payloads]
+            media = [wav(p, k, RATES[k], unit if k == ADPCM else 1) for p, k in zip(payloads, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[edges])
+_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string"
 
 
-def features(stored: DataFrame, *, unit: int = UNIT, with_pcm: bool = False) -> DataFrame:
-    """Reads media back: its payload's length and digests, a feature string, and if asked the PCM at 16 kHz.
+def expand(stored: DataFrame, *, unit: int = UNIT, rate: int = 16000) -> DataFrame:
+    """Reads media back: its payload's length and digests, its codec by the file's own tag, and pcm, 16 bits at `rate`.
 
-    feature: energy, peak and sign changes under mu-law and A-law, the energy of the payload read as ADPCM blocks of
-    `unit` bytes, and the CRC of the mu-law signal resampled to 16 kHz.
+    stored: (doc_id, n_bytes, media), one row each; null ids stay. A file that is no WAV of the three codecs is an error.
     """
     tune(stored.sparkSession, 500)
 
     def run(batches):
         for batch in small(batches, "media", 1 << 22):
             media = batch.column("media").to_pylist()
-            payloads = [read_wav(m)[2] for m in media]
-            edges = np.cumsum([0] + [len(p) for p in payloads])
-            buf = np.frombuffer(b"".join(payloads), np.uint8)
-            parts = []
-            for lut in (MULAW_PCM, ALAW_PCM):
-                pcm = lut[buf]
-                turn = np.concatenate([[False], (pcm[1:] < 0) != (pcm[:-1] < 0)]) if len(pcm) else np.zeros(0, bool)
-                turn[edges[:-1]] = False
-                peak = np.maximum.reduceat(np.abs(pcm.astype(np.int32)), edges[:-1]) if len(pcm) else []
-                parts += [_sums((lut.astype(np.int64) ** 2)[buf], edges), peak, _sums(turn, edges)]
-            samples = decode_adpcm(buf.reshape(-1, unit))
-            energy = np.einsum("ij,ij->i", samples.astype(np.int64), samples.astype(np.int64))
-            parts.append(_sums(energy, edges // unit))
-            del samples
-            wide = [double_rate(MULAW_PCM[buf[a:b]]).astype("<i2").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            feature = [f"mulaw:{a},{b},{c};alaw:{d},{e},{f};adpcm:{g};pcm16k:{zlib.crc32(w):08x}" for a, b, c, d, e, f, g, w in zip(*parts, wide, strict=True)]
+            kinds, rates, payloads = zip(*map(read_wav, media), strict=True) if media else ((), (), ())
+            pcm = [resample(x, r, rate).astype("<i2").tobytes() for x, r in zip(decoded(kinds, payloads, unit), rates, strict=True)]
             cols = [
-                batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.diff(edges).astype(np.int64)),
+                batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(len, payloads), pa.int64()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-                pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array(feature, pa.string()),
+                pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
+                pa.array([CODECS[k] for k in kinds], pa.string()), pa.array(pcm, pa.binary()),
             ]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(wide, pa.binary())] * with_pcm, names + ["pcm"] * with_pcm)
+            yield pa.RecordBatch.from_arrays(cols, [*(f.split()[0] for f in _READ.split(", ")), "pcm"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm)
+    return stored.mapInArrow(run, _READ + ", pcm binary")
+
+
+def features(expanded: DataFrame) -> DataFrame:
+    """Replaces codec and pcm by feature: the codec, and the number, energy, peak, sign changes and CRC of the samples."""
+    tune(expanded.sparkSession, 500)
+    names = [f.split()[0] for f in _READ.split(", ")]
+
+    def run(batches):
+        for batch in small(batches, "pcm", 1 << 22):
+            found = []
+            for codec, raw in zip(batch.column("codec").to_pylist(), batch.column("pcm").to_pylist(), strict=True):
+                pcm = np.frombuffer(raw, "<i2")
+                energy, peak, turns = 0, 0, 0
+                for at in range(0, len(pcm), BLOCK):
+                    part = pcm[max(0, at - 1) : at + BLOCK].astype(np.int32)  # with the sample before
+                    own = part[1:] if at else part
+                    energy += int(np.square(own, dtype=np.int64).sum())
+                    peak = max(peak, int(np.abs(own).max()))
+                    turns += int(((part[1:] < 0) != (part[:-1] < 0)).sum())
+                found.append(f"{codec}:{len(pcm)},{energy},{peak},{turns},{zlib.crc32(raw):08x}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(found, pa.string())], [*names[:-1], "feature"])
+
+    return expanded.select(*names, "pcm").mapInArrow(run, _READ.replace("codec string", "feature string"))
 
 
 def op8_media(spark, sf_dir):
-    return features(store(table(spark, sf_dir, "documents")))
+    """doc_id, n_bytes, payload and media lengths and digests, and feature of every document, from what was stored.
+
+    Null and empty texts are one unit of blanks; repeated rows give a row each; see store for ids and long texts. Media
+    and PCM of `PCM_RATE` are written to the shared folder and read back.
+    """
+    media = materialise(store(table(spark, sf_dir, "documents")))
+    pcm = materialise(expand(media, rate=PCM_RATE))
+    release(media)
+    return features(pcm)

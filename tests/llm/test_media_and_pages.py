@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -15,18 +16,81 @@ from spindrift.llm import media, mixing, urls, warc
 from spindrift.llm.common import shared_folder
 
 
+def _resampled(pcm, rate, to):
+    """Each sample as its own sum over the filter that media._filters states."""
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    taps, half = media._filters(up, down)
+    out = []
+    for n in range(-(-len(pcm) * up // down)):
+        at, phase = n * down // up, n * down % up
+        total = sum(int(taps[phase][k]) * int(pcm[at - half + k]) for k in range(2 * half + 1) if 0 <= at - half + k < len(pcm))
+        out.append(max(-32768, min(32767, (total + (1 << 14)) >> 15)))
+    return out
+
+
+@pytest.mark.parametrize("to", [4000, 8000, 11025, 12000, 16000])
+def test_resampling(monkeypatch, to):
+    rng = random.Random(to)
+    for n in (1, 7, 192, 901):
+        pcm = np.array([rng.randint(-32768, 32767) for _ in range(n)], np.int16)
+        want = _resampled(pcm, 8000, to)
+        for block in (5, 64, 1 << 18):
+            monkeypatch.setattr(media, "BLOCK", block)
+            assert media.resample(pcm, 8000, to).tolist() == want
+    tone = np.round(12000 * np.sin(2 * np.pi * 440 * np.arange(4000) / 8000)).astype(np.int16)
+    again = np.round(12000 * np.sin(2 * np.pi * 440 * np.arange(len(media.resample(tone, 8000, to))) / to))
+    assert np.abs(media.resample(tone, 8000, to)[200:-200] - again[200:-200]).max() < 60
+    loud = np.round(12000 * np.sin(2 * np.pi * 3100 * np.arange(4000) / 8000)).astype(np.int16)
+    assert to > 4000 or np.abs(media.resample(loud, 8000, to)[100:-100]).max() < 120  # what the lower rate cannot hold is gone
+
+
+def _samples(payload, kind):
+    """Samples by the definitions of the two companding laws, and by blocks of ADPCM."""
+    if kind == media.ADPCM:
+        return [x for i in range(0, len(payload), 192) for x in _adpcm(payload[i : i + 192])]
+    out = []
+    for code in payload:
+        code ^= 0xFF if kind == media.MULAW else 0x55
+        segment, step = code >> 4 & 7, code & 15
+        size = ((2 * step + 33) * 2**segment - 33) * 4 if kind == media.MULAW else (2 * step + 1) * 8 if segment == 0 else (2 * step + 33) * 2 ** (segment - 1) * 8
+        out.append(-size if bool(code & 128) == (kind == media.MULAW) else size)
+    return out
+
+
 def test_media_round_trip(docs, rows):
-    got = media.features(media.store(docs), with_pcm=True).collect()
-    want = []
+    stored = media.store(docs)
+    got = media.expand(stored, rate=8000).withColumn("raw", F.col("pcm")).collect()
+    found = {(r.doc_id, r.payload_sha256): r.feature for r in media.features(media.expand(stored, rate=8000)).collect()}
+    want, payloads = [], {}
     for r in rows:
         t = (r[1] or "").encode()
         p = t.ljust(max(1, -(-len(t) // 192)) * 192)
-        want.append((r[0], len(t), len(p), hashlib.sha256(p).hexdigest()))
-    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in got), key=str) == sorted(want, key=str)
-    by_payload = {}
+        payloads[hashlib.sha256(p).hexdigest()] = p
+        want.append((r[0], len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert {r.codec for r in got} == {"mulaw", "alaw", "adpcm"}
     for r in got:
-        assert by_payload.setdefault(r.payload_sha256, r.feature) == r.feature and len(r.pcm) == 4 * r.payload_bytes
-    assert media.store(docs.limit(0)).count() == 0
+        p = payloads[r.payload_sha256]
+        kind = list(media.CODECS)[zlib.crc32(p) % 3]
+        pcm = np.array(_samples(p, kind), np.int16)
+        if kind == media.ADPCM:
+            pcm = np.array(_resampled(pcm, 16000, 8000), np.int16) if len(pcm) < 5000 else media.resample(pcm, 16000, 8000)
+        assert r.codec == media.CODECS[kind] and r.pcm == pcm.astype("<i2").tobytes()
+        x = pcm.astype(int).tolist()
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert found[r.doc_id, r.payload_sha256] == f"{r.codec}:{len(x)},{sum(v * v for v in x)},{max(map(abs, x))},{turns},{zlib.crc32(r.pcm):08x}"
+    assert media.store(docs.limit(0)).count() == 0 and media.features(media.expand(stored.limit(0))).count() == 0
+
+
+def test_op8_reads_what_it_stored(spark, rows, tmp_path):
+    spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.op8_media(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    same = {}
+    for r in got.collect():
+        assert same.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+    assert got.count() == len(rows)
 
 
 def test_expansion_tables():

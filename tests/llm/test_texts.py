@@ -1,6 +1,10 @@
 """Packing, quality, language and toxicity."""
 
+import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -137,7 +141,53 @@ def test_probabilities_sum_to_one():
     model = language.KneserNey(symbols[first], n)
     context = [language.PAD, language.PAD, ord("a"), ord("b")]
     every = np.array([[*context, x] for x in sorted({*map(ord, "abc"), language.END})], np.uint32)
-    assert abs(model.probability(every).sum() + model.floor * 0 - 1) < model.floor
+    unknown = np.array([[*context, ord("z")]], np.uint32)
+    assert abs(model.probability(every).sum() + model.probability(unknown).sum() - 1) < 1e-12
+
+
+def _kneser_ney(words, order=5):
+    """p(symbol | four symbols) by the recursion over dictionaries of all orders, from the words themselves."""
+    grams = [("\x02" * (order - 1) + w + "\x03")[i : i + order] for w in words for i in range(len(w) + 1)]
+    levels = [Counter(grams)]
+    for _ in range(order - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    floor = 1 / (len({g[-1] for g in grams}) + 1)
+
+    def p(context, symbol, k):
+        if k < 0:
+            return floor
+        level = levels[k]
+        ones, twos = (sum(1 for v in level.values() if v == n) for n in (1, 2))
+        discount = min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones else 0.5
+        context = context[len(context) - k :]
+        row = {g: v for g, v in level.items() if g[:-1] == context}
+        lower = p(context[1:], symbol, k - 1)
+        if not row:
+            return lower
+        total = sum(row.values())
+        return max(row.get(context + symbol, 0) - discount, 0) / total + discount * len(row) / total * lower
+
+    return p
+
+
+def test_probabilities_by_the_plain_recursion():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(60)]
+    symbols, _ = language._grams(words)
+    _, first, n = np.unique(language._chain(symbols)[-1], return_index=True, return_counts=True)
+    model, plain = language.KneserNey(symbols[first], n), _kneser_ney(words)
+    for _ in range(300):
+        gram = "".join(rng.choices("abcdéz\x02\x03", k=5))
+        asked = np.array([[ord(c) for c in gram]], np.uint32)
+        assert abs(model.probability(asked)[0] - plain(gram[:-1], gram[-1], 4)) < 1e-12
+
+
+def test_letters(spark):
+    texts = ["½²①", "٣٤٥", "_ __", "日本", "ª", "a1", "²x", "—“”", None, "   "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df = spark.createDataFrame(_labelled(), "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred != "und" for r in language.identify(docs, df).collect()}
+    assert [got[i] for i in range(len(texts))] == [False, False, False, True, True, True, True, False, False, False]
 
 
 def test_language_without_labels(empty, docs):
@@ -173,6 +223,78 @@ def test_folding_and_exceptions():
     assert match("servile viler")[3] == 0 and match("a trash can, a trash")[3] == 1 and match("grumpel igrum")[3] == 1
 
 
+def test_lexicon_keeps_what_tells_most(spark):
+    """Not the common beginning of a toxic and a plain word, nor a word that few toxic documents hold by chance."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(800):
+        w = ["".join(rng.choices(["lo", "ri", "en", "ta"], k=5)) for _ in range(30)]
+        if i % 8 == 0:
+            w[3] = "patherzon"
+        elif i % 3 == 0:
+            w[3] = "pathway"
+        if i % 16 == 0:
+            w[5] = rng.choice(["grumpeling", "grumpeled", "grumpelest"])
+        rows.append((" ".join(w), int(i % 8 == 0)))
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(got) == {"patherzon ", "grumpel"} or set(got) == {"patherzon ", "grumpele", "grumpeli"} or set(got) == {"patherzon "} | {e for e in got if e.startswith("grumpel")}
+    assert "path" not in got and len(got) <= 4
+
+
+def test_exceptions_are_learnt(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        w = ["".join(rng.choices(["lo", "ri", "en", "ta"], k=5)) for _ in range(20)]
+        bad = i % 4 == 0
+        if bad:
+            w[4] = "vilewort"
+        elif i % 40 == 1:
+            w[4:6] = ["vilewort", "flower"]
+        rows.append((i, " ".join(w), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn_lexicon(df)
+    assert "vilewort flower" in toxicity.learn_exceptions(df, lexicon)
+    asked = spark.createDataFrame([(1000, "en lori a vilewort flower here"), (1001, "en lori a vilewort here")], "doc_id bigint, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(df.select("doc_id", "text").unionByName(asked), df.select("doc_id", "toxic"), exceptions=()).where("doc_id >= 1000").collect()}
+    assert got == {1000: 0, 1001: 1}
+
+
+def _plain_hits(text, lexicon, exceptions):
+    """Words of a folded text that are or begin with an entry and do not lie inside an exception phrase."""
+    text = toxicity.folded(text)
+    spared = [m.span() for e in exceptions for m in re.finditer(rf"(?<![^\W_])(?={re.escape(e)}(?![^\W_]))", text) for m in [re.compile(re.escape(e)).match(text, m.start())]]
+    hits = 0
+    for m in re.finditer(r"[^\W_]+", text):
+        found = [len(e.strip()) for e in lexicon if (m[0] == e.strip() if e.endswith(" ") else m[0].startswith(e))]
+        hits += bool(found) and not any(a <= m.start() and m.start() + min(found) <= b for a, b in spared)
+    return hits
+
+
+def test_scoring_by_plain_search():
+    rng = random.Random(10)
+    lexicon, exceptions = {"ab ": 3.0, "abc": 2.0, "ba": 1.0, "cc ": 4.0}, ("ab c", "c abc", "ba ba")
+    match = toxicity.Matcher(lexicon, exceptions)
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "b", "c", " ", "4", "."], k=rng.randint(0, 25)))
+        assert match(text)[3] == _plain_hits(text, lexicon, exceptions), text
+
+
+def test_many_hits_and_exceptions_take_linear_time():
+    match = toxicity.Matcher({"trash ": 2.0}, ("trash can",))
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        assert match("trash can trash " * n)[3] == n
+        assert time.perf_counter() - began < 5
+
+
+def test_repeated_ids_give_one_text(spark):
+    docs, labels = _toxic(spark)
+    more = spark.range(5000).selectExpr("0L AS doc_id", "concat('lori enta ', id) AS text")
+    got = toxicity.score(docs.unionByName(more), labels).where("doc_id BETWEEN 1 AND 599")
+    assert got.where("predicted = CAST(doc_id % 5 = 0 AS INT)").count() > 590
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
