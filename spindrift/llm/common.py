@@ -133,7 +133,7 @@ def groups_of(df: DataFrame, each: int = 1 << 22) -> int:
 
     A group is held whole by a worker, so groups follow the input's bytes and not the number of tasks.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(parts_of(df), -(-size // each) if size < 1 << 60 else 1)  # without statistics the size is a huge default
 
 

@@ -4,14 +4,16 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts in a docume
 (window) has an anchor: the least 16-byte hash in it, so equal windows have equal anchors at equal places. A run of
 windows with one anchor is a context, at most 35 windows and 84 bytes. Three passes, all keyed by hashes:
 
-1. Anchors with the hash of their context go to buckets, one row of arrays a bucket and task, equal contexts of a task
-   once with their smallest id. A context that a smaller document holds as well is settled there: all its windows go.
-   Contexts whose anchor also has other contexts in other documents are asked for. Most anchors end here.
-2. The bytes of the contexts asked for meet in buckets by anchor. A suffix array over a bucket's contexts, by two-stage
-   sorting, puts equal windows side by side; adjacent common prefixes of `LENGTH` or more give the windows that go.
+1. Anchors go to buckets, one row of arrays a bucket and task, those of a task that are equal once with the smallest and
+   the largest id. An anchor that two documents hold is asked for wherever it stands. Most anchors end here.
+2. The bytes of the contexts asked for meet in buckets by anchor. Contexts of a group of documents that are equal, byte
+   by byte, are sent once, with the smallest id. A suffix array over a bucket's contexts, by two-stage sorting, puts
+   equal windows side by side; adjacent common prefixes of `LENGTH` or more give the windows that go. Hashes only bring
+   windows together; what goes is decided by bytes.
 3. The verdicts meet the texts again, and the covered bytes are cut out.
 
-Texts are dealt out by doc_id. A passage held by very many documents is one row for each task that saw it.
+Texts are dealt out by doc_id, in groups whose number follows the bytes of the input. A passage held by very many
+documents is one record for each group that holds it.
 """
 
 from __future__ import annotations
@@ -20,19 +22,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, joined, materialise, mix, parts_of, ragged, runs, table, tune
+from .common import collect_garbage, groups_of, joined, materialise, mix, ragged, runs, table, tune
 from .flat import flat, small
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 BLOCK = 1 << 20
 FLUSH = 1_500_000
+MOST_TASKS = 20_000
 LAST = np.int64(2**63 - 1)  # stands for a null id, which comes after all others
 _VALUE = mix(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
+_HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, block: int | None = None) -> dict[str, np.ndarray]:
@@ -148,11 +153,6 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sent(h: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """One key for a context in its document, from the upper 48 bits of both hashes."""
-    return mix((h >> np.uint64(16)) ^ mix(ctx >> np.uint64(16)))
-
-
 def _six(x: np.ndarray) -> np.ndarray:
     """The upper 48 bits, as six bytes each."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1).view("V6")
@@ -179,135 +179,155 @@ def _rows(dest: np.ndarray, arrays: list[np.ndarray], names: list[str], base: in
     return pa.RecordBatch.from_arrays(cols, names)
 
 
-ASK, GONE = 0, -1
+def _dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
+    """The rows with their groups over as many tasks as there are groups, up to a bound; a task works on one at a time."""
+    return rows.repartition(max(min(groups, MOST_TASKS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
-def _settle(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """Pass 1: packed (group, doc, key, mask): contexts settled (GONE) and contexts asked for (ASK)."""
-    names = ["dest", "a", "b", "doc"]
+def _shared(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """Pass 1: packed (g, a): the anchors (upper 48 bits) that several documents hold, for each group that has them."""
+    none = pa.table({"g": pa.array([], pa.int64()), "a": pa.array([], pa.binary())})
 
     def emit(batches):
         held, size = [], 0
 
         def flush():
-            h, ctx, doc = (np.concatenate([x[k] for x in held]) for k in range(3))
-            order = np.lexsort((doc, ctx, h))
-            h, ctx, doc = h[order], ctx[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-            head = np.flatnonzero(new)
-            least = np.repeat(doc[head], np.diff(np.append(head, len(h))))
-            yield _rows((h[head] % np.uint64(buckets)).astype(np.int64), [_six(h[head]), _six(ctx[head]), doc[head]], names)
-            gone = doc > least
-            yield _rows(doc[gone] % groups, [_sent(h[gone], ctx[gone]), np.full(int(gone.sum()), GONE, np.int64), doc[gone]], names, buckets)
+            h, doc, g = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.argsort(h, kind="stable")
+            h, doc, g = h[order], doc[order], g[order]
+            head = runs(h)
+            number = np.diff(np.append(head, len(h)))
+            several = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
+            yield _rows((h[head] % np.uint64(buckets)).astype(np.int64), [_six(h[head]), doc[head], several, g[head]], names)
+            # What several documents of this task hold is known to be shared: each group that has it is told at once.
+            told = np.flatnonzero(np.repeat(several, number))
+            _, once = np.unique(mix(h[told] + mix(g[told].astype(np.uint64))), return_index=True)
+            told = told[once]
+            nothing = np.zeros(len(told), np.int64)
+            yield _rows(g[told] + buckets, [_six(h[told]), nothing, nothing.astype(bool), nothing], names)
 
         for batch in small(batches, most=1 << 22):
             got = anchors(*flat(batch.column("text")))
-            ids = batch.column("id").to_numpy()
-            held.append((got["h"], got["ctx"], ids[got["doc"]]))
+            held.append((got["h"] & _HIGH, batch.column("id").to_numpy()[got["doc"]], batch.column("g").to_numpy()[got["doc"]]))
             size += len(got["h"])
             if size >= FLUSH:
-                yield from filter(None, flush())
+                yield from flush()
                 held, size = [], 0
         if size:
-            yield from filter(None, flush())
+            yield from flush()
 
-    def settle(key, rows):
+    def meet(key, rows):
         if key[0].as_py() >= buckets:
-            return pa.table({"g": pa.array(np.full(len(rows), key[0].as_py() - buckets)), "doc": rows.column("doc"), "key": rows.column("a"), "mask": rows.column("b")})
-        h, ctx, doc = _eight(rows.column("a")), _eight(rows.column("b")), joined(rows.column("doc"), np.int64)
-        order = np.lexsort((doc, ctx, h))
-        h, ctx, doc = h[order], ctx[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-        head = np.flatnonzero(new)
-        gone = doc > np.repeat(doc[head], np.diff(np.append(head, len(h))))
-        first = runs(h[head])
-        number = np.diff(np.append(first, len(head)))
-        several = np.minimum.reduceat(doc[head], first) < np.maximum.reduceat(doc[head], first)
-        asked = head[np.repeat(several & (number > 1), number)]
-        at = np.concatenate([np.flatnonzero(gone), asked])
-        mask = np.concatenate([np.full(int(gone.sum()), GONE, np.int64), np.full(len(asked), ASK, np.int64)])
-        out = _rows(doc[at] % groups, [doc[at], _sent(h[at], ctx[at]), mask], ["g", "doc", "key", "mask"])
-        return pa.Table.from_batches([out]) if out else _NONE
-
-    _NONE = pa.table({"g": pa.array([], pa.int64()), "doc": pa.array([], pa.binary()), "key": pa.array([], pa.binary()), "mask": pa.array([], pa.binary())})
-    sent = docs.select("id", "text").mapInArrow(emit, "dest long, a binary, b binary, doc binary")
-    return sent.groupBy("dest").applyInArrow(settle, "g long, doc binary, key binary, mask binary")
-
-
-def _matched(ids: np.ndarray, got: dict[str, np.ndarray], replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For each context whether a reply names it, and the mask (of several: all of them)."""
-    doc, key, mask = (joined(replies.column(c), t) for c, t in (("doc", np.int64), ("key", np.uint64), ("mask", np.int64)))
-    salt = lambda k, d: mix(k + mix(d.astype(np.uint64)))
-    full = salt(key, doc)
-    order = np.argsort(full)
-    full, mask = full[order], mask[order]
-    head = runs(full)
-    if not len(head):
-        return np.zeros(len(got["h"]), bool), np.zeros(len(got["h"]), np.int64)
-    full, mask = full[head], np.bitwise_or.reduceat(mask, head)
-    own = salt(_sent(got["h"], got["ctx"]), ids[got["doc"]])
-    at = np.minimum(np.searchsorted(full, own), len(full) - 1)
-    hit = full[at] == own
-    return hit, np.where(hit, mask[at], 0)
-
-
-def _compare(texts: DataFrame, replies: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """Pass 2: packed (group, doc, key, mask) with a bit for each window of the contexts asked for."""
-    names = ["dest", "h", "doc", "key", "count", "bytes"]
+            return pa.table({"g": pa.array(np.full(len(rows), key[0].as_py() - buckets)), "a": rows.column("a")})
+        h, doc, several, g = _eight(rows.column("a")), joined(rows.column("doc"), np.int64), joined(rows.column("several"), bool), joined(rows.column("g"), np.int64)
+        order = np.argsort(h, kind="stable")
+        h, doc, several, g = h[order], doc[order], several[order], g[order]
+        head = runs(h)
+        shared = np.logical_or.reduceat(several, head) | (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head))
+        at = np.flatnonzero(np.repeat(shared, np.diff(np.append(head, len(h)))) & ~several)
+        out = _rows(g[at], [_six(h[at])], ["g", "a"])
+        return pa.Table.from_batches([out]) if out else none
+
+    names = ["dest", "a", "doc", "several", "g"]
+    sent = docs.select("id", "g", "text").mapInArrow(lambda b: filter(None, emit(b)), "dest long, a binary, doc binary, several binary, g binary")
+    return _dealt(sent, "dest", buckets).groupBy("dest").applyInArrow(meet, "g long, a binary")
+
+
+def _alike(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each span the number of the one that stands for it: of equal bytes, that of the smallest id.
+
+    Spans of one hash and length are held against the first of them; one that differs, by a collision, stands for itself.
+    """
+    order = np.lexsort((np.arange(len(ids)), ids, lengths, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])
+    stands = np.empty(len(order), np.int64)
+    stands[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+    for at in range(0, len(order), 1 << 16):  # byte by byte, some spans at a time
+        part = np.arange(at, min(at + (1 << 16), len(order)))
+        part = part[stands[part] != part]
+        same = data[ragged(starts[part], lengths[part])] == data[ragged(starts[stands[part]], lengths[part])]
+        equal = np.logical_and.reduceat(same, np.cumsum(lengths[part]) - lengths[part]) if len(part) else np.zeros(0, bool)
+        stands[part[~equal]] = part[~equal]
+    return stands
+
+
+def _in_order(rows: pa.Table) -> pa.Array:
+    """The rows by id and text, so that a group's contexts have the same numbers whenever it is read."""
+    return pa.compute.sort_indices(rows.select(["id", "text"]), [("id", "ascending"), ("text", "ascending")])
+
+
+def _asked(left: pa.Table, right: pa.Table):
+    """The contexts of a group of texts whose anchors were asked for: bytes, offsets, ids, contexts, and who stands for whom."""
+    buf, offsets = flat(left.column("text"))
+    ids = left.column("id").to_numpy()
+    got = anchors(buf, offsets)
+    known = np.unique(_eight(right.column("a"))) if len(right) else np.zeros(0, np.uint64)
+    own = got["h"] & _HIGH
+    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own) if len(known) else np.zeros(0, np.int64)
+    got = {k: v[at] for k, v in got.items()}
+    stands = _alike(buf, got["start"], got["count"] + LENGTH - 1, mix(got["h"] + mix(got["ctx"])), ids[got["doc"]])
+    return buf, offsets, ids, got, stands
+
+
+def _compare(texts: DataFrame, asked: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """Pass 2: packed (g, place, mask): for contexts sent by a group, by their number there, a bit for each window that goes."""
+    names = ["dest", "h", "doc", "g", "place", "count", "bytes"]
     none = pa.table({"dest": pa.array([], pa.int64())} | {c: pa.array([], pa.binary()) for c in names[1:]})
+    nothing = pa.table({"g": pa.array([], pa.int64()), "place": pa.array([], pa.binary()), "mask": pa.array([], pa.binary())})
 
-    def emit(_key, left, right):
+    def emit(key, left, right):
         if not len(left) or not len(right):
             return none
-        buf, offsets = flat(left.column("text"))
-        ids = left.column("id").to_numpy()
-        got = anchors(buf, offsets)
-        hit, mask = _matched(ids, got, right)
-        at = np.flatnonzero(hit & (mask == ASK))
+        buf, _, ids, got, stands = _asked(left.take(_in_order(left)), right)
+        at = np.flatnonzero(stands == np.arange(len(stands)))
         if not len(at):
             return none
-        _, once = np.unique(mix(_sent(got["h"][at], got["ctx"][at]) + mix(ids[got["doc"][at]].astype(np.uint64))), return_index=True)
-        at = at[once]
-        dest = (got["h"][at] % np.uint64(buckets)).astype(np.int64)
-        at = at[np.argsort(dest, kind="stable")]
+        at = at[np.argsort((got["h"][at] % np.uint64(buckets)), kind="stable")]
         dest = (got["h"][at] % np.uint64(buckets)).astype(np.int64)
         lengths = got["count"][at] + LENGTH - 1
-        data = buf[ragged(got["start"][at], lengths)]
-        out = _rows(dest, [got["h"][at], ids[got["doc"][at]], _sent(got["h"][at], got["ctx"][at]), got["count"][at].astype(np.uint8)], names[:5])
         ends = np.cumsum(lengths)
-        head = runs(dest)
-        edges = np.concatenate([[0], ends])[np.append(head, len(dest))]
+        out = _rows(dest, [got["h"][at], ids[got["doc"][at]], np.full(len(at), key[0].as_py(), np.int64), at, got["count"][at].astype(np.uint8)], names[:6])
+        edges = np.concatenate([[0], ends])[np.append(runs(dest), len(dest))]
+        data = buf[ragged(got["start"][at], lengths)]
         return pa.Table.from_batches([out]).append_column("bytes", pa.array([data[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()))
 
     def compare(_key, rows):
-        doc, key = joined(rows.column("doc"), np.int64), joined(rows.column("key"), np.uint64)
+        doc, g, place = (joined(rows.column(c), np.int64) for c in ("doc", "g", "place"))
         count, data = joined(rows.column("count"), np.uint8).astype(np.int64), joined(rows.column("bytes"), np.uint8)
-        lengths = count + LENGTH - 1
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        text = np.zeros(int((lengths + 1).sum()) + LENGTH, np.uint8)
-        text[ragged(starts, lengths)] = data + 1  # no byte of UTF-8 is 255
-        wanted = ragged(starts, count)
-        owner = np.repeat(np.arange(len(doc)), count)
-        place = np.zeros(len(text), np.int64)
-        place[wanted] = np.arange(len(wanted))
-        order = two_stage(text, wanted)
-        same = common_prefixes(text, order) >= LENGTH
-        head = np.flatnonzero(~same)
-        of = doc[owner[place[order]]]
-        least = np.repeat(np.minimum.reduceat(of, head), np.diff(np.append(head, len(of))))
-        gone = np.zeros(len(wanted), bool)
-        gone[place[order]] = of > least
-        first = np.cumsum(count) - count
-        bit = np.int64(1) << (np.arange(len(wanted)) - np.repeat(first, count))
-        mask = np.add.reduceat(np.where(gone, bit, 0), first)
+        if not len(doc):
+            return nothing
+        mask = _judged(doc, count, data)
         at = np.flatnonzero(mask)
-        out = _rows(doc[at] % groups, [doc[at], key[at], mask[at]], ["g", "doc", "key", "mask"])
-        return pa.Table.from_batches([out]) if out else pa.table({"g": pa.array([], pa.int64()), "doc": pa.array([], pa.binary()), "key": pa.array([], pa.binary()), "mask": pa.array([], pa.binary())})
+        out = _rows(g[at], [place[at], mask[at]], ["g", "place", "mask"])
+        return pa.Table.from_batches([out]) if out else nothing
+
+    rows = _dealt(texts.select("g", "id", "text"), "g", groups)
+    sent = rows.groupBy("g").cogroup(_dealt(asked, "g", groups).groupBy("g")).applyInArrow(emit, "dest long, h binary, doc binary, g binary, place binary, count binary, bytes binary")
+    return _dealt(sent, "dest", buckets).groupBy("dest").applyInArrow(compare, "g long, place binary, mask binary")
+
+
+def _judged(doc: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A mask for each context, a bit for each window that also starts in a document with a smaller id."""
+    lengths = count + LENGTH - 1
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    text = np.zeros(int((lengths + 1).sum()) + LENGTH, np.uint8)
+    text[ragged(starts, lengths)] = data + 1  # no byte of UTF-8 is 255
+    wanted = ragged(starts, count)
+    place = np.zeros(len(text), np.int64)
+    place[wanted] = np.arange(len(wanted))
+    order = two_stage(text, wanted)
+    head = np.flatnonzero(common_prefixes(text, order) < LENGTH)
+    of = np.repeat(doc, count)[place[order]]
+    least = np.repeat(np.minimum.reduceat(of, head), np.diff(np.append(head, len(of))))
+    gone = np.zeros(len(wanted), bool)
+    gone[place[order]] = of > least
+    first = np.cumsum(count) - count
+    bit = np.int64(1) << (np.arange(len(wanted)) - np.repeat(first, count))
+    return np.add.reduceat(np.where(gone, bit, 0), first)
+
 
-    asked = texts.select("g", "id", "text").groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(emit, "dest long, h binary, doc binary, key binary, count binary, bytes binary")
-    return asked.groupBy("dest").applyInArrow(compare, "g long, doc binary, key binary, mask binary")
+GONE = -1  # a mask of all windows
 
 
 def covered(buf: np.ndarray, got: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
@@ -328,7 +348,8 @@ def covered(buf: np.ndarray, got: dict[str, np.ndarray], mask: np.ndarray) -> np
 def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, text and `columns`) for each row of docs.
 
-    text is kept as a string, without the bytes of characters that were cut in two.
+    text is kept as a string, without the bytes of characters that were cut in two. Of `columns`, which are docs' own
+    and may have any names, one that has the name of a result is left out.
 
     docs: (doc_id, text, ...). A null text is empty. A null id counts as larger than all others. Rows that repeat an id
     are one document: they do not remove from each other. Texts of any length are judged whole; those under LENGTH
@@ -336,24 +357,28 @@ def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] =
     """
     spark = docs.sparkSession
     tune(spark)
-    parts = parts_of(docs)
-    buckets = parts
-    groups = next(p for p in range(2 * parts + 1, 100 * parts + 100) if all(p % q for q in range(2, int(p**0.5) + 1)))
+    buckets = groups = groups_of(docs)
+    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "text"] * with_kept
+    columns = tuple(c for c in columns if c not in result)
     text = F.col("text").cast("string").alias("text")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text, *columns)
-    texts = base.withColumn("g", F.pmod("id", F.lit(groups)))
-    first = materialise(_settle(base, buckets, groups))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text, *(F.col(f"`{c}`").alias(f"_own_{k}") for k, c in enumerate(columns)))
+    own = [f"_own_{k}" for k in range(len(columns))]
+    texts = base.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    asked = materialise(_shared(texts, buckets, groups))
     collect_garbage(spark)
-    second = materialise(_compare(texts, first, buckets, groups))
+    masks = materialise(_compare(texts, asked, buckets, groups))
     collect_garbage(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, text string" * with_kept
-    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.select(*columns).schema)
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.select(*own).schema)
 
     def cut(_key, left, right):
-        buf, offsets = flat(left.column("text"))
-        ids = left.column("id").to_numpy()
-        got = anchors(buf, offsets)
-        gone = covered(buf, got, _matched(ids, got, right)[1])
+        left = left.take(_in_order(left))
+        buf, offsets, ids, got, stands = _asked(left, right)
+        mask = np.zeros(len(stands), np.int64)
+        replies = right.filter(pa.compute.is_valid(right.column("mask")))
+        mask[joined(replies.column("place"), np.int64)] = joined(replies.column("mask"), np.int64)
+        doc = ids[got["doc"]]
+        gone = covered(buf, got, np.where(doc > doc[stands], GONE, mask[stands]))
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         edge = offsets[:-1][offsets[:-1] < len(buf)]
@@ -367,12 +392,16 @@ def dedup(docs: DataFrame, *, with_kept: bool = True, columns: tuple[str, ...] =
         if with_kept:
             cols["kept"] = pa.array(kept, pa.binary())
             cols["text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-        return pa.table(cols | {c: left.column(c) for c in columns})
+        return pa.table(cols | {c: left.column(c) for c in own})
 
-    return texts.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(cut, schema)
+    replies = asked.select("g", "a", F.lit(None).cast("binary").alias("place"), F.lit(None).cast("binary").alias("mask"))
+    replies = replies.unionByName(masks.select("g", F.lit(b"").alias("a"), "place", "mask"))
+    out = _dealt(texts, "g", groups).groupBy("g").cogroup(_dealt(replies, "g", groups).groupBy("g")).applyInArrow(cut, schema)
+    return out.select(*result, *(F.col(a).alias(c) for a, c in zip(own, columns, strict=True)))
 
 
 def op5_suffix(spark, sf_dir):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; see dedup for nulls, repeats and long texts."""
     return dedup(table(spark, sf_dir, "documents"), with_kept=False)
 
 
