@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import collect_garbage, groups_of, joined, materialise, mix, ragged, runs, table, tune
-from .flat import flat, small
+from .flat import flat, small, span_hashes
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
@@ -297,7 +297,13 @@ def _compare(texts: DataFrame, asked: DataFrame, buckets: int, groups: int) -> D
         count, data = joined(rows.column("count"), np.uint8).astype(np.int64), joined(rows.column("bytes"), np.uint8)
         if not len(doc):
             return nothing
-        mask = _judged(doc, count, data)
+        lengths = count + LENGTH - 1
+        starts = np.cumsum(lengths) - lengths
+        stands = _alike(data, starts, lengths, span_hashes(data, starts, starts + lengths), doc)
+        one = np.flatnonzero(stands == np.arange(len(stands)))  # contexts that groups share are sorted once
+        mask = np.zeros(len(doc), np.int64)
+        mask[one] = _judged(doc[one], count[one], data[ragged(starts[one], lengths[one])])
+        mask = np.where(doc > doc[stands], (np.int64(1) << count) - 1, mask[stands])
         at = np.flatnonzero(mask)
         out = _rows(g[at], [place[at], mask[at]], ["g", "place", "mask"])
         return pa.Table.from_batches([out]) if out else nothing
