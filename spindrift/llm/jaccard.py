@@ -1,22 +1,29 @@
 """Exact Jaccard join over word shingles by pivots in the metric space of the Jaccard distance.
 
-Two sets link at a similarity of at least `percent`; the radius is r = 1 - percent / 100. Random pivots are of no use
-here, as most sets are at distance 1 of each other. So the space is first cut where distance 1 can be seen:
+Two sets link at a similarity of at least `percent`; the radius is r = 1 - percent / 100. Pivots drawn from all sets are
+of no use here, as most sets are at distance 1 of each other. So the space is first cut where distance 1 can be seen:
 
 1. A set with more than r of its size in shingles that no other set has cannot link. Shingles whose hash lies under a
-   fixed share of its range are compared across all sets, and sets above the bound leave; those that stay are compared
-   once more, by all their shingles.
-2. Linked sets must share one of their floor(r * size) + 1 first shingles in any common order (their prefix), so each
-   prefix shingle is a cell of the sets that hold it there. The order is by hash, the most frequent shingles last.
+   fixed share of its range are compared across all sets, and sets above the bound leave. Of those that stay all
+   shingles are counted, and what no second set has is done with: only shared shingles go on.
+2. In the order of these counts, rarest first, linked sets share one of their first shingles: of the larger set among
+   the first r * size + 1, of the smaller one (they may be of one size) among the first half as many. Each such shingle
+   is a cell; a cell in which no set could be the smaller one of a pair is empty space.
 3. A pivot is elected in each cell, by a hash, so that like sets elect the same one. A pivot's region is all sets of
-   its cells; linked sets share a region. Distances to pivots are exact, over whole texts, and sets within r of a pivot
-   are one component with it.
+   its cells; linked sets share a region. Distances to pivots are exact, and sets within r of a pivot are one
+   component with it.
 4. A region is cut into rings of width r around its pivot. By the triangle inequality linked sets lie in one ring or in
-   neighbours, so a set also goes to the next ring outwards. Rings whose sets are one component already are done.
-   Others are joined exactly; a ring of more than MEMBERS sets is cut into blocks again, and pairs of blocks join.
-
-So components come out as if all pairs had been compared, while a group of n near copies costs about n distances.
-Equal 64-bit hashes are taken for equal shingles, and equal fingerprints of sets for equal sets.
+   neighbours, so a set is also replicated to the next ring outwards. Rings whose sets are one component are done.
+5. A ring of more than FIT sets is split again: pivots are drawn in it, each set goes to the Voronoi cell of its nearest
+   pivot and, as sets within r of each other differ by at most 2 r in how much farther any pivot is than the nearest,
+   also to each cell whose pivot is at most 2 r farther. Sets that are far from all pivots share one more cell, with
+   a window of its own. Cells are split in turn until they fit, and joined exactly.
+6. Where the distances of a ring are all about the same, windows hold everything and splitting stops: such a ring is
+   dealt into blocks of GRID sets, and pairs of blocks are joined.
+
+So components come out as if all pairs had been compared, while a group of n near copies costs about n distances, and
+families of texts that are near but not within r of each other leave in steps 1 and 2 where the differences are their
+own. Equal 64-bit hashes are taken for equal shingles, and equal 128-bit fingerprints of sets for equal sets.
 """
 
 from __future__ import annotations
@@ -25,16 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import collect_garbage, joined, materialise, mix, parts_of, ragged, runs, table, tune
+from .common import collect_garbage, groups_of, joined, materialise, mix, ragged, release, runs, table, tune
 from .flat import LOWER, flat, small, span_hashes, window_starts, windows, word_bounds, word_counts
 
 SHINGLE, PERCENT = 5, 80
 SHARE = 0.3  # of the hash range, in the first comparison
-HOT, HOTTEST = 256, 1 << 16  # shingles of more prefixes go last in the order, at most so many; the order alone changes
 LAST = 2**63 - 1  # stands for a null id
-MEMBERS = 256  # sets that meet a pivot in one group
+MEMBERS = 32  # sets that meet a pivot in one group
+FIT, PIVOTS, DEEPEST = 512, 24, 4  # sets that are joined directly; pivots that split more; how often
+FAR = 0.7  # sets farther than this from all pivots have a cell of their own
+GRID, GRID_BYTES = 512, 1 << 23  # sets, and bytes of their shingles, in a block
+MOST_TASKS = 20_000
 
 
 def sets_of(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +67,19 @@ def sets_of(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[
     return h[new], np.bincount(doc[new], minlength=len(counts))
 
 
-def fingerprints(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def fingerprints(h: np.ndarray, counts: np.ndarray, salt: int = 0xA0761D6478BD642F) -> np.ndarray:
     """A signed 64-bit fingerprint of each set; 0 for an empty one."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA0761D6478BD642F)))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))])
     ends = np.cumsum(counts)
     got = mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64))
     return np.where(counts > 0, got, 0).astype(np.uint64).view(np.int64)
 
 
+def seconds(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The other half of the fingerprint."""
+    return fingerprints(h, counts, 0xE7037ED1A0B428DB)
+
+
 def _packed(dest: np.ndarray, arrays: dict[str, np.ndarray], kind: int, base: int = 0) -> pa.RecordBatch | None:
     if not len(dest):
         return None
@@ -73,19 +87,25 @@ def _packed(dest: np.ndarray, arrays: dict[str, np.ndarray], kind: int, base: in
     head = runs(dest[order])
     edges = np.append(head, len(order)).tolist()
     cols = [pa.array((dest[order[head]] + base).astype(np.int64)), pa.array(np.full(len(head), kind, np.int32))]
-    for name in "abcde":
+    for name in "abcdef":
         a = arrays.get(name)
         a = a[order] if a is not None else None
         cols.append(pa.array([b"" if a is None else a[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["dest", "kind", *"abcde"])
+    return pa.RecordBatch.from_arrays(cols, ["dest", "kind", *"abcdef"])
 
 
-_PACKED = "dest long, kind int, a binary, b binary, c binary, d binary, e binary"
+_PACKED = "dest long, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
 DOCS, SHARED = 0, 1
 
 
-def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: int, share: float) -> DataFrame:
-    """id, text_key, n, c (the set's fingerprint), alive: whether step 1 leaves the set in."""
+def _dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
+    """The rows over as many tasks as there are groups, up to a bound."""
+    return rows.repartition(max(min(groups, MOST_TASKS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def _described(docs: DataFrame, groups: int, percent: int, size: int, share: float) -> DataFrame:
+    """id, text_key, n, c and c2 (the set's fingerprint), alive: whether the first comparison leaves the set in."""
+    buckets = groups
     limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def emit(batches):
@@ -112,7 +132,7 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
             of = np.repeat(np.arange(len(counts)), counts)
             pick = h < limit
             sampled = np.bincount(of[pick], minlength=len(counts)).astype(np.int64)
-            yield _packed((c.view(np.uint64) % np.uint64(groups)).astype(np.int64), {"a": c, "b": counts.astype(np.int64), "c": sampled, "d": batch.column("id").to_numpy(), "e": batch.column("text_key").to_numpy()}, DOCS, buckets) if len(c) else None
+            yield _packed((c.view(np.uint64) % np.uint64(groups)).astype(np.int64), {"a": c, "b": counts.astype(np.int64), "c": sampled, "d": batch.column("id").to_numpy(), "e": batch.column("text_key").to_numpy(), "f": seconds(h, counts)}, DOCS, buckets) if len(c) else None
             held.append((h[pick], c[of[pick]]))
             records += len(held[-1][0])
             if records > 1_500_000:
@@ -141,7 +161,7 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
     def tally(_key, rows):
         kinds = rows.column("kind").to_numpy()
         docs_, shared_ = rows.filter(pa.array(kinds == DOCS)), rows.filter(pa.array(kinds == SHARED))
-        c, n, s, ids, text_key = (joined(docs_.column(x), np.int64) for x in "abcde")
+        c, n, s, ids, text_key, c2 = (joined(docs_.column(x), np.int64) for x in "abcdef")
         keys, counts = joined(shared_.column("a"), np.int64), joined(shared_.column("b"), np.int64)
         known, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, counts, len(known)).astype(np.int64) if len(known) else np.zeros(0, np.int64)
@@ -150,80 +170,204 @@ def _described(docs: DataFrame, buckets: int, groups: int, percent: int, size: i
             at = np.minimum(np.searchsorted(known, c), len(known) - 1)
             met = np.where(known[at] == c, total[at], 0)
         alive = (n > 0) & (s - met <= n * (100 - percent) // 100)
-        return pa.table({"id": ids, "text_key": text_key, "n": n, "c": c, "alive": alive})
+        return pa.table({"id": ids, "text_key": text_key, "n": n, "c": c, "c2": c2, "alive": alive})
 
     sent = docs.select("id", "text", "text_key").mapInArrow(lambda b: filter(None, emit(b)), _PACKED)
-    met = sent.groupBy("dest").applyInArrow(meet, _PACKED)
-    return met.groupBy("dest").applyInArrow(tally, "id long, text_key long, n long, c long, alive boolean")
+    met = _dealt(sent, "dest", 2 * groups).groupBy("dest").applyInArrow(meet, _PACKED)
+    return met.groupBy("dest").applyInArrow(tally, "id long, text_key long, n long, c long, c2 long, alive boolean")
 
 
-def _prefixes(texts: DataFrame, hot, percent: int, size: int) -> DataFrame:
-    """h, c: the prefix shingles of each set; hot: a broadcast of sorted hashes that come last in the order."""
+def _shared_sets(texts: DataFrame, groups: int, percent: int, size: int) -> DataFrame:
+    """c, n, shared, prefix, short of the sets of texts(c, text) that may link: packed hashes of the shingles that other
+    sets have too, sorted; of these the ones in the set's prefix; and whether they are in the prefix of a smaller set."""
 
-    def run(batches):
-        late = hot.value
-        for batch in small(batches):
+    def emit(batches):
+        held, records = [], 0
+
+        def flush():
+            h, c = (np.concatenate([x[k] for x in held]) for k in range(2))
+            return _packed((h % np.uint64(groups)).astype(np.int64), {"a": h, "b": c}, SHARED)
+
+        for batch in small(batches, most=1 << 22):
             h, counts = sets_of(*flat(batch.column("text")), size)
-            of = np.repeat(np.arange(len(counts)), counts)
-            if len(late):
-                is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                order = np.lexsort((h, is_late, of))
-                h = h[order]
-            take = np.minimum(counts * (100 - percent) // 100 + 1, counts)
-            at = ragged(np.cumsum(counts) - counts, take)
             c = batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[of[at]])], ["h", "c"])
+            yield _packed((c.view(np.uint64) % np.uint64(groups)).astype(np.int64), {"a": c, "b": counts.astype(np.int64)}, DOCS, groups)
+            held.append((h, np.repeat(c, counts)))
+            records += len(h)
+            if records > 1_500_000:
+                yield flush()
+                held, records = [], 0
+        if records:
+            yield flush()
+
+    def meet(key, rows):
+        if key[0].as_py() >= groups:
+            return rows
+        h, c = joined(rows.column("a"), np.uint64), joined(rows.column("b"), np.int64)
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        head = runs(h)
+        number = np.repeat(np.diff(np.append(head, len(h))), np.diff(np.append(head, len(h))))
+        at = np.flatnonzero(number > 1)
+        out = _packed((c[at].view(np.uint64) % np.uint64(groups)).astype(np.int64), {"a": c[at], "b": h[at], "c": number[at].astype(np.int32)}, SHARED, groups)
+        return pa.Table.from_batches([out]) if out else rows.slice(0, 0)
+
+    def tally(_key, rows):
+        kinds = rows.column("kind").to_numpy()
+        of_docs, of_shingles = rows.filter(pa.array(kinds == DOCS)), rows.filter(pa.array(kinds == SHARED))
+        c, n = joined(of_docs.column("a"), np.int64), joined(of_docs.column("b"), np.int64)
+        order = np.argsort(c)
+        c, n = c[order], n[order]
+        owner, h, often = joined(of_shingles.column("a"), np.int64), joined(of_shingles.column("b"), np.uint64), joined(of_shingles.column("c"), np.int32)
+        place = np.searchsorted(c, owner)
+        order = np.lexsort((h, often, place))
+        h, place = h[order], place[order]
+        shared = np.bincount(place, minlength=len(c))
+        alone = n - shared  # these come first in the order
+        first = np.cumsum(shared) - shared
+        rank = np.arange(len(h)) - first[place] + alone[place]
+        long = (n * (100 - percent) // 100 + 1)[place]
+        brief = (n - -(-2 * percent * n // (100 + percent)) + 1)[place]
+        entry = rank < np.minimum(long, n[place])
+        entries = np.bincount(place[entry], minlength=len(c))
+        ends = np.cumsum(entries)
+        prefix, short = h[entry], (rank < brief)[entry]
+        by_hash = np.lexsort((h, place))
+        every = h[by_hash]
+        cols = {"c": [], "n": [], "shared": [], "prefix": [], "short": []}
+        for i in np.flatnonzero(entries).tolist():
+            a, b = ends[i] - entries[i], ends[i]
+            for name, value in zip(cols, (c[i], n[i], every[first[i] : first[i] + shared[i]].tobytes(), prefix[a:b].tobytes(), short[a:b].tobytes()), strict=True):
+                cols[name].append(value)
+        kinds_ = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds_, strict=True)})
+
+    sent = texts.select("c", "text").mapInArrow(lambda b: filter(None, emit(b)), _PACKED)
+    met = _dealt(sent, "dest", 2 * groups).groupBy("dest").applyInArrow(meet, _PACKED)
+    return _dealt(met, "dest", groups).groupBy("dest").applyInArrow(tally, "c long, n long, shared binary, prefix binary, short binary")
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """h, c, short: the cells of each set."""
+
+    def run(batches):
+        for batch in batches:
+            h, short = joined(batch.column("prefix"), np.int64), joined(batch.column("short"), bool)
+            counts = np.array([len(x) // 8 for x in batch.column("prefix").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column("c").to_numpy(), counts)), pa.array(short)], ["h", "c", "short"])
 
-    return texts.select("c", "text").mapInArrow(run, "h long, c long")
+    return sets.select("c", "prefix", "short").mapInArrow(run, "h long, c long, short boolean")
 
 
-def _distances(pairs: DataFrame, texts: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
-    """x, p, both (size of the intersection), link, d for pairs(x, p): every x of a pivot p, in groups of at most about MEMBERS."""
-    crowd = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(float(MEMBERS))).cast("long").alias("salts"))
-    members = pairs.join(crowd, "p").select("p", F.col("x").alias("c"), F.pmod(F.xxhash64("x"), "salts").alias("salt"), F.lit(1).alias("role"))
-    pivots = crowd.select("p", F.col("p").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    rows = members.unionByName(pivots).join(texts, "c").select(F.pmod(F.xxhash64("p", "salt"), F.lit(buckets)).alias("g"), "p", "salt", "role", "c", "text")
+def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, groups: int, percent: int, far: float | None = None) -> DataFrame:
+    """key, x, p, rest, link, d: members(key, c) against the pivots(key, p) of their key, within 2 r of the nearest.
+
+    A key's members are dealt into blocks of about MEMBERS; each block has the key's pivots, which are few. With `far`,
+    sets whose nearest pivot is farther than that are at home in one more cell, the rest, which has a row with p = 0 for
+    each set that is farther than far - r from all pivots; and a set goes to other cells only up to far + r from it.
+    """
+    r = (100 - percent) / 100
+    window, reach = 2 * r + 1e-9, (far + r + 1e-9) if far is not None else 2.0
+    crowd = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(MEMBERS))).cast("long").alias("salts"))
+    rows = members.join(crowd, "key").select("key", "c", F.pmod(F.xxhash64("c", "key"), "salts").alias("salt"), F.lit(1).alias("role"))
+    heads = pivots.join(crowd, "key").select("key", F.col("p").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    rows = rows.unionByName(heads).join(sets.select("c", "n", "shared"), "c")
+    rows = rows.select(F.pmod(F.xxhash64("key", "salt"), F.lit(4 * groups)).alias("g"), "key", "salt", "role", "c", "n", "shared")
 
     def meet(_key, got):
-        p, salt, role, c = (got.column(k).to_numpy() for k in ("p", "salt", "role", "c"))
-        h, counts = sets_of(*flat(got.column("text")), size)
-        of = np.repeat(np.arange(len(counts)), counts)
-        place = mix(p.view(np.uint64) ^ mix(salt.view(np.uint64)))
-        key = mix(h + place[of])
-        pivot = role[of] == 0
-        own = np.sort(key[pivot])
-        mine = key[~pivot]
-        hit = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine if len(own) else np.zeros(len(mine), bool)
-        both = np.bincount(of[~pivot][hit], minlength=len(counts))
-        sizes = dict(zip(place[role == 0].tolist(), counts[role == 0].tolist(), strict=True))
-        at = np.flatnonzero(role == 1)
-        other = np.array([sizes[k] for k in place[at].tolist()], np.int64)
-        union = counts[at] + other - both[at]
-        return pa.table({"x": c[at], "p": p[at], "both": both[at].astype(np.int64), "link": 100 * both[at] >= percent * union, "d": 1.0 - both[at] / union})
-
-    return rows.groupBy("g").applyInArrow(meet, "x long, p long, both long, link boolean, d double")
-
-
-def _rings(rows: DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
-    """x, p of links within each group of rows(ring, block, c, text): edges enough to connect what links connect."""
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("ring", "block"), F.lit(buckets))).select("g", "ring", "block", "c", "text")
+        key, salt, role, c, n = (got.column(k).to_numpy() for k in ("key", "salt", "role", "c", "n"))
+        block = mix(key.view(np.uint64) ^ mix(salt.astype(np.uint64)))
+        order = np.lexsort((c, role, block))
+        cols = {k: [] for k in ("key", "x", "p", "rest", "link", "d")}
+        data = got.column("shared")
+        head = np.append(runs(block[order]), len(order))
+        for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
+            part = order[a:b]
+            ours, theirs = part[role[part] == 1], part[role[part] == 0]
+            h = [np.frombuffer(data[int(i)].as_py(), np.uint64) for i in ours]
+            size = np.array([len(x) for x in h], np.int64)
+            of, h = np.repeat(np.arange(len(ours)), size), np.concatenate(h) if len(h) else np.zeros(0, np.uint64)
+            d, link = np.ones((len(ours), len(theirs))), np.zeros((len(ours), len(theirs)), bool)
+            for j, i in enumerate(theirs):
+                own = np.frombuffer(data[int(i)].as_py(), np.uint64)
+                if not len(own) or not len(h):
+                    continue
+                hit = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+                both = np.bincount(of[hit], minlength=len(ours))
+                union = n[ours] + n[i] - both
+                d[:, j], link[:, j] = 1 - both / union, 100 * both >= percent * union
+            if not len(theirs):
+                continue
+            least = d.min(1)
+            at, to = np.nonzero((d <= np.minimum(least[:, None] + window, reach)) | link)
+            beyond = np.flatnonzero(least > far - r - 1e-9) if far is not None else at[:0]
+            rest = np.repeat([False, True], [len(at), len(beyond)])
+            values = (c[ours[at]], c[ours[beyond]]), (c[theirs[to]], 0 * beyond), (link[at, to], beyond < 0), (d[at, to], least[beyond])
+            x, p, linked, away = (np.concatenate(v) for v in values)
+            for name, value in zip(cols, (np.full(len(x), key[part[0]]), x, p, rest, linked, away), strict=True):
+                cols[name].append(value)
+        kinds = (np.int64, np.int64, np.int64, bool, bool, float)
+        return pa.table({k: np.concatenate(v) if v else np.zeros(0, t) for (k, v), t in zip(cols.items(), kinds, strict=True)})
+
+    return _dealt(rows, "g", 4 * groups).groupBy("g").applyInArrow(meet, "key long, x long, p long, rest boolean, link boolean, d double")
+
+
+def _exact(members: DataFrame, sets: DataFrame, groups: int, percent: int) -> DataFrame:
+    """x, p of links within each key of members(key, c): edges enough to connect what links connect."""
+    rows = members.join(sets.select("c", "n", "shared"), "c")
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(4 * groups)).alias("g"), "key", "c", "n", "shared")
 
     def meet(_key, got):
-        key = mix(got.column("ring").to_numpy().view(np.uint64) ^ mix(got.column("block").to_numpy().view(np.uint64)))
-        got = got.take(pa.array(np.argsort(key, kind="stable")))
-        key = np.sort(key)
-        head = np.append(runs(key), len(key))
+        key, c, n = (got.column(k).to_numpy() for k in ("key", "c", "n"))
+        order = np.lexsort((c, key))
+        head = np.append(runs(key[order]), len(order))
         links: list[tuple[int, int]] = []
         for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
-            part = got.slice(a, b - a)
-            links += _linked(part.column("c").to_numpy(), *sets_of(*flat(part.column("text")), size), percent)
+            part = order[a:b]
+            h = [np.frombuffer(got.column("shared")[int(i)].as_py(), np.uint64) for i in part]
+            links += _linked(c[part], np.concatenate(h), np.array([len(x) for x in h], np.int64), n[part], percent)
         return pa.table({"x": pa.array([x for x, _ in links], pa.int64()), "p": pa.array([y for _, y in links], pa.int64())})
 
-    return rows.groupBy("g").applyInArrow(meet, "x long, p long")
-
-
-def _linked(c: np.ndarray, h: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a few sets, by products of their shingle matrix, a stripe of shingles at a time."""
+    return _dealt(rows, "g", 4 * groups).groupBy("g").applyInArrow(meet, "x long, p long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members(key, c, n) dealt into blocks of GRID sets; a key for each pair of blocks of a key."""
+    crowd = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(GRID))), F.ceil(F.sum(8 * F.col("n")) / F.lit(float(GRID_BYTES)))).cast("long").alias("blocks"))
+    rows = members.join(crowd, "key").withColumn("i", F.pmod(F.xxhash64("c", F.lit(7)), "blocks"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.greatest("i", "j") * F.col("blocks") + F.least("i", "j")).alias("key"), "c")
+
+
+def _regions(member: DataFrame, links: list[DataFrame], sets: DataFrame, groups: int, percent: int) -> DataFrame:
+    """key, c of groups that fit and are to be joined exactly, from member(key, c, label, n, short): rings and their cells."""
+    done = []
+    for depth in range(DEEPEST + 1):
+        crowd = member.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any_short"))
+        crowd = materialise(crowd.where("low != high AND any_short").withColumn("fits", (F.col("m") <= FIT) & (8 * F.col("shingles") <= 2 * GRID_BYTES)).select("key", "m", "fits"))
+        done.append(member.join(crowd.where("fits").select("key"), "key").select("key", "c"))
+        if not crowd.where("NOT fits").limit(1).count():
+            break
+        large = materialise(member.join(crowd.where("NOT fits").select("key", "m"), "key"))
+        if depth == DEEPEST:
+            done.append(_blocks(large))
+            break
+        pivots = large.where(F.pmod(F.xxhash64("c", "key", F.lit(depth)), F.ceil(F.col("m") / PIVOTS).cast("long")) == 0).select("key", F.col("c").alias("p"))
+        met = materialise(_distances(large.select("key", "c"), pivots, sets, groups, percent, FAR))
+        links.append(met.where("link").select("x", "p"))
+        cells = met.groupBy("key", "p", "rest").agg(F.count("*").alias("held")).groupBy("key").agg(F.max("held").alias("most"), F.sum("held").alias("all"))
+        split = cells.join(crowd, "key").where((F.col("most") <= 0.7 * F.col("m")) & (F.col("all") <= 4 * F.col("m"))).select("key")
+        done.append(_blocks(large.join(split, "key", "left_anti")))
+        inner = large.join(split, "key").join(met.select("key", F.col("x").alias("c"), "p", "rest"), ["key", "c"])
+        member = materialise(inner.select(F.xxhash64("key", "p", "rest").alias("key"), "c", "label", "n", "short"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.distinct()
+
+
+def _linked(c: np.ndarray, h: np.ndarray, counts: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a few sets of given sizes, of whose shingles h has counts each, by products of their shingle matrix, a stripe of shingles at a time."""
     n = len(c)
     of = np.repeat(np.arange(n), counts)
     order = np.argsort(h, kind="stable")
@@ -233,13 +377,13 @@ def _linked(c: np.ndarray, h: np.ndarray, counts: np.ndarray, percent: int) -> l
     keep = np.repeat(number > 1, number)
     column = np.cumsum(np.concatenate([[True], h[keep][1:] != h[keep][:-1]])) - 1 if keep.any() else np.zeros(0, np.int64)
     of = of[keep]
-    both = np.zeros((n, n), np.float64)
+    both = np.zeros((n, n), np.float32)  # whole numbers below 2**24 are exact
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         lo, hi = np.searchsorted(column, [at, at + 4096])
         m = np.zeros((n, 4096), np.float32)
         m[of[lo:hi], column[lo:hi] - at] = 1
         both += m @ m.T
-    union = counts[:, None] + counts[None, :] - both
+    union = sizes[:, None] + sizes[None, :] - both.astype(np.float64)
     a, b = np.nonzero(np.triu(100 * both >= percent * union, 1) & (c[:, None] != c[None, :]))
     root = list(range(n))
 
@@ -266,9 +410,21 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(near, F.col("a") == F.col("c")).select("c", "label", F.least("label", "near").alias("new"))
         far = labels.select(F.col("c").alias("new"), F.col("label").alias("far"))
         moved = materialise(spread.join(far, "new").select("c", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")))
-        labels = moved.select("c", "label")
+        release(labels)
+        labels = moved
         if not moved.where("moved").limit(1).count():
-            return labels
+            release(edges)
+            return moved.select("c", "label")
+
+
+def _told_apart(described: DataFrame) -> DataFrame:
+    """The same rows, where fingerprints that agree in one half and not in the other are made different, and their sets stay in."""
+    twins = described.where("n > 0").groupBy("c").agg(F.min("c2").alias("low"), F.max("c2").alias("high")).where("low != high").select(F.col("c").alias("twin"))
+    if not twins.limit(1).count():
+        return described
+    rows = described.join(materialise(twins), F.col("c") == F.col("twin"), "left")
+    both = F.when(F.col("twin").isNotNull(), F.col("c").bitwiseXOR(F.col("c2"))).otherwise(F.col("c"))
+    return rows.select("id", "text_key", "n", both.alias("c"), "c2", (F.col("alive") | (F.col("twin").isNotNull() & (F.col("n") > 0))).alias("alive"))
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -282,49 +438,51 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     """
     spark = docs.sparkSession
     tune(spark)
-    parts = parts_of(docs)
-    buckets = parts
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    described = materialise(_described(base, buckets, parts, percent, size, SHARE))
+    groups = groups_of(docs)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    described = _told_apart(materialise(_described(base, groups, percent, size, SHARE)))
     collect_garbage(spark)
-    classes = described.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("alive").alias("alive"))
+    classes = described.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "text_key")).alias("f"), F.first("alive").alias("alive")).select("c", "f.id", "f.text_key", "alive")
 
-    def same_set(batches):  # a repeated id may stand for other sets too
+    def same_set(batches):  # a repeated id and text hash may stand for other sets too
         for batch in small(batches):
             h, counts = sets_of(*flat(batch.column("text")), size)
-            yield batch.filter(pa.array(fingerprints(h, counts) == batch.column("c").to_numpy()))
+            one, c = fingerprints(h, counts), batch.column("c").to_numpy()
+            yield batch.filter(pa.array((one == c) | ((one ^ seconds(h, counts)) == c)))
 
-    texts = base.join(classes.where("alive").select("id", "c"), "id").select("c", "text")
+    texts = base.join(classes.where("alive").select("id", "text_key", "c"), ["id", "text_key"]).select("c", "text")
     texts = materialise(texts.mapInArrow(same_set, "c long, text string").dropDuplicates(["c"]))
     collect_garbage(spark)
-    again = texts.select(F.col("c").alias("id"), "text", F.lit(0).cast("long").alias("text_key"))
-    alive = materialise(_described(again, buckets, parts, percent, size, 1.0).where("alive").select("c"))
+    sets = materialise(_shared_sets(texts, groups, percent, size))
+    release(texts)
+    collect_garbage(spark)
+
+    entries = _entries(sets)
+    first = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("c").alias("rank"), "c")).alias("f"), F.count("*").alias("m"), F.max("short").alias("any_short")).where("m > 1 AND any_short")
+    cells = entries.join(first.select("h", "f"), "h").select("c", F.col("f.c").alias("p"), "short")
+    regions = materialise(cells.groupBy("c", "p").agg(F.max("short").alias("short")))
+    pivots = regions.select(F.col("p").alias("key"), "p").distinct()
+    met = materialise(_distances(regions.where("c != p").select(F.col("p").alias("key"), "c"), pivots, sets, groups, percent))
     collect_garbage(spark)
-    texts = materialise(texts.join(alive, "c"))
-
-    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
-    often = _prefixes(texts, none, percent, size).groupBy("h").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(HOTTEST)
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("h").collect()], np.int64).view(np.uint64)))  # at most HOTTEST
-    entries = materialise(_prefixes(texts, hot, percent, size))
-    first = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("c").alias("rank"), "c")).alias("f"), F.count("*").alias("m")).where("m > 1")
-    regions = materialise(entries.join(first.select("h", "f"), "h").select("c", F.col("f.c").alias("p")).distinct())
-    met = materialise(_distances(regions.where("c != p").select(F.col("c").alias("x"), "p"), texts, buckets, percent, size))
-    links = met.where("link").select("x", "p")
-    labels = components(links)
+    links = [met.where("link").select("x", "p")]
+    labels = components(links[0])
 
     width = (100 - percent) / 100 + 1e-9
     member = regions.join(met.select(F.col("x").alias("c"), "p", "d"), ["c", "p"], "left").join(labels, "c", "left")
-    ring = F.floor(F.coalesce("d", F.lit(0.0)) / width).cast("long")
+    member = member.select("c", "p", "short", F.coalesce("label", "c").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    open_ = member.groupBy("p").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("p")
+    member = member.join(open_, "p")
+    ring = F.floor(F.col("d") / width).cast("long")
     rings = F.sequence(ring, F.least(ring + 1, F.lit(int(1 / width)).cast("long")))
-    member = member.select("c", F.coalesce("label", "c").alias("label"), "p", F.explode(rings).alias("k"))
-    member = member.select("c", "label", F.xxhash64("p", "k").alias("ring"))
-    counts = member.groupBy("ring").agg(F.count("*").alias("m"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("ring", F.ceil(F.col("m") / F.lit(float(MEMBERS))).cast("long").alias("blocks"))
-    member = member.join(counts, "ring").withColumn("i", F.pmod(F.xxhash64("c", F.lit(7)), "blocks"))
-    member = member.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    block = F.greatest("i", "j") * F.col("blocks") + F.least("i", "j")
-    member = materialise(member.select("c", "ring", block.alias("block")).distinct())
-    links = links.unionByName(materialise(_rings(member.join(texts, "c"), buckets, percent, size)))
-    labels = components(links)
+    member = member.withColumn("k", F.explode(rings)).join(sets.select("c", "n"), "c")
+    member = materialise(member.select(F.xxhash64("p", "k").alias("key"), "c", "label", "n", "short"))
+    fitting = materialise(_regions(member, links, sets, groups, percent))
+    links.append(materialise(_exact(fitting, sets, groups, percent)))
+    release(sets, fitting, member)
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    labels = components(every)
 
     named = classes.join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("least"))
@@ -338,18 +496,24 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row of the smallest (doc_id, text), and every empty set.
 
-    Of rows equal in id and text one stays, unless they are empty sets.
+    Of rows equal in id and text one stays, the first by a hash of all columns, unless they are empty sets. A null id
+    comes last. All columns of docs are kept, whatever their names. An empty table gives an empty result.
     """
-    found = join(docs, **options).withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
-    first = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("_id", "text_key")).alias("f")).select("f._id", "f.text_key", F.lit(True).alias("_one"))
-    empty = found.where("n_shingles = 0").select("_id", "text_key", F.lit(False).alias("_one")).distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(first.unionByName(empty), ["_id", "text_key"])
-    number = F.row_number().over(W.partitionBy("_id", "text_key").orderBy("_one"))
-    return rows.withColumn("_k", number).where(~F.col("_one") | (F.col("_k") == 1)).select(*docs.columns)
+    names = docs.columns
+    found = join(docs, **options).where("n_shingles > 0")
+    first = found.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_key")).alias("f")).select(F.col("f.id").alias("_jac_id"), F.col("f.text_key").alias("_jac_text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_jac_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_jac_id"), F.xxhash64(text).alias("_jac_text"),
+        F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_jac_words"),
+    )
+    held = rows.where("_jac_words").join(first, ["_jac_id", "_jac_text"])
+    one = held.groupBy("_jac_id", "_jac_text").agg(F.min_by("_jac_row", F.xxhash64(*(F.col(f"_jac_row.`{c}`") for c in names))).alias("_jac_row")).select("_jac_row")
+    return one.unionByName(rows.where("NOT _jac_words").select("_jac_row")).select(*(F.col(f"_jac_row.`{c}`").alias(c) for c in names))
 
 
 def op3_jaccard(spark, sf_dir):
+    """doc_id, n_shingles, component_id of every document; see join for nulls, empty sets, repeats and long texts."""
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 from brute import near, passages
+from brute import shingles as brute_shingles
+from pyspark.sql import functions as F
 
 from spindrift.llm import jaccard, suffix
 
@@ -14,22 +16,96 @@ def test_components(docs, rows):
     assert sorted(map(tuple, got), key=str) == sorted(near([r[:2] for r in rows]), key=str)
 
 
-def test_families_are_cut_into_blocks(spark, monkeypatch):
-    """Many near copies at all distances from each other, with small rings and a hot passage."""
-    rng = random.Random(3)
+def _family(n, seed=3):
+    """Near copies at all distances from each other, with a hot passage and small vocabularies."""
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(100)]
     rows = []
-    for i in range(90):
+    for i in range(n):
         w = list(base) if i % 3 else [f"v{rng.randrange(1000)}" for _ in range(60)] + base[:40]
+        if i % 5 == 0:
+            w = [w for k in rng.sample(range(20), 14) for w in base[5 * k : 5 * k + 5]]
         for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
             w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(jaccard, "MEMBERS", 8)
-    monkeypatch.setattr(jaccard, "HOT", 10)
+    return rows
+
+
+@pytest.mark.parametrize(("fit", "pivots", "grid", "deepest"), [(8, 4, 8, 3), (6, 3, 4, 0), (20, 6, 512, 4)])
+def test_families_are_split(spark, monkeypatch, fit, pivots, grid, deepest):
+    rows = _family(120)
+    for name, value in (("MEMBERS", 8), ("FIT", fit), ("PIVOTS", pivots), ("GRID", grid), ("DEEPEST", deepest)):
+        monkeypatch.setattr(jaccard, name, value)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(near(rows))
 
 
+def test_voronoi_cells_split_separate_clusters(spark, monkeypatch):
+    """A ring of several clusters that share a passage: cells are smaller than the ring and no link is lost."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(160):
+        own = [f"k{i % 8}x{j}" for j in range(60)]
+        for _ in range(rng.choice([0, 1, 2])):
+            own[rng.randrange(60)] = f"q{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    sets = [brute_shingles(t) for _, t in rows]
+    table = spark.createDataFrame([(i, len(s), bytearray(np.sort(np.array([hash(x) & (2**63 - 1) for x in s], np.uint64)).tobytes())) for i, s in enumerate(sets)], "c bigint, n bigint, shared binary")
+    member = spark.createDataFrame([(7, i, i, len(s), True) for i, s in enumerate(sets)], "key bigint, c bigint, label bigint, n bigint, short boolean")
+    for name, value in (("MEMBERS", 8), ("FIT", 30), ("PIVOTS", 20)):
+        monkeypatch.setattr(jaccard, name, value)
+    fitting = jaccard._regions(member, links := [], table, 4, 80)
+    held = {}
+    for r in fitting.collect():
+        held.setdefault(r.key, set()).add(r.c)
+    assert 1 < len(held) and max(map(len, held.values())) < 160
+    together = {(a, b) for s in held.values() for a in s for b in s}
+    linked = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked and all(p in together for p in linked)
+
+
+def test_near_but_not_linked_families_cost_nothing(spark):
+    """Texts that share three quarters with each other: the cells without a smaller set are never compared."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    sizes = []
+    for n in (100, 300):
+        rows = [(i, " ".join(w if k % 29 != i % 29 else f"z{rng.randrange(10**9)}" for k, w in enumerate(base[:-5] + [f"e{i}" for _ in range(5)]))) for i in range(n)]
+        texts = spark.createDataFrame(rows, "c bigint, text string")
+        sets = jaccard._shared_sets(texts, 4, 80, 5)
+        entries = jaccard._entries(sets)
+        sizes.append(entries.groupBy("h").agg(F.max("short").alias("s")).where("s").count())
+        got = jaccard.join(texts.withColumnRenamed("c", "doc_id")).collect()
+        want = {d: c for d, _, c in near(rows)}
+        assert all(r.component_id == want[r.doc_id] for r in got)
+
+
+def test_fingerprints_that_agree_by_halves(spark, monkeypatch):
+    rows = _family(40, 5)
+    plain = jaccard.fingerprints
+    monkeypatch.setattr(jaccard, "fingerprints", lambda h, n, salt=None: plain(h, n) % 5 + 1 if salt is None else plain(h, n, salt))
+    monkeypatch.setattr(jaccard, "ship", lambda spark: None, raising=False)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(near(rows))
+
+
+def test_null_ids_and_equal_rows(spark):
+    rows = [(None, f"one two three four five six {i % 3}") for i in range(300)] + [(5, "one two three four five six 1")] * 200
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(near(rows), key=str)
+
+
+def test_clashing_names_go_through(spark):
+    names = ["_id", "text_key", "_k", "_one", "c", "label", "_jac_row", "_jac_id"]
+    df = spark.createDataFrame([(i, f"some words of document {i // 2} and more {i // 2}") for i in range(20)], "doc_id bigint, text string")
+    for n in names:
+        df = df.selectExpr("*", f"concat('{n}', doc_id) AS `{n}`")
+    got = jaccard.representatives(df)
+    assert got.columns == df.columns and got.count() == 10 and all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+    cut = suffix.dedup(df.withColumn("id", F.lit("x")).withColumn("g", F.lit("y")), columns=("id", "g", "_k", "n_bytes"))
+    assert all((r.id, r.g, r._k) == ("x", "y", f"_k{r.doc_id}") for r in cut.collect())
+
+
 def test_representatives(docs, rows):
     got = [r[:2] for r in jaccard.representatives(docs).select("doc_id", "text", "source").collect()]
     by_component = {}
