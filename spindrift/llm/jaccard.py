@@ -13,7 +13,8 @@ of no use here, as most sets are at distance 1 of each other. So the space is fi
    its cells; linked sets share a region. Distances to pivots are exact, and sets within r of a pivot are one
    component with it.
 4. A region is cut into rings of width r around its pivot. By the triangle inequality linked sets lie in one ring or in
-   neighbours, so a set is also replicated to the next ring outwards. Rings whose sets are one component are done.
+   neighbours, so a set is also replicated to the next ring outwards. Rings whose sets are one component are done,
+   and where few sets are outside a ring's largest component, only these are held against the others.
 5. A ring of more than FIT sets is split again: pivots are drawn in it, each set goes to the Voronoi cell of its nearest
    pivot and, as sets within r of each other differ by at most 2 r in how much farther any pivot is than the nearest,
    also to each cell whose pivot is at most 2 r farther. Sets that are far from all pivots share one more cell, with
@@ -40,7 +41,8 @@ SHINGLE, PERCENT = 5, 80
 SHARE = 0.3  # of the hash range, in the first comparison
 LAST = 2**63 - 1  # stands for a null id
 MEMBERS = 32  # sets that meet a pivot in one group
-FIT, PIVOTS, DEEPEST = 512, 24, 4  # sets that are joined directly; pivots that split more; how often
+OTHERS = 64  # sets outside a ring's largest component that are held against the whole ring
+FIT, PIVOTS, DEEPEST = 256, 24, 4  # sets that are joined directly; pivots that split more; how often
 FAR = 0.7  # sets farther than this from all pivots have a cell of their own
 GRID, GRID_BYTES = 512, 1 << 23  # sets, and bytes of their shingles, in a block
 MOST_TASKS = 20_000
@@ -259,7 +261,7 @@ def _entries(sets: DataFrame) -> DataFrame:
     return sets.select("c", "prefix", "short").mapInArrow(run, "h long, c long, short boolean")
 
 
-def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, groups: int, percent: int, far: float | None = None) -> DataFrame:
+def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, groups: int, percent: int, far: float | None = None, links_only: bool = False) -> DataFrame:
     """key, x, p, rest, link, d: members(key, c) against the pivots(key, p) of their key, within 2 r of the nearest.
 
     A key's members are dealt into blocks of about MEMBERS; each block has the key's pivots, which are few. With `far`,
@@ -267,7 +269,7 @@ def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, groups: i
     each set that is farther than far - r from all pivots; and a set goes to other cells only up to far + r from it.
     """
     r = (100 - percent) / 100
-    window, reach = 2 * r + 1e-9, (far + r + 1e-9) if far is not None else 2.0
+    window, reach = 2 * r + 1e-9, -1.0 if links_only else far + r + 1e-9 if far is not None else 2.0
     crowd = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(MEMBERS))).cast("long").alias("salts"))
     rows = members.join(crowd, "key").select("key", "c", F.pmod(F.xxhash64("c", "key"), "salts").alias("salt"), F.lit(1).alias("role"))
     heads = pivots.join(crowd, "key").select("key", F.col("p").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -342,6 +344,14 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _regions(member: DataFrame, links: list[DataFrame], sets: DataFrame, groups: int, percent: int) -> DataFrame:
     """key, c of groups that fit and are to be joined exactly, from member(key, c, label, n, short): rings and their cells."""
     done = []
+    sizes = member.groupBy("key", "label").agg(F.count("*").alias("own"), F.max("short").alias("short"))
+    sizes = sizes.groupBy("key").agg(F.sum("own").alias("m"), F.max("own").alias("top"), F.max_by("label", F.struct("own", "label")).alias("main"), F.max("short").alias("any_short"))
+    stars = materialise(sizes.where((F.col("m") > OTHERS) & (F.col("m") > F.col("top")) & (F.col("m") - F.col("top") <= OTHERS) & F.col("any_short")).select("key", "main"))
+    if stars.limit(1).count():  # one large component and few other sets: these are held against all, and nothing else is
+        held = member.join(stars, "key")
+        met = _distances(held.select("key", "c"), held.where("label != main").select("key", F.col("c").alias("p")), sets, groups, percent, links_only=True)
+        links.append(materialise(met.select("x", "p")))
+        member = member.join(stars.select("key"), "key", "left_anti")
     for depth in range(DEEPEST + 1):
         crowd = member.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any_short"))
         crowd = materialise(crowd.where("low != high AND any_short").withColumn("fits", (F.col("m") <= FIT) & (8 * F.col("shingles") <= 2 * GRID_BYTES)).select("key", "m", "fits"))

@@ -31,10 +31,10 @@ def _family(n, seed=3):
     return rows
 
 
-@pytest.mark.parametrize(("fit", "pivots", "grid", "deepest"), [(8, 4, 8, 3), (6, 3, 4, 0), (20, 6, 512, 4)])
-def test_families_are_split(spark, monkeypatch, fit, pivots, grid, deepest):
+@pytest.mark.parametrize(("fit", "pivots", "grid", "deepest", "others"), [(8, 4, 8, 3, 0), (6, 3, 4, 0, 0), (20, 6, 512, 4, 3), (8, 4, 8, 3, 30)])
+def test_families_are_split(spark, monkeypatch, fit, pivots, grid, deepest, others):
     rows = _family(120)
-    for name, value in (("MEMBERS", 8), ("FIT", fit), ("PIVOTS", pivots), ("GRID", grid), ("DEEPEST", deepest)):
+    for name, value in (("OTHERS", others), ("MEMBERS", 8), ("FIT", fit), ("PIVOTS", pivots), ("GRID", grid), ("DEEPEST", deepest)):
         monkeypatch.setattr(jaccard, name, value)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(near(rows))
