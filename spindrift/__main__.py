@@ -1,74 +1,114 @@
 """Command line: build, search, explain and status of indexes of markdown folders.
 
     python -m spindrift build FOLDER --name NAME --dir DIR [--model M --limit N]
-    python -m spindrift search NAME QUERY --dir DIR [-k 5]
+    python -m spindrift list --dir DIR
+    python -m spindrift search NAME QUERY --dir DIR [-k 5] [--rerank MODEL --pool 20]
     python -m spindrift explain NAME QUERY TEXT --dir DIR
     python -m spindrift status NAME FOLDER --dir DIR
 
-Without --host the offline embedder is used. Exit codes: 0 fine, 1 drifted or not found, 2 refused or not checked.
+Without --host the offline embedder is used, and only for indexes that it built: a query is always embedded by the model
+of its index. Exit codes: 0 fine, 1 drifted or not found, 2 refused or not checked.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import index, search
+from .operators import index, rerank, search
 from .session import session
 from .sources import markdown
-from .sources.models import Config, HashEmbedder, HttpEmbedder, base_url
+from .sources.models import Config, HashEmbedder, HttpChat, HttpEmbedder, base_url, details_table, probe
 from .verdicts import Refused
 
 
+OFFLINE_LIMIT = 2048  # tokens of a chunk for the offline embedder, which has no context of its own
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spindrift", description=__doc__.split("\n")[0])
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in (("build", ("folder",)), ("search", ("name", "query")), ("explain", ("name", "query", "text")), ("status", ("name", "folder"))):
+    for name, args in (("list", ()), ("probe", ()), ("build", ("folder",)), ("search", ("name", "query")), ("explain", ("name", "query", "text")), ("status", ("name", "folder"))):
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
-        s.add_argument("--dir", required=True)
+        s.add_argument("--dir", required=name != "probe")
         s.add_argument("--host")
-        s.add_argument("--model", default="offline-hash")
         if name == "build":
             s.add_argument("--name", required=True)
-            s.add_argument("--limit", type=int, default=2048)
+            s.add_argument("--model", help="the embedding model; without a host the offline one")
+            s.add_argument("--limit", type=int, help="the model's context in tokens; without it the server is asked")
             s.add_argument("--chunk-chars", type=int, default=1500)
             s.add_argument("--force", action="store_true")
         if name == "search":
             s.add_argument("-k", type=int, default=5)
+            s.add_argument("--rerank", metavar="MODEL")
+            s.add_argument("--pool", type=int, default=search.DEFAULT_POOL)
+            s.add_argument("--rubric", choices=tuple(rerank.SCALES), default="plain")
     return p
 
 
-def _embedder(args, model: str):
-    return HttpEmbedder(Config(base_url(args.host)), model) if args.host else HashEmbedder()
+def _embedder(args, model: str | None):
+    """The embedder that was asked for; without a host there is one model only, and no other is put in its place."""
+    offline = HashEmbedder()
+    if args.host:
+        if not model:
+            raise Refused("invalid_request", "no model is named", "pass --model")
+        return HttpEmbedder(Config(base_url(args.host)), model)
+    if model not in (None, offline.name):
+        raise Refused("model_not_found", f"{model!r} is not available without a server", "pass --host")
+    return offline
 
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = session()
     try:
+        if args.command == "probe":
+            found = probe(Config(base_url(args.host or Config.url)))
+            print(" ".join(f"{k}={v}" for k, v in found.items()))
+            return int(found["verdict"] != "ok")
+        if args.command == "list":
+            rows = index.listing(spark, args.dir).collect()
+            for r in rows:
+                print(f"{r.name}: {r.verdict}, {r.model}, {r.file_count} files, {r.chunk_count} chunks, built {r.built_at}")
+            return int(not rows)
         if args.command == "build":
-            made = index.build(spark, markdown.scan(spark, args.folder), args.name, _embedder(args, args.model), model=args.model, limit=args.limit, target=args.chunk_chars, path=args.dir, force=args.force, root=args.folder)
+            embed = _embedder(args, args.model)
+            details = details_table(spark, embed.config, [embed.name]) if args.host else None
+            limit = args.limit or (None if args.host else OFFLINE_LIMIT)
+            made = index.build(spark, markdown.scan(spark, args.folder), args.name, embed, model=embed.name, limit=limit, details=details, target=args.chunk_chars, path=args.dir, force=args.force, root=args.folder)
             h = made["header"].first()
             print(f"{h.name}: {h.file_count} files, {h.chunk_count} chunks, generation {h.generation}")
             return 0
         tables = index.read(spark, args.dir, args.name)
         header = tables["header"].first()
         if args.command == "status":
+            if not os.path.isdir(args.folder):
+                raise Refused("not_configured", f"cannot check: no folder {args.folder}", "pass the folder that was indexed")
             summary = index.drift_summary(index.drift(tables["file"], index.digests(markdown.scan(spark, args.folder)).select("file", "digest"))).collect()
             for r in sorted(summary):
                 print(f"{r.status}: {r.files} {r.names}".rstrip())
             return int(any(r.status != "same" for r in summary))
-        query = _embedder(args, header.model)([header.query_prefix + args.query])[0]
+        query = search.embed_query(header, args.query, _embedder(args, header.model))
         if args.command == "explain":
             rows = search.explain(tables["chunk"], query, args.text).collect()
             for r in rows:
                 print(f"rank {r.rank} of {r.of}: {r.diagnosis}")
             return int(rows[0].rank is None)
+        if args.rerank:
+            if not args.host:
+                raise Refused("not_configured", "reranking needs a model server", "pass --host")
+            found = rerank.reranked(tables["chunk"], query, args.query, HttpChat(Config(base_url(args.host)), args.rerank, temperature=0), k=args.k, pool=args.pool, rubric=args.rubric)
+            for r in found["rows"].collect():
+                print(f"{r.place:2d}  {r.label}  {r.cosine:.3f}  {header.generation}:{r.ordinal:04d}  {r.file}:{r.line_start}-{r.line_end}")
+            flags, failed = found["flags"].first(), found["failures"].collect()
+            print("".join(f"{name}\n" for name in ("weak_discrimination", "own_scale", "pool_may_be_short", "none_answers") if flags[name]) + "".join(f"batch {f.batch}: {f.failure}\n" for f in failed), end="")
+            return int(not flags.judged)
         cite = T.citation("file", "line_start", "line_end", "heading")
         got = search.search(tables["chunk"], query, args.k).withColumn("cite", cite).withColumn("id", T.chunk_id(F.lit(header.generation), "ordinal")).orderBy("rank").collect()
         for r in got:

@@ -50,6 +50,10 @@ def count_of(x, needle: str) -> Column:
     return F.length(_c(x)) - F.length(F.replace(_c(x), F.lit(needle), F.lit("")))
 
 
+def newlines_in(x) -> Column:
+    return count_of(x, "\n")
+
+
 def tokens(chars: Column) -> Column:
     """Estimated tokens of so many characters, on the safe side."""
     return F.floor(chars / F.lit(CHARS_PER_TOKEN)).cast("bigint") + 1
@@ -156,6 +160,18 @@ def context_check(estimate, limit, allow_truncation: bool = False, headroom: flo
     return first_of((limit.isNull(), "context_unknown"), (_c(estimate) > usable, "context_exceeded")), usable
 
 
+def general(x) -> Column:
+    """A number as C's %g writes it: six significant digits, trailing zeros cut, an exponent below 1e-4 and from 1e6 on."""
+    x = _c(x).cast("double")
+    science = F.format_string("%.5e", x)
+    mantissa, power = F.regexp_extract(science, r"^(-?[\d.]+)e", 1), F.regexp_extract(science, r"e([+-]\d+)$", 1)
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    out = F.concat(trimmed(mantissa), F.lit("e"), power)
+    for k in range(-4, 6):
+        out = F.when(power.try_cast("int") == k, trimmed(F.format_string(f"%.{5 - k}f", x))).otherwise(out)
+    return F.when(x == 0, "0").when(x.isNotNull(), out)
+
+
 def chunk_size(target: int, limit) -> Column:
     return F.least(F.lit(target).cast("bigint"), (_c(limit) * F.lit(CHARS_PER_TOKEN)).cast("bigint"))
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import ship
 from ..verdicts import Refused
 
@@ -144,11 +145,16 @@ def long_slices(docs: DataFrame, most: int = TARGET, key: str = "file", text: st
     """The slices of texts that are one long paragraph, as column functions: key, pos, text, line_start, line_end."""
     check_size(most)
     step = most - OVERLAP
-    t = F.col("_t")
     rows = docs.select(F.col(key), F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "").alias("_t")).where(F.length("_t") > most)
-    rows = rows.select(key, "_t", F.posexplode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(step))).alias("pos", "_at"))
-    piece = F.substring(t, F.col("_at") + 1, F.lit(most))
-    blank = F.when(F.col("_at") > 0, F.instr(piece, " ")).otherwise(0)
-    rows = rows.withColumn("_first", F.col("_at") + blank).withColumn("_stop", F.least(F.col("_at") + most, F.length("_t")))
-    lines = lambda n: (F.length(F.substring(t, F.lit(1), n)) - F.length(F.replace(F.substring(t, F.lit(1), n), F.lit("\n"), F.lit("")))).cast("bigint") + 1
-    return rows.select(key, F.col("pos").cast("bigint").alias("pos"), F.substring(t, F.col("_first") + 1, F.col("_stop") - F.col("_first")).alias("text"), lines(F.col("_first")).alias("line_start"), lines(F.col("_stop")).alias("line_end"))
+    # A text is cut once into steps; a slice is its step and the start of what follows, and its lines a running sum.
+    cuts = F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    rows = rows.select(key, cuts.alias("_c"))
+    reach = -(-OVERLAP // step)
+    whole = F.transform("_c", lambda c, i: F.concat(c, F.substring(F.array_join(F.slice("_c", i + 2, F.lit(reach)), ""), 1, OVERLAP)))
+    before = F.aggregate(F.transform("_c", T.newlines_in), F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+    rows = rows.select(key, F.posexplode(F.arrays_zip(whole.alias("piece"), F.slice(before, 1, F.size("_c")).alias("lines"))).alias("pos", "_s"))
+    piece = F.col("_s.piece")
+    blank = F.when(F.col("pos") > 0, F.instr(piece, " ")).otherwise(0)
+    rows = rows.select(key, F.col("pos").cast("bigint").alias("pos"), piece.alias("_p"), blank.alias("_b"), F.col("_s.lines").alias("_l"))
+    first = F.col("_l") + 1 + T.newlines_in(F.substring("_p", F.lit(1), F.col("_b")))
+    return rows.select(key, "pos", F.substring("_p", F.col("_b") + 1, F.length("_p")).alias("text"), first.cast("bigint").alias("line_start"), (F.col("_l") + 1 + T.newlines_in(F.col("_p"))).cast("bigint").alias("line_end"))

@@ -35,6 +35,60 @@ def _walk(node: ast.AST, owner: str, in_class: bool) -> Iterator[tuple[str, str,
         yield from _walk(child, owner, in_class)
 
 
+def _literal(node) -> str | None:
+    try:
+        return str(ast.literal_eval(node))
+    except (ValueError, TypeError, SyntaxError):
+        return None
+
+
+def _surface(tree: ast.AST) -> Iterator[tuple[str, str, str, str | None]]:
+    """(kind, owner, name, detail): tools (functions under a decorator of that name), command line options, environment
+    settings, and the keys of dictionaries that functions return or build, as the fields of what they write."""
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            if any("tool" in ast.unparse(d).split("(")[0].split(".") for d in node.decorator_list):
+                yield ("tool", "", node.name, (ast.get_docstring(node) or "").strip().split("\n")[0])
+                yield from (("parameter", node.name, a.arg, ast.unparse(a.annotation) if a.annotation else None) for a in [*node.args.args, *node.args.kwonlyargs])
+            for d in (d for d in ast.walk(node) if isinstance(d, ast.Dict)):
+                yield from (("field", node.name, k.value, None) for k in d.keys if isinstance(k, ast.Constant) and isinstance(k.value, str))
+        if isinstance(node, ast.Call):
+            called, given = ast.unparse(node.func), [_literal(a) for a in node.args]
+            if called.endswith(".add_argument") and given and given[0]:
+                more = {k.arg: _literal(k.value) for k in node.keywords}
+                yield ("option", "", given[0], more.get("help") or more.get("default"))
+            elif (called.endswith("environ.get") or called.endswith("getenv")) and given and given[0]:
+                yield ("setting", "", given[0], given[1] if len(given) > 1 else None)
+        if isinstance(node, ast.Subscript) and ast.unparse(node.value).endswith("environ") and (name := _literal(node.slice)):
+            yield ("setting", "", name, None)
+
+
+def surface(sources: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """file, pos, kind, owner, name, detail of every source: what it offers and reads. One that cannot be parsed is a row of kind error."""
+    ship(sources.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for f, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                try:
+                    rows += [(f, k, *x) for k, x in enumerate(_surface(ast.parse(t or "")))]
+                except (SyntaxError, ValueError) as e:
+                    rows.append((f, 0, "error", "", str(e), None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.string(), pa.int64(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["file", "pos", "kind", "owner", "name", "detail"])
+
+    return sources.select(F.col(file).cast("string"), F.col(text).cast("string")).mapInArrow(run, "file string, pos long, kind string, owner string, name string, detail string")
+
+
+def first_wins(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """The row of the least `order` for each value of keys, each task first; rows that tie there are told apart by their other columns."""
+    other = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(order, *(c for c in other if c != order))).alias("_f"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"_f.{c}") for c in rows.columns))
+
+
 def facts(sources: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """file, kind, owner, name, flag of every source; one that cannot be parsed is a row of kind error."""
     ship(sources.sparkSession)

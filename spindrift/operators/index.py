@@ -6,17 +6,20 @@ lines, vector, norm). Files without chunks stay in the file table, so that they
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import doubles, norm
+from ..session import scratch, ship
 from ..verdicts import Refused
-from . import chunking
+from . import budget, chunking
 
 FORMAT = 2
 
@@ -39,24 +42,64 @@ def path_order(file: str = "file"):
 def generation(files: DataFrame, *, model: str, doc_prefix: str = "", query_prefix: str = "", chunk_chars: int = chunking.TARGET, by: tuple[str, ...] = ()) -> DataFrame:
     """generation, file_count of files(file, digest), for each value of `by`: a hash over settings and files in order.
 
-    The files of one index are gathered for it, about a hundred bytes each.
+    Files are sorted across the cluster and hashed as a stream, an index in one task, which holds one row at a time.
     """
-    nul = F.char(F.lit(0))
-    head = F.concat(*(F.concat(F.lit(str(x)), nul) for x in (FORMAT, model, doc_prefix, query_prefix, chunk_chars)))
-    entries = F.array_sort(F.collect_list(F.struct(path_order().alias("k"), "file", "digest")))
-    body = F.array_join(F.transform(entries, lambda e: F.concat(e["file"], nul, e["digest"], nul)), "")
-    return files.groupBy(*by).agg(F.substring(F.sha2(F.concat(head, body).cast("binary"), 256), 1, 12).alias("generation"), F.count("*").alias("file_count"))
+    ship(files.sparkSession)
+    head = "".join(f"{x}\0" for x in (FORMAT, model, doc_prefix, query_prefix, chunk_chars)).encode()
+    rows = files.select(*by, "file", "digest")
+    if by:
+        rows = rows.repartition(*by).sortWithinPartitions(*by, path_order(), "file")
+    else:
+        rows = rows.orderBy(path_order(), "file").coalesce(1)  # reads the sorted parts one after the other
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+
+    def run(batches):
+        key, hashed, count = None, None, 0
+
+        def row():
+            kinds = [pa.array([k]) for k in key]
+            return pa.RecordBatch.from_arrays([*kinds, pa.array([hashed.hexdigest()[:12]], pa.string()), pa.array([count], pa.int64())], [*by, "generation", "file_count"])
+
+        for batch in batches:
+            groups = zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else iter([()] * batch.num_rows)
+            for group, file, digest in zip(groups, batch.column("file").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+                if group != key:
+                    if hashed:
+                        yield row()
+                    key, hashed, count = group, hashlib.sha256(head), 0
+                hashed.update(f"{file}\0{digest}\0".encode())
+                count += 1
+        if hashed:
+            yield row()
+
+    return rows.mapInArrow(run, f"{schema}{', ' * bool(by)}generation string, file_count long")
+
+
+def _parts(files: DataFrame, parts: int) -> Column:
+    """The part of a file in path order: between which of at most `parts` - 1 files of a sample, the first by a hash, it lies."""
+    sample = files.select("file").orderBy(F.xxhash64("file"), "file").limit(20 * parts).select(path_order().alias("k")).collect()
+    keys = sorted(r.k for r in sample)[::20][1:]
+    if not keys:
+        return F.lit(0)
+    bounds = F.array(*(F.array(*map(F.lit, k)) for k in keys))
+    return F.size(F.filter(bounds, lambda b: b <= path_order()))
 
 
 def ordinals(chunks: DataFrame, by: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """Adds ordinal, from 0 over files in path order and chunks in theirs.
 
-    Only a row for each file goes through the ordered window; chunks add their own position to the file's offset.
+    Files are dealt into parts by range; sums run inside a part, and over the parts' totals, which are few. Chunks add
+    their own position to the file's offset.
     counted: the same rows without what is dear to compute, from which the files' chunks are counted.
     """
     files = (chunks if counted is None else counted).groupBy(*by, "file").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*by).orderBy(path_order(), "file").rowsBetween(W.unboundedPreceding, -1)
-    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    parts = min(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 500)
+    files = files.withColumn("_part", _parts(files, parts))
+    totals = files.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
+    totals = totals.withColumn("_first", F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = W.partitionBy(*by, "_part").orderBy(path_order(), "file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, [*by, "_part"])
+    files = files.select(*by, "file", (F.col("_first") + F.col("_inside")).alias("_before"))
     return chunks.join(files, [*by, "file"]).withColumn("ordinal", F.col("_before") + F.col("pos")).drop("_before")
 
 
@@ -106,13 +149,41 @@ def inventory(headers: DataFrame) -> DataFrame:
     return headers.select("name", *known, F.coalesce("file_count", F.lit(0)).cast("bigint").alias("file_count"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"), verdict.alias("verdict"))
 
 
-def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: str, limit: int, target: int = chunking.TARGET, path: str | None = None, force: bool = False, description: str = "", root: str = "", batch: int = 16) -> dict[str, DataFrame]:
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """inventory() of all indexes stored below a folder, by name; one that cannot be read is a row that says so."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        raise Refused("not_configured", f"no folder {path}", "build an index there")
+    names = sorted(f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory())
+    rows = []
+    for name in names:  # one small header each
+        try:
+            h = read(spark, path, name)["header"].first()
+            rows.append((name, False, h["format"], h["description"], h["built_at"], h["model"], h["file_count"], h["chunk_count"]))
+        except Refused as e:
+            rows.append((name, e.verdict != "unsupported_index", None, None, None, None, None, None))
+        except Exception:  # noqa: BLE001 - whatever a damaged table raises, the index is unreadable
+            rows.append((name, True, None, None, None, None, None, None))
+    return inventory(spark.createDataFrame(rows, "name string, corrupt boolean, format int, description string, built_at string, model string, file_count long, chunk_count long")).orderBy("name")
+
+
+def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: str, limit: int | None = None, details: DataFrame | None = None, target: int = chunking.TARGET, path: str | None = None, force: bool = False, description: str = "", root: str = "", batch: int = 16) -> dict[str, DataFrame]:
     """Builds an index of corpus(file, text), reusing the vectors of files that have not changed, and writes it.
 
-    embed(texts) -> vectors is called on the workers in batches of `batch`. limit is the model's context in tokens; an
-    unknown one is refused. With `path`, the tables are written below it and a prior index there is used.
+    embed(texts) -> vectors is called on the workers in batches of `batch`. An embedder that has a name must be the
+    model. limit is the model's context in tokens; where it is not given, it is that of the model in `details` (name,
+    model_info, parameters), and an unknown one is refused. With `path`, the tables are written below it and a prior
+    index there is used; without, chunks with their vectors are written to a scratch folder, so that no vector is
+    computed twice.
     """
     check_name(name)
+    if getattr(embed, "name", model) != model:
+        raise Refused("model_not_found", f"the embedder is {embed.name!r}, not {model!r}", "name the index's model as the embedder's")
+    if limit is None and details is not None:
+        found = budget.limits(details.where(F.col("name") == model)).select("limit").first()
+        limit = found and found[0]
     if limit is None:
         raise Refused("context_unknown", f"the context limit of {model} is not known", "pass limit")
     size = chunking.check_size(min(target, int(limit * T.CHARS_PER_TOKEN)))
@@ -143,7 +214,9 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
         chunk.write.parquet(f"{path}/{name}/{build_id}/chunk")
         chunk = spark.read.parquet(f"{path}/{name}/{build_id}/chunk")
     else:
-        chunk = chunk.persist()
+        stored = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+        chunk.write.parquet(stored)
+        chunk = spark.read.parquet(stored)
     file = files.select("file", "digest")
     made = generation(file, model=model, doc_prefix=doc_prefix, query_prefix=query_prefix, chunk_chars=size)
     counts = chunk.agg(F.count("*").alias("chunk_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimensions"))
@@ -159,10 +232,6 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
 
 def embedded(chunks: DataFrame, embed, prefix: str = "", batch: int = 16) -> DataFrame:
     """Adds vector and norm; embed gets the texts with the prefix, the stored text stays without."""
-    import pyarrow as pa
-
-    from ..session import ship
-
     ship(chunks.sparkSession)
     names = chunks.columns
 
@@ -180,6 +249,23 @@ def embedded(chunks: DataFrame, embed, prefix: str = "", batch: int = 16) -> Dat
     return chunks.mapInArrow(run, schema).withColumn("norm", norm(F.col("vector")))
 
 
+def embedded_checked(texts: DataFrame, embed, limit: int | None, *, key: str = "id", text: str = "text", allow_truncation: bool = False) -> DataFrame:
+    """key, estimate, verdict, vector of texts(key, text): inputs over the whole limit are refused one by one, before any call.
+
+    A null text is an invalid request, an unknown limit is context_unknown unless truncation is allowed, and an empty
+    vector is a bad response, never a zero vector.
+    """
+    rows = texts.select(F.col(key), F.col(text).alias("text")).withColumn("estimate", T.tokens(F.length(F.coalesce("text", F.lit("")))))
+    known = F.lit(limit).cast("bigint")
+    over = F.lit(False) if allow_truncation else F.coalesce(F.col("estimate") > known, F.lit(False))
+    unknown = F.lit(limit is None and not allow_truncation)
+    verdict = F.when(T.blank("text"), "invalid_request").when(unknown, "context_unknown").when(over, "context_exceeded").otherwise("ok")
+    rows = rows.withColumn("verdict", verdict)
+    sent = embedded(rows.where("verdict = 'ok'"), embed).drop("norm", "text")
+    sent = sent.withColumn("verdict", F.when(F.size("vector") > 0, "ok").otherwise("bad_response"))
+    return sent.unionByName(rows.where("verdict != 'ok'").drop("text").withColumn("vector", F.lit(None).cast("array<double>")))
+
+
 def publish(header: DataFrame, file: DataFrame, chunk: DataFrame, path: str, name: str, build_id: str) -> dict[str, DataFrame]:
     """Writes what is missing of a build into its own folder and points to it last.
 

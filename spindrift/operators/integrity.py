@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 # Domains of the verification register.
 RESULTS = ("pass", "fail", "deferred", "not_run")
 MARK_DONE, MARK_OPEN = "✅", "❌"
@@ -16,18 +20,23 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Each round joins only the newest pairs. The rounds are as many as the longest shortest path.
     """
-    found = starts.select("start", F.col("start").alias("node")).distinct()
-    new = found
-    rounds = 0
+    spark = starts.sparkSession
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+
+    def stored(rows, k):  # each round starts at a written table, so plans stay short and nothing is held in memory
+        rows.write.parquet(f"{folder}/{k}")
+        return spark.read.parquet(f"{folder}/{k}")
+
+    found = new = stored(starts.select("start", F.col("start").alias("node")).distinct(), 0)
+    rounds = 1
     while True:
-        step = new.join(edges.select(F.col("src").alias("node"), "dst").distinct(), "node").select("start", F.col("dst").alias("node")).distinct()
-        new = step.join(found, ["start", "node"], "left_anti").cache()
+        step = new.join(steps, "node").select("start", F.col("dst").alias("node")).distinct()
+        new = stored(step.join(found, ["start", "node"], "left_anti"), rounds)
         if not new.limit(1).count():
             return found
-        found = found.unionByName(new)
+        found = spark.read.parquet(*(f"{folder}/{k}" for k in range(rounds + 1)))
         rounds += 1
-        if rounds % 8 == 0 and found.sparkSession.sparkContext.getCheckpointDir():
-            found = found.checkpoint()
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

@@ -7,16 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import POOL_MOST
+from ..sources.models import completed
+from ..verdicts import Refused
+from .search import DEFAULT_K, DEFAULT_POOL, K_MOST, POOL_MOST, WEAK_SPREAD, check_range, check_size, scored, top
 
 BATCH = 5
 TOP = 2  # of the scale that is asked for
 # How replies name a passage and its score, one to a line or as JSON pairs.
 LINE = r"(?m)^\s*\[?(\d+)\]?\s*[=:]\s*(-?\d+(?:\.\d+)?)\s*$"
 PAIR = r'"?(\d+)"?\s*:\s*(-?\d+(?:\.\d+)?)'
-RUBRICS = {
-    "plain": "Use the values 0 (same subject, no answer), 1 (answers in part) and 2 (answers directly), and no others.\n\n",
-    "strict": "Use the values 2 (states what is asked for), 1 (holds part of it or evidence) and 0 (same subject only), and no others. Most passages are 0.\n\n",
+SCALES = {
+    "plain": "Grade by what a reader who has nothing but the passage could answer: 2 for the whole answer, 1 for some of it, 0 for none, even where the topic fits.",
+    "strict": "Grade with reserve. Give 2 only where the passage itself states the answer. Give 1 where it holds a fact that the answer needs. Everything else is 0, and a batch of zeros is a good grade.",
 }
 
 
@@ -31,7 +33,7 @@ def prompts(candidates: DataFrame, question: str, rubric: str = "plain", by: tup
     rows = batches(candidates).groupBy(*by, "batch").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("local", item.alias("t")))).alias("items"))
     listing = F.array_join(F.transform("items", lambda x: x["t"]), "\n\n")
     n = F.col("size").cast("string")
-    prompt = F.concat(F.lit(f"Question: {question}\n\nScore each of these "), n, F.lit(" passages by how well it answers the question.\n\n" + RUBRICS[rubric]), listing, F.lit("\n\nReply with "), n, F.lit(" lines of the form index=score, in order, and nothing else."))
+    prompt = F.concat(F.lit(f"You grade search results.\nA reader asks: {question}\n{SCALES[rubric]}\nPassages, each under its number and file:\n\n"), listing, F.lit("\n\nWrite "), n, F.lit(" grades, each on a line of its own as number=grade. Add no other text."))
     return rows.select(*by, "batch", "size", prompt.alias("prompt"))
 
 
@@ -72,8 +74,7 @@ def ordered(candidates: DataFrame, scores: DataFrame, keep: int, by: tuple[str,
 
 def distribution(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """score, label (as %g writes it), n over the whole pool."""
-    label = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.col("score")), "0+$", ""), r"\.$", "")
-    return scores.groupBy(*by, "score").agg(F.count("*").alias("n")).select(*by, "score", label.alias("label"), "n")
+    return scores.groupBy(*by, "score").agg(F.count("*").alias("n")).select(*by, "score", T.general("score").alias("label"), "n")
 
 
 def flags(scores: DataFrame, returned: DataFrame, pool: int) -> DataFrame:
@@ -101,3 +102,29 @@ def throughput(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """tokens, seconds, prompt tokens, tokens a second and cold load over calls(eval_count, eval_duration, prompt_eval_count, load_duration)."""
     got = calls.groupBy(*by).agg(F.sum("eval_count").cast("bigint").alias("tokens"), F.sum("eval_duration").cast("bigint").alias("_ns"), F.sum("prompt_eval_count").cast("bigint").alias("prompt_tokens"), F.max("load_duration").cast("bigint").alias("_load"))
     return got.select(*by, "tokens", "prompt_tokens", T.tokens_per_second("tokens", "_ns").alias("tokens_per_second"), T.cold_load_seconds("_load").alias("cold_load_seconds"))
+
+
+def reranked(chunks: DataFrame, query: list[float], question: str, call, *, k: int = DEFAULT_K, pool: int = DEFAULT_POOL, rubric: str = "plain") -> dict[str, DataFrame]:
+    """A search with its second stage: rows (the k best, with score, label and place), flags, failures and replies.
+
+    chunks: (ordinal, file, text, vector, ...); call: messages -> completion. The nearest `pool` chunks, k at least, are
+    judged in batches; a batch that fails costs its own scores only, and rows that were not judged say so. With no score
+    at all, rows stand in the order of their cosines. The pool is at most POOL_MOST rows, which the driver may hold.
+    """
+    check_range("k", k, K_MOST)
+    check_range("pool", pool, POOL_MOST)
+    check_size(chunks, query)
+    if not question.strip():
+        raise Refused("invalid_request", "the question is empty", "pass what is asked")
+    spark = chunks.sparkSession
+    best = top(scored(chunks, query), max(pool, k)).drop("vector", "norm").withColumn("pos", F.col("rank") - 1)
+    best = spark.createDataFrame(best.collect(), best.schema)  # at most POOL_MOST rows: each is scored and judged once
+    replies = completed(prompts(best, question, rubric), call)
+    replies = replies.withColumn("reply", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("thinking"))).select("batch", "size", "reply", "error", "eval_count", "eval_duration", "prompt_eval_count", "load_duration")
+    replies = spark.createDataFrame(replies.collect(), replies.schema)
+    scores = parsed(replies)
+    rows = ordered(best, scores, k)
+    high = F.max("score").over(W.partitionBy())
+    spread = F.lit((lambda c: max(c) - min(c) if c else None)([r.cosine for r in best.orderBy("rank").limit(k).collect()])).cast("double")
+    rows = rows.withColumn("high", high).withColumn("label", label("score", "high")).withColumn("spread", spread).withColumn("weak_ranking", F.col("spread") < WEAK_SPREAD).drop("high", "text", "pos")
+    return {"rows": rows.orderBy("place"), "flags": flags(scores, ordered(best, scores, k), max(pool, k)), "failures": failures(replies, scores), "replies": replies}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,25 @@ def check_range(name: str, value: int, most: int) -> int:
     return value
 
 
+def check_size(chunks: DataFrame, query: list[float]) -> None:
+    """Refuses a query whose size no vector of the index has; the first vector tells, as an index has one size."""
+    found = chunks.where("vector IS NOT NULL").select(F.size("vector").alias("n")).limit(1).collect()
+    if found and found[0].n != len(query):
+        raise Refused("invalid_request", f"the query has {len(query)} numbers, the index's vectors have {found[0].n}", "embed the query with the model of the index")
+
+
+def embed_query(header, query: str, embed) -> list[float]:
+    """The query's vector by the index's own model and prefix; any other embedder is refused, never put in its place.
+
+    header: the index's header row. embed: has `name`, the model that it is, and may have installed(), which asks its server.
+    """
+    if embed.name != header["model"]:
+        raise Refused("model_not_found", f"the index was built with {header['model']!r}, and the embedder is {embed.name!r}", f"embed with {header['model']}")
+    if hasattr(embed, "installed") and not embed.installed():
+        raise Refused("model_not_found", f"the index's model {header['model']!r} is not installed", f"install {header['model']}")
+    return embed([header["query_prefix"] + query])[0]
+
+
 def scored(chunks: DataFrame, query: list[float]) -> DataFrame:
     """Adds cosine to every row of chunks(vector, ...); the query is a literal, so nothing is joined."""
     vector = F.array(*(F.lit(float(x)) for x in query))
@@ -30,14 +50,15 @@ def scored(chunks: DataFrame, query: list[float]) -> DataFrame:
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
-    """The first k by cosine, ties by ordinal, with rank: each task keeps k rows."""
-    best = rows.orderBy(F.desc("cosine"), "ordinal").limit(k)
+    """The first k by cosine, ties by ordinal, with rank: each task keeps k rows. What has no cosine has no rank."""
+    best = rows.where("cosine IS NOT NULL").orderBy(F.desc("cosine"), "ordinal").limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), "ordinal")).cast("bigint"))
 
 
 def search(chunks: DataFrame, query: list[float], k: int = DEFAULT_K) -> DataFrame:
     """Citations of the k nearest chunks: rank, ordinal, cosine, spread and weak_ranking; text is left out."""
     check_range("k", k, K_MOST)
+    check_size(chunks, query)
     best = top(scored(chunks, query), k)
     spread = F.max("cosine").over(W.partitionBy()) - F.min("cosine").over(W.partitionBy())
     best = best.withColumn("spread", spread).withColumn("weak_ranking", F.col("spread") < WEAK_SPREAD)
@@ -46,6 +67,7 @@ def search(chunks: DataFrame, query: list[float], k: int = DEFAULT_K) -> DataFra
 
 def pool_spread(chunks: DataFrame, query: list[float], pool: int = DEFAULT_POOL) -> DataFrame:
     check_range("pool", pool, POOL_MOST)
+    check_size(chunks, query)
     best = top(scored(chunks, query), pool).agg(F.count("*").alias("pool"), (F.max("cosine") - F.min("cosine")).alias("spread"))
     return best.withColumn("flat", (F.col("pool") > 1) & (F.col("spread") < WEAK_POOL_SPREAD))
 
@@ -59,7 +81,8 @@ def explain(chunks: DataFrame, query: list[float], needle: str, hits: int = 10)
     if not needle:
         raise Refused("invalid_request", "no text to look for", "pass a phrase you expect to find")
     spark = chunks.sparkSession
-    rows = scored(chunks, query).select("ordinal", "cosine", "text")
+    check_size(chunks, query)
+    rows = scored(chunks, query).where("cosine IS NOT NULL").select("ordinal", "cosine", "text")
     found = rows.where(F.contains(F.lower("text"), F.lit(needle.lower()))).orderBy(F.desc("cosine"), "ordinal").limit(hits).select("ordinal", "cosine").collect()
     schema = "rank bigint, of bigint, ordinal bigint, cosine double, in_pool boolean, diagnosis string"
     if not found:
@@ -72,9 +95,10 @@ def explain(chunks: DataFrame, query: list[float], needle: str, hits: int = 10)
 
 
 def hydrate(chunks: DataFrame, generation: str, ids: list[str], cap: int = RESPONSE_BYTES) -> DataFrame:
-    """ordinal, id, state (ok, not_in_index, omitted_for_size), text of the chunks asked for, in order.
+    """ordinal, id, state (ok, not_in_index, omitted_for_size), file, heading, line_start, line_end, text of the chunks
+    asked for, in order.
 
-    Ids of another generation refuse the whole request, and so do malformed ones. A chunk that does not fit under the
+    chunks: (ordinal, text) and the other columns where it has them. The cap counts the bytes of the reply as JSON. Ids of another generation refuse the whole request, and so do malformed ones. A chunk that does not fit under the
     cap is left out and later ones may still fit. Equal ordinals are one; the last spelling names it.
     """
     if not ids:
@@ -89,66 +113,110 @@ def hydrate(chunks: DataFrame, generation: str, ids: list[str], cap: int = RESPO
     wanted = {int(o): i for i, _, o in parts}
     spark = chunks.sparkSession
     asked = spark.createDataFrame(sorted(wanted.items()), "ordinal bigint, id string")
-    rows = F.broadcast(asked).join(chunks.where(F.col("ordinal").isin(*wanted)).select("ordinal", "text"), "ordinal", "left")
-    return fitted(rows, cap)
+    kinds = {"file": "string", "heading": "string", "line_start": "bigint", "line_end": "bigint"}
+    known = chunks.select("ordinal", "text", *(F.col(c) if c in chunks.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    rows = F.broadcast(asked).join(known.where(F.col("ordinal").isin(*wanted)), "ordinal", "left")
+    state = fitted(rows, cap).select("ordinal", "state")
+    ok = F.col("state") == "ok"
+    return rows.join(F.broadcast(state), "ordinal").select("ordinal", "id", "state", *(F.when(ok, F.col(c)).alias(c) for c in (*kinds, "text")))
+
+
+def reply_bytes(id="id", file="file", heading="heading", start="line_start", end="line_end", text="text"):
+    """UTF-8 bytes of a chunk in a reply: JSON with a blank after each comma and colon, of id, path, heading, lines, text."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    item = F.struct(c(id).alias("id"), c(file).alias("path"), F.coalesce(c(heading), F.lit("")).alias("heading"), F.array(c(start), c(end)).alias("lines"), c(text).alias("text"))
+    return F.octet_length(F.to_json(item, {"ignoreNullFields": "false"})).cast("bigint") + 10
 
 
 def fitted(rows: DataFrame, cap: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds state to rows(ordinal, id, text): a fold in order that skips what does not fit and goes on."""
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    items = F.array_sort(F.collect_list(F.struct("ordinal", "id", "text", size.cast("bigint").alias("size"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.filter(F.array(F.lit("").alias("x")), lambda _: F.lit(False)).alias("states"))
+    """by, ordinal, id, state of rows(ordinal, id, file, heading, line_start, line_end, text): what fits in order, skipping what does not.
+
+    A reply is a JSON object with a list: 14 bytes, and two between items. Sizes alone are sorted and read as a stream, a
+    group in one task, which holds one number; texts stay where they are.
+    """
+    ship(rows.sparkSession)
+    kinds = {"file": "string", "heading": "string", "line_start": "bigint", "line_end": "bigint"}
+    rows = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in rows.columns))
+    sizes = rows.select(*by, "ordinal", "id", F.when(F.col("text").isNotNull(), reply_bytes()).alias("size"))
+    sizes = (sizes.repartition(*by) if by else sizes.repartition(1)).sortWithinPartitions(*by, "ordinal")
+    frame = 14
+
+    def run(batches):
+        key, used, held = None, frame, 0
+        for batch in batches:
+            states = []
+            groups = zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else iter([()] * batch.num_rows)
+            for group, size in zip(groups, batch.column("size").to_pylist(), strict=True):
+                if group != key:
+                    key, used, held = group, frame, 0
+                if size is None:
+                    states.append("not_in_index")
+                elif used + size + 2 * (held > 0) <= cap:
+                    used, held = used + size + 2 * (held > 0), held + 1
+                    states.append("ok")
+                else:
+                    states.append("omitted_for_size")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(states, pa.string())], [*batch.schema.names[:-1], "state"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.drop("size").schema) + ", state string"
+    return sizes.mapInArrow(run, schema)
+
+
+QUERY_BYTES = 64 << 20  # of query vectors that are sent to all workers; more are dealt out
+
+
+def _packed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """keys, size, vectors: up to `most` rows(key, vector) of one size in packed arrays; null, empty and partly null vectors are left out."""
+
+    def run(batches):
+        import numpy as np
 
-    def step(s, x):
-        fits = s["used"] + x["size"] <= cap
-        state = F.when(x["text"].isNull(), "not_in_index").when(fits, "ok").otherwise("omitted_for_size")
-        return F.struct((s["used"] + F.when(x["text"].isNotNull() & fits, x["size"]).otherwise(0)).alias("used"), F.array_append(s["states"], state).alias("states"))
+        for batch in batches:
+            batch = batch.filter(pa.compute.and_(batch.column("vector").is_valid(), batch.column(key).is_valid()))
+            sizes = pa.compute.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
+            for size in sorted(set(sizes.tolist()) - {0}):
+                some = batch.filter(pa.array(sizes == size))
+                flat = pa.compute.list_flatten(some.column("vector"))
+                v = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size).all(1)
+                keys, v = some.column(key).to_numpy(zero_copy_only=False)[whole].astype("<i8"), v[whole]
+                for at in range(0, len(keys), most):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[at : at + most].tobytes()], pa.binary()), pa.array([size], pa.int32()), pa.array([v[at : at + most].tobytes()], pa.binary())], ["keys", "size", "vectors"])
 
-    folded = rows.groupBy(*by).agg(items.alias("items")).withColumn("states", F.aggregate("items", start, step, lambda s: s["states"]))
-    out = folded.select(*by, F.explode(F.arrays_zip("items", "states")).alias("z"))
-    return out.select(*by, "z.items.ordinal", "z.items.id", F.col("z.states").alias("state"), F.when(F.col("z.states") == "ok", F.col("z.items.text")).alias("text"))
+    return rows.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "keys binary, size int, vectors binary")
 
 
 def many(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int = 1024) -> DataFrame:
     """qid, rank, ordinal, cosine: the k nearest chunks of each of queries(qid, vector).
 
-    Queries go to the workers in blocks of `block`, which bounds what is sent; each Arrow batch of chunks is one matrix
-    product and keeps k a query, and the tasks' few rows are ranked by query.
+    Queries are packed into blocks and chunks into packs where they are; a block meets a pack in one matrix product that
+    keeps k a query, and these few are ranked by query. The chunks are scanned once. Blocks are sent to all workers where
+    they take QUERY_BYTES at most, else both sides are dealt out. Null vectors, and pairs of different sizes, have no
+    cosine and no rank.
     """
     check_range("k", k, K_MOST)
-    spark = chunks.sparkSession
-    ship(spark)
-    out = None
-    vectors = chunks.select("ordinal", "vector")
-    held = []
+    ship(chunks.sparkSession)
+    blocks = _packed(queries, "qid", block).select(F.col("keys").alias("qids"), F.col("size").alias("qsize"), F.col("vectors").alias("asked"))
+    bytes_ = queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    pairs = _packed(chunks, "ordinal", 4096).crossJoin(F.broadcast(blocks) if bytes_ <= QUERY_BYTES else blocks)
 
-    def ranked(rows):
+    def run(batches):
         import numpy as np
 
-        qids, sent = [r["qid"] for r in rows], spark.sparkContext.broadcast(np.array([r["vector"] for r in rows], float))
-
-        def run(batches):
-            q = sent.value
-            size = np.sqrt((q * q).sum(1))
-            for batch in batches:
-                ordinal = batch.column("ordinal").to_numpy()
-                v = np.stack(batch.column("vector").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, q.shape[1]))
+        for batch in batches:
+            for qids, qsize, asked, ordinals, size, vectors in zip(*(batch.column(c).to_pylist() for c in ("qids", "qsize", "asked", "keys", "size", "vectors")), strict=True):
+                if qsize != size:
+                    continue
+                qids, ordinals = np.frombuffer(qids, "<i8"), np.frombuffer(ordinals, "<i8")
+                q, v = np.frombuffer(asked).reshape(-1, size), np.frombuffer(vectors).reshape(-1, size)
                 with np.errstate(all="ignore"):
-                    c = np.nan_to_num((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * size[None, :]))
+                    c = np.nan_to_num((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]))
                 n = min(k, len(c))
-                cut = np.partition(c, len(c) - n, 0)[len(c) - n] if n else None
-                row, col = np.nonzero(c >= cut - 1e-12) if n else (np.zeros(0, int), np.zeros(0, int))
-                yield pa.RecordBatch.from_arrays([pa.array([qids[j] for j in col], pa.int64()), pa.array(ordinal[row]), pa.array(c[row, col])], ["qid", "ordinal", "cosine"])
-
-        return vectors.mapInArrow(run, "qid long, ordinal long, cosine double")
-
-    for row in queries.select("qid", "vector").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out = ranked(held) if out is None else out.unionByName(ranked(held))
-            held = []
-    if held or out is None:
-        out = ranked(held) if out is None else out.unionByName(ranked(held))
+                cut = np.partition(c, len(c) - n, 0)[len(c) - n]
+                row, col = np.nonzero(c >= cut - 1e-12)  # with all that tie, for the ordinal decides
+                yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array(ordinals[row]), pa.array(c[row, col])], ["qid", "ordinal", "cosine"])
+
+    out = pairs.select("qids", "qsize", "asked", "keys", "size", "vectors").mapInArrow(run, "qid long, ordinal long, cosine double")
     best = out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), "ordinal")).cast("bigint"))
     return best.where(F.col("rank") <= k)
 

@@ -12,9 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, chunking, decisions, index, integrity, rerank, search
-from ..session import ship
-from ..sources.models import HashEmbedder
+from ..operators import budget, chunking, code, decisions, index, integrity, rerank, search
+from ..sources.models import HashEmbedder, OverlapDecider, OverlapScorer, decided
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -167,23 +166,62 @@ def get_stale_ids(spark, sf_dir):
     return _values(spark, "verdict string, error string", out)
 
 
-@query("""WITH RECURSIVE d AS (SELECT source, doc_id, strlen(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-f AS (SELECT source, doc_id, k, n, CASE WHEN n <= 20000 THEN n ELSE 0 END AS used, n <= 20000 AS fits FROM d WHERE k = 1
-  UNION ALL SELECT d.source, d.doc_id, d.k, d.n, CASE WHEN f.used + d.n <= 20000 THEN f.used + d.n ELSE f.used END, f.used + d.n <= 20000 FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)
-SELECT source, doc_id, CASE WHEN fits THEN 'ok' ELSE 'omitted_for_size' END AS state FROM f""")
+@query("""WITH RECURSIVE j AS (SELECT source, doc_id, 10 + strlen(to_json({'id': doc_id::VARCHAR, 'path': coalesce(source, 'none') || '/' || doc_id || '.md', 'heading': '', 'lines': [1, 1], 'text': text})::VARCHAR) AS n FROM documents WHERE text IS NOT NULL),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM j),
+f AS (SELECT source, doc_id, k, CASE WHEN 14 + n <= 20000 THEN 14 + n ELSE 14 END AS used, (14 + n <= 20000)::INT AS held, 14 + n <= 20000 AS fits FROM d WHERE k = 1
+  UNION ALL SELECT d.source, d.doc_id, d.k, CASE WHEN f.used + d.n + 2 * least(held, 1) <= 20000 THEN f.used + d.n + 2 * least(held, 1) ELSE f.used END, held + (f.used + d.n + 2 * least(held, 1) <= 20000)::INT, f.used + d.n + 2 * least(held, 1) <= 20000
+  FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.k = f.k + 1)
+SELECT source, doc_id, CASE WHEN fits THEN 'ok' ELSE 'omitted_for_size' END AS state FROM f UNION ALL SELECT source, doc_id, 'not_in_index' FROM documents WHERE text IS NULL""")
 def get_byte_cap(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("id"), "text")
+    rows = _corpus(spark, sf_dir).select("source", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("id"), "file", F.lit("").alias("heading"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), "text")
     return search.fitted(rows, 20_000, ("source",)).select("source", F.col("ordinal").alias("doc_id"), "state")
 
 
+_REFUSED = [("another model", "model_not_found"), ("model not installed", "model_not_found"), ("another size", "invalid_request"), ("k out of range", "invalid_request"), ("no text", "invalid_request")]
+
+
+@query(f"""WITH {_sql_values('w', '"case", verdict', _REFUSED)}, n AS (SELECT count(*) AS n FROM embeddings WHERE len(embedding) <> 64)
+SELECT "case", verdict FROM w, n WHERE n = 0""")
+def search_refusals(spark, sf_dir):
+    """What a search refuses instead of ranking it: vectors of another model or size never meet the index's own."""
+
+    class Absent(HashEmbedder):
+        def installed(self):
+            return False
+
+    chunks, header = _chunks(spark, sf_dir), {"model": "offline-hash", "query_prefix": ""}
+    cases = {
+        "another model": lambda: search.embed_query(header, "x", HashEmbedder(name="other")), "model not installed": lambda: search.embed_query(header, "x", Absent()),
+        "another size": lambda: search.search(chunks, [1.0] * 63), "k out of range": lambda: search.search(chunks, [1.0] * 64, 26), "no text": lambda: search.explain(chunks, [1.0] * 64, ""),
+    }
+    out = []
+    for name, call in cases.items():
+        try:
+            call()
+            out.append((name, "ok"))
+        except search.Refused as e:
+            out.append((name, e.verdict))
+    return _values(spark, "case string, verdict string", out)
+
+
+@query(f"""WITH {_SCORES} SELECT rank, 'abc123def456:' || lpad(ordinal::VARCHAR, greatest(4, length(ordinal::VARCHAR))::INT, '0') AS id, 'd/' || ordinal || ':' || (label + 1) || '-' || (label + 3) || CASE WHEN label % 2 = 0 THEN '  (L' || label || ')' ELSE '' END AS citation,
+'m' AS model, 'unknown' AS built_at, 'positions and text are as of built_at; files may have changed since' AS note FROM r WHERE rank <= 10""")
+def cited_results(spark, sf_dir):
+    """Citations with the header's fields, unknown where it has none, and the note on staleness."""
+    best = search.top(search.scored(_chunks(spark, sf_dir), _query_vector(spark, sf_dir)), 10)
+    rows = best.select("rank", "ordinal", F.concat(F.lit("d/"), F.col("ordinal").cast("string")).alias("file"), (F.col("label") + 1).alias("line_start"), (F.col("label") + 3).alias("line_end"), F.when(F.col("label") % 2 == 0, F.concat(F.lit("L"), F.col("label").cast("string"))).otherwise("").alias("heading"))
+    header = _values(spark, "generation string, model string, built_at string", [("abc123def456", "m", None)])
+    return search.cited(rows, header).select("rank", "id", "citation", "model", "built_at", "note")
+
+
 # --- identity and chunks --------------------------------------------------------------------------------------------
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text", "source", "doc_id")
+    return _table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text", "source", "doc_id")
 
 
-_FILES = "f AS (SELECT source || '/' || doc_id || '.md' AS file, text, source, doc_id, substr(sha256(text), 1, 16) AS digest FROM documents)"
+_FILES = "f AS (SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS file, text, source, doc_id, substr(sha256(text), 1, 16) AS digest FROM documents)"
 
 
 @query(f"WITH {_FILES} SELECT file, digest FROM f")
@@ -266,15 +304,25 @@ def chunk_citations(spark, sf_dir):
     return got.select("conv_id", "pos", "heading", "line_start", "line_end", T.citation(F.col("conv_id").cast("string"), "line_start", "line_end", "heading").alias("citation"), T.snippet("text", 150).alias("snippet"))
 
 
-@query(f"""WITH {_FILES}, n AS (SELECT file, greatest(1, ceil(length(text) / 1300.0))::BIGINT AS n FROM f),
-o AS (SELECT file, n, sum(n) OVER (ORDER BY string_split(file, '/') ROWS UNBOUNDED PRECEDING) - n AS first FROM n)
+# Documents that are one paragraph each: one chunk up to 1500 characters, else a slice every 1300; blank ones have none.
+_CHUNKS = f"""{_FILES}, sz AS (SELECT file, digest, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS c FROM f),
+n AS (SELECT file, digest, CASE WHEN c = 0 THEN 0 WHEN c <= 1500 THEN 1 ELSE ceil(c / 1300.0)::BIGINT END AS n FROM sz)"""
+
+
+@query(f"""WITH {_CHUNKS}, o AS (SELECT file, n, sum(n) OVER (ORDER BY string_split(file, '/') ROWS UNBOUNDED PRECEDING) - n AS first FROM n)
 SELECT file, pos, (first + pos)::BIGINT AS ordinal, 'abc123def456:' || lpad((first + pos)::VARCHAR, greatest(4, length((first + pos)::VARCHAR))::INT, '0') AS id FROM (SELECT file, first, unnest(range(0, n)) AS pos FROM o)""")
 def chunk_ids(spark, sf_dir):
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1300.0)).cast("bigint")
-    pieces = _corpus(spark, sf_dir).select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("pos"))
+    pieces = chunking.chunked(_corpus(spark, sf_dir)).select("file", "pos")
     return index.ordinals(pieces).select("file", "pos", "ordinal", T.chunk_id(F.lit("abc123def456"), "ordinal").alias("id"))
 
 
+@query(f"""WITH {_BLOCKS}, s AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM b)
+SELECT conv_id, pos, conv_id || ':' || line_start || '-' || line_end || CASE WHEN heading <> '' THEN '  (' || heading || ')' ELSE '' END AS citation, substr(flat, 1, 150) AS snippet FROM s""")
+def block_citations(spark, sf_dir):
+    got = chunking.paragraph_blocks(_markdown(spark, sf_dir), "conv_id")
+    return got.select("conv_id", "pos", T.citation(F.col("conv_id").cast("string"), "line_start", "line_end", "heading").alias("citation"), T.snippet("text", 150).alias("snippet"))
+
+
 # --- incremental builds ---------------------------------------------------------------------------------------------
 
 
@@ -330,12 +378,44 @@ def embed_batches(spark, sf_dir):
     return got.select("file", "pos", F.size("vector").cast("bigint").alias("dimensions"), F.round("norm", 6).alias("norm"))
 
 
-@query()
+@query(f"""WITH {_CHUNKS} SELECT 'documents' AS name, 2::INT AS format, '' AS description, '' AS source_root, substr(sha256('2' || chr(0) || 'offline-hash' || chr(0) || chr(0) || chr(0) || '1500' || chr(0)
+  || string_agg(file || chr(0) || digest || chr(0), '' ORDER BY string_split(file, '/'))), 1, 12) AS generation, 'offline-hash' AS model, '' AS doc_prefix, '' AS query_prefix, 1500::INT AS chunk_chars, 64::INT AS dimensions, count(*) AS file_count, sum(n)::BIGINT AS chunk_count FROM n""")
 def index_build(spark, sf_dir):
-    """A whole build in memory with the offline embedder: its header, held against its tables."""
-    ship(spark)
-    tables = index.build(spark, _corpus(spark, sf_dir).where("source IS NOT NULL"), "documents", HashEmbedder(), model=MODEL, limit=LIMIT)
-    return tables["header"].drop("built_at")
+    """A whole build with the offline embedder, documents without a source included: its header."""
+    embed = HashEmbedder()
+    return index.build(spark, _corpus(spark, sf_dir), "documents", embed, model=embed.name, limit=LIMIT)["header"].drop("built_at")
+
+
+@query("""SELECT doc_id, floor(length(coalesce(text, '')) / 3.2)::BIGINT + 1 AS estimate, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 THEN 'invalid_request' WHEN floor(length(text) / 3.2) + 1 > 500 THEN 'context_exceeded' ELSE 'ok' END AS verdict,
+  CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 0 AND floor(length(text) / 3.2) + 1 <= 500 THEN 32 END AS dimensions FROM documents""")
+def embed_refusals(spark, sf_dir):
+    """An embedding call over all documents: inputs over the limit are refused one by one, the others get vectors."""
+    got = index.embedded_checked(_table(spark, sf_dir, "documents"), HashEmbedder(32), 500, key="doc_id")
+    return got.select("doc_id", "estimate", "verdict", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimensions"))
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id, arg_min(round(value, 6), event_id) AS value FROM events GROUP BY user_id, event_type")
+def first_wins(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+    return code.first_wins(rows, ("user_id", "event_type"), "event_id")
+
+
+_BEGIN, _END = "<!-- BEGIN GENERATED: cli -->", "<!-- END GENERATED: cli -->"
+
+
+@query(f"""SELECT doc_id, 'a ' || CASE WHEN doc_id % 3 = 0 THEN '{_BEGIN}' || coalesce(text, '') ELSE '{_BEGIN}' || chr(10) || chr(10) || 'now $1' || chr(10) || chr(10) || '{_END}' || ' b' END AS text, doc_id % 3 = 0 AS unpaired FROM documents""")
+def generated_regions(spark, sf_dir):
+    """What stands between the marks is replaced; a mark without its other half is left and reported."""
+    body = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(f"a {_BEGIN}"), body, F.when(F.col("doc_id") % 3 == 0, "").otherwise(f"{_END} b")).alias("text"))
+    odd = code.unpaired_regions(docs, "doc_id", "text").select("doc_id", F.lit(True).alias("unpaired"))
+    return docs.join(odd, "doc_id", "left").select("doc_id", code.with_region(F.col("text"), "cli", "now $1").alias("text"), F.coalesce("unpaired", F.lit(False)).alias("unpaired"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN length(props)::BIGINT END AS thinking_chars, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'raise max_tokens or think less' ELSE 'check max_tokens or try another model' END END AS remedy FROM events""")
+def thinking_reports(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, " ").otherwise("text").alias("text"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("thinking"))
+    return rows.select("event_id", T.thinking_chars("thinking").alias("thinking_chars"), T.empty_remedy("text", "thinking").alias("remedy"))
 
 
 # --- reranking from recorded replies --------------------------------------------------------------------------------
@@ -366,12 +446,48 @@ def rerank_batches(spark, sf_dir):
     return rerank.batches(_pool(spark, sf_dir)).select("pos", "ordinal", "batch", "local")
 
 
-@query()
+_TEXTS = """tx AS (SELECT p.pos, p.batch::BIGINT AS batch, p.local, d.source, trim(regexp_replace(coalesce(d.text, ''), '\\s+', ' ', 'g')) AS t FROM p JOIN documents d ON d.doc_id = p.ordinal)"""
+
+
+@query(f"""WITH {_RERANK}, {_TEXTS} SELECT batch, count(*) AS size, 'You grade search results.' || chr(10) || 'A reader asks: why?' || chr(10) || '{rerank.SCALES["plain"]}' || chr(10) || 'Passages, each under its number and file:' || chr(10) || chr(10)
+  || string_agg('[' || local || '] (' || source || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY local) || chr(10) || chr(10) || 'Write ' || count(*) || ' grades, each on a line of its own as number=grade. Add no other text.' AS prompt FROM tx GROUP BY batch""")
 def rerank_prompts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("file"), "text")
     return rerank.prompts(docs.join(F.broadcast(_pool(spark, sf_dir)), "ordinal"), "why?")  # twenty rows
 
 
+_SOUGHT = "license of the version and copies"
+
+
+@query(f"""WITH {_SCORES}, w AS (SELECT string_split('{_SOUGHT}', ' ') AS w),
+c AS (SELECT row_number() OVER (ORDER BY cosine DESC, ordinal) - 1 AS pos, ordinal, cosine, coalesce(d.text, '') AS text FROM s JOIN documents d ON d.doc_id = ordinal),
+j AS (SELECT pos, ordinal, cosine, least(2, len(list_intersect(w.w, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))))::DOUBLE AS score FROM c, w WHERE pos < 20),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, cosine DESC, pos) AS place FROM j)
+SELECT place, ordinal, round(cosine, 6) AS cosine, score, CASE score WHEN 2 THEN 'ANSWERS' WHEN 1 THEN 'partial' ELSE 'topic only' END AS label, (SELECT max(cosine) - min(cosine) FROM c WHERE pos < 10) < 0.06 AS weak_ranking FROM o WHERE place <= 10""")
+def reranked_search(spark, sf_dir):
+    """A search with its second stage in one call, judged offline by shared words."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.coalesce("source", F.lit("none")).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    chunks = _chunks(spark, sf_dir).join(docs, "ordinal")
+    got = rerank.reranked(chunks, _query_vector(spark, sf_dir), _SOUGHT, OverlapScorer(_SOUGHT))["rows"]
+    return got.select("place", "ordinal", F.round("cosine", 6).alias("cosine"), "score", "label", "weak_ranking")
+
+
+@query(f"WITH {_SCORES} SELECT rank AS place, rank - 1 AS pos, ordinal, NULL::DOUBLE AS score, 'not judged' AS label FROM r WHERE rank <= 10")
+def unjudged_order(spark, sf_dir):
+    """A pool of which no batch gave a score: the order of the embeddings, with null scores that are not zeros."""
+    pool = _pool(spark, sf_dir)
+    none = rerank.parsed(_replies(pool).withColumn("reply", F.lit("nothing")))
+    rows = rerank.ordered(pool, none, 10).withColumn("high", F.lit(None).cast("double"))
+    return rows.select("place", "pos", "ordinal", "score", rerank.label("score", "high").alias("label"))
+
+
+@query(f"WITH {_RERANK} SELECT pos, CASE WHEN score IS NULL THEN 'not judged' WHEN score = 2 THEN 'ANSWERS' WHEN score = 1 THEN 'partial' ELSE 'topic only' END AS label, printf('%g', cosine * 1e6) AS large, printf('%g', cosine / 1e6) AS tiny FROM ord")
+def rerank_labels(spark, sf_dir):
+    pool = _pool(spark, sf_dir)
+    rows = rerank.ordered(pool, rerank.parsed(_replies(pool)), 20).withColumn("high", F.lit(2.0))
+    return rows.select("pos", rerank.label("score", "high").alias("label"), T.general(F.col("cosine") * 1e6).alias("large"), T.general(F.col("cosine") / 1e6).alias("tiny"))
+
+
 @query(f"WITH {_RERANK} SELECT pos, score FROM sc")
 def rerank_parse(spark, sf_dir):
     return rerank.parsed(_replies(_pool(spark, sf_dir)))
@@ -565,6 +681,20 @@ def answer_verdict(spark, sf_dir):
     return decisions.verdicts(decisions.answer_problems(*_decided(spark, sf_dir)))
 
 
+_TYPED = {"topic": {"type": "choice", "instructions": "Which topic is it?", "labels": ["license", "story", "other"]}, "clean": {"type": "noul", "instructions": "Is it free of errors?"}, "length": {"type": "score", "instructions": "How long is it?", "levels": ["short", "middling", "long"]}}
+
+
+@query("""SELECT doc_id::VARCHAR AS item, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 THEN 3 ELSE 0 END::BIGINT AS n_problems,
+CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 THEN 'incomplete' ELSE 'ok' END AS verdict FROM documents WHERE text IS NULL OR regexp_matches(text, '[\\p{L}\\p{N}_]') OR length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = 0""")
+def decisions_applied(spark, sf_dir):
+    """Three typed questions about every document, answered offline and held against what was asked."""
+    docs = _table(spark, sf_dir, "documents").where("text IS NULL OR text RLIKE '[\\\\p{L}\\\\p{N}_]' OR text RLIKE '^\\\\s*$'")
+    answers = decided(docs, OverlapDecider(), _TYPED, "doc_id", "text").where("error IS NULL")
+    asked = _values(spark, "qid string, type string, labels array<string>, levels array<string>", [(k, q["type"], q.get("labels"), q.get("levels")) for k, q in _TYPED.items()])
+    questions = docs.select(F.col("doc_id").cast("string").alias("item")).crossJoin(F.broadcast(asked))  # three rows
+    return decisions.verdicts(decisions.answer_problems(questions, answers))
+
+
 @query("""WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE quality END AS expected, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS got, (doc_id % 100) / 100.0::DOUBLE AS confidence FROM labels)
 SELECT count(expected) AS labelled, count(*) - count(expected) AS unlabelled, count(*) FILTER (expected = got) AS correct, round(avg((expected = got)::INT::DOUBLE), 6) AS accuracy,
   round(avg(confidence) FILTER (expected = got), 6) AS confidence_right, round(avg(confidence) FILTER (expected <> got), 6) AS confidence_wrong, count(*) FILTER (expected IS NOT NULL AND confidence >= 0.5) AS kept,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import weakref
 import zipfile
@@ -25,6 +28,23 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="spindrift-scratch-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for tables between steps: the cluster's shared one; a local folder, on a local master only, where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/spindrift-index"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors cannot read each other's local folders")
+    return _local_folder()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the workers, once per context, so that they need no path of ours."""
     sc = spark.sparkContext

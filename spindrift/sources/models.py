@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 from ..verdicts import Refused
@@ -87,11 +88,27 @@ def probe(config: Config) -> dict:
 
 
 class HttpEmbedder:
+    """Vectors of a batch of texts; servers without the batch endpoint are asked text by text."""
+
     def __init__(self, config: Config, model: str):
-        self.config, self.model = config, model
+        self.config, self.model, self.name = config, model, model
+
+    def installed(self) -> bool:
+        try:
+            request(self.config, "POST", "/api/show", {"model": self.model}, timeout=30)
+        except Refused as e:
+            if e.verdict in ("model_not_found", "ollama_error"):
+                return False
+            raise
+        return True
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        got = request(self.config, "POST", "/api/embed", {"model": self.model, "input": texts}).get("embeddings")
+        try:
+            got = request(self.config, "POST", "/api/embed", {"model": self.model, "input": texts}).get("embeddings")
+        except Refused as e:
+            if e.verdict != "model_not_found" or not self.installed():
+                raise
+            got = [request(self.config, "POST", "/api/embeddings", {"model": self.model, "prompt": t}).get("embedding") for t in texts]
         if not isinstance(got, list) or len(got) != len(texts) or any(not v for v in got):
             raise Refused("bad_response", "the vectors do not match the texts", "check the model")
         return got
@@ -100,8 +117,8 @@ class HttpEmbedder:
 class HashEmbedder:
     """Unit vectors of hashed words: equal texts, equal vectors, on any machine."""
 
-    def __init__(self, size: int = 64):
-        self.size = size
+    def __init__(self, size: int = 64, name: str = "offline-hash"):
+        self.size, self.name = size, name
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         return [self._one(t) for t in texts]
@@ -116,14 +133,26 @@ class HashEmbedder:
 
 
 class HttpChat:
-    """prompt -> (text, done_reason, counts and durations)."""
+    """Messages -> text, thinking, done_reason, counts and durations.
 
-    def __init__(self, config: Config, model: str, **options):
-        self.config, self.model, self.options = config, model, options
+    system goes before messages that have none of their own; json_mode asks for JSON; think None leaves it to the model.
+    """
+
+    def __init__(self, config: Config, model: str, *, system: str | None = None, temperature: float | None = None, max_tokens: int | None = None, json_mode: bool = False, think: bool | None = None, **options):
+        self.config, self.model, self.system = config, model, system
+        wanted = {"temperature": temperature, "num_predict": max_tokens}
+        self.options = options | {k: v for k, v in wanted.items() if v is not None}
+        self.more = ({"format": "json"} if json_mode else {}) | ({"think": think} if think is not None else {})
+
+    def payload(self, messages: list[dict]) -> dict:
+        own = any(m["role"] == "system" for m in messages)
+        sent = messages if own or not self.system else [{"role": "system", "content": self.system}, *messages]
+        return {"model": self.model, "messages": sent, "stream": False, "options": self.options} | self.more
 
     def __call__(self, messages: list[dict]) -> dict:
-        got = request(self.config, "POST", "/api/chat", {"model": self.model, "messages": messages, "stream": False, "options": self.options})
-        return {"text": (got.get("message") or {}).get("content") or "", **{k: got.get(k) for k in ("done_reason", "eval_count", "eval_duration", "prompt_eval_count", "load_duration")}}
+        got = request(self.config, "POST", "/api/chat", self.payload(messages))
+        said = got.get("message") or {}
+        return {"text": said.get("content") or "", "thinking": said.get("thinking") or None, **{k: got.get(k) for k in ("done_reason", "eval_count", "eval_duration", "prompt_eval_count", "load_duration")}}
 
 
 class OverlapScorer:
@@ -135,14 +164,17 @@ class OverlapScorer:
     def __call__(self, messages: list[dict]) -> dict:
         passages = re.findall(r"^\[(\d+)\] \([^\n]*\)\n(.*)$", messages[-1]["content"], re.M)
         lines = [f"{i}={min(2, len(self.words & set(re.findall(r'\w+', text.lower()))))}" for i, text in passages]
-        return {"text": "\n".join(lines), "done_reason": "stop", "eval_count": len(lines), "eval_duration": 1, "prompt_eval_count": None, "load_duration": None}
+        return {"text": "\n".join(lines), "thinking": None, "done_reason": "stop", "eval_count": len(lines), "eval_duration": 1, "prompt_eval_count": None, "load_duration": None}
 
 
-COMPLETION = "text string, done_reason string, eval_count bigint, eval_duration bigint, prompt_eval_count bigint, load_duration bigint, error string"
+COMPLETION = "text string, thinking string, done_reason string, eval_count bigint, eval_duration bigint, prompt_eval_count bigint, load_duration bigint, error string"
 
 
 def completed(prompts: DataFrame, call, prompt: str = "prompt") -> DataFrame:
-    """Adds the completion of each prompt; a failed call is a row with its error. Filter refused prompts out before."""
+    """Adds the completion of each prompt; a failed call is a row with its error. Filter refused prompts out before.
+
+    prompt: a column of text, which is sent as one user message, or of whole histories, arrays of (role, content).
+    """
     ship(prompts.sparkSession)
     names = prompts.columns
     fields = [f.split() for f in COMPLETION.split(", ")]
@@ -152,7 +184,7 @@ def completed(prompts: DataFrame, call, prompt: str = "prompt") -> DataFrame:
             rows = []
             for p in batch.column(prompt).to_pylist():
                 try:
-                    rows.append(call([{"role": "user", "content": p}]) | {"error": None})
+                    rows.append(call([{"role": "user", "content": p or ""}] if p is None or isinstance(p, str) else [{"role": m["role"], "content": m["content"]} for m in p]) | {"error": None})
                 except Refused as e:
                     rows.append({"error": f"{e.verdict}: {e.error}"})
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r.get(k) for r in rows], pa.string() if t == "string" else pa.int64()) for k, t in fields)], [*names, *(k for k, _ in fields)])
@@ -160,6 +192,59 @@ def completed(prompts: DataFrame, call, prompt: str = "prompt") -> DataFrame:
     return prompts.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", " + COMPLETION)
 
 
+ANSWERS = "item string, qid string, type string, choice string, noul double, score double, probabilities map<string,double>, confidence double, error string"
+
+
+def decided(states: DataFrame, call, questions: dict, item: str = "item", state: str = "state") -> DataFrame:
+    """item, qid, type, choice, noul, score, probabilities, confidence, error: the answers about each row of states(item, state).
+
+    call: state and questions -> answers. Every question has a row for every item: one without an answer has a null type,
+    and a call that was refused says so in error. Hold the rows against the questions with operators.decisions.
+    """
+    ship(states.sparkSession)
+    kinds = [pa.string()] * 4 + [pa.float64(), pa.float64(), pa.map_(pa.string(), pa.float64()), pa.float64(), pa.string()]
+    names = [f.split()[0] for f in ANSWERS.split(", ")]
+    number = lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, s in zip(batch.column("item").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                try:
+                    answers, error = call(s or "", questions), None
+                except Refused as e:
+                    answers, error = {}, f"{e.verdict}: {e.error}"
+                for qid in questions:
+                    a = answers.get(qid) if isinstance(answers.get(qid), dict) else {}
+                    odds = [(str(k), number(v)) for k, v in a["probabilities"].items()] if isinstance(a.get("probabilities"), dict) else None
+                    rows.append((i, qid, a.get("type"), a.get("choice"), number(a.get("noul")), number(a.get("score")), odds, number(a.get("confidence")), error))
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return states.select(F.col(item).cast("string").alias("item"), F.col(state).cast("string").alias("state")).mapInArrow(run, ANSWERS)
+
+
+class OverlapDecider:
+    """Answers as a decision model would, from shared words of the state and each label or level; offline."""
+
+    def __call__(self, state: str, questions: dict) -> dict:
+        words, out = set(re.findall(r"\w+", state.lower())), {}
+        if not words:
+            raise Refused("invalid_request", "state is empty", "pass what is to be decided about")
+        for qid, q in questions.items():
+            shared = lambda t: 1.0 + len(words & set(re.findall(r"\w+", str(t).lower())))
+            if q["type"] == "noul":
+                mass = shared(q["instructions"])
+                out[qid] = {"type": "noul", "noul": mass / (mass + 1), "confidence": mass / (mass + 1)}
+                continue
+            options = q["labels"] if q["type"] == "choice" else {str(k): v for k, v in enumerate(q["levels"])}
+            mass = {k: shared(f"{k} {v}") for k, v in (options.items() if isinstance(options, dict) else ((o, o) for o in options))}
+            odds = {k: v / sum(mass.values()) for k, v in mass.items()}
+            best = max(sorted(odds), key=odds.get)
+            out[qid] = {"type": q["type"], "probabilities": odds, "confidence": odds[best]} | ({"choice": best} if q["type"] == "choice" else {"score": sum(int(k) * v for k, v in odds.items())})
+        return out
+
+
 def models_table(spark, config: Config) -> DataFrame:
     """name, size, family, parameter_size, quantization, modified of every installed model."""
     found = request(config, "GET", "/api/tags").get("models") or []

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from spindrift.functions import text as T
 from spindrift.operators import chunking, index, search
 from spindrift.sources import index_json, markdown
 from spindrift.sources.models import HashEmbedder
@@ -126,7 +127,7 @@ def test_build_refusals(spark):
     corpus = spark.createDataFrame([], "file string, text string")
     for df, limit, verdict in ((corpus, 10_000, "invalid_request"), (corpus, None, "context_unknown"), (corpus, 50, "invalid_request")):
         with pytest.raises(Refused) as e:
-            index.build(spark, df, "x", HashEmbedder(), model="m", limit=limit)
+            index.build(spark, df, "x", HashEmbedder(), model="offline-hash", limit=limit)
         assert e.value.verdict == verdict
 
 
@@ -172,9 +173,72 @@ def test_hydrate(chunks):
         assert e.value.verdict == verdict
 
 
-def test_byte_cap_skips_and_goes_on(spark):
-    rows = spark.createDataFrame([(0, "a", "x" * 30), (1, "b", "x" * 40), (2, "c", "x" * 20)], "ordinal bigint, id string, text string")
-    assert [r.state for r in search.fitted(rows, 60).orderBy("ordinal").collect()] == ["ok", "omitted_for_size", "ok"]
+def _reply(rows):
+    return len(json.dumps({"chunks": [{"id": i, "path": f, "heading": h or "", "lines": [a, b], "text": t} for i, f, h, a, b, t in rows]}, ensure_ascii=False).encode())
+
+
+@pytest.mark.parametrize("cap", [60, 500, 2000, 9000])
+def test_byte_cap_counts_the_reply(spark, cap):
+    rng = random.Random(cap)
+    rows = [(g, k, f"i{k}", f"p/é{k}.md", rng.choice(["", None, 'He said "x"']), k, k + 2, "".join(rng.choices(["a", "\n", "\t", "é", "🙂", '"', "\\", "\x01", "/", "\x7f"], k=rng.randint(0, 400))) if k % 7 else None) for g in ("x", "y", None) for k in range(30)]
+    want = {}
+    for g in ("x", "y", None):
+        held = []
+        for _, k, *row in (r for r in rows if r[0] == g):
+            if row[-1] is None:
+                want[g, k] = "not_in_index"
+            elif _reply([*held, row]) <= cap:
+                held.append(row)
+                want[g, k] = "ok"
+            else:
+                want[g, k] = "omitted_for_size"
+    df = spark.createDataFrame(rows, "g string, ordinal bigint, id string, file string, heading string, line_start bigint, line_end bigint, text string").repartition(4)
+    assert {(r.g, r.ordinal): r.state for r in search.fitted(df, cap, ("g",)).collect()} == want
+
+
+def test_search_refuses_what_it_cannot_rank(spark, chunks):
+    for call in (lambda: search.search(chunks, [1.0]), lambda: search.pool_spread(chunks, [1.0] * 5), lambda: search.explain(chunks, [1.0] * 3, "x")):
+        with pytest.raises(Refused) as e:
+            call()
+        assert e.value.verdict == "invalid_request"
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.5]), (3, [0.0, 1.0]), (4, [None, 1.0])], "ordinal bigint, vector array<double>")
+    assert [r.ordinal for r in search.search(df, [1.0, 0.0]).collect()] == [0, 3]
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, None), (12, [1.0]), (13, [0.0, 0.0])], "qid bigint, vector array<double>")
+    got = {(r.qid, r.rank): (r.ordinal, r.cosine) for r in search.many(df, asked, 5).collect()}
+    assert got == {(10, 1): (0, 1.0), (10, 2): (3, 0.0), (12, 1): (2, 1.0), (13, 1): (0, 0.0), (13, 2): (3, 0.0)}
+
+
+def test_queries_keep_to_the_model(spark, tmp_path):
+    corpus = spark.createDataFrame([("a.md", "words")], "file string, text string")
+    with pytest.raises(Refused) as e:
+        index.build(spark, corpus, "n", HashEmbedder(), model="nomic-embed-text", limit=2048)
+    assert e.value.verdict == "model_not_found"
+    details = spark.createDataFrame([("offline-hash", {"x.context_length": "100"}, None)], "name string, model_info map<string,string>, parameters string")
+    made = index.build(spark, corpus, "n", HashEmbedder(), model="offline-hash", details=details, path=str(tmp_path))
+    assert made["header"].first().chunk_chars == 320
+    header = made["header"].first()
+    assert search.embed_query(header, "words", HashEmbedder()) == HashEmbedder()(["words"])[0]
+    with pytest.raises(Refused):
+        search.embed_query(header, "words", HashEmbedder(name="m"))
+    (tmp_path / "torn").mkdir()
+    (tmp_path / "torn" / "current").mkdir()
+    listed = [(r.name, r.verdict, r.chunk_count) for r in index.listing(spark, str(tmp_path)).collect()]
+    assert listed == [("n", "ok", 1), ("torn", "index_unreadable", 0)]
+
+
+def test_ordinals_over_parts(spark):
+    rng = random.Random(4)
+    files = sorted({("/".join(rng.choices(["a", "a-b", "b", "B", "é"], k=rng.randint(1, 4))) + f"{rng.randrange(50)}.md") for _ in range(400)}, key=lambda f: f.split("/"))
+    rows = [(f, k) for f in files for k in range(rng.randint(1, 4))]
+    got = index.ordinals(spark.createDataFrame(rows, "file string, pos bigint").repartition(5)).collect()
+    assert {(r.file, r.pos): r.ordinal for r in got} == {r: i for i, r in enumerate(rows)}
+
+
+def test_general_numbers(spark):
+    values = [0.0, 1.0, 2.5, -3.25, 1e-7, 1234567.0, 123456.0, 1e20, 0.0001, 0.00009999, 999999.5, 0.1 + 0.2, -1e-5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    got = {r.x: r.g for r in df.select("x", T.general("x").alias("g")).collect()}
+    assert got == {v: "%g" % v for v in values} | {None: None}
 
 
 def test_many_queries(spark):
@@ -215,7 +279,7 @@ def test_citations(spark):
 
 
 def test_export(spark):
-    tables = index.build(spark, spark.createDataFrame([("b.md", "two"), ("a/c.md", "one\n\nmore")], "file string, text string"), "n", HashEmbedder(4), model="m", limit=2048)
+    tables = index.build(spark, spark.createDataFrame([("b.md", "two"), ("a/c.md", "one\n\nmore")], "file string, text string"), "n", HashEmbedder(4), model="offline-hash", limit=2048)
     doc = json.loads(index_json.documents(tables).first()[0])
     assert [f["file"] for f in doc["files"]] == ["a/c.md", "b.md"] and doc["files"][0]["chunks"][0]["lines"] == [1, 3] and doc["file_count"] == 2
 
