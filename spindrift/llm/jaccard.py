@@ -44,7 +44,7 @@ MEMBERS = 32  # sets that meet a pivot in one group
 OTHERS = 64  # sets outside a ring's largest component that are held against the whole ring
 FIT, PIVOTS, DEEPEST = 256, 24, 4  # sets that are joined directly; pivots that split more; how often
 FAR = 0.7  # sets farther than this from all pivots have a cell of their own
-GRID, GRID_BYTES = 512, 1 << 23  # sets, and bytes of their shingles, in a block
+GRID, GRID_BYTES = 128, 1 << 23  # sets, and bytes of their shingles, in a block
 MOST_TASKS = 20_000
 
 
