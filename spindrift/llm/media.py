@@ -28,7 +28,6 @@ UNIT, RATE, MULAW, ALAW, ADPCM = 192, 8000, 7, 6, 17
 CODECS = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
 RATES = {MULAW: RATE, ALAW: RATE, ADPCM: 2 * RATE}  # 8,000 bytes a second in each
 BLOCK = 1 << 18  # samples, and ADPCM bytes, that are worked on at once
-PCM_RATE = 4000  # of op8_media, whose scratch space is limited; PCM of 16 kHz takes 3.5 times the texts
 TAPS = 12  # samples on either side that the filter sees, at the lower of two rates
 
 # Fixed values of the IMA ADPCM format: quantizer steps, and how a code moves the step index.
@@ -233,13 +232,27 @@ def features(expanded: DataFrame) -> DataFrame:
     return expanded.select(*names, "pcm").mapInArrow(run, _READ.replace("codec string", "feature string"))
 
 
+def stored_features(docs: DataFrame, *, rate: int = 16000, shares: int = 6) -> DataFrame:
+    """features() of all documents, from media and PCM that were written to the shared folder and read back.
+
+    Documents are worked on in `shares` by a hash of the text, one after the other, and a share's media and PCM go when
+    its features are written: PCM of 16 kHz takes some four times the texts, and scratch space holds one share of it.
+    """
+    out = None
+    for k in range(shares):
+        media = materialise(store(docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(shares)) == k)))
+        pcm = materialise(expand(media, rate=rate))
+        release(media)
+        found = materialise(features(pcm))
+        release(pcm)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def op8_media(spark, sf_dir):
     """doc_id, n_bytes, payload and media lengths and digests, and feature of every document, from what was stored.
 
     Null and empty texts are one unit of blanks; repeated rows give a row each; see store for ids and long texts. Media
-    and PCM of `PCM_RATE` are written to the shared folder and read back.
+    and PCM of 16 kHz are written to the shared folder and read back.
     """
-    media = materialise(store(table(spark, sf_dir, "documents")))
-    pcm = materialise(expand(media, rate=PCM_RATE))
-    release(media)
-    return features(pcm)
+    return stored_features(table(spark, sf_dir, "documents"))
