@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import infill, jaccard, periodic, quality, suffix, warc
+from .attention import op12_attention
 from .infill import op13_infill
 from .jaccard import op3_jaccard
 from .language import op4_language
@@ -18,7 +19,7 @@ from .warc import op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard, op4_language, op5_suffix, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls, op11_periodic, op13_infill)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard, op4_language, op5_suffix, op6_quality, op7_toxicity, op8_media, op9_mixing, op10_urls, op11_periodic, op12_attention, op13_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
