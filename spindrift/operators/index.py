@@ -11,15 +11,16 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import doubles, norm
 from ..session import scratch, ship
+from ..sources import commit, ordered
 from ..verdicts import Refused
-from . import budget, chunking
+from . import budget, calls, chunking
 
 FORMAT = 2
 
@@ -42,61 +43,56 @@ def path_order(file: str = "file"):
 def generation(files: DataFrame, *, model: str, doc_prefix: str = "", query_prefix: str = "", chunk_chars: int = chunking.TARGET, by: tuple[str, ...] = ()) -> DataFrame:
     """generation, file_count of files(file, digest), for each value of `by`: a hash over settings and files in order.
 
-    Files are sorted across the cluster and hashed as a stream, an index in one task, which holds one row at a time.
+    The cluster sorts the files into parts and writes them; then one task for each index, or for the small indexes of a
+    part, reads the finished parts in order and hashes row by row.
     """
-    ship(files.sparkSession)
+    spark = files.sparkSession
     head = "".join(f"{x}\0" for x in (FORMAT, model, doc_prefix, query_prefix, chunk_chars)).encode()
     rows = files.select(*by, "file", "digest")
-    if by:
-        rows = rows.repartition(*by).sortWithinPartitions(*by, path_order(), "file")
-    else:
-        rows = rows.orderBy(path_order(), "file").coalesce(1)  # reads the sorted parts one after the other
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema) + "generation string, file_count long"
+    written = ordered.parts(rows, *by, path_order(), F.col("file"))
 
-    def run(batches):
+    def run(batches, only, but):
         key, hashed, count = None, None, 0
 
         def row():
-            kinds = [pa.array([k]) for k in key]
-            return pa.RecordBatch.from_arrays([*kinds, pa.array([hashed.hexdigest()[:12]], pa.string()), pa.array([count], pa.int64())], [*by, "generation", "file_count"])
+            return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(key, kinds, strict=True)), pa.array([hashed.hexdigest()[:12]], pa.string()), pa.array([count], pa.int64())], [*by, "generation", "file_count"])
 
         for batch in batches:
-            groups = zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else iter([()] * batch.num_rows)
-            for group, file, digest in zip(groups, batch.column("file").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+            kinds = [batch.schema.field(c).type for c in by]
+            values = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
+            for group, file, digest in zip(values, batch.column("file").to_pylist(), batch.column("digest").to_pylist(), strict=True):
                 if group != key:
                     if hashed:
                         yield row()
-                    key, hashed, count = group, hashlib.sha256(head), 0
-                hashed.update(f"{file}\0{digest}\0".encode())
-                count += 1
+                    name = [None if v is None else str(v) for v in group]
+                    key, count = group, 0
+                    hashed = hashlib.sha256(head) if (only is None or only == name) and name not in but else None
+                if hashed:
+                    hashed.update(f"{file}\0{digest}\0".encode())
+                    count += 1
         if hashed:
             yield row()
 
-    return rows.mapInArrow(run, f"{schema}{', ' * bool(by)}generation string, file_count long")
-
-
-def _parts(files: DataFrame, parts: int) -> Column:
-    """The part of a file in path order: between which of at most `parts` - 1 files of a sample, the first by a hash, it lies."""
-    sample = files.select("file").orderBy(F.xxhash64("file"), "file").limit(20 * parts).select(path_order().alias("k")).collect()
-    keys = sorted(r.k for r in sample)[::20][1:]
-    if not keys:
-        return F.lit(0)
-    bounds = F.array(*(F.array(*map(F.lit, k)) for k in keys))
-    return F.size(F.filter(bounds, lambda b: b <= path_order()))
+    return ordered.stream(spark, ordered.groups(spark, written, by), run, schema)
 
 
 def ordinals(chunks: DataFrame, by: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """Adds ordinal, from 0 over files in path order and chunks in theirs.
 
-    Files are dealt into parts by range; sums run inside a part, and over the parts' totals, which are few. Chunks add
-    their own position to the file's offset.
+    The cluster sorts the files into parts by range; sums run inside a part, and over the parts' totals, which are as few
+    as the parts. Chunks add their own position to the file's offset.
     counted: the same rows without what is dear to compute, from which the files' chunks are counted.
     """
+    spark = chunks.sparkSession
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = (chunks if counted is None else counted).groupBy(*by, "file").agg(F.count("*").alias("_n"))
-    parts = min(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 500)
-    files = files.withColumn("_part", _parts(files, parts))
+    path = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    files.repartitionByRange(number, *by, path_order(), F.col("file")).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    files = spark.read.parquet(path)
     totals = files.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
-    totals = totals.withColumn("_first", F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = W.partitionBy(*by, "_part").orderBy(path_order(), "file").rowsBetween(W.unboundedPreceding, -1)
     files = files.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, [*by, "_part"])
     files = files.select(*by, "file", (F.col("_first") + F.col("_inside")).alias("_before"))
@@ -169,14 +165,15 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return inventory(spark.createDataFrame(rows, "name string, corrupt boolean, format int, description string, built_at string, model string, file_count long, chunk_count long")).orderBy("name")
 
 
-def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: str, limit: int | None = None, details: DataFrame | None = None, target: int = chunking.TARGET, path: str | None = None, force: bool = False, description: str = "", root: str = "", batch: int = 16) -> dict[str, DataFrame]:
+def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: str, limit: int | None = None, details: DataFrame | None = None, target: int = chunking.TARGET, path: str | None = None, force: bool = False, description: str = "", root: str = "", batch: int = 16, log: str | None = None) -> dict[str, DataFrame]:
     """Builds an index of corpus(file, text), reusing the vectors of files that have not changed, and writes it.
 
     embed(texts) -> vectors is called on the workers in batches of `batch`. An embedder that has a name must be the
     model. limit is the model's context in tokens; where it is not given, it is that of the model in `details` (name,
     model_info, parameters), and an unknown one is refused. With `path`, the tables are written below it and a prior
     index there is used; without, chunks with their vectors are written to a scratch folder, so that no vector is
-    computed twice.
+    computed twice. With `log`, a folder, every vector is logged as it arrives: a build that failed, started again,
+    embeds only what is not logged. Of two builds that started from one version the second to end is refused.
     """
     check_name(name)
     if getattr(embed, "name", model) != model:
@@ -191,12 +188,11 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
     files = digests(corpus.select("file", "text"))
     if not files.limit(1).count():
         raise Refused("invalid_request", "the corpus holds no documents", "check the folder")
-    prior = None
-    if path and not force:
-        try:
-            prior = read(spark, path, name)
-        except Refused:
-            prior = None
+    prior, version = None, 0
+    if path:
+        version, held = commit.latest(spark, f"{path}/{name}")
+        if held and not force:
+            prior = _tables(spark, path, name, held)
         if prior and not same_settings(prior["header"], model=model, chunk_chars=size, doc_prefix=doc_prefix, query_prefix=query_prefix):
             prior = None
     todo, kept = files, None
@@ -205,7 +201,8 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
         todo = files.join(old, ["file", "digest"], "left_anti")
         kept = prior["chunk"].join(files.select("file", "digest").join(old, ["file", "digest"], "left_semi"), "file").select("file", "pos", "text", "heading", "line_start", "line_end", "vector", "norm")
     plain = chunking.chunked(todo, size)
-    fresh, counted = embedded(plain, embed, doc_prefix, batch), plain.select("file", "pos")
+    fresh = calls.embedded(plain, embed, log, model=model, prefix=doc_prefix, batch=batch) if log else embedded(plain, embed, doc_prefix, batch)
+    counted = plain.select("file", "pos")
     if kept is not None:
         fresh, counted = fresh.unionByName(kept), counted.unionByName(kept.select("file", "pos"))
     chunk = ordinals(fresh, counted=counted)
@@ -226,7 +223,7 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
         F.lit(doc_prefix).alias("doc_prefix"), F.lit(query_prefix).alias("query_prefix"), F.lit(size).alias("chunk_chars"), "dimensions", "file_count", "chunk_count",
     )
     if path:
-        return publish(header, file, chunk, path, name, build_id)
+        return publish(header, file, chunk, path, name, build_id, version)
     return {"header": header, "file": file, "chunk": chunk}
 
 
@@ -266,8 +263,8 @@ def embedded_checked(texts: DataFrame, embed, limit: int | None, *, key: str = "
     return sent.unionByName(rows.where("verdict != 'ok'").drop("text").withColumn("vector", F.lit(None).cast("array<double>")))
 
 
-def publish(header: DataFrame, file: DataFrame, chunk: DataFrame, path: str, name: str, build_id: str) -> dict[str, DataFrame]:
-    """Writes what is missing of a build into its own folder and points to it last.
+def publish(header: DataFrame, file: DataFrame, chunk: DataFrame, path: str, name: str, build_id: str, version: int) -> dict[str, DataFrame]:
+    """Writes what is missing of a build into its own folder and publishes it last, as the version after the one it started from.
 
     Readers of the old build are not disturbed, and a build that reuses old rows may read them while it writes.
     """
@@ -276,23 +273,41 @@ def publish(header: DataFrame, file: DataFrame, chunk: DataFrame, path: str, nam
     for kind, df in (("file", file), ("header", header)):
         df.write.parquet(f"{path}/{name}/{build_id}/{kind}")
         out[kind] = spark.read.parquet(f"{path}/{name}/{build_id}/{kind}")
-    spark.createDataFrame([(build_id,)], "build string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/current")
+    commit.publish(spark, f"{path}/{name}", version + 1, {"build": build_id})
     return out
 
 
+def _tables(spark: SparkSession, path: str, name: str, held: dict) -> dict[str, DataFrame]:
+    return {kind: spark.read.parquet(f"{path}/{name}/{held['build']}/{kind}") for kind in ("header", "file", "chunk")}
+
+
 def read(spark: SparkSession, path: str, name: str) -> dict[str, DataFrame]:
+    """The tables of the last version published."""
     check_name(name)
+    version, held = commit.latest(spark, f"{path}/{name}")
+    if held is None:
+        raise Refused("index_not_found", f"no index {name}", "list the indexes")
     try:
-        build_id = spark.read.schema("build string").parquet(f"{path}/{name}/current").first()[0]
-    except Exception as e:  # noqa: BLE001 - a missing folder has many exception types
-        raise Refused("index_not_found", f"no index {name}: {type(e).__name__}", "list the indexes") from e
-    tables = {kind: spark.read.parquet(f"{path}/{name}/{build_id}/{kind}") for kind in ("header", "file", "chunk")}
-    found = tables["header"].select("format").first()
+        tables = _tables(spark, path, name, held)
+        found = tables["header"].select("format").first()
+    except Exception as e:
+        if isinstance(e, Refused):
+            raise
+        raise Refused("index_unreadable", f"version {version} of {name}: {type(e).__name__}", "build it again") from e
     if found is None or found[0] != FORMAT:
         raise Refused("unsupported_index", f"index {name} has format {found and found[0]}", "build it again")
     return tables
 
 
+def retain(spark: SparkSession, path: str, name: str, last: int = 2) -> int:
+    """Drops all builds but those of the last versions; returns how many. A reader that still reads a dropped one fails."""
+    gone = commit.keep(spark, f"{path}/{name}", last)
+    for held in gone:
+        files, folder = commit.files_of(spark, f"{path}/{name}/{held['build']}")
+        files.delete(folder, True)
+    return len(gone)
+
+
 def invariants(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with the header's promises held against the tables."""
     f = tables["file"].agg(F.count("*").alias("files"))

@@ -1,17 +1,23 @@
 """A stream of documents merged into a table of current digests, batch by batch.
 
-Each batch is compared with the table by file and digest; only what changed is handed on, so a replayed batch changes
-nothing. The table is written under a new name for every batch and a pointer moves last.
+Each batch is compared with the table by file and digest; only what changed is written, as a part of its own, and the
+table is all parts with the last row of each file. The parts of a version are named in a pointer that is published
+atomically, so a reader sees whole batches, and a batch that is replayed after its version was published changes nothing.
+After COMPACT parts they are written as one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import commit
+
+COMPACT = 16
 
 
 def merge(current: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,24 +32,43 @@ def merge(current: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataF
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, on_change: Callable[[DataFrame, int], None] | None = None):
-    """Starts the stream of (file, text, seen) into a table below `path`; returns the query."""
+    """Starts the stream of (file, text, seen) into a table below `path`; returns the query.
+
+    on_change gets the changed rows before the version is published, and again if the batch is replayed before that.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        table, changed = merge(current(spark, path), batch)
+        version, held = commit.latest(spark, path)
+        if held and held["batch"] >= number:
+            return
+        parts = list(held["parts"]) if held else []
+        _, changed = merge(_table(spark, path, parts) if parts else None, batch)
         changed = changed.persist()
-        table.write.mode("overwrite").parquet(f"{path}/v{number}")
+        name = f"b{number}-{uuid.uuid4().hex[:8]}"
+        changed.select("file", "digest", "seen", F.lit(number).cast("long").alias("batch")).write.parquet(f"{path}/{name}")
         if on_change:
             on_change(changed, number)
-        spark.createDataFrame([(f"v{number}",)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+        parts.append(name)
+        if len(parts) > COMPACT:
+            _rows(spark, path, parts).write.parquet(f"{path}/all-{name}")
+            parts = [f"all-{name}"]
+        commit.publish(spark, path, version + 1, {"batch": number, "parts": parts})
         changed.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _rows(spark, path: str, parts: list[str]) -> DataFrame:
+    rows = spark.read.parquet(*(f"{path}/{p}" for p in parts))
+    return rows.groupBy("file").agg(F.max_by(F.struct("digest", "seen", "batch"), "batch").alias("r")).select("file", "r.*")
+
+
+def _table(spark, path: str, parts: list[str]) -> DataFrame:
+    return _rows(spark, path, parts).drop("batch")
+
+
 def current(spark, path: str) -> DataFrame | None:
-    """The table as of the last batch that was finished, or None before the first."""
-    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
-    if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
-        return None
-    return spark.read.parquet(f"{path}/{spark.read.parquet(f'{path}/current').first()[0]}")
+    """The table as of the last batch that was published, or None before the first."""
+    _, held = commit.latest(spark, path)
+    return _table(spark, path, held["parts"]) if held else None
