@@ -1,23 +1,176 @@
-"""Index documents of format 2: JSON with files that hold chunks."""
+"""Index documents of format 2: one JSON object with settings, and files that hold chunks; read and written as a stream.
+
+A document may be larger than a worker's memory. It is read by blocks, value by value: what is held is a block and one
+chunk (or one file's chunks, where a file's name stands behind them). A document is judged before any of its rows is
+handed on, so it is read twice. It is written by one task that reads rows which the cluster has sorted before.
+"""
 
 from __future__ import annotations
 
+import codecs
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+from . import ordered
+
 FORMAT = 2
-SCHEMA = (
-    "format int, name string, description string, source_root string, built_at string, builder_version string, generation string, model string, doc_prefix string, "
-    "query_prefix string, chunk_chars int, dimensions int, file_count int, chunk_count int, "
-    "files array<struct<file: string, digest: string, chunks: array<struct<text: string, heading: string, lines: array<int>, vector: array<double>>>>>, _corrupt_record string"
-)
+TEXTS = ("name", "description", "source_root", "built_at", "builder_version", "generation", "model", "doc_prefix", "query_prefix")
+NUMBERS = ("format", "chunk_chars", "dimensions", "file_count", "chunk_count")
+HEADER = ", ".join(f"{c} string" for c in TEXTS) + ", " + ", ".join(f"{c} long" for c in NUMBERS)
+CHUNK = "document string, file string, digest string, pos long, text string, heading string, line_start long, line_end long, vector array<double>"
+_decode = json.JSONDecoder().raw_decode
+
+
+class Values:
+    """The values of a JSON text that arrives in blocks. Malformed or cut text raises ValueError."""
+
+    def __init__(self, stream, block: int = 1 << 20):
+        self.stream, self.block, self.text, self.at, self.ended = stream, block, "", 0, False
+        self.bytes = codecs.getincrementaldecoder("utf-8")()
+
+    def more(self, size: int) -> bool:
+        if self.ended:
+            return False
+        data = self.stream.read(size)
+        self.ended = not data
+        self.text, self.at = self.text[self.at :] + self.bytes.decode(data, final=self.ended), 0
+        return True
+
+    def next(self) -> str:
+        """The next character that is not white space, which stays; empty at the end."""
+        while True:
+            while self.at < len(self.text):
+                if self.text[self.at] not in " \t\r\n":
+                    return self.text[self.at]
+                self.at += 1
+            if not self.more(self.block):
+                return ""
+
+    def take(self, *wanted: str) -> str:
+        found = self.next()
+        if found not in wanted or not found:
+            raise ValueError(f"{found!r} where {' or '.join(wanted)} belongs")
+        self.at += 1
+        return found
+
+    def value(self):
+        """A whole value, for which as much is read as it takes, twice as much at each try."""
+        self.next()
+        size = self.block
+        while True:
+            try:
+                found, end = _decode(self.text, self.at)
+            except ValueError:
+                if self.ended:
+                    raise
+            else:
+                rest = self.text[end : end + 64]
+                if self.ended or rest and (rest[0] not in ".eE+-0123456789" or len(rest) == 64):  # a number at the end of a block may go on
+                    self.at = end
+                    return found
+            self.more(size)
+            size *= 2
+
+    def keys(self) -> Iterator[str]:
+        """The keys of an object; the caller takes each one's value."""
+        self.take("{")
+        if self.next() == "}":
+            self.at += 1
+            return
+        while True:
+            if self.next() != '"':
+                raise ValueError("a key is no text")
+            key = self.value()
+            self.take(":")
+            yield key
+            if self.take(",", "}") == "}":
+                return
+
+    def items(self) -> Iterator[None]:
+        """Stops before each element of an array; the caller takes it."""
+        self.take("[")
+        if self.next() == "]":
+            self.at += 1
+            return
+        while True:
+            yield
+            if self.take(",", "]") == "]":
+                return
+
+
+def events(stream, block: int = 1 << 20) -> Iterator[tuple]:
+    """("field", key, value) for each setting and ("chunk", file, digest, pos, chunk) for each chunk, in the document's order."""
+    values = Values(stream, block)
+    for key in values.keys():
+        if key != "files" or values.next() != "[":
+            yield "field", key, values.value()
+            continue
+        for _ in values.items():
+            names, held, pos = {}, [], 0
+            for name in values.keys():
+                if name != "chunks" or values.next() != "[":
+                    names[name] = values.value()
+                else:
+                    for _ in values.items():
+                        held.append((pos, values.value()))
+                        pos += 1
+                        if "file" in names and "digest" in names:
+                            yield from (("chunk", names["file"], names["digest"], *h) for h in held)
+                            held.clear()
+                if "file" in names and "digest" in names:
+                    yield from (("chunk", names["file"], names["digest"], *h) for h in held)
+                    held.clear()
+            yield from (("chunk", names.get("file"), names.get("digest"), *h) for h in held)
+    if values.next():
+        raise ValueError("text behind the document")
+
+
+def _text(x) -> str | None:
+    return x if x is None or isinstance(x, str) else json.dumps(x)
+
+
+def _whole(x) -> int | None:
+    return x if isinstance(x, int) and not isinstance(x, bool) else None
+
+
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", "length")  # names and sizes: the content is not read
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document, with its verdict before any other field is trusted."""
-    rows = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    verdict = F.when(F.col("_corrupt_record").isNotNull(), "index_unreadable").when(F.col("format").isNull() | (F.col("format") != FORMAT), "unsupported_index").otherwise("ok")
-    return rows.withColumn("document", F.col("_metadata.file_name")).withColumn("verdict", verdict)
+    """document, path, bytes, the settings, chunks (counted) and verdict of each document (a file or a folder of *.json).
+
+    index_unreadable where the text is no such document or is cut; its settings are those before the damage.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                held, chunks, broken = {}, 0, False
+                store, where = ordered.store_of(name)
+                try:
+                    with store.open_input_stream(where) as stream:
+                        for kind, *rest in events(stream):
+                            if kind == "field":
+                                held[rest[0]] = rest[1]
+                            else:
+                                chunks += 1
+                except ValueError:
+                    broken = True
+                verdict = "index_unreadable" if broken else "ok" if _whole(held.get("format")) == FORMAT else "unsupported_index"
+                row = [name.rsplit("/", 1)[1], name, size, *(_text(held.get(c)) for c in TEXTS), *(_whole(held.get(c)) for c in NUMBERS), chunks, verdict]
+                kinds = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * len(TEXTS), *[pa.int64()] * len(NUMBERS), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["document", "path", "bytes", *TEXTS, *NUMBERS, "chunks", "verdict"])
+
+    return _paths(spark, path).mapInArrow(run, f"document string, path string, bytes long, {HEADER}, chunks long, verdict string")
 
 
 _slot: dict[str, object] = {}
@@ -37,18 +190,76 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
     return _slot["rows"]
 
 
-def chunks(documents: DataFrame) -> DataFrame:
-    """document, file, digest, pos, text, heading, line_start, line_end, vector of the readable documents."""
-    files = documents.where("verdict = 'ok'").select("document", F.explode("files").alias("f"))
-    rows = files.select("document", "f.file", "f.digest", F.posexplode("f.chunks").alias("pos", "c"))
-    return rows.select("document", "file", "digest", F.col("pos").cast("bigint").alias("pos"), "c.text", F.coalesce("c.heading", F.lit("")).alias("heading"), F.try_element_at("c.lines", F.lit(1)).alias("line_start"), F.try_element_at("c.lines", F.lit(2)).alias("line_end"), "c.vector")
+def chunks(documents: DataFrame, rows: int = 512) -> DataFrame:
+    """document, file, digest, pos, text, heading, line_start, line_end, vector of the readable documents of read(); a task a document."""
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+
+    def run(batches):
+        def made(held):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, where = ordered.store_of(path)
+                held = []
+                with store.open_input_stream(where) as stream:
+                    for kind, *rest in events(stream):
+                        if kind == "field":
+                            continue
+                        file, digest, pos, c = rest
+                        c = c if isinstance(c, dict) else {}
+                        lines, vector = (c.get(k) if isinstance(c.get(k), list) else [] for k in ("lines", "vector"))
+                        lines = [_whole(x) for x in [*lines, None, None][:2]]
+                        held.append((path.rsplit("/", 1)[1], _text(file), _text(digest), pos, _text(c.get("text")), _text(c.get("heading")) or "", *lines, [float(x) for x in vector] if vector else None))
+                        if len(held) >= rows:
+                            yield made(held)
+                            held = []
+                if held:
+                    yield made(held)
+
+    good = documents.where("verdict = 'ok'").select("path")
+    return good.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, CHUNK)
+
+
+def export(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes an index as one JSON document; returns one row: path, files, chunks, bytes.
+
+    The cluster sorts files and chunks into parts; one task reads these in order and writes, holding a batch. The document
+    gets its name when it is whole.
+    """
+    spark = tables["header"].sparkSession
+    header = tables["header"].first().asDict()  # one row
+    lone = tables["chunk"].select("file", "pos", "text", "heading", "line_start", "line_end", "vector")
+    rows = tables["file"].select("file", "digest").join(lone, "file", "left")
+    parts = ordered.parts(rows, F.split("file", "/"), F.col("file"), F.col("pos"))
+
+    def run(batches):
+        store, where = ordered.store_of(path)
+        draft = f"{where}.{uuid.uuid4().hex}.draft"
+        files = chunks = size = 0
+        last = None
+        with store.open_output_stream(draft) as out:
+
+            def put(text):
+                nonlocal size
+                data = text.encode()
+                out.write(data)
+                size += len(data)
 
+            put(json.dumps(header, ensure_ascii=False)[:-1] + ', "files": [')
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if (r["file"], r["digest"]) != last:
+                        put(("]}, " if last else "") + json.dumps({"file": r["file"], "digest": r["digest"]}, ensure_ascii=False)[:-1] + ', "chunks": [')
+                        last, first, files = (r["file"], r["digest"]), True, files + 1
+                    if r["pos"] is not None:
+                        chunk = {"text": r["text"], "heading": r["heading"], "lines": [r["line_start"], r["line_end"]], "vector": r["vector"]}
+                        put(("" if first else ", ") + json.dumps(chunk, ensure_ascii=False))
+                        first, chunks = False, chunks + 1
+            put("]}]}" if last else "]}")
+        store.move(draft, where)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([files]), pa.array([chunks]), pa.array([size])], ["path", "files", "chunks", "bytes"])
 
-def documents(tables: dict[str, DataFrame]) -> DataFrame:
-    """An index as one JSON text; for export of indexes that fit one document."""
-    chunk = F.struct("pos", "text", "heading", F.array("line_start", "line_end").alias("lines"), "vector")
-    held = tables["chunk"].groupBy("file").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
-    bare = F.transform(F.coalesce("chunks", F.array().cast(held.schema["chunks"].dataType)), lambda c: F.struct(c["text"].alias("text"), c["heading"].alias("heading"), c["lines"].alias("lines"), c["vector"].alias("vector")))
-    files = tables["file"].join(held, "file", "left").select(F.split("file", "/").alias("k"), "file", "digest", bare.alias("chunks"))
-    all_ = files.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "file", "digest", "chunks"))), lambda f: F.struct(f["file"].alias("file"), f["digest"].alias("digest"), f["chunks"].alias("chunks"))).alias("files"))
-    return tables["header"].join(F.broadcast(all_)).select(F.to_json(F.struct(*tables["header"].columns, "files")).alias("document"))
+    done = ordered.stream(spark, [(parts,)], run, "path string, files long, chunks long, bytes long").collect()
+    return spark.createDataFrame(done, "path string, files long, chunks long, bytes long")

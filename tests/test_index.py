@@ -278,10 +278,70 @@ def test_citations(spark):
     assert got == {"abc:0007": ("a.md:1-4  (H)", "unknown"), "abc:12345": ("b.md:2-2", "unknown")}
 
 
-def test_export(spark):
-    tables = index.build(spark, spark.createDataFrame([("b.md", "two"), ("a/c.md", "one\n\nmore")], "file string, text string"), "n", HashEmbedder(4), model="offline-hash", limit=2048)
-    doc = json.loads(index_json.documents(tables).first()[0])
-    assert [f["file"] for f in doc["files"]] == ["a/c.md", "b.md"] and doc["files"][0]["chunks"][0]["lines"] == [1, 3] and doc["file_count"] == 2
+def test_export(spark, tmp_path):
+    rows = [("b.md", "two"), ("a/c.md", "one\n\nmore"), ("é 🙂.md", "# H\n\n\"quoted\" \\ \u2028 text"), ("blank.md", " ")]
+    tables = index.build(spark, spark.createDataFrame(rows, "file string, text string"), "n", HashEmbedder(4), model="offline-hash", limit=2048)
+    made = index_json.export(tables, str(tmp_path / "n.json")).first()
+    doc = json.loads((tmp_path / "n.json").read_text())
+    assert [f["file"] for f in doc["files"]] == ["a/c.md", "b.md", "blank.md", "é 🙂.md"] and doc["files"][0]["chunks"][0]["lines"] == [1, 3] and doc["file_count"] == 4
+    assert (made.files, made.chunks, made.bytes) == (4, 3, (tmp_path / "n.json").stat().st_size) and len(list(tmp_path.iterdir())) == 1
+    back = index_json.chunks(index_json.read(spark, str(tmp_path)))
+    columns = ("file", "pos", "text", "heading", "line_start", "line_end", "vector")
+    assert sorted(map(str, back.select(*columns).collect())) == sorted(map(str, tables["chunk"].select(*columns).collect()))
+    empty = {k: t.where("false") if k != "header" else t for k, t in tables.items()}
+    index_json.export(empty, str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["files"] == []
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 1 << 20])
+def test_documents_in_blocks(block):
+    import io
+
+    doc = {"a": -12.5e-3, "format": 2, "name": "é🙂\u2028\"", "files": [{"chunks": [{"text": "x" * 50, "vector": [1, -2.5, 1e-9]}], "file": "f", "digest": "d"}, {"file": "g", "digest": None, "chunks": []}, {}], "odd": {"files": [[1], {}]}, "n": None, "last": 123456}
+    for text in (json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False), "\n" + json.dumps(doc) + " \n"):
+        got = list(index_json.events(io.BytesIO(text.encode()), block))
+        assert [e[1:] for e in got if e[0] == "field"] == [(k, v) for k, v in doc.items() if k != "files"]
+        assert [e[1:] for e in got if e[0] == "chunk"] == [("f", "d", 0, doc["files"][0]["chunks"][0])]
+    whole = json.dumps(doc, ensure_ascii=False).encode()
+    for bad in [whole[:k] for k in range(0, len(whole), 9)] + [whole + b"x", b"[]", b"", b'{"a" 1}', b'{"a": 1,}', b'{"files": [{"chunks": [1 2]}]}', b"\xff"]:
+        with pytest.raises(ValueError):
+            list(index_json.events(io.BytesIO(bad), block))
+
+
+def test_a_document_larger_than_the_memory_for_it(tmp_path):
+    """300 MB of document, read in a process that may not grow by a quarter of it."""
+    import subprocess
+    import sys
+
+    code = """if True:
+        import resource
+        from spindrift.sources import index_json
+
+        class Source:
+            chunk = b'{"text": "' + b"word " * 400 + b'", "heading": "", "lines": [1, 2], "vector": [' + b"0.123456789, " * 99 + b"1]}"
+            def __init__(self):
+                self.parts = self.made()
+                self.held = b""
+            def made(self):
+                yield b'{"format": 2, "files": [{"file": "f", "digest": "d", "chunks": ['
+                for k in range(90_000):
+                    yield (b", " if k else b"") + self.chunk
+                yield b"]}]}"
+            def read(self, n):
+                while len(self.held) < n and (p := next(self.parts, None)) is not None:
+                    self.held += p
+                out, self.held = self.held[:n], self.held[n:]
+                return out
+
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        n = sum(1 for e in index_json.events(Source()) if e[0] == "chunk")
+        grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+        assert n == 90_000 and grown < 75, (n, grown)
+    """
+    import pathlib
+
+    done = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
 
 
 def test_markdown_folder(spark, tmp_path):
