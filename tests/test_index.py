@@ -3,6 +3,7 @@
 import json
 import random
 
+import plain_chunks
 import pytest
 
 from spindrift.functions import text as T
@@ -14,28 +15,28 @@ from spindrift.verdicts import Refused
 
 def test_blocks():
     text = "# Alpha\n\none\ntwo  \n\n\n## Beta ##\nbody\n\n```\n# comment\n```\n\ntail\n"
-    got = [tuple(b) for b in chunking.blocks(text)]
+    got = [tuple(b) for b in plain_chunks.blocks(text)]
     assert got == [("# Alpha", 1, 1, "Alpha"), ("one\ntwo", 3, 4, "Alpha"), ("## Beta ##\nbody", 7, 8, "Beta"), ("```\n# comment\n```", 10, 12, "Beta"), ("tail", 14, 14, "Beta")]
 
 
 def test_fence_parity_side_effects():
     # A comment between blank lines inside a fence that closes in its paragraph counts as a heading, and a heading
     # whose paragraph opens a fence does not.
-    assert [b.heading for b in chunking.blocks("```\ncode\n\n# note\n```")] == ["", "note"]
-    assert [b.heading for b in chunking.blocks("# H\n```\n\nx\n```\n\ny")] == ["", "", ""]
+    assert [b.heading for b in plain_chunks.blocks("```\ncode\n\n# note\n```")] == ["", "note"]
+    assert [b.heading for b in plain_chunks.blocks("# H\n```\n\nx\n```\n\ny")] == ["", "", ""]
 
 
 def test_unicode_lines_and_space():
-    got = [tuple(b)[:3] for b in chunking.blocks("a\u2028b\x85c\n\n\u00a0\nd")]
+    got = [tuple(b)[:3] for b in plain_chunks.blocks("a\u2028b\x85c\n\n\u00a0\nd")]
     assert got == [("a\nb\nc", 1, 3), ("d", 6, 6)]
-    assert chunking.blocks("﻿# H\n\nx")[0].heading == ""
+    assert plain_chunks.blocks("﻿# H\n\nx")[0].heading == ""
 
 
 @pytest.mark.parametrize("size", [1497, 1498, 1499, 1500, 1501])
 def test_lengths_at_the_limit(size):
-    got = list(chunking.chunks("a" * 10 + "\n\n" + "b" * size, 1500))
+    got = list(plain_chunks.chunks("a" * 10 + "\n\n" + "b" * size, 1500))
     assert "".join(c.text for c in got).count("b") >= size
-    assert len(list(chunking.chunks("b" * size, 1500))) == (1 if size <= 1500 else 2)
+    assert len(list(plain_chunks.chunks("b" * size, 1500))) == (1 if size <= 1500 else 2)
 
 
 def test_small_sizes_are_refused(spark):
@@ -54,7 +55,7 @@ def test_chunks_hold_their_text_and_lines(seed, most):
     paragraphs = ["\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, rng.choice([2, 30])))) for _ in range(rng.randint(1, 12))]
     text = "".join(p + "\n" * rng.randint(2, 4) for p in paragraphs)
     lines = text.splitlines()
-    got = list(chunking.chunks(text, most))
+    got = list(plain_chunks.chunks(text, most))
     seen = set()
     for c in got:
         cited = "\n".join(lines[c.start - 1 : c.end])
