@@ -5,6 +5,7 @@ Where the star schema has no counterpart, small tables are given as values; the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, chunking, code, decisions, index, integrity, rerank, search
+from ..operators import budget, calls, chunking, code, decisions, index, integrity, rerank, search
+from ..session import scratch
+from ..sources import commit, index_json
 from ..sources.models import HashEmbedder, OverlapDecider, OverlapScorer, decided
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,9 +300,30 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunked(_markdown(spark, sf_dir), 400, "conv_id").groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
-@query()
+# The same fold with lines and headings: what is held is a list of blocks, of which a tail cites the line where it starts.
+_FOLD = f"""{_BLOCKS},
+bb AS (SELECT conv_id, pos, struct_pack(t := text, a := line_start::BIGINT, z := line_end::BIGINT, h := heading) AS b FROM b),
+st AS (SELECT conv_id, -1::BIGINT AS pos, []::STRUCT(t VARCHAR, a BIGINT, z BIGINT, h VARCHAR)[] AS held, NULL::STRUCT(t VARCHAR, a BIGINT, z BIGINT, h VARCHAR)[] AS done FROM bb WHERE pos = 0
+  UNION ALL SELECT conv_id, pos, CASE WHEN long THEN [] WHEN fits THEN list_append(held, b)
+      ELSE [struct_pack(t := tail, a := held[hit].a + length(substr(held[hit].t, 1, greatest(0, off - ats[hit])::INT)) - length(replace(substr(held[hit].t, 1, greatest(0, off - ats[hit])::INT), chr(10), '')),
+        z := held[hit].a + length(substr(held[hit].t, 1, greatest(0, off - ats[hit])::INT)) - length(replace(substr(held[hit].t, 1, greatest(0, off - ats[hit])::INT), chr(10), '')), h := held[hit].h), b] END,
+    CASE WHEN len(held) = 0 OR (fits AND NOT long) THEN NULL ELSE held END
+  FROM (SELECT *, list_filter(range(1, len(held) + 1), lambda i: off <= ats[i] + length(held[i].t))[1] AS hit FROM (SELECT *, length(whole) - length(tail) AS off, list_transform(range(1, len(held) + 1), lambda i: coalesce(list_sum(list_transform(held[1:i - 1], lambda x: length(x.t) + 2)), 0)::BIGINT) AS ats
+    FROM (SELECT *, CASE WHEN length(whole) <= 200 THEN whole ELSE substr(right(whole, 200), instr(right(whole, 200), ' ') + 1) END AS tail FROM (SELECT st.conv_id, bb.pos, st.held, bb.b, length(bb.b.t) > 400 AS long,
+      len(st.held) = 0 OR coalesce(list_sum(list_transform(st.held, lambda x: length(x.t) + 2)), 0) + length(bb.b.t) <= 400 AS fits, array_to_string(list_transform(st.held, lambda x: x.t), chr(10) || chr(10)) AS whole
+      FROM st JOIN bb ON bb.conv_id = st.conv_id AND bb.pos = st.pos + 1))))),
+big AS (SELECT conv_id, pos, b.t AS t, b.a AS a, b.h AS h, unnest(range(0, length(b.t), 200)) AS o FROM bb WHERE length(b.t) > 400),
+bs AS (SELECT *, o + CASE WHEN o > 0 THEN instr(substr(t, o + 1, 400), ' ') ELSE 0 END AS f, least(o + 400, length(t)) AS stop FROM big),
+cl AS (SELECT conv_id, pos, 0 AS part, 0 AS o, done AS held FROM st WHERE done IS NOT NULL UNION ALL SELECT conv_id, pos + 1, 0, 0, held FROM st WHERE len(held) > 0 AND pos = (SELECT max(pos) FROM bb WHERE bb.conv_id = st.conv_id)),
+ch AS (SELECT conv_id, pos, part, o, array_to_string(list_transform(held, lambda x: x.t), chr(10) || chr(10)) AS text, held[1].h AS heading, held[1].a AS line_start, held[-1].z AS line_end FROM cl
+  UNION ALL SELECT conv_id, pos, 1, o, substr(t, f + 1, stop - f), h, a + length(substr(t, 1, f)) - length(replace(substr(t, 1, f), chr(10), '')), a + length(substr(t, 1, stop)) - length(replace(substr(t, 1, stop), chr(10), '')) FROM bs),
+cc AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, part, o) - 1 AS pos, text, heading, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM ch)"""
+
+
+@query(f"""WITH RECURSIVE {_FOLD} SELECT conv_id, pos, heading, line_start, line_end, conv_id || ':' || line_start || '-' || line_end || CASE WHEN heading <> '' THEN '  (' || heading || ')' ELSE '' END AS citation,
+substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 150) AS snippet FROM cc""")
 def chunk_citations(spark, sf_dir):
-    """Chunks with their lines and heading, as they are cited; held against a plain restatement by the tests."""
+    """Chunks with their lines and heading, as they are cited."""
     got = chunking.chunked(_markdown(spark, sf_dir), 400, "conv_id")
     return got.select("conv_id", "pos", "heading", "line_start", "line_end", T.citation(F.col("conv_id").cast("string"), "line_start", "line_end", "heading").alias("citation"), T.snippet("text", 150).alias("snippet"))
 
@@ -370,14 +394,68 @@ def index_inventory(spark, sf_dir):
     return index.inventory(odd.unionByName(good))
 
 
-@query()
+@query(f"WITH {_CHUNKS} SELECT file, pos, 64::BIGINT AS dimensions, 1.0::DOUBLE AS norm FROM (SELECT file, unnest(range(0, n)) AS pos FROM n)")
 def embed_batches(spark, sf_dir):
-    """Vectors of every chunk from the offline embedder, sixteen texts a call."""
+    """Vectors of every chunk from the offline embedder, sixteen texts a call; its vectors have the norm 1."""
     chunks = chunking.chunked(_corpus(spark, sf_dir))
     got = index.embedded(chunks, HashEmbedder(), T.prefixes_for(MODEL)[0])
     return got.select("file", "pos", F.size("vector").cast("bigint").alias("dimensions"), F.round("norm", 6).alias("norm"))
 
 
+@query("SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS reused, 32 AS dimensions, NULL::VARCHAR AS error FROM documents")
+def resumed_embeddings(spark, sf_dir):
+    """A run over all documents after one that broke off: half of them were answered, and their copies are not asked for again."""
+    docs, log = _table(spark, sf_dir, "documents").select("doc_id", "text"), f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    embed, how = HashEmbedder(32), {"kind": "embed", "model": "offline-hash", "batch": 16, "every": 256, "vectors": True}
+    calls.answered(docs.where("doc_id % 2 = 0"), F.col("text"), embed, log, **how)
+    got = calls.answered(docs, F.col("text"), embed, log, **how)
+    return got.select("doc_id", "reused", F.size("vector").alias("dimensions"), "error")
+
+
+@query("""WITH t AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS h, string_agg(text, '|' ORDER BY turn) AS said FROM conversations GROUP BY conv_id)
+SELECT conv_id, h IN (SELECT h FROM t WHERE conv_id % 3 = 0) AS reused, length(said) AS chars, 'ok' AS verdict FROM t""")
+def resumed_histories(spark, sf_dir):
+    """Whole histories sent once each over two runs, the first of which had reached a third; completions are judged as always."""
+    turn = F.struct("role", F.col("text").alias("content"))
+    chats = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("m")))).alias("x")).select("conv_id", F.transform("x", lambda r: r["m"]).alias("prompt"))
+    log = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+
+    def chat(messages):
+        return {"text": "|".join(m["content"] for m in messages), "done_reason": "stop", "eval_count": len(messages)}
+
+    calls.completed(chats.where("conv_id % 3 = 0"), chat, log, model="offline-echo", every=64)
+    got = calls.completed(chats, chat, log, model="offline-echo", every=64)
+    return got.select("conv_id", "reused", F.length("text").cast("bigint").alias("chars"), T.completion_verdict("text", "done_reason").alias("verdict"))
+
+
+@query(f"""WITH {_FILES}, t AS (SELECT file, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM f),
+o AS (SELECT file, t, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= 1500 THEN [0] ELSE range(0, length(t), 1300) END) AS o FROM t),
+p AS (SELECT *, o + CASE WHEN o > 0 THEN instr(substr(t, o + 1, 1500), ' ') ELSE 0 END AS f, least(o + 1500, length(t)) AS stop FROM o)
+SELECT file, o // 1300 AS pos, substr(t, f + 1, stop - f) AS text, 1 + length(substr(t, 1, f)) - length(replace(substr(t, 1, f), chr(10), '')) AS line_start, 1 + length(substr(t, 1, stop)) - length(replace(substr(t, 1, stop), chr(10), '')) AS line_end, 64 AS dimensions FROM p""")
+def document_roundtrip(spark, sf_dir):
+    """An index of all documents written as one JSON document, in order, and read back as a stream of chunks."""
+    embed, folder = HashEmbedder(), f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    tables = index.build(spark, _corpus(spark, sf_dir), "documents", embed, model=embed.name, limit=LIMIT)
+    commit.files_of(spark, folder)[0].mkdirs(commit.files_of(spark, folder)[1])
+    index_json.export(tables, f"{folder}/documents.json")
+    got = index_json.chunks(index_json.read(spark, folder))
+    return got.select("file", "pos", "text", "line_start", "line_end", F.size("vector").alias("dimensions"))
+
+
+@query(f"""WITH RECURSIVE {_FOLD}, {_CHUNKS}
+SELECT 'conversations' AS name, 'markdown of turns' AS description, 'offline-hash' AS model, (SELECT count(DISTINCT conv_id) FROM conversations) AS file_count, (SELECT count(*) FROM cc) AS chunk_count, 'ok' AS verdict
+UNION ALL SELECT 'documents', 'unknown', 'offline-hash', count(*), sum(n)::BIGINT, 'ok' FROM n UNION ALL SELECT 'torn', 'unknown', 'unknown', 0, 0, 'index_unreadable'""")
+def stored_inventory(spark, sf_dir):
+    """The listing of indexes that are stored: one of all documents, built twice, one of all conversations, and a folder that holds none."""
+    embed, folder = HashEmbedder(), f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    chats = _markdown(spark, sf_dir).select(F.concat(F.col("conv_id").cast("string"), F.lit(".md")).alias("file"), "text")
+    index.build(spark, _corpus(spark, sf_dir).where("doc_id % 2 = 0"), "documents", embed, model=embed.name, limit=LIMIT, path=folder)
+    index.build(spark, _corpus(spark, sf_dir), "documents", embed, model=embed.name, limit=LIMIT, path=folder)
+    index.build(spark, chats, "conversations", embed, model=embed.name, limit=LIMIT, target=400, path=folder, description="markdown of turns")
+    commit.files_of(spark, folder)[0].mkdirs(commit.files_of(spark, f"{folder}/torn")[1])
+    return index.listing(spark, folder).drop("built_at")
+
+
 @query(f"""WITH {_CHUNKS} SELECT 'documents' AS name, 2::INT AS format, '' AS description, '' AS source_root, substr(sha256('2' || chr(0) || 'offline-hash' || chr(0) || chr(0) || chr(0) || '1500' || chr(0)
   || string_agg(file || chr(0) || digest || chr(0), '' ORDER BY string_split(file, '/'))), 1, 12) AS generation, 'offline-hash' AS model, '' AS doc_prefix, '' AS query_prefix, 1500::INT AS chunk_chars, 64::INT AS dimensions, count(*) AS file_count, sum(n)::BIGINT AS chunk_count FROM n""")
 def index_build(spark, sf_dir):
@@ -685,10 +763,10 @@ _TYPED = {"topic": {"type": "choice", "instructions": "Which topic is it?", "lab
 
 
 @query("""SELECT doc_id::VARCHAR AS item, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 THEN 3 ELSE 0 END::BIGINT AS n_problems,
-CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 THEN 'incomplete' ELSE 'ok' END AS verdict FROM documents WHERE text IS NULL OR regexp_matches(text, '[\\p{L}\\p{N}_]') OR length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = 0""")
+CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 THEN 'incomplete' ELSE 'ok' END AS verdict FROM documents""")
 def decisions_applied(spark, sf_dir):
     """Three typed questions about every document, answered offline and held against what was asked."""
-    docs = _table(spark, sf_dir, "documents").where("text IS NULL OR text RLIKE '[\\\\p{L}\\\\p{N}_]' OR text RLIKE '^\\\\s*$'")
+    docs = _table(spark, sf_dir, "documents")
     answers = decided(docs, OverlapDecider(), _TYPED, "doc_id", "text").where("error IS NULL")
     asked = _values(spark, "qid string, type string, labels array<string>, levels array<string>", [(k, q["type"], q.get("labels"), q.get("levels")) for k, q in _TYPED.items()])
     questions = docs.select(F.col("doc_id").cast("string").alias("item")).crossJoin(F.broadcast(asked))  # three rows
