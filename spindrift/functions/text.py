@@ -85,10 +85,22 @@ def location(model, size) -> Column:
 
 
 def human_size(n) -> Column:
+    """A size with one decimal, ties to the even one, as C and Python print it."""
     n = _c(n)
-    out = F.format_string("%.1f PB", n / float(1024**5))
+
+    def tenths(k: int) -> Column:
+        unit, ten = F.lit(1024**k).cast("decimal(20,0)"), n.cast("decimal(20,0)") * 10
+        low = F.floor(ten / unit).cast("bigint")
+        rest = 2 * (ten % unit)
+        return F.when((rest > unit) | ((rest == unit) & (low % 2 == 1)), low + 1).otherwise(low)
+
+    def label(k: int, unit: str) -> Column:
+        t = tenths(k)
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(f" {unit}"))
+
+    out = label(5, "PB")
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / float(1024**k))).otherwise(out)
+        out = F.when(n < 1024 ** (k + 1), label(k, unit)).otherwise(out)
     return F.when(n.isNull() | (n == 0), "unknown").otherwise(out)
 
 

@@ -20,7 +20,7 @@ def question_problems(questions: DataFrame) -> DataFrame:
         .when((F.col("type") == "score") & (F.coalesce(F.size("levels"), F.lit(0)) < 2), F.concat(F.col("qid"), F.lit(": fewer than two levels")))
     )
     rows = questions.withColumn("_p", problem)
-    return rows.groupBy("item").agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("pos"))).alias("problem"))
+    return rows.groupBy("item").agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.struct("pos", "_p"))).alias("problem"))
 
 
 def _distribution(probabilities, keys, tell) -> list:

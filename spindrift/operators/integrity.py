@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import scratch
 
 # Domains of the verification register.
@@ -15,41 +16,71 @@ MARK_DONE, MARK_OPEN = "✅", "❌"
 TERMINAL = ("pass", "deferred")
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node of everything that edges(src, dst) reach from starts(start), themselves included.
+def closure(edges: DataFrame, starts: DataFrame, *, wide: int = 4) -> tuple[DataFrame, int]:
+    """(start, node of everything that edges(src, dst) reach from starts(start), themselves included; and the rounds it took).
 
-    Each round joins only the newest pairs. The rounds are as many as the longest shortest path.
+    Steps are squared: after k rounds a step is a walk of 2^k edges and all nodes nearer than that are found, so a path of
+    n edges takes log n rounds. Before each squaring the pairs it would make are counted by node (in times out); beyond
+    `wide` times the edges, as where many paths meet in hubs, the steps stay as long as they are and only the newest pairs
+    go on with them. Every round starts at written tables; its joins are split by skew where a hub's rows are many.
     """
     spark = starts.sparkSession
     folder = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
-    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
 
-    def stored(rows, k):  # each round starts at a written table, so plans stay short and nothing is held in memory
-        rows.write.parquet(f"{folder}/{k}")
-        return spark.read.parquet(f"{folder}/{k}")
+    def stored(rows, name):  # plans stay short and nothing is held in memory
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    found = new = stored(starts.select("start", F.col("start").alias("node")).distinct(), 0)
-    rounds = 1
+    steps = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).where("node IS NOT NULL AND to IS NOT NULL").distinct(), "steps0")
+    bound, squared = wide * steps.count() + 1, 0
+    found = new = stored(starts.select("start", F.col("start").alias("node")).distinct(), "pairs0")
+    rounds = 0
     while True:
-        step = new.join(steps, "node").select("start", F.col("dst").alias("node")).distinct()
-        new = stored(step.join(found, ["start", "node"], "left_anti"), rounds)
-        if not new.limit(1).count():
-            return found
-        found = spark.read.parquet(*(f"{folder}/{k}" for k in range(rounds + 1)))
         rounds += 1
+        reach = found if squared is not None else new
+        step = reach.join(steps, "node").select("start", F.col("to").alias("node")).distinct()
+        new = stored(step.join(found, ["start", "node"], "left_anti"), f"pairs{rounds}")
+        if not new.limit(1).count():
+            return found, rounds
+        found = spark.read.schema(new.schema).parquet(*(f"{folder}/pairs{k}" for k in range(rounds + 1)))
+        if squared is None:
+            continue
+        into = steps.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("i"))
+        out = steps.groupBy("node").agg(F.count("*").alias("o"))
+        if (into.join(out, "node").agg(F.coalesce(F.sum(F.col("i") * F.col("o")), F.lit(0))).first()[0]) > bound:
+            squared = None
+            continue
+        squared += 1
+        steps = stored(steps.select("node", F.col("to").alias("_mid")).join(steps.select(F.col("node").alias("_mid"), "to"), "_mid").select("node", "to").distinct(), f"steps{squared}")
 
 
-def duplicates(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node of everything that edges(src, dst) reach from starts(start), themselves included."""
+    return closure(edges, starts)[0]
 
 
-def outside(rows: DataFrame, key: str, column: str, domain: tuple[str, ...]) -> DataFrame:
-    return rows.where(~F.coalesce(F.col(column).isin(*domain), F.lit(False))).select(F.col(key).alias("id"), F.lit(f"{column} outside its domain").alias("finding"))
+def violations(rows: DataFrame, key: str, *rules: tuple[Column, str]) -> DataFrame:
+    """id, finding of each row and rule (condition, finding) whose condition holds: all rules in one scan, without a shuffle."""
+    told = F.array(*(F.when(condition, F.lit(finding)) for condition, finding in rules))
+    return rows.select(F.col(key).alias("id"), F.explode(F.filter(told, lambda x: x.isNotNull())).alias("finding"))
 
 
-def empty_fields(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    blanks = F.array(*(F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"no {c}")) for c in columns))
-    return rows.select(F.col(key).alias("id"), F.explode(F.filter(blanks, lambda x: x.isNotNull())).alias("finding"))
+def audit(rows: DataFrame, key: str, *rules: tuple[Column, str]) -> DataFrame:
+    """finding, n, first_id, last_id for each rule (condition, finding), those that nothing violates included: one aggregate over one scan."""
+    told = [F.struct(F.count_if(c).alias("n"), F.min(F.when(c, F.col(key))).alias("first_id"), F.max(F.when(c, F.col(key))).alias("last_id"), F.lit(f).alias("finding")) for c, f in rules]
+    return rows.agg(F.array(*told).alias("all")).select(F.explode("all").alias("r")).select("r.finding", "r.n", "r.first_id", "r.last_id")
+
+
+def is_outside(column: str, domain: tuple) -> Column:
+    return ~F.coalesce(F.col(column).isin(*domain), F.lit(False))
+
+
+def is_blank(column: str) -> Column:
+    return F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+
+
+def duplicates(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def unresolved(rows: DataFrame, key: str, column: str, defined: DataFrame, name: str) -> DataFrame:
@@ -72,18 +103,26 @@ def contradictions(requirements: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def manifest_findings(tests: DataFrame, defects: DataFrame, requirements: DataFrame) -> DataFrame:
-    """id, finding over the whole manifest: duplicates, domains, missing fields, evidence, references, coverage, contradictions."""
+    """id, finding over the whole manifest: duplicates, domains, missing fields, evidence, references, coverage, contradictions.
+
+    Each table's rules of one row are one scan; what takes two rows or tables is a grouping or a join of the columns it needs.
+    """
     named = lambda df, what: df.select(F.col(df.columns[0]).alias("id"), F.lit(what).alias("finding"))
-    ran = tests.where(F.col("result").isin("pass", "fail"))
+    result = F.col("result")
+    of_tests = violations(
+        tests, "id", (is_outside("result", RESULTS), "result outside its domain"), (is_blank("falsifier"), "no falsifier"), (is_blank("expected"), "no expected"),
+        (result.isin("pass", "fail") & is_blank("observed"), "no observed"), ((result == "deferred") & is_blank("release_decision"), "no release_decision"),
+        (result.isin("deferred", "fail") & is_blank("issue"), "no issue"),
+    )
+    of_defects = violations(defects, "id", *((is_blank(c), f"no {c}") for c in ("title", "severity", "rationale", "release_note")))
     parts = [
-        named(duplicates(tests, "id"), "duplicate test id"), named(duplicates(defects, "id"), "duplicate defect id"), outside(tests, "id", "result", RESULTS),
-        empty_fields(tests, "id", "falsifier", "expected"), empty_fields(ran, "id", "observed"), empty_fields(tests.where("result = 'deferred'"), "id", "release_decision", "issue"),
-        empty_fields(tests.where("result = 'fail'"), "id", "issue"), named(unresolved(tests, "id", "issue", defects, "tracked_as").select("id"), "issue not in the register"),
+        of_defects, named(duplicates(tests, "id"), "duplicate test id"), named(duplicates(defects, "id"), "duplicate defect id"),
+        named(unresolved(tests, "id", "issue", defects, "tracked_as").select("id"), "issue not in the register"),
         named(unresolved(tests.select("id", F.explode("discharges").alias("requirement")), "id", "requirement", requirements, "id").select("id"), "requirement not in the register"),
-        named(holes(requirements, tests), "no test and no deferral"), contradictions(requirements, tests).select("id", "finding"), empty_fields(defects, "id", "title", "severity", "rationale", "release_note"),
+        named(holes(requirements, tests), "no test and no deferral"), contradictions(requirements, tests).select("id", "finding"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = of_tests
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -126,7 +165,7 @@ def section(text, heading: str):
     start = F.try_element_at(F.filter(numbered, lambda r: (r["level"] > 0) & (r["title"] == heading)), F.lit(1))
     end = F.coalesce(F.try_element_at(F.filter(numbered, lambda r: (r["level"] > 0) & (r["i"] > start["i"]) & (r["level"] <= start["level"])), F.lit(1))["i"], F.size(lines))
     body = F.filter(numbered, lambda r: (r["i"] > start["i"]) & (r["i"] < end))
-    return F.when(start.isNotNull(), F.trim(F.array_join(F.transform(body, lambda r: r["line"]), "\n")))
+    return F.when(start.isNotNull(), T.strip(F.array_join(F.transform(body, lambda r: r["line"]), "\n")))
 
 
 def table_marks(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -137,9 +176,44 @@ def table_marks(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.startswith(F.ltrim(F.col(line)), F.lit("|"))).select(F.try_element_at(filled, F.lit(1)).alias("id"), F.try_element_at(marks, F.lit(-1)).alias("mark")).where(F.col("id").rlike(r"^[A-Z]+-\d+$"))
 
 
-def published(text, names: dict[str, str]):
-    """Ids replaced by their public names, whole words only, longer ids first."""
-    out = text
-    for old in sorted(names, key=lambda x: (-len(x), x)):
-        out = F.regexp_replace(out, rf"\b{old}\b", names[old])
-    return out
+# Names are matched whole: a piece is a stretch of word characters or of others, and a name is one or more pieces.
+PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+
+
+def published(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
+    """rows with the names(name, public) in a text replaced, all at once: what was put in is not read again.
+
+    From the left, where several names begin the first by code point is taken; a name stands for itself, whatever its
+    characters, and begins and ends where words do. Pieces of the texts meet the names in an equi join, which the
+    optimizer broadcasts only if it has measured the names to be small, and what met goes back to its row. A null
+    text stays null; a name listed twice has the least of its public names; null and empty names are nobody's.
+    """
+    columns = rows.columns
+    table = names.where(F.length("name") > 0).groupBy(F.col("name").alias("_name")).agg(F.min("public").alias("_public"))
+    lengths = [r[0] for r in table.select(F.size(F.regexp_extract_all("_name", F.lit(PIECE), F.lit(0)))).distinct().collect()]  # as few as the longest name has pieces
+    if not lengths:
+        return rows
+    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
+    held = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_all"), F.coalesce(pieces, F.array().cast("array<string>")).alias("_pieces"))
+    # Each row goes on as itself, under a name of its own, and as the pieces it tries; only what met a name comes back.
+    tried = F.transform("_pieces", lambda p, i: F.array(*(F.struct(i.alias("at"), F.lit(n).alias("size"), (p if n == 1 else F.array_join(F.slice("_pieces", i + 1, F.lit(n)), "")).alias("name")) for n in sorted(lengths))))
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.concat(F.lit("\0"), F.col("_row").cast("string")).alias("name")))
+    tried = held.select("_row", "_all", F.explode(F.concat(itself, F.flatten(tried))).alias("t")).select("_row", "t.*", F.when(F.col("t.at") < 0, F.col("_all")).alias("_all"))
+    met = tried.join(table, F.col("name") == F.col("_name"), "left").where("at < 0 OR _public IS NOT NULL")
+    found = F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "name", "size", F.col("_public").alias("public")))))
+    held = met.groupBy("_row").agg(F.max_by("_all", -F.col("at")).alias("_all"), found.alias("_met"))
+    held = held.select("_all", "_met", F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
+    if lengths != [1]:  # names of several pieces may overlap: what begins first holds
+
+        def step(s, m):
+            return F.when(m["at"] >= s["next"], F.struct((m["at"] + m["size"]).alias("next"), F.concat(s["kept"], F.array(m)).alias("kept"))).otherwise(s)
+
+        zero = F.struct(F.lit(0).alias("next"), F.array().cast(held.schema["_met"].dataType).alias("kept"))
+        held = held.withColumn("_met", F.aggregate("_met", zero, step, lambda s: s["kept"]))
+    end = lambda m: m["at"] + m["size"]
+    join = lambda first, size: F.array_join(F.slice("_pieces", first + 1, size), "")
+    before = lambda j: F.when(j == 0, 0).otherwise(end(F.get("_met", j - 1)))
+    parts = F.transform("_met", lambda m, j: F.concat(join(before(j), m["at"] - before(j)), m["public"]))
+    done = F.concat(F.array_join(parts, ""), join(end(F.element_at("_met", -1)), F.size("_pieces")))
+    replaced = F.when(F.size("_met") == 0, F.col("_all")[text]).otherwise(done)
+    return held.select(*(replaced.alias(c) if c == text else F.col("_all")[c].alias(c) for c in columns))

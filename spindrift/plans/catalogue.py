@@ -631,14 +631,15 @@ def role_validation(spark, sf_dir):
     return budget.role_checks(_table(spark, sf_dir, "conversations").withColumn("role", odd))
 
 
-_MODELS = [("a", {"x.context_length": "2048"}, "num_ctx 8192\nstop x"), ("b", {"y.context_length": "262144"}, "num_ctx                        262144"), ("c", {"z.context_length": "131072"}, None), ("d", {"other": "5"}, "temperature 1"), ("e", {"w.context_length": "0"}, "num_ctx 4096")]
-
-
-@query(f"""WITH {_sql_values('m', 'name, info, params', [(n, next((int(v) for k, v in i.items() if k.endswith('context_length')), None), p) for n, i, p in _MODELS])},
-l AS (SELECT name, info::BIGINT AS arch, try_cast(nullif(regexp_extract(coalesce(params, ''), 'num_ctx\\s+(\\d+)', 1), '') AS BIGINT) AS num_ctx FROM m)
-SELECT name, arch, num_ctx, least(nullif(arch, 0), nullif(num_ctx, 0)) AS "limit", coalesce(arch <> num_ctx, false) AS disagree, least(1500, floor(least(nullif(arch, 0), nullif(num_ctx, 0)) * 3.2::DOUBLE))::BIGINT AS chunk_chars FROM l""")
+@query("""WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN p_size * 256 * (p_partkey % 3)::BIGINT END AS arch, CASE WHEN p_partkey % 5 < 3 THEN floor(p_retailprice)::BIGINT * 4 END AS num_ctx FROM part),
+l AS (SELECT id, arch, num_ctx, least(nullif(arch, 0), nullif(num_ctx, 0)) AS lim FROM m)
+SELECT 'm' || id AS name, arch, num_ctx, lim AS "limit", coalesce(arch <> num_ctx, false) AS disagree, least(1500, floor(lim * 3.2::DOUBLE))::BIGINT AS chunk_chars FROM l""")
 def context_limits(spark, sf_dir):
-    got = budget.limits(_values(spark, "name string, model_info map<string,string>, parameters string", _MODELS))
+    """Models as their server describes them, made from the parts: some without a context length, some without num_ctx, some that disagree."""
+    i = F.col("p_partkey")
+    length = F.when(i % 4 < 3, F.create_map(F.lit("general.name"), F.lit("x"), F.concat(F.lower("p_type"), F.lit(".context_length")), (F.col("p_size") * 256 * (i % 3)).cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("5")))
+    parameters = F.when(i % 5 < 3, F.concat(F.lit("num_ctx 1\nstop x\nnum_ctx    "), (F.floor("p_retailprice") * 4).cast("string"))).when(i % 5 == 3, "temperature 1")
+    got = budget.limits(_table(spark, sf_dir, "part").select(F.concat(F.lit("m"), i.cast("string")).alias("name"), length.alias("model_info"), parameters.alias("parameters")))
     return got.select("name", "arch", "num_ctx", "limit", "disagree", T.chunk_size(chunking.TARGET, "limit").alias("chunk_chars"))
 
 
@@ -665,69 +666,101 @@ def throughput_rollup(spark, sf_dir):
     return rerank.throughput(rows, ("event_type",))
 
 
-_NAMES = [("llama3:latest", 4_700_000_000), ("Qwen:cloud", 350), ("stub", 350), ("big:CLOUD", None), ("plain", None), ("tiny", 0), ("host:5000/m:cloud", 900_000), ("exact", 1_048_576)]
+_STOCK = """m AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') || '-' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN ':latest' WHEN 1 THEN ':Cloud' WHEN 2 THEN ':cloud' WHEN 3 THEN ':7b' ELSE '' END AS name,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 0 ELSE floor(p_retailprice)::BIGINT * [1, 1000, 1000000, 10000000][1 + p_size % 4] END AS size FROM part),
+w AS (SELECT *, CASE WHEN lower(CASE WHEN instr(name, ':') > 0 THEN substr(name, instr(name, ':') + 1) ELSE '' END) = 'cloud' THEN 'cloud' WHEN size < 1048576 THEN 'cloud?' ELSE 'local' END AS location FROM m)"""
 
 
-@query(f"""WITH {_sql_values('m', 'name, size', _NAMES)}, d AS (SELECT name, size::BIGINT AS size, CASE WHEN instr(name, ':') > 0 THEN lower(substr(name, instr(name, ':') + 1)) ELSE '' END AS tag FROM m)
-SELECT name, CASE WHEN size IS NULL OR size = 0 THEN 'unknown' WHEN size < 1024 THEN printf('%.1f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE) ELSE printf('%.1f GB', size / 1073741824.0::DOUBLE) END AS size_label,
-  CASE WHEN tag = 'cloud' THEN 'cloud' WHEN size < 1048576 THEN 'cloud?' ELSE 'local' END AS location, CASE WHEN name = 'plain' THEN 'HTTP 404' WHEN name = 'tiny' THEN 'not fetched' END AS details_error FROM d""")
-def model_inventory(spark, sf_dir):
-    details = _values(spark, "name string, error string", [(n, "HTTP 404" if n == "plain" else None) for n, _ in _NAMES if n != "tiny"])
-    return budget.inventory(_values(spark, "name string, size bigint", _NAMES), details)
+def _stock(spark, sf_dir) -> DataFrame:
+    """Installed models with tags and sizes, made from the parts."""
+    i = F.col("p_partkey")
+    tag = F.when(i % 6 == 0, ":latest").when(i % 6 == 1, ":Cloud").when(i % 6 == 2, ":cloud").when(i % 6 == 3, ":7b").otherwise("")
+    factor = F.element_at(F.array(*(F.lit(k).cast("long") for k in (1, 1000, 1_000_000, 10_000_000))), F.col("p_size") % 4 + 1)
+    size = F.when(i % 13 == 0, None).when(i % 17 == 0, 0).otherwise(F.floor("p_retailprice") * factor)
+    return _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "-"), F.lit("-"), i.cast("string"), tag).alias("name"), size.cast("long").alias("size"))
 
 
-@query("SELECT 8::BIGINT AS models, 3::BIGINT AS local_models, 'Qwen:cloud,big:CLOUD,host:5000/m:cloud,stub,tiny' AS hosted, 'ok' AS verdict UNION ALL SELECT 0, 0, '', 'no_models_installed'")
-def inventory_summary(spark, sf_dir):
-    models = _values(spark, "name string, size bigint", _NAMES)
-    return budget.inventory_summary(models).unionByName(budget.inventory_summary(models.where("false")))
+@query(f"""WITH {_STOCK} SELECT name, CASE WHEN size IS NULL OR size = 0 THEN 'unknown' WHEN size < 1024 THEN printf('%.1f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE) ELSE printf('%.1f GB', size / 1073741824.0::DOUBLE) END AS size_label,
+  location, CASE WHEN id % 19 = 0 THEN 'not fetched' WHEN id % 7 = 0 THEN 'HTTP 404' END AS details_error FROM w""")
+def model_inventory(spark, sf_dir):
+    """The listing of a server's models with what could not be fetched about them."""
+    models = _stock(spark, sf_dir)
+    details = models.where("p_partkey % 19 != 0").select("name", F.when(F.col("p_partkey") % 7 == 0, "HTTP 404").alias("error"))
+    return budget.inventory(models.select("name", "size"), details)
 
 
-_CALLS = [("a", ["completion", "tools"], "completion"), ("b", ["embedding"], "completion"), ("c", ["decision", "vision"], "completion"), ("d", [], "embedding"), ("e", None, "decision"), ("f", ["vision"], "decision"), ("g", ["completion"], "embedding")]
+@query(f"WITH {_STOCK} SELECT count(*) AS models, count(*) FILTER (location = 'local') AS local_models, string_agg(name, ',' ORDER BY name) FILTER (location <> 'local') AS hosted, 'ok' AS verdict FROM w UNION ALL SELECT 0, 0, '', 'no_models_installed'")
+def inventory_summary(spark, sf_dir):
+    models = _stock(spark, sf_dir).select("name", "size")
+    return budget.inventory_summary(models).unionByName(budget.inventory_summary(models.where("size < 0")))
 
 
-@query("SELECT * FROM (VALUES ('a', 'ok', NULL), ('b', 'wrong_capability', 'embed'), ('c', 'wrong_capability', 'decide'), ('d', 'ok', NULL), ('e', 'ok', NULL), ('f', 'ok', NULL), ('g', 'wrong_capability', 'generate or chat')) t(model, verdict, use_tool)")
+@query("""WITH c AS (SELECT event_id, CASE event_type WHEN 'view' THEN ['completion', 'tools'] WHEN 'click' THEN ['embedding'] WHEN 'purchase' THEN ['decision', 'vision'] WHEN 'signup' THEN [] WHEN 'error' THEN NULL ELSE ['vision'] END AS has, ['completion', 'embedding', 'decision'][1 + user_id % 3] AS needs FROM events)
+SELECT event_id, CASE WHEN len(has) > 0 AND NOT list_contains(has, needs) AND len(list_intersect(has, ['completion', 'embedding', 'decision'])) > 0 THEN 'wrong_capability' ELSE 'ok' END AS verdict,
+  CASE WHEN len(has) > 0 AND NOT list_contains(has, needs) THEN CASE WHEN list_contains(has, 'completion') THEN 'generate or chat' WHEN list_contains(has, 'embedding') THEN 'embed' WHEN list_contains(has, 'decision') THEN 'decide' END END AS use_tool FROM c""")
 def capability_routing(spark, sf_dir):
-    return budget.routed(_values(spark, "model string, capabilities array<string>, needs string", _CALLS)).select("model", "verdict", "use_tool")
+    """Calls made from the events: each needs a capability, and its model has some, none, or a list that was not read."""
+    kind, strings = F.col("event_type"), lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    has = F.when(kind == "view", strings("completion", "tools")).when(kind == "click", strings("embedding")).when(kind == "purchase", strings("decision", "vision")).when(kind == "signup", strings()).when(kind != "error", strings("vision"))
+    needs = F.element_at(strings("completion", "embedding", "decision"), (F.col("user_id") % 3 + 1).cast("int"))
+    return budget.routed(_table(spark, sf_dir, "events").select("event_id", has.alias("capabilities"), needs.alias("needs"))).select("event_id", "verdict", "use_tool")
 
 
-_GUARDED = [("chat", "llama3"), ("chat", "llama3:latest"), ("chat", "other"), ("chat", " "), ("delete", "llama3"), ("pull", "x"), ("list", None)]
-
-
-@query(f"WITH {_sql_values('c', 'op, model', _GUARDED)} SELECT op, model, CASE WHEN op IN ('delete', 'pull') THEN 'not_permitted' WHEN trim(model) = '' THEN 'invalid_request' WHEN model IS NOT NULL AND regexp_replace(trim(model), ':latest$', '') NOT IN ('llama3', 'gemma') THEN 'not_permitted' ELSE 'ok' END AS verdict FROM c")
+@query("""WITH a AS (SELECT DISTINCT replace(n_name, 'NATION_', 'm') AS name FROM nation WHERE n_regionkey < 2),
+c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'delete' WHEN 'purchase' THEN 'pull' ELSE 'chat' END AS op, CASE WHEN event_id % 23 = 0 THEN ' ' WHEN event_id % 29 <> 0 THEN 'm' || user_id % 30 || CASE WHEN event_id % 2 = 0 THEN ':latest' ELSE '' END END AS model, 'm' || user_id % 30 AS base FROM events)
+SELECT event_id, op, model, CASE WHEN op IN ('delete', 'pull') THEN 'not_permitted' WHEN model = ' ' THEN 'invalid_request' WHEN model IS NOT NULL AND base NOT IN (SELECT name FROM a) THEN 'not_permitted' ELSE 'ok' END AS verdict FROM c""")
 def allowlist_semi(spark, sf_dir):
-    return budget.guarded(_values(spark, "op string, model string", _GUARDED), _values(spark, "model string", [("llama3:latest",), ("gemma",)]))
+    """Calls made from the events, held against write gates and a list of allowed models made from the nations."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    name = F.concat(F.lit("m"), (F.col("user_id") % 30).cast("string"), F.when(i % 2 == 0, ":latest").otherwise(""))
+    model = F.when(i % 23 == 0, " ").when(i % 29 != 0, name)
+    calls_ = _table(spark, sf_dir, "events").select("event_id", F.when(kind == "click", "delete").when(kind == "purchase", "pull").otherwise("chat").alias("op"), model.alias("model"))
+    allowed = _table(spark, sf_dir, "nation").where("n_regionkey < 2").select(F.concat(F.regexp_replace("n_name", "NATION_", "m"), F.lit(":latest")).alias("model"))
+    return budget.guarded(calls_, allowed)
 
 
-_VERSIONS = [("0.40.15",), ("0.35.0",), ("0.9.99",), ("v1.0.0-rc",), (" 0.34.9",), ("dev",), (None,)]
+_VERSIONS = """v AS (SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'dev' WHEN 2 THEN 'v' || (p_partkey % 3) || '.' || p_size || '.1-rc' WHEN 3 THEN '  0.' || p_size || '.' || (p_partkey % 100) WHEN 4 THEN '0.' || p_size ELSE (p_partkey % 2) || '.' || p_size || '.0' END AS version,
+  CASE p_partkey % 8 WHEN 2 THEN (p_partkey % 3, p_size) WHEN 3 THEN (0, p_size) WHEN 5 THEN (p_partkey % 2, p_size) WHEN 6 THEN (p_partkey % 2, p_size) WHEN 7 THEN (p_partkey % 2, p_size) END AS x FROM part),
+vs AS (SELECT id, version, CASE WHEN x IS NULL THEN 'unknown' WHEN x >= (0, 35) THEN 'yes' ELSE 'no' END AS supported FROM v)"""
 
 
-@query(f"""WITH {_sql_values('v', 'version', _VERSIONS)}, p AS (SELECT version, regexp_extract(coalesce(version, ''), '^\\s*v?(\\d+)\\.(\\d+)\\.(\\d+)', ['a', 'b', 'c']) AS x FROM v)
-SELECT version, CASE WHEN x.a = '' THEN 'unknown' WHEN (try_cast(x.a AS INT), try_cast(x.b AS INT), try_cast(x.c AS INT)) >= (0, 35, 0) THEN 'yes' ELSE 'no' END AS supported FROM p""")
-def version_gate(spark, sf_dir):
-    return _values(spark, "version string", _VERSIONS).select("version", T.supports_decide("version").alias("supported"))
+def _versions(spark, sf_dir) -> DataFrame:
+    """Version strings of servers, readable and not, made from the parts."""
+    i, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in x))
+    version = F.when(i % 8 == 1, "dev").when(i % 8 == 2, text("v", i % 3, ".", size, ".1-rc")).when(i % 8 == 3, text("  0.", size, ".", i % 100)).when(i % 8 == 4, text("0.", size)).when(i % 8 != 0, text(i % 2, ".", size, ".0"))
+    return _table(spark, sf_dir, "part").select(i.alias("id"), version.alias("version"))
 
 
-_INDEX_NAMES = [("notes",), ("notes\n",), ("My Notes",), ("a-b_9",), ("",), ("nötes",)]
+@query(f"WITH {_VERSIONS} SELECT id, version, supported FROM vs")
+def version_gate(spark, sf_dir):
+    return _versions(spark, sf_dir).select("id", "version", T.supports_decide("version").alias("supported"))
 
 
-@query("SELECT * FROM (VALUES ('notes', true), ('notes' || chr(10), false), ('My Notes', false), ('a-b_9', true), ('', false), ('nötes', false)) t(name, valid)")
+@query("""WITH n AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) || '_' || c_custkey WHEN 2 THEN lower(c_mktsegment) || chr(10) WHEN 3 THEN '' WHEN 4 THEN 'notes-' || c_nationkey ELSE 'nötes' || c_custkey END AS name FROM customer)
+SELECT id, name, id % 6 IN (1, 4) AS valid FROM n""")
 def name_validation(spark, sf_dir):
-    return _values(spark, "name string", _INDEX_NAMES).select("name", F.col("name").rlike(T.NAME).alias("valid"))
+    """Names for indexes made from the customers, with capitals, signs, line ends and letters that a name may not have."""
+    i, segment = F.col("c_custkey"), F.lower("c_mktsegment")
+    name = F.when(i % 6 == 0, F.col("c_name")).when(i % 6 == 1, F.concat(segment, F.lit("_"), i.cast("string"))).when(i % 6 == 2, F.concat(segment, F.lit("\n"))).when(i % 6 == 3, "").when(i % 6 == 4, F.concat(F.lit("notes-"), F.col("c_nationkey").cast("string"))).otherwise(F.concat(F.lit("nötes"), i.cast("string")))
+    return _table(spark, sf_dir, "customer").select(i.alias("id"), name.alias("name")).select("id", "name", F.col("name").rlike(T.NAME).alias("valid"))
 
 
 # --- decisions ------------------------------------------------------------------------------------------------------
 
-_ASKED = [
-    ("good", "q1", 0, "choice", "pick", ["a", "b"], None), ("good", "q2", 1, "noul", "how likely", None, None), ("good", "q3", 2, "score", "grade", None, ["lo", "mid", "hi"]),
-    ("type", "q1", 0, "rank", "x", None, None), ("blank", "q1", 0, "noul", " ", None, None), ("labels", "q1", 0, "choice", "x", ["a"], None),
-    ("levels", "q1", 0, "score", "x", None, ["a"]), ("second", "q1", 0, "noul", "x", None, None), ("second", "q2", 1, None, "x", None, None),
-]
-_QUESTION = "item string, qid string, pos int, type string, instructions string, labels array<string>, levels array<string>"
-
 
-@query("SELECT * FROM (VALUES ('good', NULL), ('type', 'q1: unknown type'), ('blank', 'q1: no instructions'), ('labels', 'q1: fewer than two labels'), ('levels', 'q1: fewer than two levels'), ('second', 'q2: unknown type')) t(item, problem)")
+@query("""WITH q AS (SELECT l_orderkey AS item, l_linenumber AS pos, l_partkey % 5 AS kind, l_quantity = 13 AS blank, l_suppkey % 3 AS n, l_partkey, l_suppkey, 'q' || l_linenumber AS qid FROM lineitem),
+p AS (SELECT item, pos, CASE WHEN kind = 4 THEN qid || ': unknown type' WHEN blank THEN qid || ': no instructions' WHEN kind = 0 AND n < 2 THEN qid || ': fewer than two labels' WHEN kind = 1 AND n < 2 THEN qid || ': fewer than two levels' END AS problem FROM q)
+SELECT item, arg_min(problem, (pos, problem)) FILTER (problem IS NOT NULL) AS problem FROM p GROUP BY item""")
 def question_shape(spark, sf_dir):
-    return decisions.question_problems(_values(spark, _QUESTION, _ASKED))
+    """Questions made from the order lines, a set for each order; what is wrong with a set is its first problem."""
+    strings = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("l_suppkey") % 3).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("choice", "score", "noul", "noul", "rank"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("item"), F.concat(F.lit("q"), F.col("l_linenumber").cast("string")).alias("qid"), F.col("l_linenumber").alias("pos"), kind.alias("type"),
+        F.when(F.col("l_quantity") == 13, " ").otherwise("which").alias("instructions"), strings.alias("labels"), strings.alias("levels"),
+    )
+    return decisions.question_problems(rows)
 
 
 def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -783,62 +816,77 @@ def decision_eval(spark, sf_dir):
     return decisions.evaluation(rows)
 
 
-@query("SELECT * FROM (VALUES ('0.30.0', 'endpoint_unavailable'), ('0.40.0', 'model_not_found'), ('0.40.1', 'endpoint_unavailable'), (NULL, 'model_not_found')) t(version, verdict)")
+@query(f"WITH {_VERSIONS} SELECT id, version, CASE WHEN supported = 'no' OR id % 3 = 0 THEN 'endpoint_unavailable' ELSE 'model_not_found' END AS verdict FROM vs")
 def missing_endpoint(spark, sf_dir):
-    calls = _values(spark, "version string, capabilities array<string>", [("0.30.0", None), ("0.40.0", None), ("0.40.1", ["decision"]), (None, None)])
-    return decisions.missing_endpoint(calls).select("version", "verdict")
+    """Calls that got a 404 from servers of many versions, with capabilities that were read for a third of them."""
+    rows = _versions(spark, sf_dir).withColumn("capabilities", F.when(F.col("id") % 3 == 0, F.array(F.lit("decision"))))
+    return decisions.missing_endpoint(rows).select("id", "version", "verdict")
 
 
 # --- registers ------------------------------------------------------------------------------------------------------
 
-_EDGES = [("search", "load"), ("search", "score"), ("load", "refuse"), ("score", "embed"), ("embed", "request"), ("request", "refuse"), ("get", "load"), ("refuse", "load"), ("lost", "search")]
 
+_NEXT = """o AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)"""
 
-@query(f"WITH RECURSIVE {_sql_values('e', 'src, dst', _EDGES)}, r AS (SELECT * FROM (VALUES ('search', 'search'), ('get', 'get'), ('alone', 'alone')) s(start, node) UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r")
-def verdict_closure(spark, sf_dir):
-    return integrity.reachable(_values(spark, "src string, dst string", _EDGES), _values(spark, "start string", [("search",), ("get",), ("alone",)]))
-
-
-_TESTS = [
-    ("T1", "pass", ["UR-1", "UR-2"], "f", "e", "o", None, None), ("T2", "fail", ["UR-2"], "f", "e", "o", "D-1", None), ("T2", "pass", ["UR-3"], "", "e", "o", None, None),
-    ("T3", "not_run", ["UR-9"], "f", "e", None, "D-7", None), ("T4", "odd", [], "f", None, None, None, None), ("T5", "deferred", ["UR-4"], "f", "e", None, None, "later"),
-]
-_REQUIREMENTS = [("UR-1", "✅"), ("UR-2", "✅"), ("UR-3", "❌"), ("UR-4", "✅"), ("UR-5", "❌"), ("UR-6", None)]
-_DEFECTS = [("X1", "D-1", "t", "minor", "r", "n", "fix before release", "open"), ("X1", "D-2", "t", "minor", "", "n", "ship", "open"), ("X3", "D-3", "t", "major", "r", "n", "fix before release", "resolved")]
 
-
-def _manifest(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tests = _values(spark, "id string, result string, discharges array<string>, falsifier string, expected string, observed string, issue string, release_decision string", _TESTS)
-    defects = _values(spark, "id string, tracked_as string, title string, severity string, rationale string, release_note string, release_decision string, status string", _DEFECTS)
-    return tests, defects, _values(spark, "id string, mark string", _REQUIREMENTS)
+@query(f"WITH RECURSIVE {_NEXT}, r AS (SELECT src AS start, src AS node FROM o WHERE k % 8 = 1 UNION ALL SELECT r.start, o.dst FROM r JOIN o ON o.src = r.node WHERE o.dst IS NOT NULL) SELECT start, node FROM r")
+def verdict_closure(spark, sf_dir):
+    """What an order leads to: each order points to the customer's next one, and every eighth is asked about."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst"), F.row_number().over(w).alias("k"))
+    return integrity.reachable(orders, orders.where("k % 8 = 1").select(F.col("src").alias("start")))
+
+
+def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registers made from the star schema: a test for each order line, a requirement for each order, a defect for each supplier."""
+    line, order, supplier = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    text = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in x))
+    flag, status, quantity = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")
+    result = F.when(quantity == 1, "odd").when((flag == "R") & (status == "O"), "not_run").when(flag == "R", "fail").when(flag == "A", "pass").otherwise("deferred")
+    tests = line.select(
+        text(F.col("l_orderkey"), "-", F.col("l_linenumber")).alias("id"), result.alias("result"), F.array(text("O-", F.col("l_orderkey") * F.when(quantity == 2, -1).otherwise(1))).alias("discharges"),
+        F.when(F.col("l_tax") == 0, " ").otherwise("f").alias("falsifier"), F.when(quantity != 3, "e").alias("expected"), F.when(F.col("l_discount") > 0, "o").alias("observed"),
+        F.when(F.col("l_discount") < 0.08, text("S-", F.col("l_suppkey"))).alias("issue"), F.when(status == "F", "later").alias("release_decision"),
+    )
+    i = F.col("s_suppkey")
+    defects = supplier.select(
+        text("X-", i - i % 7 % 2).alias("id"), text("S-", F.when(i % 10 == 0, -i - 1).otherwise(i)).alias("tracked_as"), F.col("s_name").alias("title"), F.when(i % 4 == 0, "major").otherwise("minor").alias("severity"),
+        F.when(F.col("s_acctbal") >= 0, "r").alias("rationale"), F.lit("n").alias("release_note"), F.when(F.col("s_nationkey") % 2 == 0, "fix before release").otherwise("ship").alias("release_decision"), F.when(i % 3 == 0, "resolved").otherwise("open").alias("status"),
+    )
+    mark = F.when(F.col("o_orderstatus") == "F", integrity.MARK_DONE).when(F.col("o_orderstatus") == "O", integrity.MARK_OPEN)
+    return tests, defects, order.select(text("O-", F.col("o_orderkey")).alias("id"), mark.alias("mark"))
 
 
-_MANIFEST = f"""{_sql_values('t', 'id, result, discharges, falsifier, expected, observed, issue, release_decision', _TESTS)}, {_sql_values('rq', 'id, mark', _REQUIREMENTS)},
-{_sql_values('df', 'id, tracked_as, title, severity, rationale, release_note, release_decision, status', _DEFECTS)},
-dc AS (SELECT id AS test, result, unnest(discharges) AS id FROM t), cv AS (SELECT id, bool_or(result IN ('fail', 'not_run')) AS any_bad, bool_and(result = 'pass') AS all_pass FROM dc GROUP BY id),
+_MANIFEST = """t AS (SELECT l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_quantity = 1 THEN 'odd' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'not_run' WHEN l_returnflag = 'R' THEN 'fail' WHEN l_returnflag = 'A' THEN 'pass' ELSE 'deferred' END AS result,
+  'O-' || (CASE WHEN l_quantity = 2 THEN -l_orderkey ELSE l_orderkey END) AS discharges, CASE WHEN l_tax = 0 THEN ' ' ELSE 'f' END AS falsifier, CASE WHEN l_quantity <> 3 THEN 'e' END AS expected, CASE WHEN l_discount > 0 THEN 'o' END AS observed,
+  CASE WHEN l_discount < 0.08 THEN 'S-' || l_suppkey END AS issue, CASE WHEN l_linestatus = 'F' THEN 'later' END AS release_decision FROM lineitem),
+df AS (SELECT 'X-' || (s_suppkey - s_suppkey % 7 % 2) AS id, 'S-' || (CASE WHEN s_suppkey % 10 = 0 THEN -s_suppkey - 1 ELSE s_suppkey END) AS tracked_as, CASE WHEN s_acctbal >= 0 THEN 'r' END AS rationale,
+  CASE WHEN s_nationkey % 2 = 0 THEN 'fix before release' ELSE 'ship' END AS release_decision, CASE WHEN s_suppkey % 3 = 0 THEN 'resolved' ELSE 'open' END AS status FROM supplier),
+rq AS (SELECT 'O-' || o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN '✅' WHEN 'O' THEN '❌' END AS mark FROM orders),
+cv AS (SELECT discharges AS id, bool_or(result IN ('fail', 'not_run')) AS any_bad, bool_and(result = 'pass') AS all_pass FROM t GROUP BY discharges),
 ct AS (SELECT rq.id, mark, CASE WHEN mark = '✅' AND any_bad THEN 'done but a test is not passing' WHEN mark = '❌' AND all_pass THEN 'open but every test passes' END AS finding FROM rq JOIN cv ON cv.id = rq.id)"""
 
 
-@query(f"WITH {_MANIFEST} SELECT id FROM rq WHERE id NOT IN (SELECT id FROM dc)")
+@query(f"WITH {_MANIFEST} SELECT id FROM rq WHERE id NOT IN (SELECT discharges FROM t)")
 def coverage_holes(spark, sf_dir):
-    tests, _, requirements = _manifest(spark)
+    tests, _, requirements = _manifest(spark, sf_dir)
     return integrity.holes(requirements, tests)
 
 
 @query(f"WITH {_MANIFEST} SELECT id, mark, finding FROM ct WHERE finding IS NOT NULL")
 def state_contradictions(spark, sf_dir):
-    tests, _, requirements = _manifest(spark)
+    tests, _, requirements = _manifest(spark, sf_dir)
     return integrity.contradictions(requirements, tests)
 
 
 @query(f"WITH {_MANIFEST} SELECT id, count(*) AS n FROM t GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return integrity.duplicates(_manifest(spark)[0], "id")
+    return integrity.duplicates(_manifest(spark, sf_dir)[0], "id")
 
 
 @query(f"WITH {_MANIFEST} SELECT id, issue FROM t WHERE issue IS NOT NULL AND issue NOT IN (SELECT tracked_as FROM df)")
 def referential_integrity(spark, sf_dir):
-    tests, defects, _ = _manifest(spark)
+    tests, defects, _ = _manifest(spark, sf_dir)
     return integrity.unresolved(tests, "id", "issue", defects, "tracked_as").select("id", "issue")
 
 
@@ -849,22 +897,43 @@ UNION ALL SELECT id, 'no falsifier' FROM t WHERE coalesce(trim(falsifier), '') =
 UNION ALL SELECT id, 'no observed' FROM t WHERE result IN ('pass', 'fail') AND coalesce(trim(observed), '') = ''
 UNION ALL SELECT id, 'no release_decision' FROM t WHERE result = 'deferred' AND coalesce(trim(release_decision), '') = '' UNION ALL SELECT id, 'no issue' FROM t WHERE result IN ('deferred', 'fail') AND coalesce(trim(issue), '') = ''
 UNION ALL SELECT id, 'issue not in the register' FROM t WHERE issue IS NOT NULL AND issue NOT IN (SELECT tracked_as FROM df)
-UNION ALL SELECT test, 'requirement not in the register' FROM dc WHERE id NOT IN (SELECT id FROM rq) UNION ALL SELECT id, 'no test and no deferral' FROM rq WHERE id NOT IN (SELECT id FROM dc)
+UNION ALL SELECT id, 'requirement not in the register' FROM t WHERE discharges NOT IN (SELECT id FROM rq) UNION ALL SELECT id, 'no test and no deferral' FROM rq WHERE id NOT IN (SELECT discharges FROM t)
 UNION ALL SELECT id, finding FROM ct WHERE finding IS NOT NULL UNION ALL SELECT id, 'no rationale' FROM df WHERE coalesce(trim(rationale), '') = ''""")
 def manifest_findings(spark, sf_dir):
-    return integrity.manifest_findings(*_manifest(spark))
+    return integrity.manifest_findings(*_manifest(spark, sf_dir))
 
 
 @query(f"""WITH {_MANIFEST} SELECT id, 'to be fixed and still open' AS finding FROM df WHERE release_decision = 'fix before release' AND status <> 'resolved'
 UNION ALL SELECT id, 'mark is not publishable' FROM rq WHERE mark <> '✅' UNION ALL SELECT id, 'neither passed nor deferred' FROM t WHERE result NOT IN ('pass', 'deferred')""")
 def release_gate(spark, sf_dir):
-    return integrity.release_gate(*_manifest(spark))
+    return integrity.release_gate(*_manifest(spark, sf_dir))
+
+
+_AUDIT = {
+    "orders": ("o_orderkey", {"status outside its domain": "o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')", "no price": "o_totalprice IS NULL OR o_totalprice <= 1000", "no priority": "coalesce(trim(o_orderpriority), '') = ''", "no customer": "o_custkey IS NULL"}),
+    "lineitem": ("l_orderkey", {"quantity out of range": "l_quantity IS NULL OR l_quantity < 1 OR l_quantity > 49", "discount out of range": "l_discount IS NULL OR l_discount < 0 OR l_discount > 0.1", "returned and open": "l_returnflag = 'R' AND l_linestatus = 'O'"}),
+    "customer": ("c_custkey", {"in debt": "c_acctbal < 0", "no segment": "coalesce(trim(c_mktsegment), '') = ''"}),
+    "labels": ("doc_id", {"quality outside its domain": "quality IS NULL OR quality NOT IN (0, 1)", "good and toxic": "quality = 1 AND toxic = 1"}),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{f.replace(chr(39), chr(39) * 2)}' AS finding, count(*) FILTER ({c}) AS n, min({k}) FILTER ({c}) AS first_id, max({k}) FILTER ({c}) AS last_id FROM {t}" for t, (k, rules) in _AUDIT.items() for f, c in rules.items()))
+def table_audit(spark, sf_dir):
+    """Domain, range and null rules of four tables, each table's in one aggregate over one scan, with the first and last id of each finding."""
+    out = None
+    for name, (key, rules) in _AUDIT.items():
+        got = integrity.audit(_table(spark, sf_dir, name), key, *((F.expr(c), f) for f, c in rules.items())).select(F.lit(name).alias("table"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
-@query("SELECT * FROM (VALUES ('delete', 'missing'), ('extra', 'unexpected')) t(tool, side)")
+@query("SELECT c_custkey AS customer, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey + 1000000, 'unexpected' FROM orders WHERE o_orderkey % 997 = 0")
 def tool_differences(spark, sf_dir):
-    want = _values(spark, "tool string", [("search",), ("get",), ("delete",)])
-    return integrity.differences(want, _values(spark, "tool string", [("get",), ("search",), ("extra",)]))
+    """Customers that are expected to have orders, against those of the orders, some of which name nobody."""
+    orders = _table(spark, sf_dir, "orders")
+    odd = orders.where("o_orderkey % 997 = 0").select((F.col("o_custkey") + 1_000_000).alias("customer"))
+    actual = orders.select(F.col("o_custkey").alias("customer")).unionByName(odd).distinct()
+    return integrity.differences(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer")), actual)
 
 
 _SCAN = """SELECT '{k}' || {id} AS file, starts_with({c}, chr(65279)) AS bom, CASE WHEN contains({c}, chr(13)) THEN instr({c}, chr(13)) - 1 END AS cr_at, length({c}) - length(replace({c}, chr(13), '')) AS cr_count,
@@ -881,21 +950,31 @@ def encoding_scan(spark, sf_dir):
     return integrity.encoding_scan(docs.unionByName(pages), "file", "content")
 
 
-@query("SELECT 'log' AS name, '- one' || chr(10) || '### sub' || chr(10) || 'two' AS body UNION ALL SELECT 'none', NULL")
+@query("""WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, max(CASE WHEN role = 'assistant' AND k = 1 THEN trim(text, ' ' || chr(10) || chr(9)) END) AS body FROM r GROUP BY conv_id""")
 def release_section(spark, sf_dir):
-    rows = _values(spark, "name string, text string", [("log", "# Log\n## 2.0\n- one\n### sub\ntwo\n## 1.0\nold"), ("none", "# Log\n## 1.0\nold")])
-    return rows.select("name", integrity.section(F.col("text"), "2.0").alias("body"))
+    """What stands under the first heading `assistant` of each conversation's markdown; null where there is none."""
+    return _markdown(spark, sf_dir).select("conv_id", integrity.section(F.col("text"), "assistant").alias("body"))
 
 
-@query("SELECT * FROM (VALUES ('UR-1', '❌'), ('UR-2', '✅'), ('FS-10', NULL)) t(id, mark)")
+@query("""SELECT 'UR-' || o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN '✅' WHEN 'O' THEN '❌' END AS mark FROM orders WHERE o_orderkey % 5 <> 0""")
 def register_marks(spark, sf_dir):
-    lines = [("| UR-1 | text ✅ | ✅ | ❌ |",), ("| UR-2 | ✅ |",), ("| FS-10 | none |",), ("| Id | State |",), ("no table",)]
-    return integrity.table_marks(_values(spark, "line string", lines))
+    """Rows of a pipe table made from the orders, with marks in their text and in their last cell; every fifth is no row of the register."""
+    i, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    last = F.when(status == "F", " ✅ |").when(status == "O", " ⏳ | ❌ |").otherwise(" none |")
+    line = F.when(i % 10 == 0, "| Id | State |").when(i % 5 == 0, F.concat(F.lit("UR-"), i.cast("string"), F.lit(" ✅"))).otherwise(F.concat(F.lit("| UR-"), i.cast("string"), F.lit(" | of ✅ text |"), last))
+    return integrity.table_marks(_table(spark, sf_dir, "orders").select(line.alias("line")))
 
 
-@query("SELECT 'see ISSUE-1, ISSUE-10 and XD-1' AS text")
+@query(r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), p AS (SELECT r, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS k FROM d),
+n AS (SELECT w AS name, reverse(w) AS public FROM p WHERE length(w) > 3 AND regexp_matches(w, '^[\p{L}\p{N}_]') GROUP BY w HAVING count(*) > 1)
+SELECT doc_id, coalesce(t, text) AS text FROM d LEFT JOIN (SELECT r, string_agg(coalesce(public, w), '' ORDER BY k) AS t FROM p LEFT JOIN n ON name = w GROUP BY r) USING (r)""")
 def published_ids(spark, sf_dir):
-    return _values(spark, "text string", [("see D-1, D-10 and XD-1",)]).select(integrity.published(F.col("text"), {"D-1": "ISSUE-1", "D-10": "ISSUE-10"}).alias("text"))
+    """Every word of four letters or more that the documents hold twice is a name, and has its public name: itself backwards. All are replaced at once."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))).alias("name"))
+    names = words.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.reverse("name").alias("public"))
+    return integrity.published(docs, names)
 
 
 @query("""WITH r AS (SELECT orders.o_orderstatus AS status, lineitem.l_returnflag AS flag, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
