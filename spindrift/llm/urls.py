@@ -1,10 +1,10 @@
 """URL filters: rules first, and for the rest a classifier over the words of host and path.
 
 Host names are segmented by a unigram Viterbi whose word counts come from all page titles. A multinomial naive Bayes
-over the words of host and path is trained on the pages themselves, and what a page is an example of is told by other
-evidence than these words where there is any: the rule that fits it; else a seed word in its title or its segmented host
-makes it an example of block, and any other page is one of allow. So words of hosts and paths that go with blocked
-content or with ruled places get weight, whether or not they are on a list. Both models stay tables of any size: rows
+over the words of host and path is trained on the pages that no rule fits, as those of ruled places would teach it the
+rules' own hosts and paths. What a page is an example of is told by its html and its segmented host: a seed word there
+makes it an example of block, and any other page is one of allow. So words of hosts and paths that go with such content
+get weight, whether or not they are on a list. Both models stay tables of any size: rows
 are dealt to groups, and each group gets the word counts, split hosts and token weights that its own rows need, each at
 most once a group.
 """
@@ -62,18 +62,29 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 class Segmenter:
-    """Most likely split of a name into words; unknown stretches cost by their length."""
+    """Most likely split of a name into words; unknown stretches cost by their length.
+
+    All words that occur in a name are found in one pass over it by an Aho-Corasick automaton.
+    """
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
+        import ahocorasick
+
         total = total or sum(counts.values()) or 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=0)
+        self.found = ahocorasick.Automaton()
+        for w, n in counts.items():
+            self.found.add_word(w, (len(w), -math.log(n / total)))
+        self.found.make_automaton()
+        self.empty = not len(self.found)
         self.unknown = math.log(total) + 2
         self.held: dict[str, list[str]] = {}
 
     def __call__(self, name: str) -> list[str]:
         if (got := self.held.get(name)) is not None:
             return got
+        ending: dict[int, list[tuple[int, float]]] = {}
+        for last, word in [] if self.empty else self.found.iter(name):
+            ending.setdefault(last + 1, []).append(word)
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
         opened, since = math.inf, 0  # an unknown stretch that is still open, and where it began
         for end in range(1, len(name) + 1):
@@ -82,10 +93,10 @@ class Segmenter:
                 opened, since = begin, end - 1
             opened += 2.5
             best[end], back[end] = opened, since
-            for start in range(max(0, end - self.longest), end):
-                cost = best[start] + self.cost.get(name[start:end], math.inf)
+            for size, price in sorted(ending.get(end, ()), reverse=True):  # of equal costs the longest word
+                cost = best[end - size] + price
                 if cost < best[end]:
-                    best[end], back[end] = cost, start
+                    best[end], back[end] = cost, end - size
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -162,10 +173,12 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
     words = words.unionByName(seeded).groupBy("word").agg(F.max("n").alias("n"))
     total = words.agg(F.sum("n")).first()[0]
     bad = frozenset(f"h:{s}" for s in seeds)
-    seeded_title = F.arrays_overlap(F.regexp_extract_all(title(), F.lit(r"([\p{L}]{2,})")), F.array(*map(F.lit, seeds)))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", seeded_title.alias("seeded"))
+    said = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    told = said.rlike(rf"(?i)(?<![\p{{L}}])(?:{'|'.join(map(re.escape, seeds))})(?![\p{{L}}])") if seeds else F.lit(False)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", told.alias("seeded"))
     rows = ruled(parsed(rows), rules).select("page_id", "host", "path", "rule", "rule_verdict", "seeded")
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(groups)))
+    # equal rows are dealt by their partition too; written, so that a row keeps its group
+    rows = materialise(rows.withColumn("g", F.pmod(F.xxhash64("page_id", "host", "path", F.spark_partition_id()), F.lit(groups))))
     hosts = materialise(rows.select("g", "host").distinct())
     split = materialise(split_hosts(hosts.select("host").distinct(), words, total, groups))
 
@@ -180,10 +193,11 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
     def counted(batches):
         seen = Counter()
         for batch in batches:
-            for got, verdict, title_has in zip(*(batch.column(c).to_pylist() for c in ("tokens", "rule_verdict", "seeded")), strict=True):
-                block = int(verdict == "block" if verdict else title_has or not bad.isdisjoint(got))
-                seen[("", block)] += 1
-                seen.update((t, block) for t in got)
+            for got, verdict, seeded in zip(*(batch.column(c).to_pylist() for c in ("tokens", "rule_verdict", "seeded")), strict=True):
+                if verdict is None:
+                    block = int(seeded or not bad.isdisjoint(got))
+                    seen[("", block)] += 1
+                    seen.update((t, block) for t in got)
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["token", "block", "n"])
 
@@ -196,7 +210,8 @@ def classify(pages: DataFrame, *, rules=RULES, seeds=SEEDS) -> DataFrame:
 
     def scored(_key, left, right):
         weights = {t: math.log((n + 1) / (bad_all + kinds)) - math.log((m + 1) / (ok_all + kinds)) for t, m, n in zip(*(right.column(c).to_pylist() for c in ("token", "ok", "bad")), strict=True)}
-        odds = [base + sum(weights[t] for t in got) for got in left.column("tokens").to_pylist()]
+        unseen = math.log((ok_all + kinds) / (bad_all + kinds))  # of a word that only ruled pages have
+        odds = [base + sum(weights.get(t, unseen) for t in got) for got in left.column("tokens").to_pylist()]
         verdict = [r or ("block" if x > 0 else "allow") for r, x in zip(left.column("rule_verdict").to_pylist(), odds, strict=True)]
         return left.select(["page_id", "host", "path", "rule"]).append_column("log_odds", pa.array(odds, pa.float64())).append_column("verdict", pa.array(verdict, pa.string()))
 

@@ -266,14 +266,59 @@ def test_long_words_and_many_labels(spark):
     assert urls.split_hosts(hosts, words, 17, 3).first().tokens == [f"h:{long}", "h:free", "t:edu"]
 
 
-def test_labels_of_titles_and_rules_teach_words_of_urls(spark):
-    """Hosts that share a word with pages of blocked content are blocked, without that word on any list."""
+def test_pages_teach_words_of_urls_and_rules_do_not(spark):
+    """Hosts that share a word with pages of blocked content are blocked, without that word on any list; ruled places teach nothing."""
     rows = [(i, f"http://zork{i}.zumbel.edu/a", "<title>casino night</title>") for i in range(30)]
     rows += [(100 + i, f"http://quiet{i}.garden.edu/a", "<title>quiet garden</title>") for i in range(60)]
     rows += [(500, "http://zork99.zumbel.edu/b", "<title>nothing here</title>"), (501, "http://quiet99.garden.edu/b", None)]
     rows += [(600 + i, f"http://place{i}.com/en/secretword", None) for i in range(30)] + [(700, "http://place.org/secretword", None)]
     got = {r.page_id: r.verdict for r in urls.classify(_pages(spark, rows)).collect()}
-    assert got[500] == "block" and got[501] == "allow" and got[700] == "block"
+    assert got[500] == "block" and got[501] == "allow" and got[700] == "allow" and all(got[600 + i] == "block" for i in range(30))
+
+
+def test_classifier_against_plain_naive_bayes(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        bad = rng.random() < 0.2
+        host = ".".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=2)) + rng.choice([".com", ".net", ".edu"])
+        html = rng.choice([None, "<title>plain words</title><p>text</p>"]) if not bad else "<p>win at POKER now</p>"
+        rows.append((i, f"http://{'shady.' if bad and rng.random() < 0.8 else ''}{host}/{rng.choice(['en', 'de', 'x'])}/{rng.choice(['one', 'two'])}", html))
+    rows += [(i, u, h) for i, u, h in rows[:40]] + [(None, None, None)]
+    got = urls.classify(_pages(spark, rows)).collect()
+    # each label is one word: known from titles or not, it is not split
+    tokens = lambda r: [f"h:{x}" for x in r.host.split(".")[:-1]] + [f"t:{r.host.split('.')[-1]}"] + [f"p:{w}" for w in r.path.split("/") if w] if r.host else ["t:"]
+    html = {i: h for i, _, h in rows}
+    seen, pages = {0: {}, 1: {}}, [0, 0]
+    for r in got:
+        if r.rule is None:
+            label = int("POKER" in (html[r.page_id] or ""))
+            pages[label] += 1
+            for t in tokens(r):
+                seen[label][t] = seen[label].get(t, 0) + 1
+    kinds, sums = len(seen[0].keys() | seen[1].keys()), {k: sum(v.values()) for k, v in seen.items()}
+    for r in got:
+        weight = lambda t: math.log((seen[1].get(t, 0) + 1) / (sums[1] + kinds)) - math.log((seen[0].get(t, 0) + 1) / (sums[0] + kinds))
+        assert abs(r.log_odds - math.log((pages[1] + 1) / (pages[0] + 1)) - sum(map(weight, tokens(r)))) < 1e-9
+        assert r.verdict == {None: "block" if r.log_odds > 0 else "allow"}.get(r.rule, r.verdict)
+    assert any(r.verdict == "block" and r.rule is None for r in got) and len(got) == len(rows)
+
+
+def test_op10_contract(spark, tmp_path):
+    rows = [(i, u, "<title>words</title>") for i, (u, *_) in enumerate(URLS)] + [(None, "http://example.com/en/7", None)] * 3
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = urls.op10_urls(spark, str(tmp_path))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"] and got.count() == len(rows)
+    assert [tuple(r) for r in got.where("page_id IS NULL").collect()] == [(None, "example.com", "/en/7", "example.com/en/7", "allow")] * 3
+
+
+def test_long_names_take_time_in_proportion():
+    import time
+
+    split = urls.Segmenter({"a" * k: 1 for k in range(1, 40)} | {"a" * 20_000: 1})
+    began = time.perf_counter()
+    assert "".join(split("a" * 20_000 + "b")) == "a" * 20_000 + "b"
+    assert time.perf_counter() - began < 5
 
 
 def test_segmentation():
