@@ -190,9 +190,10 @@ def many(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int =
     """qid, rank, ordinal, cosine: the k nearest chunks of each of queries(qid, vector).
 
     Queries are packed into blocks and chunks into packs where they are; a block meets a pack in one matrix product that
-    keeps k a query, and these few are ranked by query. The chunks are scanned once. Blocks are sent to all workers where
-    they take QUERY_BYTES at most, else both sides are dealt out. Null vectors, and pairs of different sizes, have no
-    cosine and no rank.
+    keeps k a query, of equal cosines those with the least ordinals, and these few are ranked by query. Cosines are equal
+    if they agree to twelve decimals. The chunks are scanned once. Blocks are sent to all workers where they take
+    QUERY_BYTES at most, else both sides are dealt out. Null vectors, and pairs of different sizes, have no cosine and no
+    rank.
     """
     check_range("k", k, K_MOST)
     ship(chunks.sparkSession)
@@ -209,11 +210,14 @@ def many(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int =
                     continue
                 qids, ordinals = np.frombuffer(qids, "<i8"), np.frombuffer(ordinals, "<i8")
                 q, v = np.frombuffer(asked).reshape(-1, size), np.frombuffer(vectors).reshape(-1, size)
+                order = np.argsort(ordinals, kind="stable")
+                ordinals, v = ordinals[order], v[order]
                 with np.errstate(all="ignore"):
-                    c = np.nan_to_num((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]))
+                    c = np.round(np.nan_to_num((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :])), 12)
                 n = min(k, len(c))
                 cut = np.partition(c, len(c) - n, 0)[len(c) - n]
-                row, col = np.nonzero(c >= cut - 1e-12)  # with all that tie, for the ordinal decides
+                above, tied = c > cut, c == cut
+                row, col = np.nonzero(above | tied & (np.cumsum(tied, 0) <= n - above.sum(0)))  # rows are in order of their ordinals
                 yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array(ordinals[row]), pa.array(c[row, col])], ["qid", "ordinal", "cosine"])
 
     out = pairs.select("qids", "qsize", "asked", "keys", "size", "vectors").mapInArrow(run, "qid long, ordinal long, cosine double")

@@ -155,3 +155,59 @@ def test_stream(spark, tmp_path):
     run()
     got = {r.file: r.digest for r in ingest.current(spark, str(tmp_path / "table")).collect()}
     assert seen == [["a", "b"], ["b", "c"]] and set(got) == {"a", "b", "c"} and len(set(got.values())) == 3
+
+
+class _Models(BaseHTTPRequestHandler):
+    def _say(self, status, body):
+        import json
+
+        data = json.dumps(body).encode()
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *args):
+        pass
+
+    def do_GET(self):
+        names = [f"m{i}" for i in range(10)]
+        listed = [{"name": n, "size": 2_000_000 * i, "details": {"family": "f", "parameter_size": "7B", "quantization_level": "Q4"}, "modified_at": "now"} for i, n in enumerate(names)]
+        self._say(200, {"models": listed if self.path == "/api/tags" else [{"name": "m3", "size_vram": 5, "expires_at": "later"}]})
+
+    def do_POST(self):
+        import json
+
+        name = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["model"]
+        self.server.asked.append(name)
+        if name in ("m4", "m7"):
+            return self._say(404 if name == "m4" else 500, {"error": "no"})
+        self._say(200, {"model_info": {"x.context_length": 2048}, "parameters": "num_ctx 1024", "capabilities": ["completion"] if name != "m5" else None})
+
+
+def test_a_model_server_is_a_source(spark):
+    from http.server import ThreadingHTTPServer
+
+    from spindrift.sources import server
+
+    stub = ThreadingHTTPServer(("127.0.0.1", 0), _Models)
+    stub.asked = []
+    threading.Thread(target=stub.serve_forever, daemon=True).start()
+    url = f"127.0.0.1:{stub.server_port}"
+    found = server.models(spark, url, each=3)
+    assert found.rdd.getNumPartitions() == 4
+    rows = {r.name: r for r in found.collect()}
+    assert sorted(rows) == [f"m{i}" for i in range(10)] and sorted(stub.asked) == sorted(rows)
+    assert rows["m3"].running and rows["m3"].size_vram == 5 and not rows["m2"].running and rows["m2"].size == 4_000_000
+    assert rows["m4"].error.startswith("model_not_found") and rows["m7"].error.startswith("ollama_error") and rows["m1"].error is None and rows["m4"].family == "f"
+    assert rows["m5"].capabilities is None and rows["m1"].capabilities == ["completion"]
+    limits = {r.name: (r.limit, r.disagree) for r in budget.limits(found).collect()}
+    assert limits["m1"] == (1024, True) and limits["m4"] == (None, False)
+    stub.asked.clear()
+    listed = budget.inventory(found.select("name", "size"), found.select("name", "error")).collect()
+    assert len(listed) == 10 and {r.name: r.details_error for r in listed}["m4"].startswith("model_not_found")
+    stub.asked.clear()
+    assert server.models(spark, url, details="false").count() == 10 and not stub.asked
+    stub.shutdown()
+    stub.server_close()
+    gone = server.models(spark, url, timeout=2).collect()
+    assert len(gone) == 1 and gone[0].name is None and gone[0].error.startswith("ollama_unreachable")

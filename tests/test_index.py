@@ -255,6 +255,23 @@ def test_many_queries(spark):
         assert [r.ordinal for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == want
 
 
+def test_ties_are_bounded_where_they_are_found(spark):
+    """Of a vector that thousands of chunks have, each pack hands on k."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    same = spark.range(9000).selectExpr("id AS ordinal", "IF(id % 3 = 0, array(1.0D, 2.0D, 3.0D), array(3.0D, 1.0D, cast(id AS double))) AS vector").orderBy(F.rand(1)).repartition(3)
+    asked = spark.createDataFrame([(k, [1.0 + k, 2.0, 3.0]) for k in range(5)], "qid bigint, vector array<double>")
+    got = search.many(same, asked, 4)
+    v = np.array([[1.0, 2.0, 3.0] if i % 3 == 0 else [3.0, 1.0, i] for i in range(9000)])
+    for q in range(5):
+        a = np.array([1.0 + q, 2.0, 3.0])
+        c = np.round(v @ a / np.linalg.norm(v, axis=1) / np.linalg.norm(a), 12)
+        want = sorted(range(9000), key=lambda i: (-c[i], i))[:4]
+        assert [r.ordinal for r in got.where(F.col("qid") == q).orderBy("rank").collect()] == want
+    assert got.count() == 20
+
+
 def test_index_documents(spark, tmp_path):
     chunk = lambda t, a, b: {"text": t, "heading": "H", "lines": [a, b], "vector": [1.0, 0.0]}
     good = {"format": 2, "name": "n", "generation": "abc", "file_count": 1, "chunk_count": 2, "files": [{"file": "a.md", "digest": "d", "chunks": [chunk("x", 1, 2), chunk("y", 4, 9)]}]}
