@@ -5,6 +5,9 @@
     python -m spindrift search NAME QUERY --dir DIR [-k 5] [--rerank MODEL --pool 20]
     python -m spindrift explain NAME QUERY TEXT --dir DIR
     python -m spindrift status NAME FOLDER --dir DIR
+    python -m spindrift export NAME FILE --dir DIR
+
+A build with --log LOG logs each vector as it arrives, and started again asks only for what is not logged.
 
 Without --host the offline embedder is used, and only for indexes that it built: a query is always embedded by the model
 of its index. Exit codes: 0 fine, 1 drifted or not found, 2 refused or not checked.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import index, rerank, search
 from .session import session
-from .sources import markdown
+from .sources import index_json, markdown
 from .sources.models import Config, HashEmbedder, HttpChat, HttpEmbedder, base_url, details_table, probe
 from .verdicts import Refused
 
@@ -32,7 +35,7 @@ OFFLINE_LIMIT = 2048  # tokens of a chunk for the offline embedder, which has no
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spindrift", description=__doc__.split("\n")[0])
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in (("list", ()), ("probe", ()), ("build", ("folder",)), ("search", ("name", "query")), ("explain", ("name", "query", "text")), ("status", ("name", "folder"))):
+    for name, args in (("list", ()), ("probe", ()), ("build", ("folder",)), ("search", ("name", "query")), ("explain", ("name", "query", "text")), ("status", ("name", "folder")), ("export", ("name", "file"))):
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -44,6 +47,7 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--limit", type=int, help="the model's context in tokens; without it the server is asked")
             s.add_argument("--chunk-chars", type=int, default=1500)
             s.add_argument("--force", action="store_true")
+            s.add_argument("--log", help="a folder in which answers are kept, so that a build that failed can go on")
         if name == "search":
             s.add_argument("-k", type=int, default=5)
             s.add_argument("--rerank", metavar="MODEL")
@@ -81,12 +85,16 @@ def main(argv: list[str] | None = None) -> int:
             embed = _embedder(args, args.model)
             details = details_table(spark, embed.config, [embed.name]) if args.host else None
             limit = args.limit or (None if args.host else OFFLINE_LIMIT)
-            made = index.build(spark, markdown.scan(spark, args.folder), args.name, embed, model=embed.name, limit=limit, details=details, target=args.chunk_chars, path=args.dir, force=args.force, root=args.folder)
+            made = index.build(spark, markdown.scan(spark, args.folder), args.name, embed, model=embed.name, limit=limit, details=details, target=args.chunk_chars, path=args.dir, force=args.force, root=args.folder, log=args.log)
             h = made["header"].first()
             print(f"{h.name}: {h.file_count} files, {h.chunk_count} chunks, generation {h.generation}")
             return 0
         tables = index.read(spark, args.dir, args.name)
         header = tables["header"].first()
+        if args.command == "export":
+            made = index_json.export(tables, args.file).first()
+            print(f"{made.path}: {made.files} files, {made.chunks} chunks, {made.bytes} bytes")
+            return 0
         if args.command == "status":
             if not os.path.isdir(args.folder):
                 raise Refused("not_configured", f"cannot check: no folder {args.folder}", "pass the folder that was indexed")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import budget, calls, chunking, code, decisions, index, integrity, rerank, search
-from ..session import scratch
-from ..sources import commit, index_json
+from ..session import scratch, ship
+from ..sources import commit, index_json, markdown, ordered
 from ..sources.models import HashEmbedder, OverlapDecider, OverlapScorer, decided
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,6 +180,17 @@ def get_byte_cap(spark, sf_dir):
     return search.fitted(rows, 20_000, ("source",)).select("source", F.col("ordinal").alias("doc_id"), "state")
 
 
+@query(f"""WITH {_SCORES} SELECT r.ordinal, 'abc123def456:' || lpad(r.ordinal::VARCHAR, greatest(4, length(r.ordinal::VARCHAR))::INT, '0') AS id, round(cosine, 6) AS cosine, CASE WHEN d.text IS NULL THEN 'not_in_index' ELSE 'ok' END AS state, d.text
+FROM r LEFT JOIN documents d ON d.doc_id = r.ordinal WHERE rank <= 10""")
+def search_then_get(spark, sf_dir):
+    """A search's citations first, and then the texts of the ids it gave."""
+    best = search.search(_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10).select("ordinal", "cosine", T.chunk_id(F.lit("abc123def456"), "ordinal").alias("id")).collect()  # ten rows
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
+    got = search.hydrate(docs, "abc123def456", [r.id for r in best], cap=10**9)
+    scores = _values(spark, "id string, cosine double", [(r.id, r.cosine) for r in best])
+    return got.join(F.broadcast(scores), "id").select(F.col("ordinal").cast("long").alias("ordinal"), "id", F.round("cosine", 6).alias("cosine"), "state", "text")
+
+
 _REFUSED = [("another model", "model_not_found"), ("model not installed", "model_not_found"), ("another size", "invalid_request"), ("k out of range", "invalid_request"), ("no text", "invalid_request")]
 
 
@@ -379,6 +390,37 @@ def drift_counts(spark, sf_dir):
     return index.drift_summary(index.drift(*_snapshots(spark, sf_dir)))
 
 
+def _folder(rows: DataFrame, folder: str) -> str:
+    """Rows (file, text) as files below a folder, written by the tasks."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            store, root = ordered.store_of(folder)
+            store.create_dir(root, recursive=True)
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{file}") as out:
+                    out.write((text or "").encode())
+            yield batch.select(["file"])
+
+    rows.select("file", "text").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id || '.md' AS file, CASE WHEN conv_id % 7 = 0 THEN 'removed' WHEN conv_id % 5 = 0 THEN 'changed' ELSE 'same' END AS status FROM c UNION ALL SELECT 'new-' || conv_id || '.md', 'added' FROM c WHERE conv_id % 11 = 0""")
+def status_on_disk(spark, sf_dir):
+    """An index of a folder of conversations, stored, and held against the folder as it is after files were edited, removed and added."""
+    embed, folder = HashEmbedder(), f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    chats = _markdown(spark, sf_dir).withColumn("file", F.concat(F.col("conv_id").cast("string"), F.lit(".md")))
+    index.build(spark, markdown.scan(spark, _folder(chats, f"{folder}/before")), "chats", embed, model=embed.name, limit=LIMIT, path=f"{folder}/indexes")
+    edited = chats.where("conv_id % 7 != 0").withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit("\n\nmore"))).otherwise(F.col("text"))).select("file", "text")
+    new = chats.where("conv_id % 11 = 0").select(F.concat(F.lit("new-"), "file").alias("file"), "text")
+    now = markdown.scan(spark, _folder(edited.unionByName(new), f"{folder}/after"))
+    stored = index.read(spark, f"{folder}/indexes", "chats")
+    return index.drift(stored["file"].select("file", "digest"), index.digests(now).select("file", "digest"))
+
+
 _HEADERS = [("broken", True, None, None, None, None, None, None), ("legacy", False, None, "old notes", "", "m", 3, 9), ("future", False, 3, "", None, None, 1, 1)]
 
 
@@ -837,6 +879,34 @@ def verdict_closure(spark, sf_dir):
     return integrity.reachable(orders, orders.where("k % 8 = 1").select(F.col("src").alias("start")))
 
 
+def _sources(spark, sf_dir) -> DataFrame:
+    """A module for each customer with a function for each order, which calls that of the next one and says a verdict."""
+    order = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", order.alias("k"))
+    said = F.when(F.col("o_orderstatus") == "F", '"timeout"').when(F.col("o_orderstatus") == "O", '"truncated"').otherwise("None")
+    k = lambda x: x.cast("string")
+    text = F.concat(F.lit("def f"), k(F.col("k")), F.lit("():\n    f"), k(F.col("k") + 1), F.lit("()\n    return "), said, F.lit("\n"))
+    files = rows.select("o_custkey", "k", text.alias("t")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda r: r["t"]), "").alias("text"))
+    return files.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("file"), "text")
+
+
+_CALLED = "k AS (SELECT 'c' || o_custkey || '.py' AS file, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+
+
+@query(f"WITH {_CALLED} SELECT file, 'f' || k AS src, 'f' || (k + 1) AS dst FROM k WHERE k < n")
+def call_graph(spark, sf_dir):
+    """Definitions and calls of every module, and the calls whose names resolve; the last function of each calls nobody that is there."""
+    return code.call_edges(code.facts(_sources(spark, sf_dir)))
+
+
+@query(f"WITH {_CALLED} SELECT DISTINCT file || ':f1' AS start, CASE st WHEN 'F' THEN 'timeout' ELSE 'truncated' END AS verdict FROM k WHERE st IN ('F', 'O')")
+def verdict_sources(spark, sf_dir):
+    """The verdicts that a module's first function can come to, over all it calls."""
+    found = code.facts(_sources(spark, sf_dir))
+    starts = found.where("kind = 'def' AND name = 'f1'").select(F.concat(F.col("file"), F.lit(":f1")).alias("start"))
+    return code.possible_verdicts(found, starts)
+
+
 def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Registers made from the star schema: a test for each order line, a requirement for each order, a defect for each supplier."""
     line, order, supplier = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))

@@ -55,4 +55,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("status", "notes", str(docs)) == 1 and "added: 1 new.md" in capsys.readouterr().out
     assert run("search", "notes", "fans slow down") == 0 and "fans.md:1-7  (Thermals)" in capsys.readouterr().out
     assert run("explain", "notes", "fans", "INVENTORY") == 0 and run("explain", "notes", "fans", "nowhere") == 1
+    assert run("export", "notes", str(tmp_path / "notes.json")) == 0 and "1 files, 1 chunks" in capsys.readouterr().out
+    assert '"file": "fans.md"' in (tmp_path / "notes.json").read_text()
+    assert run("build", str(docs), "--name", "logged", "--log", str(tmp_path / "log")) == 0 and list((tmp_path / "log").rglob("*.parquet"))
     assert run("search", "missing", "x") == 2 and run("build", str(docs), "--name", "Bad Name") == 2
