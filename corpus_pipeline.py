@@ -1,9 +1,9 @@
 """The corpus pipeline: language, near duplicates, repeated passages, mixing, packing.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is to be written as
-Parquet and read again as the docs of the next. All but the last return the columns of documents. Nulls in any column,
-empty and very long texts, ties, repeated rows and further columns go through every stage; what each makes of them is
-said there. An empty table gives an empty result in every stage.
+Parquet and read again as the docs of the next. All but the last return the columns of documents, and no others: further
+columns, whatever their names, end in the first stage. Nulls in any column, empty and very long texts, ties and repeated
+rows go through every stage; what each makes of them is said there. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations

@@ -185,6 +185,10 @@ def batches(sequences: DataFrame, tokens: int = 1 << 19) -> DataFrame:
 
 
 def op2_packing(spark, sf_dir):
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and bucket) of every piece of every document.
+
+    Null and empty texts are one piece with the end id; repeated rows and null ids as in `pack`.
+    """
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

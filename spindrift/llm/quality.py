@@ -98,6 +98,7 @@ def judge(docs: DataFrame, *, host: str = "source", max_host_rate: float = 0.5)
 
 
 def op6_quality(spark, sf_dir):
+    """doc_id, the counts, base_failed and kept of every document; null texts have no words and fail, other odd rows as in `judge`."""
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
