@@ -1,7 +1,8 @@
 """Chunks with citations: paragraphs, packing with overlap, slicing of long paragraphs.
 
 All of it are column functions and windows over the lines of a document. A document's lines meet in one exchange by a
-number given to each row, so that rows which repeat a key stay apart; every later step keeps to that partitioning.
+key and a number given to each row, so that rows which repeat a key stay apart; every later step keeps to that
+partitioning, and documents that already lie by their key are not exchanged at all.
 """
 
 from __future__ import annotations
@@ -46,16 +47,16 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.split(F.col(text).cast("string"), LINE_END).alias("_lines"))
     lines = rows.select("_row", "_key", F.posexplode("_lines").alias("_n", "_line")).where(~F.col("_line").rlike(rf"(?U)^{WHITE}*\z"))
-    order = W.partitionBy("_row").orderBy("_n")
+    order = W.partitionBy("_key", "_row").orderBy("_n")
     lines = lines.withColumn("_new", F.coalesce(F.col("_n") - F.lag("_n").over(order) > 1, F.lit(True)).cast("long")).withColumn("_fence", F.col("_line").rlike(FENCE).cast("long"))
     lines = lines.withColumn("_island", F.sum("_new").over(order)).withColumn("_fences", F.sum("_fence").over(order))
-    held = lines.groupBy("_row", "_island").agg(
-        F.first("_key").alias("_key"), F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_l"), (F.min("_n") + 1).cast("long").alias("_start"), (F.max("_n") + 1).cast("long").alias("_end"), F.max("_fences").alias("_fences"),
+    held = lines.groupBy("_key", "_row", "_island").agg(
+        F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_l"), (F.min("_n") + 1).cast("long").alias("_start"), (F.max("_n") + 1).cast("long").alias("_end"), F.max("_fences").alias("_fences"),
     )
     head = _stripped(F.col("_l")[0]["_line"])
     title = F.when((F.col("_fences") % 2 == 0) & head.rlike(HEADING), F.regexp_extract(head, HEADING, 2))
     held = held.select("_row", "_key", "_start", "_end", _stripped(F.array_join(F.transform("_l", lambda x: x["_line"]), "\n")).alias("_text"), title.alias("_title"))
-    order = W.partitionBy("_row").orderBy("_start")
+    order = W.partitionBy("_key", "_row").orderBy("_start")
     heading = F.coalesce(F.last("_title", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(""))
     return held.select("_row", "_key", (F.row_number().over(order) - 1).cast("long").alias("_pos"), "_text", "_start", "_end", heading.alias("_heading"))
 
@@ -74,7 +75,7 @@ def _sliced(rows: DataFrame, most: int, *by: str) -> DataFrame:
     step = most - OVERLAP
     cuts = F.when(F.length("_text") > most, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))).otherwise(F.array("_text"))
     rows = rows.withColumn("_long", F.length("_text") > most).select("*", F.posexplode(cuts).alias("_cut", "_c"))
-    order = W.partitionBy("_row", *by).orderBy("_cut")
+    order = W.partitionBy("_key", "_row", *by).orderBy("_cut")
     after = F.substring(F.array_join(F.collect_list("_c").over(order.rowsBetween(1, -(-OVERLAP // step))), ""), 1, OVERLAP)
     before = F.coalesce(F.sum(T.newlines_in("_c")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_piece", F.concat("_c", after)).withColumn("_before", before)
@@ -134,14 +135,14 @@ def chunked(docs: DataFrame, most: int = TARGET, key: str = "file", text: str =
     """
     check_size(most)
     rows = _sliced(_blocks(docs, key, text), most, "_pos")
-    order = W.partitionBy("_row").orderBy("_pos", "_cut")
+    order = W.partitionBy("_key", "_row").orderBy("_pos", "_cut")
     turn = F.col("_long") != F.coalesce(F.lag("_long").over(order), F.col("_long"))
     rows = rows.withColumn("_turn", turn.cast("long")).withColumn("_run", F.sum("_turn").over(order))
     block = F.struct(F.col("_pos"), F.col("_cut"), F.struct(F.col("_text").alias("text"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_heading").alias("heading")).alias("b"))
-    runs = rows.groupBy("_row", "_run").agg(F.first("_key").alias("_key"), F.first("_long").alias("_long"), F.array_sort(F.collect_list(block)).alias("_all"))
+    runs = rows.groupBy("_key", "_row", "_run").agg(F.first("_long").alias("_long"), F.array_sort(F.collect_list(block)).alias("_all"))
     runs = runs.withColumn("_b", F.transform("_all", lambda x: x["b"]))
     runs = runs.select("_row", "_key", "_run", F.posexplode(F.when(F.col("_long"), F.col("_b")).otherwise(_packed(F.col("_b"), most))).alias("_k", "_c"))
-    pos = (F.row_number().over(W.partitionBy("_row").orderBy("_run", "_k")) - 1).cast("long")
+    pos = (F.row_number().over(W.partitionBy("_key", "_row").orderBy("_run", "_k")) - 1).cast("long")
     return runs.select(F.col("_key").alias(key), pos.alias("pos"), "_c.text", "_c.heading", F.col("_c.start").alias("line_start"), F.col("_c.end").alias("line_end"))
 
 

@@ -2,7 +2,8 @@
 
 A pointer is written whole under another name and then takes its number, which fails where the number is taken: a reader
 sees an old version or a new one, never a part, and of two writers that started from one version the second is told.
-Pointers are a few bytes; what they point to is written before them, under names of its own.
+Pointers are a few bytes; what they point to is written before them, under names of its own. The store's rename must refuse
+a name that is taken, as HDFS does; on local disks a hard link is made instead.
 """
 
 from __future__ import annotations
