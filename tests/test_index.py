@@ -373,3 +373,12 @@ def test_markdown_folder(spark, tmp_path):
     assert markdown.empty_files(spark, str(tmp_path)) == ["empty.md"]
     with pytest.raises(Refused):
         markdown.scan(spark, str(tmp_path / "none"))
+
+
+def test_words_that_cancel_out_have_a_unit_vector():
+    one = HashEmbedder(1)
+    words = [f"w{i}" for i in range(20)]
+    up = next(w for w in words if one([w])[0] == [1.0])
+    down = next(w for w in words if one([w])[0] == [-1.0])
+    assert one([f"{up} {down}"])[0] == [1.0]
+    assert one(["", " - "]) == [[0.0], [0.0]]
