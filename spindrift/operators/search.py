@@ -163,10 +163,12 @@ def fitted(rows: DataFrame, cap: int, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 QUERY_BYTES = 64 << 20  # of query vectors that are sent to all workers; more are dealt out
+PACK_BYTES, BATCH_BYTES = 1 << 21, 1 << 24  # of a pack's vectors, and of the pairs of packs that a worker is given at once
+TOGETHER = 128  # queries of a block that meet a pack in one product
 
 
 def _packed(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """keys, size, vectors: up to `most` rows(key, vector) of one size in packed arrays; null, empty and partly null vectors are left out."""
+    """keys, size, vectors: up to `most` rows(key, vector) of one size, of PACK_BYTES at most, in packed arrays; null, empty and partly null vectors are left out."""
 
     def run(batches):
         import numpy as np
@@ -180,8 +182,9 @@ def _packed(rows: DataFrame, key: str, most: int) -> DataFrame:
                 v = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
                 whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size).all(1)
                 keys, v = some.column(key).to_numpy(zero_copy_only=False)[whole].astype("<i8"), v[whole]
-                for at in range(0, len(keys), most):
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[at : at + most].tobytes()], pa.binary()), pa.array([size], pa.int32()), pa.array([v[at : at + most].tobytes()], pa.binary())], ["keys", "size", "vectors"])
+                step = max(1, min(most, PACK_BYTES // (8 * size)))
+                for at in range(0, len(keys), step):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[at : at + step].tobytes()], pa.binary()), pa.array([size], pa.int32()), pa.array([v[at : at + step].tobytes()], pa.binary())], ["keys", "size", "vectors"])
 
     return rows.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "keys binary, size int, vectors binary")
 
@@ -197,6 +200,7 @@ def many(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int =
     """
     check_range("k", k, K_MOST)
     ship(chunks.sparkSession)
+    chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # a pair of packs is a few MB
     blocks = _packed(queries, "qid", block).select(F.col("keys").alias("qids"), F.col("size").alias("qsize"), F.col("vectors").alias("asked"))
     bytes_ = queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
     pairs = _packed(chunks, "ordinal", 4096).crossJoin(F.broadcast(blocks) if bytes_ <= QUERY_BYTES else blocks)
@@ -205,20 +209,22 @@ def many(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int =
         import numpy as np
 
         for batch in batches:
-            for qids, qsize, asked, ordinals, size, vectors in zip(*(batch.column(c).to_pylist() for c in ("qids", "qsize", "asked", "keys", "size", "vectors")), strict=True):
-                if qsize != size:
+            for i in range(batch.num_rows):
+                size = batch.column("size")[i].as_py()
+                if batch.column("qsize")[i].as_py() != size:
                     continue
-                qids, ordinals = np.frombuffer(qids, "<i8"), np.frombuffer(ordinals, "<i8")
-                q, v = np.frombuffer(asked).reshape(-1, size), np.frombuffer(vectors).reshape(-1, size)
+                qids, asked, ordinals, vectors = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("qids", "<i8"), ("asked", float), ("keys", "<i8"), ("vectors", float)))
                 order = np.argsort(ordinals, kind="stable")
-                ordinals, v = ordinals[order], v[order]
-                with np.errstate(all="ignore"):
-                    c = np.round(np.nan_to_num((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :])), 12)
-                n = min(k, len(c))
-                cut = np.partition(c, len(c) - n, 0)[len(c) - n]
-                above, tied = c > cut, c == cut
-                row, col = np.nonzero(above | tied & (np.cumsum(tied, 0) <= n - above.sum(0)))  # rows are in order of their ordinals
-                yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array(ordinals[row]), pa.array(c[row, col])], ["qid", "ordinal", "cosine"])
+                ordinals, v, every = ordinals[order], vectors.reshape(-1, size)[order], asked.reshape(-1, size)
+                norms, n = np.sqrt((v * v).sum(1))[:, None], min(k, len(ordinals))
+                for at in range(0, len(every), TOGETHER):
+                    q = every[at : at + TOGETHER]
+                    with np.errstate(all="ignore"):
+                        c = np.round(np.nan_to_num((v @ q.T) / (norms * np.sqrt((q * q).sum(1))[None, :])), 12)
+                    cut = np.partition(c, len(c) - n, 0)[len(c) - n]
+                    above, tied = c > cut, c == cut
+                    row, col = np.nonzero(above | tied & (np.cumsum(tied, 0, dtype=np.int32) <= n - above.sum(0)))  # rows are in order of their ordinals
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + col]), pa.array(ordinals[row]), pa.array(c[row, col])], ["qid", "ordinal", "cosine"])
 
     out = pairs.select("qids", "qsize", "asked", "keys", "size", "vectors").mapInArrow(run, "qid long, ordinal long, cosine double")
     best = out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), "ordinal")).cast("bigint"))

@@ -382,3 +382,9 @@ def test_words_that_cancel_out_have_a_unit_vector():
     down = next(w for w in words if one([w])[0] == [-1.0])
     assert one([f"{up} {down}"])[0] == [1.0]
     assert one(["", " - "]) == [[0.0], [0.0]]
+
+
+def test_packs_of_vectors_are_bounded_in_bytes(spark):
+    rows = spark.range(5).selectExpr("id AS ordinal", "array_repeat(1.0D, 100000) AS vector").coalesce(1)
+    packs = search._packed(rows, "ordinal", 4096).selectExpr("octet_length(keys) DIV 8 AS n", "octet_length(vectors) AS bytes").collect()
+    assert sum(p.n for p in packs) == 5 and max(p.bytes for p in packs) <= 1 << 21
