@@ -902,7 +902,7 @@ def call_graph(spark, sf_dir):
 @query(f"WITH {_CALLED} SELECT DISTINCT file || ':f1' AS start, CASE st WHEN 'F' THEN 'timeout' ELSE 'truncated' END AS verdict FROM k WHERE st IN ('F', 'O')")
 def verdict_sources(spark, sf_dir):
     """The verdicts that a module's first function can come to, over all it calls."""
-    found = code.facts(_sources(spark, sf_dir))
+    found = code.stored(code.facts(_sources(spark, sf_dir)))
     starts = found.where("kind = 'def' AND name = 'f1'").select(F.concat(F.col("file"), F.lit(":f1")).alias("start"))
     return code.possible_verdicts(found, starts)
 

@@ -59,3 +59,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"file": "fans.md"' in (tmp_path / "notes.json").read_text()
     assert run("build", str(docs), "--name", "logged", "--log", str(tmp_path / "log")) == 0 and list((tmp_path / "log").rglob("*.parquet"))
     assert run("search", "missing", "x") == 2 and run("build", str(docs), "--name", "Bad Name") == 2
+
+
+def test_calls_and_verdicts_are_followed_without_joins(spark):
+    text = 'def f1():\n    f2()\n\ndef f2():\n    f1()\n    return "timeout"\n'
+    found = code.facts(spark.createDataFrame([("a:b.py", text), ("c.py", text.replace("f2()", "f3()"))], "file string, text string"))
+    edges = code.call_edges(found)
+    assert {tuple(r) for r in edges.collect()} == {("a:b.py", "f1", "f2"), ("a:b.py", "f2", "f1"), ("c.py", "f3", "f1"), ("c.py", "f1", "f3")}
+    got = code.possible_verdicts(found, spark.createDataFrame([("a:b.py:f1",), ("c.py:f1",), ("c.py:none",), ("none",)], "start string"))
+    assert {tuple(r) for r in got.collect()} == {("a:b.py:f1", "timeout"), ("c.py:f1", "timeout")}
+    for rows in (edges, got):
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
