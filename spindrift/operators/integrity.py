@@ -180,29 +180,49 @@ def table_marks(lines: DataFrame, line: str = "line") -> DataFrame:
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
+WORD = r"^[\p{L}\p{N}_]"
+
+
+def tried(held: DataFrame, kinds: dict[int, set[bool]]) -> DataFrame:
+    """_row, name, places (at, size), _all: for each of held(_row, _all, _pieces) itself, under a name of its own, and
+    its distinct stretches of pieces, of the sizes that names have and that begin as these do (kinds: in a word or not)."""
+    begins = F.transform("_pieces", lambda p, i: F.struct(i.alias("at"), p.alias("p"), (p.rlike(WORD) if any(len(k) == 1 for k in kinds.values()) else F.lit(None).cast("boolean")).alias("word")))
+    held = held.withColumn("_begins", begins)
+
+    def of(n, k):
+        some = F.col("_begins") if len(k) > 1 else F.filter("_begins", lambda b: b["word"] == F.lit(next(iter(k))))
+        return F.transform(some, lambda b: F.struct((b["p"] if n == 1 else F.array_join(F.slice("_pieces", b["at"] + 1, F.lit(n)), "")).alias("name"), b["at"].alias("at"), F.lit(n).alias("size")))
+
+    held = held.select("_row", "_all", F.array_sort(F.flatten(F.array(*(of(n, k) for n, k in sorted(kinds.items()))))).alias("_s"))
+    first = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (F.get("_s", i - 1)["name"] != x["name"]), i)), lambda i: i.isNotNull())
+    held = held.withColumn("_first", first)
+    places = lambda i, j: F.transform(F.slice("_s", i + 1, F.coalesce(F.get("_first", j + 1), F.size("_s")) - i), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size")))
+    names = F.transform("_first", lambda i, j: F.struct(F.get("_s", i)["name"].alias("name"), places(i, j).alias("places"), F.lit(False).alias("itself")))
+    itself = F.array(F.struct(F.concat(F.lit("\0"), F.col("_row").cast("string")).alias("name"), F.array().cast("array<struct<at:int,size:int>>").alias("places"), F.lit(True).alias("itself")))
+    return held.select("_row", "_all", F.explode(F.concat(itself, names)).alias("t")).select("_row", "t.name", "t.places", F.when(F.col("t.itself"), F.col("_all")).alias("_all"))
+
+
 def published(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """rows with the names(name, public) in a text replaced, all at once: what was put in is not read again.
 
     From the left, where several names begin the first by code point is taken; a name stands for itself, whatever its
-    characters, and begins and ends where words do. Pieces of the texts meet the names in an equi join, which the
-    optimizer broadcasts only if it has measured the names to be small, and what met goes back to its row. A null
-    text stays null; a name listed twice has the least of its public names; null and empty names are nobody's.
+    characters, and begins and ends where words do. The distinct pieces of each text, with their places, meet the names
+    in an equi join, which the optimizer broadcasts only if it has measured the names to be small, and what met goes
+    back to its row: a piece is one row a text, however often it stands there. A null text stays null; a name listed twice has the least of its public names; null and empty names are nobody's.
     """
     columns = rows.columns
     table = names.where(F.length("name") > 0).groupBy(F.col("name").alias("_name")).agg(F.min("public").alias("_public"))
-    lengths = [r[0] for r in table.select(F.size(F.regexp_extract_all("_name", F.lit(PIECE), F.lit(0)))).distinct().collect()]  # as few as the longest name has pieces
+    kinds = table.select(F.size(F.regexp_extract_all("_name", F.lit(PIECE), F.lit(0))), F.col("_name").rlike(WORD)).distinct().collect()  # as few as the longest name has pieces
+    lengths = sorted({r[0] for r in kinds})
     if not lengths:
         return rows
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
     held = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_all"), F.coalesce(pieces, F.array().cast("array<string>")).alias("_pieces"))
-    # Each row goes on as itself, under a name of its own, and as the pieces it tries; only what met a name comes back.
-    tried = F.transform("_pieces", lambda p, i: F.array(*(F.struct(i.alias("at"), F.lit(n).alias("size"), (p if n == 1 else F.array_join(F.slice("_pieces", i + 1, F.lit(n)), "")).alias("name")) for n in sorted(lengths))))
-    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.concat(F.lit("\0"), F.col("_row").cast("string")).alias("name")))
-    tried = held.select("_row", "_all", F.explode(F.concat(itself, F.flatten(tried))).alias("t")).select("_row", "t.*", F.when(F.col("t.at") < 0, F.col("_all")).alias("_all"))
-    met = tried.join(table, F.col("name") == F.col("_name"), "left").where("at < 0 OR _public IS NOT NULL")
-    found = F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "name", "size", F.col("_public").alias("public")))))
-    held = met.groupBy("_row").agg(F.max_by("_all", -F.col("at")).alias("_all"), found.alias("_met"))
-    held = held.select("_all", "_met", F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
+    met = tried(held, {n: {r[1] for r in kinds if r[0] == n} for n in lengths}).join(table, F.col("name") == F.col("_name"), "left").where("_all IS NOT NULL OR _public IS NOT NULL")
+    found = F.collect_list(F.when(F.col("_all").isNull(), F.struct("name", "places", F.col("_public").alias("public"))))
+    held = met.groupBy("_row").agg(F.max_by("_all", F.col("_all").isNotNull()).alias("_all"), found.alias("_met"))
+    spread = F.transform("_met", lambda m: F.transform(m["places"], lambda x: F.struct(x["at"].alias("at"), m["name"].alias("name"), x["size"].alias("size"), m["public"].alias("public"))))
+    held = held.select("_all", F.array_sort(F.flatten(spread)).alias("_met"), F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
     if lengths != [1]:  # names of several pieces may overlap: what begins first holds
 
         def step(s, m):

@@ -95,3 +95,10 @@ def test_sizes_are_printed_as_elsewhere(spark):
                 return f"{n / 1024**k:.1f} {unit}"
 
     assert got == [plain(v) if v else "unknown" for v in values]
+
+
+def test_a_frequent_piece_is_one_row_a_text(spark):
+    rows = spark.createDataFrame([(0, " ".join(["word"] * 1000)), (1, "word other")], "_row bigint, t string")
+    held = rows.selectExpr("_row", "struct(t) AS _all", "regexp_extract_all(t, '[a-z]+|[^a-z]+', 0) AS _pieces")
+    got = sorted((r._row, r.name, len(r.places)) for r in integrity.tried(held, {1: {True}}).where("_all IS NULL").collect())
+    assert got == [(0, "word", 1000), (1, "other", 1), (1, "word", 1)]
