@@ -411,8 +411,31 @@ def _linked(c: np.ndarray, h: np.ndarray, counts: np.ndarray, sizes: np.ndarray,
     return out
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """x, p of fewer links(x, p) that connect the same: each x keeps its least p, and its other ps are linked with that.
+
+    An x has as many ps as it has cells or pivots; those of many like sets are the same, so of a group of near copies one
+    link a set and those among its pivots stay.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("ps")
+            counts = lists.value_lengths().to_numpy()
+            x, p = batch.column("x").to_numpy(), lists.flatten().to_numpy()
+            if not len(p):
+                continue
+            least = np.minimum.reduceat(p, np.cumsum(counts) - counts)
+            pairs = np.unique(np.stack([np.concatenate([x, p]), np.concatenate([least, np.repeat(least, counts)])]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "p"])
+
+    return links.groupBy("x").agg(F.collect_set("p").alias("ps")).mapInArrow(run, "x long, p long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """c, label of all ends of links(x, p): the least c that links reach. Labels spread and jump until none changes."""
+    links = materialise(thinned(links))
     edges = materialise(links.select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(links.select(F.col("p").alias("a"), F.col("x").alias("b"))).distinct())
     labels = materialise(edges.groupBy(F.col("a").alias("c")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
@@ -423,7 +446,7 @@ def components(links: DataFrame) -> DataFrame:
         release(labels)
         labels = moved
         if not moved.where("moved").limit(1).count():
-            release(edges)
+            release(edges, links)
             return moved.select("c", "label")
 
 

@@ -189,3 +189,9 @@ def test_nothing_links(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(5)] + [(9, None)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "component_id").collect()
     assert all(a == b for a, b in got) and len(got) == 6
+
+
+def test_links_of_near_copies_are_thinned(spark):
+    links = spark.range(300).selectExpr("1000 + id AS x", "explode(sequence(1, 20)) AS p").selectExpr("x", "CAST(p AS long) AS p")
+    assert jaccard.thinned(links).count() <= 300 + 19
+    assert {tuple(r) for r in jaccard.components(links).collect()} == {(c, 1) for c in [*range(1, 21), *range(1000, 1300)]}
