@@ -202,10 +202,12 @@ def build(spark: SparkSession, corpus: DataFrame, name: str, embed, *, model: st
         kept = prior["chunk"].join(files.select("file", "digest").join(old, ["file", "digest"], "left_semi"), "file").select("file", "pos", "text", "heading", "line_start", "line_end", "vector", "norm")
     plain = chunking.chunked(todo, size)
     fresh = calls.embedded(plain, embed, log, model=model, prefix=doc_prefix, batch=batch) if log else embedded(plain, embed, doc_prefix, batch)
-    counted = plain.select("file", "pos")
+    waiting = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"  # texts are cut and embedded once: files are counted from what is written
+    fresh.write.parquet(waiting)
+    fresh = spark.read.schema(fresh.schema).parquet(waiting)
     if kept is not None:
-        fresh, counted = fresh.unionByName(kept), counted.unionByName(kept.select("file", "pos"))
-    chunk = ordinals(fresh, counted=counted)
+        fresh = fresh.unionByName(kept)
+    chunk = ordinals(fresh)
     if path:  # every text is embedded once: what follows reads the stored rows
         build_id = uuid.uuid4().hex[:12]
         chunk.write.parquet(f"{path}/{name}/{build_id}/chunk")

@@ -388,3 +388,20 @@ def test_packs_of_vectors_are_bounded_in_bytes(spark):
     rows = spark.range(5).selectExpr("id AS ordinal", "array_repeat(1.0D, 100000) AS vector").coalesce(1)
     packs = search._packed(rows, "ordinal", 4096).selectExpr("octet_length(keys) DIV 8 AS n", "octet_length(vectors) AS bytes").collect()
     assert sum(p.n for p in packs) == 5 and max(p.bytes for p in packs) <= 1 << 21
+
+
+def test_a_build_cuts_its_texts_once(spark, monkeypatch):
+    cut, real = spark.sparkContext.accumulator(0), chunking.chunked
+
+    def counting(docs, *args, **kw):
+        def run(batches):
+            for b in batches:
+                cut.add(b.num_rows)
+                yield b
+
+        return real(docs.select("file", "text").mapInArrow(run, "file string, text string"), *args, **kw)
+
+    monkeypatch.setattr(chunking, "chunked", counting)
+    rows = [(f"{i}.md", f"word {i}") for i in range(7)]
+    tables = index.build(spark, spark.createDataFrame(rows, "file string, text string"), "n", HashEmbedder(4), model="offline-hash", limit=2048)
+    assert sorted(r.ordinal for r in tables["chunk"].collect()) == list(range(7)) and cut.value == 7
