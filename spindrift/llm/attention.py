@@ -3,11 +3,12 @@
 A text is a sequence of a tokenizer's ids and one end. Ids have classes: frequent ids are classes of their own, the others
 share classes by frequency, and within a class an id has its share after the class before. The next class is predicted
 from the classes before it in a window: one attention head with a learned bias by distance, a hidden layer and an output
-layer, whose result multiplies the odds of the class pairs. So there are three kinds of knowledge: counts of ids after
-classes, over all training documents; weights, trained in rounds of steps on windows of every block of training documents,
-the results of which are averaged; and, for the unigram, counts of all training words.
+layer, whose result multiplies the odds of the class pairs: first of groups of classes, then of a group's members. So
+there are three kinds of knowledge: counts of ids after classes, over all training documents; weights, trained in rounds
+of steps on all windows of the training documents, the results of which are averaged; and, for the unigram, counts of all
+training words.
 
-The output's odds are a power of a square, not an exponential, as numpy computes these several times faster.
+Odds of outputs and weights of attention are a power of a square, not an exponential, which numpy computes more slowly.
 
 Texts are encoded once, into blocks of about 8 MB of text: a row with the ids, the block's distinct words and their
 places. Words meet by hash, a block's distinct words once; the counts go back to the block, so that a frequent word is
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from .common import groups_of, materialise, ragged, runs, table, tune
 from .flat import LOWER, flat, small, span_hashes, word_bounds
 from .language import fold_of
-from .packing import Encoder
+from .packing import encoder
 
 BLOCK_TEXT = 1 << 23
 CLASSES, SHARED = 320, 64  # of all classes so many are shared by rarer ids; class 0 stands before the first id only
-WINDOW, STRIDE = 32, 16
-SIZE, HIDDEN = 32, 64
-RATES, STEPS, BATCH = (1e-2, 1e-2, 3e-3), 32, 64  # of each round; steps for each block, and windows in each
+WINDOW, STRIDE = 24, 12
+SIZE, HIDDEN = 16, 16
+GROUPS, MEMBERS = 16, 20  # class y is member y % MEMBERS of group y // MEMBERS
+RATES, STEPS, BATCH = (2e-2, 2e-2, 5e-3), 32, (64, 256)  # of each round; fewest steps on a block in a round, and least and most windows in each
 FAN = 64
 END_WORD = np.uint64(0x5EED_0E4D_0000_0001)  # stands for the end among the hashes of words
 PRIOR, CLASS_PRIOR, SHARE_PRIOR = 0.5, 8.0, 5.0
@@ -100,7 +102,7 @@ def class_pairs(pairs: np.ndarray) -> np.ndarray:
     return np.maximum(p, 1e-30).astype(np.float32)
 
 
-SHAPES = {"embed": (CLASSES, SIZE), "query": (SIZE, SIZE), "key": (SIZE, SIZE), "value": (SIZE, SIZE), "near": (WINDOW,), "up": (SIZE, HIDDEN), "bias": (HIDDEN,), "down": (HIDDEN, SIZE), "out": (SIZE, CLASSES)}
+SHAPES = {"embed": (CLASSES, SIZE), "query": (SIZE, SIZE), "key": (SIZE, SIZE), "value": (SIZE, SIZE), "near": (WINDOW,), "up": (SIZE, HIDDEN), "bias": (HIDDEN,), "down": (HIDDEN, SIZE), "group": (SIZE, GROUPS), "out": (SIZE, CLASSES)}
 _CUTS = np.cumsum([0] + [int(np.prod(s)) for s in SHAPES.values()])
 _APART = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
@@ -114,13 +116,61 @@ def initial(seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     p = {k: rng.normal(0, s[0] ** -0.5 if len(s) > 1 else 0.0, s) for k, s in SHAPES.items()}
     p["embed"] = rng.normal(0, 1.0, SHAPES["embed"])
-    p["out"][:] = 0
+    p["group"][:] = p["out"][:] = 0
     p["near"] = -0.1 * np.arange(WINDOW)
     return np.concatenate([x.ravel() for x in p.values()])
 
 
-def _masked(near: np.ndarray) -> np.ndarray:
-    return np.where(_APART >= 0, near[np.maximum(_APART, 0)], np.float32(-1e9)).astype(np.float32)
+def _decay(near: np.ndarray) -> np.ndarray:
+    """What the distance makes of an attention weight; 0 for what comes later."""
+    return np.where(_APART >= 0, np.exp(near[np.maximum(_APART, 0)]), 0).astype(np.float32)
+
+
+def _priors(pairs: np.ndarray) -> np.ndarray:
+    """Row x * GROUPS + g: shares of the groups after class x, then those of the members of g among themselves."""
+    by = pairs.reshape(CLASSES, GROUPS, MEMBERS)
+    groups = by.sum(2, keepdims=True)
+    every = np.broadcast_to(groups.reshape(CLASSES, 1, GROUPS), (CLASSES, GROUPS, GROUPS))
+    return np.concatenate([every, by / groups], 2).reshape(-1, GROUPS + MEMBERS).astype(np.float32)
+
+
+def _layers(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The output layer for targets in each group: the columns of the groups, then those of the group's members."""
+    return np.stack([np.concatenate([p["group"], p["out"][:, g * MEMBERS : (g + 1) * MEMBERS]], 1) for g in range(GROUPS)])
+
+
+def _by_group(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of rows by the group of y, and each group with its bounds in it."""
+    of = (y // MEMBERS).astype(np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=GROUPS))]).tolist()
+    return np.argsort(of, kind="stable"), list(zip(range(GROUPS), bounds[:-1], bounds[1:], strict=True))
+
+
+# products with these sum rows, into one column for each part or into all columns: numpy is slow along short rows
+_PARTS = np.repeat(np.eye(2, dtype=np.float32), [GROUPS, MEMBERS], axis=0)
+_MEAN = np.full((SIZE, SIZE), 1 / SIZE, np.float32)
+_WHOLE = np.ones(WINDOW, np.float32)
+
+
+def _scale(z: np.ndarray) -> np.ndarray:
+    """What brings each row of z to a mean square of 1, in all columns."""
+    square = (z * z) @ _MEAN
+    square += np.float32(1e-5)
+    np.sqrt(square, out=square)
+    return np.divide(1, square, out=square)
+
+
+def _class_sums(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of rows by their sorted classes: of many rows as a product, of the few others by numpy."""
+    sums, heads = np.zeros((CLASSES, rows.shape[1]), np.float32), runs(of)
+    length = np.diff(np.append(heads, len(of)))
+    many, one = length > 24, np.ones(len(of), np.float32)
+    for c, a, n in zip(of[heads[many]].tolist(), heads[many].tolist(), length[many].tolist(), strict=True):
+        np.matmul(one[:n], rows[a : a + n], out=sums[c])
+    few = length[~many]
+    if len(few):
+        sums[of[heads[~many]]] = np.add.reduceat(rows.take(ragged(heads[~many], few), 0), np.cumsum(few) - few, 0)
+    return sums
 
 
 class Model:
@@ -128,94 +178,144 @@ class Model:
 
     def __init__(self, vector: np.ndarray, pairs: np.ndarray):
         p = parameters(vector)
-        self.embed, self.up, self.bias, self.down, self.pairs = p["embed"], p["up"], p["bias"], p["down"], pairs
-        self.out = np.concatenate([p["out"] / 8, np.ones((1, CLASSES), np.float32)])
-        self.query = p["embed"] @ p["query"] * np.float32(SIZE**-0.5)
-        self.key, self.value, self.mask = p["embed"] @ p["key"], p["embed"] @ p["value"], _masked(p["near"])
+        self.embed, self.up, self.bias, self.down, self.priors = p["embed"], p["up"], p["bias"], p["down"], _priors(pairs)
+        self.out = np.concatenate([_layers(p) / 8, np.ones((GROUPS, 1, GROUPS + MEMBERS), np.float32)], 1)
+        self.query = p["embed"] @ p["query"] * np.float32(SIZE**-0.5 / 8)
+        self.key, self.value, self.decay = p["embed"] @ p["key"], p["embed"] @ p["value"], _decay(p["near"])
 
     def states(self, x: np.ndarray, first: int = 0) -> np.ndarray:
         """x: (windows, WINDOW) classes; the result is what the output layer reads at the positions from `first` on, a row each."""
         last = x[:, first:]
         s = self.query.take(last, 0) @ self.key.take(x, 0).transpose(0, 2, 1)
-        s += self.mask[first:]
-        np.exp(np.minimum(s, 60, out=s), out=s)
-        z = s @ self.value.take(x, 0)
-        z /= s.sum(-1, keepdims=True)
-        z += self.embed.take(last, 0)
-        z = z.reshape(-1, SIZE)
+        s += 1
+        odds(s)
+        s *= self.decay[first:]
+        z = (s @ self.value.take(x, 0)).reshape(-1, SIZE)
+        z /= (s @ _WHOLE).reshape(-1, 1)
+        z += self.embed.take(last.ravel(), 0)
         h = z @ self.up
         h += self.bias
         np.maximum(h, 0, out=h)
         z += h @ self.down
-        z *= 1 / np.sqrt(np.einsum("ij,ij->i", z, z)[:, None] / SIZE + np.float32(1e-5))
+        z *= _scale(z)
         return z
 
     def log_probs(self, z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Of class y after class x with state z, for each row; rows of one x share the row of its pairs."""
-        order = np.argsort(x, kind="stable")
+        """Of class y after class x with state z, for each row: the log of its group's probability and of its own there."""
+        order, groups = _by_group(y)
         one = np.ones((len(z), SIZE + 1), np.float32)
         one[:, :SIZE] = z.take(order, 0)
-        x, y = x[order], y[order]
-        got = np.empty(len(x), np.float32)
-        head = runs(x)
-        for a, b in zip(head.tolist(), np.append(head[1:], len(x)).tolist(), strict=True):
-            out = odds(one[a:b] @ self.out)
-            got[a:b] = out[np.arange(b - a), y[a:b]] / (out @ self.pairs[x[a]])
-        got = np.log(got * self.pairs[x, y])
-        back = np.empty_like(got)
-        back[order] = got
-        return back
+        x, y = x[order].astype(np.int64), y[order].astype(np.int64)
+        out = np.empty((len(z), GROUPS + MEMBERS), np.float32)
+        for g, a, b in groups:
+            np.matmul(one[a:b], self.out[g], out=out[a:b])
+        odds(out)
+        out *= self.priors.take(x * GROUPS + y // MEMBERS, 0)
+        at = np.arange(0, out.size, GROUPS + MEMBERS)
+        sums = out @ _PARTS
+        got = np.empty(len(z), np.float32)
+        got[order] = np.log(out.ravel().take(at + y // MEMBERS)) + np.log(out.ravel().take(at + GROUPS + y % MEMBERS)) - np.log(sums[:, 0] * sums[:, 1])
+        return got
 
 
 class Trainer:
     """Steps of Adam on windows, all of whose positions are targets but for those that are padding."""
 
     def __init__(self, vector: np.ndarray, pairs: np.ndarray, rate: float = RATES[0]):
-        self.vector, self.pairs, self.rate = vector.astype(np.float32), pairs, rate
+        self.vector, self.priors, self.rate = vector.astype(np.float32), _priors(pairs), rate
         self.m, self.v, self.steps = np.zeros_like(self.vector), np.zeros_like(self.vector), 0
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss and its gradient over the positions that are real."""
-        p, root = parameters(self.vector), np.float32(SIZE**-0.5)
-        rows = lambda t: t.reshape(-1, t.shape[-1])
-        e = p["embed"][x]
-        q, k, v = e @ p["query"], e @ p["key"], e @ p["value"]
-        s = q @ k.transpose(0, 2, 1) * root + _masked(p["near"])
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        h = e + a @ v
-        pre = h @ p["up"] + p["bias"]
-        act = np.maximum(pre, 0)
-        z = h + act @ p["down"]
-        scale = 1 / np.sqrt((z * z).mean(-1, keepdims=True) + np.float32(1e-5))
-        u = z * scale
-        r = 1 + rows(u) @ p["out"] / 8
-        slope = r / (r * r + LIFT)
-        d = odds(r)
-        d *= self.pairs.take(x.ravel(), 0)
-        at, n = np.arange(len(d)), max(int(real.sum()), 1)
-        total = d.sum(1)
-        loss = float((np.log(total) - np.log(d[at, y.ravel()]))[real.ravel()].sum()) / n
-        d *= (real.ravel() / (total * np.float32(n)))[:, None]
-        d[at, y.ravel()] -= real.ravel() / np.float32(n)
+        """Mean loss and its gradient over the positions that are real.
+
+        What depends on a class alone (its embedding, query, key and value) is a table's row; gradients of the tables are
+        sums by class, and go on to the weights from there.
+        """
+        p, eighth = parameters(self.vector), np.float32(SIZE**-0.5 / 8)
+        windows, flat_x, flat_y, n = x.shape[0], x.ravel(), y.ravel(), np.float32(max(int(real.sum()), 1))
+        three = lambda t: t.reshape(windows, WINDOW, -1)
+        own = p["embed"]
+        q, k, v = (t.take(x, 0) for t in (own @ p["query"] * eighth, own @ p["key"], own @ p["value"]))
+        r = q @ k.transpose(0, 2, 1)
+        r += 1
+        a = r * r
+        a += LIFT
+        bend = np.divide(r, a, out=r)
+        bend *= 8
+        a *= a
+        a *= a
+        a *= _decay(p["near"])
+        share = 1 / (a @ _WHOLE).reshape(-1, 1)
+        mixed = (a @ v).reshape(-1, SIZE)
+        mixed *= share
+        h = own.take(flat_x, 0)
+        h += mixed
+        act = h @ p["up"]
+        act += p["bias"]
+        np.maximum(act, 0, out=act)
+        z = act @ p["down"]
+        z += h
+        scale = _scale(z)
+        z *= scale
+        # the output layer, in an order by the targets' groups
+        order, groups = _by_group(flat_y)
+        layers, u, to = _layers(p), z.take(order, 0), flat_y[order].astype(np.int64)
+        r = np.empty((len(u), GROUPS + MEMBERS), np.float32)
+        for g, i, j in groups:
+            np.matmul(u[i:j], layers[g], out=r[i:j])
+        r *= np.float32(1 / 8)
+        r += 1
+        d = r * r
+        d += LIFT
+        slope = np.divide(r, d, out=r)
+        d *= d
+        d *= d
+        d *= self.priors.take(flat_x[order].astype(np.int64) * GROUPS + to // MEMBERS, 0)
+        weight, total = real.ravel()[order].astype(np.float32) / n, d @ _PARTS
+        at = np.arange(0, d.size, GROUPS + MEMBERS)
+        hits = (at + to // MEMBERS, at + GROUPS + to % MEMBERS)
+        loss = float(np.log(total[:, 0] * total[:, 1]) @ weight) - sum(float(np.log(d.ravel().take(hit)) @ weight) for hit in hits)
+        d *= (weight[:, None] / total) @ _PARTS.T
+        for hit in hits:
+            d.ravel()[hit] -= weight
         d *= slope
-        g = {"out": rows(u).T @ d}
-        du = (d @ p["out"].T).reshape(u.shape)
-        dz = scale * (du - u * (du * u).mean(-1, keepdims=True))
-        dact = (dz @ p["down"].T) * (pre > 0)
-        g["down"], g["up"], g["bias"] = rows(act).T @ rows(dz), rows(h).T @ rows(dact), rows(dact).sum(0)
-        dh = dz + dact @ p["up"].T
+        du, both = np.empty_like(u), np.empty_like(layers)
+        for g, i, j in groups:
+            np.matmul(d[i:j], layers[g].T, out=du[i:j])
+            np.matmul(u[i:j].T, d[i:j], out=both[g])
+        g = {"group": both[:, :, :GROUPS].sum(0), "out": both[:, :, GROUPS:].transpose(1, 0, 2).reshape(SIZE, CLASSES)}
+        dz = np.empty_like(du)
+        dz[order] = du
+        dz -= z * ((dz * z) @ _MEAN)
+        dz *= scale
+        dact = dz @ p["down"].T
+        dact *= act > 0
+        g["down"], g["up"], g["bias"] = act.T @ dz, h.T @ dact, np.ones(len(dact), np.float32) @ dact
+        dh = dact @ p["up"].T
+        dh += dz
+        # the attention's weights are a / their sum
+        by_class = np.empty((len(dh), 4 * SIZE), np.float32)
+        by_class[:, :SIZE] = dh
+        parts = [three(by_class)[:, :, i * SIZE : (i + 1) * SIZE] for i in range(4)]
+        dh *= share
+        mixed *= dh
+        dh = three(dh)
+        np.matmul(a.transpose(0, 2, 1), dh, out=parts[3])
         da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
+        da -= three(mixed @ _MEAN[:, :1]) * np.float32(SIZE)
+        da *= a
         low = _APART >= 0
-        g["near"] = np.bincount(_APART[low], ds.sum(0)[low], WINDOW)
-        dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q * root
-        g["query"], g["key"], g["value"] = rows(e).T @ rows(dq), rows(e).T @ rows(dk), rows(e).T @ rows(dv)
-        de = rows(dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T)
-        hit = np.zeros((CLASSES, len(de)), np.float32)
-        hit[x.ravel(), np.arange(len(de))] = 1
-        g["embed"] = hit @ de
+        g["near"] = np.bincount(_APART[low], da.sum(0)[low], WINDOW)
+        da *= bend
+        np.matmul(da, k, out=parts[1])
+        np.matmul(da.transpose(0, 2, 1), q, out=parts[2])
+        order = np.argsort(flat_x, kind="stable")
+        tables = _class_sums(by_class.take(order, 0), flat_x[order])
+        g["embed"] = tables[:, :SIZE].copy()
+        for i, (name, by) in enumerate((("query", eighth), ("key", np.float32(1)), ("value", np.float32(1)))):
+            part = tables[:, (i + 1) * SIZE : (i + 2) * SIZE] * by
+            g[name] = own.T @ part
+            g["embed"] += part @ p[name].T
         return loss, np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> float:
@@ -254,10 +354,10 @@ def text_scores(model: Model, after: After, ids: np.ndarray, counts: np.ndarray,
     own = np.repeat(np.arange(len(counts)), more)
     plans = [(edge[:-1], np.arange(len(counts)), 0), (edge[own] + STRIDE * ragged(np.ones(len(counts), np.int64), more), own, WINDOW - STRIDE)]
     for start, of, first in plans:
-        for a in range(0, len(start), at_once * 16):
+        for a in range(0, len(start), at_once * 4):
             states, kept, owner = [], [], []
-            for b in range(a, min(a + at_once * 16, len(start)), at_once):
-                s, d = start[b : min(b + at_once, a + at_once * 16)], of[b : min(b + at_once, a + at_once * 16)]
+            for b in range(a, min(a + at_once * 4, len(start)), at_once):
+                s, d = start[b : min(b + at_once, a + at_once * 4)], of[b : min(b + at_once, a + at_once * 4)]
                 place = s[:, None] + np.arange(WINDOW)
                 real = (place < edge[d + 1][:, None])[:, first:].ravel()
                 place = np.minimum(place, edge[d + 1][:, None] - 1)  # what lies behind a text's end is not counted
@@ -299,7 +399,7 @@ def blocks(docs: DataFrame, learns: Column, tokenizer_path: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encode, number, held, size = Encoder(tokenizer_path), TaskContext.get().partitionId() << 32, [], 0
+        encode, number, held, size = encoder(tokenizer_path), TaskContext.get().partitionId() << 32, [], 0
 
         def block(parts):
             ident, learns, n_words, hashes, n_ids, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -460,35 +560,28 @@ def counted_after(stored: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(stored: DataFrame, shared, pairs, vector: np.ndarray, turn: int) -> tuple[np.ndarray, float]:
-    """Weights after a round, and the mean loss in it: each task takes STEPS steps on each of its blocks, and the results are averaged.
+    """Weights after a round, and the mean loss in it: each task trains on its blocks one after another, and the results are averaged.
 
-    A block's windows (of all positions of its training texts, without overlap) are dealt evenly over the rounds and
-    their steps; a small block's are gone through several times. A task counts by its blocks.
+    All windows (of all positions of the texts to learn from, without overlap) are trained on: see `turns`. A task counts
+    by the positions that it trained on.
     """
 
     def make():
-        trainer, state = Trainer(vector, pairs.value, RATES[turn]), {"blocks": 0, "loss": 0.0}
+        trainer, state = Trainer(vector, pairs.value, RATES[turn]), {"positions": 0, "loss": 0.0}
 
         def take(ids, counts):
             if not len(counts):
                 return
             x, y, edge = sequences(shared.value, ids, counts)
-            number = -(-(counts + 1) // WINDOW)
-            last = np.cumsum(number)
-            want, have = STEPS * BATCH, int(last[-1])
-            # window k of a round is number k * have / want of the block, moved on by a part of that distance for each round
-            which = ((np.arange(want) + turn / len(RATES)) * max(have / want, 1)).astype(np.int64) % have
-            which = which.reshape(BATCH, STEPS).T.ravel()
-            doc = np.searchsorted(last, which, "right")
-            place = (edge[doc] + WINDOW * (which - (last - number)[doc]))[:, None] + np.arange(WINDOW)
-            real = place < edge[doc + 1][:, None]
-            place = np.minimum(place, edge[doc + 1][:, None] - 1)
-            for a in range(0, want, BATCH):
-                some = place[a : a + BATCH]
-                state["loss"] += trainer.step(x[some], y[some], real[a : a + BATCH]) / STEPS
-            state["blocks"] += 1
-
-        return take, lambda: np.concatenate([trainer.vector.astype(np.float64) * state["blocks"], [state["blocks"], state["loss"]]])
+            start, n = cut(edge)
+            # what follows a text's end in a window is not real, and is not seen by what is before it
+            x, y = (np.lib.stride_tricks.sliding_window_view(np.append(t, np.zeros(WINDOW, t.dtype)), WINDOW) for t in (x, y))
+            for which in turns(len(start), turn):
+                of, positions = start[which], n[which]
+                state["loss"] += trainer.step(x[of], y[of], np.arange(WINDOW) < positions[:, None]) * int(positions.sum())
+                state["positions"] += int(positions.sum())
+
+        return take, lambda: np.concatenate([trainer.vector.astype(np.float64) * state["positions"], [state["positions"], state["loss"]]])
 
     got = summed(over_texts(stored, make), len(vector) + 2)
     if not got[-2]:
@@ -496,6 +589,27 @@ def trained(stored: DataFrame, shared, pairs, vector: np.ndarray, turn: int) ->
     return got[:-2] / got[-2], got[-1] / got[-2]
 
 
+def cut(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that texts with these bounds are cut into, and how many positions each has."""
+    each = -(-np.diff(edge) // WINDOW)
+    start = np.repeat(edge[:-1], each) + WINDOW * ragged(np.zeros(len(each), np.int64), each)
+    return start, np.minimum(np.repeat(edge[1:], each) - start, WINDOW)
+
+
+def turns(windows: int, turn: int):
+    """The windows of a block for each step of a round. The rounds go through all windows in one order by chance.
+
+    Rounds take 1, 3, 5, ... parts of the order, as the first weights are far apart and are to be averaged soon. A block
+    of few windows gives each round STEPS steps of the least size, for which it is gone through several times.
+    """
+    order = np.random.default_rng(windows).permutation(windows)
+    a, b = (windows * k * k // len(RATES) ** 2 for k in (turn, turn + 1))
+    size = min(max(-(-(b - a) // STEPS), BATCH[0]), BATCH[1])
+    b = max(b, a + STEPS * BATCH[0])
+    for k in range(a, b, size):
+        yield order[np.arange(k, min(k + size, b)) % windows]
+
+
 # --- scores ---------------------------------------------------------------------------------------------------------
 
 

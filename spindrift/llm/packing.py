@@ -128,6 +128,17 @@ class Encoder:
         return ids, np.diff(total[np.searchsorted(first, offsets)])
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """The Encoder of this process: Spark gives a worker one task after another, and the later ones know the pieces."""
+    if tokenizer_path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[tokenizer_path] = Encoder(tokenizer_path)
+    return _KEPT[tokenizer_path]
+
+
 def pieces(n: int, most: int = MOST) -> list[int]:
     rest = n % most
     return [most] * (n // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]

@@ -305,3 +305,56 @@ def test_model_beats_pairs_on_texts_left_out(spark, small_model, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = attention.scored(docs, F.col("doc_id") % 5 != 0, TOKENIZER).where("NOT learns").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > 0.8 * got[1]
+
+
+def test_every_window_of_a_block_is_trained_on():
+    """The rounds' steps go through all windows of a large block once each, and through those of a small one at least once."""
+    for windows in (1, 700, 40_001):
+        seen = np.bincount(np.concatenate([w for turn in range(len(attention.RATES)) for w in attention.turns(windows, turn)]), minlength=windows)
+        assert len(seen) == windows and seen.min() >= 1
+        assert windows < 40_000 or seen.max() == 1
+    counts = np.array([0, 1, 22, 23, 24, 100])
+    x, _, edge = attention.sequences(_toy()[3], np.zeros(counts.sum(), np.int64), counts)
+    start, n = attention.cut(edge)
+    assert sorted(i for a, k in zip(start, n, strict=True) for i in range(a, a + k)) == list(range(len(x)))
+
+
+def test_a_round_trains_on_every_position(spark, tmp_path):
+    """Also where a block has more windows than its least steps take."""
+    docs = spark.createDataFrame([(i, " ".join(f"{(i * k) % 977} the" for k in range(1, 4001))) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    stored = attention.materialise(attention.blocks(docs, F.col("doc_id") > 4, TOKENIZER))
+    want = sum(int(n.sum()) + len(n) for _, n in attention.learnt(stored.select("learns", "n_ids", "ids").toArrow().to_batches()))
+    classes = attention.Classes(np.ones(50_000), np.zeros(50_000, bool), 1)
+    pairs = np.full((attention.CLASSES,) * 2, 1 / attention.CLASSES, np.float32)
+    seen, summed = [], attention.summed
+
+    def kept(rows, size):
+        seen.append(summed(rows, size)[-2])
+        return np.zeros(size)
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    attention.summed = kept
+    try:
+        for turn in range(len(attention.RATES)):
+            attention.trained(stored, Shared(classes), Shared(pairs), attention.initial(), turn)
+    finally:
+        attention.summed = summed
+    assert want > attention.STEPS * attention.BATCH[0] * len(attention.RATES) * attention.WINDOW and sum(seen) >= want
+
+
+def test_class_sums():
+    rng = np.random.default_rng(0)
+    of = np.sort(rng.zipf(1.3, 3000) % attention.CLASSES)
+    rows = rng.normal(size=(3000, 5)).astype(np.float32)
+    want = np.zeros((attention.CLASSES, 5))
+    np.add.at(want, of, rows)
+    np.testing.assert_allclose(attention._class_sums(rows, of), want, atol=1e-3)
+
+
+def test_a_worker_keeps_its_encoder():
+    from spindrift.llm import packing
+
+    assert packing.encoder(TOKENIZER) is packing.encoder(TOKENIZER)
