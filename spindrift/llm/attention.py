@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, materialise, ragged, runs, table, tune
-from .flat import LOWER, flat, small, span_hashes, word_bounds
+from .flat import LOWER, distinct, flat, small, span_hashes, word_bounds
 from .language import fold_of
 from .packing import encoder
 
@@ -340,7 +340,7 @@ def sequences(classes: Classes, ids: np.ndarray, counts: np.ndarray) -> tuple[np
     return x, y, edge
 
 
-def text_scores(model: Model, after: After, ids: np.ndarray, counts: np.ndarray, at_once: int = 256) -> np.ndarray:
+def text_scores(model: Model, after: After, ids: np.ndarray, counts: np.ndarray, at_once: int = 512) -> np.ndarray:
     """log10 probability of each text. Windows overlap; each position is scored once, where it has the most context.
 
     The first window of a text scores all its positions, each further one the STRIDE positions that the ones before it
@@ -403,7 +403,7 @@ def blocks(docs: DataFrame, learns: Column, tokenizer_path: str) -> DataFrame:
 
         def block(parts):
             ident, learns, n_words, hashes, n_ids, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
-            words, place = np.unique(hashes, return_inverse=True)
+            words, place = distinct(hashes)
             counted = np.bincount(place, np.repeat(learns & 1, n_words).astype(np.float64), len(words)).astype(np.uint32)
             values = [ident, learns, n_words, place.astype(np.uint32), words, counted, n_ids, ids]
             return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([_packed(v)], pa.large_binary()).cast(pa.binary()) for v in values)], [c.split()[0] for c in BLOCK.split(", ")])
@@ -541,15 +541,22 @@ def counted_after(stored: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         size, held = len(shared.value.of), []
+        alone = np.zeros(CLASSES, np.int64)  # the id of a class that has one
+        alone[shared.value.of] = np.arange(size)
 
         def merged():
             keys, of = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(of, np.concatenate([n for _, n in held]), len(keys))
 
         for ids, counts in learnt(batches):
-            x, _, _ = sequences(shared.value, ids, counts)
-            held.append(np.unique(x.astype(np.int64) * size + np.insert(ids, np.cumsum(counts), shared.value.end_id), return_counts=True))
-            if len(held) > 7:
+            x, y, _ = sequences(shared.value, ids, counts)
+            several = y >= CLASSES - SHARED
+            pairs = np.bincount(x[~several].astype(np.int64) * CLASSES + y[~several])  # of ids that are classes of their own
+            some = np.flatnonzero(pairs)
+            held.append((some // CLASSES * size + alone[some % CLASSES], pairs[some]))
+            every = np.insert(ids, np.cumsum(counts), shared.value.end_id)
+            held.append(np.unique(x[several].astype(np.int64) * size + every[several], return_counts=True))
+            if len(held) > 14:
                 held[:] = [merged()]
         if held:
             keys, n = merged()

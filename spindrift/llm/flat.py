@@ -87,6 +87,29 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, and the place of each hash among them, as numpy's unique gives them.
+
+    Of the hashes in a slot of a table the one written last stands for its equals; only hashes beside it are sorted whole.
+    """
+    bits = min(max((2 * len(hashes)).bit_length(), 8), 22)
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot] = np.arange(len(hashes), dtype=np.int32)
+    first = table[slot]
+    beside = np.flatnonzero(hashes[first] != hashes)
+    heads = np.flatnonzero(first == np.arange(len(hashes), dtype=np.int32))
+    others, which = np.unique(hashes[beside], return_inverse=True)
+    every = np.concatenate([hashes[heads], others])
+    order = np.argsort(every)
+    rank = np.empty(len(every), np.int64)
+    rank[order] = np.arange(len(every))
+    table[slot[heads]] = rank[: len(heads)]
+    place = table[slot].astype(np.int64)
+    place[beside] = rank[len(heads) :][which]
+    return every[order], place
+
+
 def word_counts(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Number of words of each text."""
     return np.diff(np.searchsorted(starts, offsets))

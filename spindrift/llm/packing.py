@@ -20,6 +20,7 @@ from .flat import LOWER, flat, small, span_hashes, word_bounds
 
 MOST = 2048
 CACHE = 2_000_000  # distinct pieces whose ids a worker holds; beyond that it starts anew
+SLOT_BITS = 21  # of a hash, for the table in which most pieces are found again
 _SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _KIND = np.full(256, _ODD, np.uint8)  # control characters, "'", "<" and all but Latin-1 beyond ASCII are odd
 _KIND[33:127] = _SIGN
@@ -36,7 +37,8 @@ class Encoder:
     Texts are cut at white space. A chunk of ASCII and Latin-1 letters, digits and plain signs is lower-cased and cut
     where the tokenizer's own pattern cuts (runs of letters, single digits, runs of signs); any other chunk, and any
     with an apostrophe or "<" (contractions, special tokens), is left as it is. Each distinct piece is encoded once by
-    the tokenizer and found again by its hash. Tests hold the ids against encoding whole texts.
+    the tokenizer and found again by its hash: in a table with a slot for the first bits of a hash, which the piece that
+    was learnt last has, or else among the sorted hashes. Tests hold the ids against encoding whole texts.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -50,6 +52,8 @@ class Encoder:
     def clear(self):
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.place = np.zeros(0, np.int64)
+        self.hashes = np.zeros(0, np.uint64)  # by place
+        self.table = np.zeros(1 << SLOT_BITS, np.int32)
         self.ids = np.zeros(1 << 16, np.uint16 if len(self.ends) < 1 << 16 else np.uint32)
         self.starts = np.zeros(1, np.int64)
 
@@ -86,6 +90,8 @@ class Encoder:
         place[order] = chunks + np.arange(len(order))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place)
+        self.hashes = np.concatenate([self.hashes, keys[order]])
+        self.table[(keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = place
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -112,16 +118,19 @@ class Encoder:
         chunk = np.searchsorted(starts, first, "right") - 1
         last = np.minimum(np.append(first[1:], len(buf)), ends[chunk])
         hashes = span_hashes(low, first, last)
-        keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
-        if not known.all():
-            some = example[~known]
-            data = low.tobytes()
-            self._learn(keys[~known], [data[a:b] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)], odd[chunk[some]])
+        place = self.table[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        rest = np.flatnonzero(self.hashes[place] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(rest):
+            keys, example, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
             at = np.searchsorted(self.keys, keys)
-        place = self.place[at][which]
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == keys[known]
+            if not known.all():
+                some = rest[example[~known]]
+                data = low.tobytes()
+                self._learn(keys[~known], [data[a:b] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)], odd[chunk[some]])
+                at = np.searchsorted(self.keys, keys)
+            place[rest] = self.place[at][which]
         lengths = self.starts[place + 1] - self.starts[place]
         ids = self.ids[ragged(self.starts[place], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])

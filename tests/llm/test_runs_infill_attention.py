@@ -13,7 +13,7 @@ import pytest
 from brute import LOW, WORD
 from pyspark.sql import functions as F
 
-from spindrift.llm import attention, infill, periodic
+from spindrift.llm import attention, flat, infill, periodic
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -358,3 +358,27 @@ def test_a_worker_keeps_its_encoder():
     from spindrift.llm import packing
 
     assert packing.encoder(TOKENIZER) is packing.encoder(TOKENIZER)
+
+
+@pytest.mark.parametrize("kinds", [1, 40, 100_000])
+def test_distinct_hashes_are_those_of_a_sort(kinds):
+    rng = np.random.default_rng(kinds)
+    pool = rng.integers(0, 2**64, kinds, np.uint64) >> np.uint64(0 if kinds > 40 else 50)  # of few kinds all are in one slot
+    for n in (0, 1, 5000):
+        hashes = rng.choice(pool, n)
+        got, expected = flat.distinct(hashes), np.unique(hashes, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(got, expected, strict=True))
+
+
+def test_counts_after_classes(spark, tmp_path):
+    size, end = 600, 599
+    rng = np.random.default_rng(3)
+    classes = attention.Classes(rng.zipf(1.2, size).astype(float), np.zeros(size, bool), end)
+    texts, expected = [rng.integers(0, size, n) for n in (0, 1, 700, 40, 9000)], Counter()
+    for ids in texts:
+        own = [*ids.tolist(), end]
+        expected.update(zip([0, *classes.of[own[:-1]].tolist()], own, strict=True))
+    row = tuple(attention._packed(x) for x in (np.ones(len(texts), np.uint8), np.array([len(t) for t in texts], np.uint32), np.concatenate(texts).astype(np.uint16)))
+    stored = spark.createDataFrame([row] * 3, "learns binary, n_ids binary, ids binary")
+    keys, n = attention.counted_after(stored, spark.sparkContext.broadcast(classes))
+    assert dict(zip(zip((keys // size).tolist(), (keys % size).tolist(), strict=True), n.tolist(), strict=True)) == {k: 3 * v for k, v in expected.items()}

@@ -42,6 +42,17 @@ def test_special_tokens_in_texts(encoder):
     assert ids.tolist() == [i for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids]
 
 
+def test_pieces_that_share_a_slot_keep_their_ids(encoder, monkeypatch):
+    data = [" ".join(f"w{i * k % 97}x{i}" for i in range(60)) for k in range(1, 9)]
+    expected = [encoder(*flat(pa.array([t]))) for t in data]
+    monkeypatch.setattr(packing, "SLOT_BITS", 3)
+    crowded = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):
+        for t, (ids, n) in zip(data, expected, strict=True):
+            got = crowded(*flat(pa.array([t])))
+            assert np.array_equal(got[0], ids) and np.array_equal(got[1], n)
+
+
 def test_packing(docs, rows, encoder):
     got = packing.pack(docs, PATH).collect()
     assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and len(r.ids) == r.length == 1 << r.bucket for r in got)
