@@ -94,6 +94,11 @@ def release(*tables: DataFrame) -> None:
             _made.remove(p)
 
 
+def trim(spark: SparkSession) -> None:
+    """Lets the driver give back what planning and tracking its last jobs took: between collections of the whole heap it only grows."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps."""
     import gc

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, groups_of, joined, materialise, mix, ragged, release, runs, table, tune
+from .common import collect_garbage, groups_of, joined, materialise, mix, ragged, release, runs, table, trim, tune
 from .flat import LOWER, flat, small, span_hashes, window_starts, windows, word_bounds, word_counts
 
 SHINGLE, PERCENT = 5, 80
@@ -101,7 +101,7 @@ DOCS, SHARED = 0, 1
 
 
 def _dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
-    """The rows over as many tasks as there are groups, up to a bound."""
+    """The rows over so many tasks, up to a bound: each costs the driver's memory too, so a task may have several small groups."""
     return rows.repartition(max(min(groups, MOST_TASKS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
@@ -311,7 +311,7 @@ def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, groups: i
         kinds = (np.int64, np.int64, np.int64, bool, bool, float)
         return pa.table({k: np.concatenate(v) if v else np.zeros(0, t) for (k, v), t in zip(cols.items(), kinds, strict=True)})
 
-    return _dealt(rows, "g", 4 * groups).groupBy("g").applyInArrow(meet, "key long, x long, p long, rest boolean, link boolean, d double")
+    return _dealt(rows, "g", groups).groupBy("g").applyInArrow(meet, "key long, x long, p long, rest boolean, link boolean, d double")
 
 
 def _exact(members: DataFrame, sets: DataFrame, groups: int, percent: int) -> DataFrame:
@@ -330,7 +330,7 @@ def _exact(members: DataFrame, sets: DataFrame, groups: int, percent: int) -> Da
             links += _linked(c[part], np.concatenate(h), np.array([len(x) for x in h], np.int64), n[part], percent)
         return pa.table({"x": pa.array([x for x, _ in links], pa.int64()), "p": pa.array([y for _, y in links], pa.int64())})
 
-    return _dealt(rows, "g", 4 * groups).groupBy("g").applyInArrow(meet, "x long, p long")
+    return _dealt(rows, "g", groups).groupBy("g").applyInArrow(meet, "x long, p long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -364,12 +364,14 @@ def _regions(member: DataFrame, links: list[DataFrame], sets: DataFrame, groups:
             break
         pivots = large.where(F.pmod(F.xxhash64("c", "key", F.lit(depth)), F.ceil(F.col("m") / PIVOTS).cast("long")) == 0).select("key", F.col("c").alias("p"))
         met = materialise(_distances(large.select("key", "c"), pivots, sets, groups, percent, FAR))
+        trim(sets.sparkSession)
         links.append(met.where("link").select("x", "p"))
         cells = met.groupBy("key", "p", "rest").agg(F.count("*").alias("held")).groupBy("key").agg(F.max("held").alias("most"), F.sum("held").alias("all"))
         split = cells.join(crowd, "key").where((F.col("most") <= 0.7 * F.col("m")) & (F.col("all") <= 4 * F.col("m"))).select("key")
         done.append(_blocks(large.join(split, "key", "left_anti")))
         inner = large.join(split, "key").join(met.select("key", F.col("x").alias("c"), "p", "rest"), ["key", "c"])
         member = materialise(inner.select(F.xxhash64("key", "p", "rest").alias("key"), "c", "label", "n", "short"))
+        trim(sets.sparkSession)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -444,6 +446,7 @@ def components(links: DataFrame) -> DataFrame:
         far = labels.select(F.col("c").alias("new"), F.col("label").alias("far"))
         moved = materialise(spread.join(far, "new").select("c", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")))
         release(labels)
+        trim(links.sparkSession)
         labels = moved
         if not moved.where("moved").limit(1).count():
             release(edges, links)
@@ -509,9 +512,12 @@ def join(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> Dat
     rings = F.sequence(ring, F.least(ring + 1, F.lit(int(1 / width)).cast("long")))
     member = member.withColumn("k", F.explode(rings)).join(sets.select("c", "n"), "c")
     member = materialise(member.select(F.xxhash64("p", "k").alias("key"), "c", "label", "n", "short"))
+    trim(spark)
     fitting = materialise(_regions(member, links, sets, groups, percent))
+    trim(spark)
     links.append(materialise(_exact(fitting, sets, groups, percent)))
     release(sets, fitting, member)
+    trim(spark)
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)

@@ -195,3 +195,17 @@ def test_links_of_near_copies_are_thinned(spark):
     links = spark.range(300).selectExpr("1000 + id AS x", "explode(sequence(1, 20)) AS p").selectExpr("x", "CAST(p AS long) AS p")
     assert jaccard.thinned(links).count() <= 300 + 19
     assert {tuple(r) for r in jaccard.components(links).collect()} == {(c, 1) for c in [*range(1, 21), *range(1000, 1300)]}
+
+
+def test_the_driver_has_a_task_a_group_and_gives_memory_back_each_round(spark, monkeypatch):
+    groups = 3 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = spark.createDataFrame([(c, 2, np.arange(2, dtype=np.uint64).tobytes()) for c in (1, 2)], "c long, n long, shared binary")
+    members, pivots = spark.createDataFrame([(7, 1)], "key long, c long"), spark.createDataFrame([(7, 2)], "key long, p long")
+    met, exact = jaccard._distances(members, pivots, sets, groups, 80), jaccard._exact(members.union(pivots), sets, groups, 80)
+    assert met.rdd.getNumPartitions() == exact.rdd.getNumPartitions() == groups
+    assert [r.link for r in met.collect()] == [True] and [{r.x, r.p} for r in exact.collect()] == [{1, 2}]
+    calls = []
+    monkeypatch.setattr(jaccard, "trim", calls.append)
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "x long, p long")
+    assert {tuple(r) for r in jaccard.components(path).collect()} == {(i, 0) for i in range(13)}
+    assert len(calls) > 2
