@@ -8,7 +8,7 @@ there are three kinds of knowledge: counts of ids after classes, over all traini
 of steps on all windows of the training documents, the results of which are averaged; and, for the unigram, counts of all
 training words.
 
-Odds of outputs and weights of attention are a power of a square, not an exponential, which numpy computes more slowly.
+Odds of outputs and weights of attention are powers of 2, which numpy computes sooner than those of e.
 
 Texts are encoded once, into blocks of about 8 MB of text: a row with the ids, the block's distinct words and their
 places. Words meet by hash, a block's distinct words once; the counts go back to the block, so that a frequent word is
@@ -36,7 +36,8 @@ RATES, STEPS, BATCH = (2e-2, 2e-2, 5e-3), 32, (64, 256)  # of each round; fewest
 FAN = 64
 END_WORD = np.uint64(0x5EED_0E4D_0000_0001)  # stands for the end among the hashes of words
 PRIOR, CLASS_PRIOR, SHARE_PRIOR = 0.5, 8.0, 5.0
-LIFT = np.float32(0.01)
+LOG2_E, LN_2 = np.float32(1 / np.log(2)), np.float32(np.log(2))
+MOST_OUT, MOST_IN = 30, 60  # exponents of 2 of an output's odds and of an attention weight are held within these
 
 
 # --- the model ------------------------------------------------------------------------------------------------------
@@ -85,13 +86,19 @@ class After:
         return out
 
 
-def odds(r: np.ndarray) -> np.ndarray:
-    """(r^2 + LIFT)^4, in place. With r = 1 + o / 8 it goes as exp(o) where o is small."""
-    r *= r
-    r += LIFT
-    r *= r
-    r *= r
-    return r
+def odds(r: np.ndarray, bound: float, most: int) -> np.ndarray:
+    """2^r, in place. bound: what r cannot exceed; only where that is more than `most`, r is looked at and held."""
+    if not bound <= most:
+        np.clip(r, -most, most, out=r)
+    return np.exp2(r, out=r)
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt((rows * rows).sum(-1).max()))
+
+
+def _largest(rows: np.ndarray) -> float:
+    return float(max(rows.max(), -rows.min())) if rows.size else 0.0
 
 
 def class_pairs(pairs: np.ndarray) -> np.ndarray:
@@ -102,7 +109,7 @@ def class_pairs(pairs: np.ndarray) -> np.ndarray:
     return np.maximum(p, 1e-30).astype(np.float32)
 
 
-SHAPES = {"embed": (CLASSES, SIZE), "query": (SIZE, SIZE), "key": (SIZE, SIZE), "value": (SIZE, SIZE), "near": (WINDOW,), "up": (SIZE, HIDDEN), "bias": (HIDDEN,), "down": (HIDDEN, SIZE), "group": (SIZE, GROUPS), "out": (SIZE, CLASSES)}
+SHAPES = {"embed": (CLASSES, SIZE), "query": (SIZE, SIZE), "value": (SIZE, SIZE), "near": (WINDOW,), "up": (SIZE, HIDDEN), "bias": (HIDDEN,), "down": (HIDDEN, SIZE), "group": (SIZE, GROUPS), "out": (SIZE, CLASSES)}
 _CUTS = np.cumsum([0] + [int(np.prod(s)) for s in SHAPES.values()])
 _APART = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
@@ -139,38 +146,44 @@ def _layers(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([np.concatenate([p["group"], p["out"][:, g * MEMBERS : (g + 1) * MEMBERS]], 1) for g in range(GROUPS)])
 
 
-def _by_group(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of rows by the group of y, and each group with its bounds in it."""
-    of = (y // MEMBERS).astype(np.uint8)
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=GROUPS))]).tolist()
-    return np.argsort(of, kind="stable"), list(zip(range(GROUPS), bounds[:-1], bounds[1:], strict=True))
+_GROUP, _MEMBER = (np.arange(CLASSES) // MEMBERS).astype(np.uint8), np.arange(CLASSES) % MEMBERS
+
+
+def _by_group(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """An order of rows by the group of y, and each group with its bounds in it; in that order, the rows of priors and
+    where y's group and y itself are among all numbers of the output layer.
+    """
+    of = _GROUP.take(y)
+    counts = np.bincount(of, minlength=GROUPS)
+    bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    order = np.argsort(of, kind="stable")
+    own, at = np.repeat(np.arange(GROUPS), counts), np.arange(0, len(y) * (GROUPS + MEMBERS), GROUPS + MEMBERS)
+    prior = x.take(order).astype(np.int64)
+    prior *= GROUPS
+    prior += own
+    own += at
+    at += GROUPS
+    at += _MEMBER.take(y.take(order))
+    return order, list(zip(range(GROUPS), bounds[:-1], bounds[1:], strict=True)), prior, (own, at)
 
 
 # products with these sum rows, into one column for each part or into all columns: numpy is slow along short rows
 _PARTS = np.repeat(np.eye(2, dtype=np.float32), [GROUPS, MEMBERS], axis=0)
-_MEAN = np.full((SIZE, SIZE), 1 / SIZE, np.float32)
-_WHOLE = np.ones(WINDOW, np.float32)
+_WHOLE, _TOTAL = np.ones(WINDOW, np.float32), np.ones((SIZE, 1), np.float32)
+_SAME = np.eye(WINDOW, dtype=np.float32)  # numpy turns small arrays faster by a product than by a copy
 
 
-def _scale(z: np.ndarray) -> np.ndarray:
-    """What brings each row of z to a mean square of 1, in all columns."""
-    square = (z * z) @ _MEAN
-    square += np.float32(1e-5)
-    np.sqrt(square, out=square)
-    return np.divide(1, square, out=square)
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for many rows, some at a time: long columns pass a core's cache by."""
+    at, some = len(a) // 512 * 512, lambda t: t[: len(t) // 512 * 512].reshape(-1, 512, t.shape[1])
+    return (some(a).transpose(0, 2, 1) @ some(b)).sum(0) + a[at:].T @ b[at:]
 
 
 def _class_sums(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Sums of rows by their sorted classes: of many rows as a product, of the few others by numpy."""
-    sums, heads = np.zeros((CLASSES, rows.shape[1]), np.float32), runs(of)
-    length = np.diff(np.append(heads, len(of)))
-    many, one = length > 24, np.ones(len(of), np.float32)
-    for c, a, n in zip(of[heads[many]].tolist(), heads[many].tolist(), length[many].tolist(), strict=True):
-        np.matmul(one[:n], rows[a : a + n], out=sums[c])
-    few = length[~many]
-    if len(few):
-        sums[of[heads[~many]]] = np.add.reduceat(rows.take(ragged(heads[~many], few), 0), np.cumsum(few) - few, 0)
-    return sums
+    """Sums of rows by their classes."""
+    width = rows.shape[1]
+    place = np.arange(CLASSES * width).reshape(CLASSES, width).take(of, 0)
+    return np.bincount(place.ravel(), rows.ravel(), CLASSES * width).reshape(CLASSES, width).astype(np.float32)
 
 
 class Model:
@@ -179,42 +192,48 @@ class Model:
     def __init__(self, vector: np.ndarray, pairs: np.ndarray):
         p = parameters(vector)
         self.embed, self.up, self.bias, self.down, self.priors = p["embed"], p["up"], p["bias"], p["down"], _priors(pairs)
-        self.out = np.concatenate([_layers(p) / 8, np.ones((GROUPS, 1, GROUPS + MEMBERS), np.float32)], 1)
-        self.query = p["embed"] @ p["query"] * np.float32(SIZE**-0.5 / 8)
-        self.key, self.value, self.decay = p["embed"] @ p["key"], p["embed"] @ p["value"], _decay(p["near"])
-
-    def states(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        """x: (windows, WINDOW) classes; the result is what the output layer reads at the positions from `first` on, a row each."""
-        last = x[:, first:]
-        s = self.query.take(last, 0) @ self.key.take(x, 0).transpose(0, 2, 1)
-        s += 1
-        odds(s)
-        s *= self.decay[first:]
-        z = (s @ self.value.take(x, 0)).reshape(-1, SIZE)
+        self.out = _layers(p) * LOG2_E
+        self.query = p["embed"] @ p["query"] * np.float32(SIZE**-0.5 * LOG2_E)
+        self.value, self.decay = p["embed"] @ p["value"], _decay(p["near"])
+        self.bound, self.steepest = _longest(self.query) * _longest(self.embed), float(np.abs(self.out).sum(1).max())
+
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """x: (windows, WINDOW) classes; the result is what the output layer reads at all positions, a row each."""
+        return self._mixed(x, self.embed.take(x, 0), self.value.take(x, 0))
+
+    def later_states(self, x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The same for overlapping windows that begin at each STRIDE of x, at the positions that the one before lacks.
+
+        heads: windows of which the first WINDOW - STRIDE positions do not count.
+        """
+        windows = lambda t: np.lib.stride_tricks.sliding_window_view(t.take(x, 0), WINDOW, 0)[::STRIDE].transpose(0, 2, 1)
+        return self._mixed(x[WINDOW - STRIDE :].reshape(-1, STRIDE), windows(self.embed), windows(self.value), heads)
+
+    def _mixed(self, last: np.ndarray, keys: np.ndarray, values: np.ndarray, heads=()) -> np.ndarray:
+        s = odds(self.query.take(last, 0) @ keys.transpose(0, 2, 1), self.bound, MOST_IN)
+        s *= self.decay[-last.shape[1] :]
+        if len(heads):
+            s[heads, :, : WINDOW - STRIDE] = 0
+        z = (s @ values).reshape(-1, SIZE)
         z /= (s @ _WHOLE).reshape(-1, 1)
         z += self.embed.take(last.ravel(), 0)
         h = z @ self.up
         h += self.bias
         np.maximum(h, 0, out=h)
         z += h @ self.down
-        z *= _scale(z)
         return z
 
     def log_probs(self, z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of class y after class x with state z, for each row: the log of its group's probability and of its own there."""
-        order, groups = _by_group(y)
-        one = np.ones((len(z), SIZE + 1), np.float32)
-        one[:, :SIZE] = z.take(order, 0)
-        x, y = x[order].astype(np.int64), y[order].astype(np.int64)
-        out = np.empty((len(z), GROUPS + MEMBERS), np.float32)
+        order, groups, prior, hits = _by_group(x, y)
+        z, out = z.take(order, 0), np.empty((len(z), GROUPS + MEMBERS), np.float32)
         for g, a, b in groups:
-            np.matmul(one[a:b], self.out[g], out=out[a:b])
-        odds(out)
-        out *= self.priors.take(x * GROUPS + y // MEMBERS, 0)
-        at = np.arange(0, out.size, GROUPS + MEMBERS)
-        sums = out @ _PARTS
+            np.matmul(z[a:b], self.out[g], out=out[a:b])
+        odds(out, _largest(z) * self.steepest, MOST_OUT)
+        out *= self.priors.take(prior, 0)
+        sums = np.log(out @ _PARTS)
         got = np.empty(len(z), np.float32)
-        got[order] = np.log(out.ravel().take(at + y // MEMBERS)) + np.log(out.ravel().take(at + GROUPS + y % MEMBERS)) - np.log(sums[:, 0] * sums[:, 1])
+        got[order] = sum(np.log(out.ravel().take(hit)) - sums[:, k] for k, hit in enumerate(hits))
         return got
 
 
@@ -228,57 +247,43 @@ class Trainer:
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss and its gradient over the positions that are real.
 
-        What depends on a class alone (its embedding, query, key and value) is a table's row; gradients of the tables are
-        sums by class, and go on to the weights from there.
+        What depends on a class alone (its embedding, query, key and value) is a table's row. Where an exponent is held
+        (see `odds`), the gradient goes on as if it were not.
         """
-        p, eighth = parameters(self.vector), np.float32(SIZE**-0.5 / 8)
+        p, near = parameters(self.vector), np.float32(SIZE**-0.5)
         windows, flat_x, flat_y, n = x.shape[0], x.ravel(), y.ravel(), np.float32(max(int(real.sum()), 1))
         three = lambda t: t.reshape(windows, WINDOW, -1)
         own = p["embed"]
-        q, k, v = (t.take(x, 0) for t in (own @ p["query"] * eighth, own @ p["key"], own @ p["value"]))
-        r = q @ k.transpose(0, 2, 1)
-        r += 1
-        a = r * r
-        a += LIFT
-        bend = np.divide(r, a, out=r)
-        bend *= 8
-        a *= a
-        a *= a
+        queries, e = own @ p["query"] * (near * LOG2_E), own.take(flat_x, 0)
+        q, before = queries.take(x, 0), np.empty((windows, SIZE + 1, WINDOW), np.float32)
+        np.matmul(three(e).transpose(0, 2, 1), _SAME, out=before[:, :SIZE])
+        before[:, SIZE] = -1
+        a = odds(q @ before[:, :SIZE], _longest(queries) * _longest(own), MOST_IN)
         a *= _decay(p["near"])
         share = 1 / (a @ _WHOLE).reshape(-1, 1)
-        mixed = (a @ v).reshape(-1, SIZE)
+        mixed = (a @ three(e)).reshape(-1, SIZE)
         mixed *= share
-        h = own.take(flat_x, 0)
-        h += mixed
+        h = mixed @ p["value"]
+        h += e
         act = h @ p["up"]
         act += p["bias"]
         np.maximum(act, 0, out=act)
         z = act @ p["down"]
         z += h
-        scale = _scale(z)
-        z *= scale
         # the output layer, in an order by the targets' groups
-        order, groups = _by_group(flat_y)
-        layers, u, to = _layers(p), z.take(order, 0), flat_y[order].astype(np.int64)
-        r = np.empty((len(u), GROUPS + MEMBERS), np.float32)
+        order, groups, prior, hits = _by_group(flat_x, flat_y)
+        layers, u = _layers(p), z.take(order, 0)
+        powers = layers * LOG2_E
+        d = np.empty((len(u), GROUPS + MEMBERS), np.float32)
         for g, i, j in groups:
-            np.matmul(u[i:j], layers[g], out=r[i:j])
-        r *= np.float32(1 / 8)
-        r += 1
-        d = r * r
-        d += LIFT
-        slope = np.divide(r, d, out=r)
-        d *= d
-        d *= d
-        d *= self.priors.take(flat_x[order].astype(np.int64) * GROUPS + to // MEMBERS, 0)
-        weight, total = real.ravel()[order].astype(np.float32) / n, d @ _PARTS
-        at = np.arange(0, d.size, GROUPS + MEMBERS)
-        hits = (at + to // MEMBERS, at + GROUPS + to % MEMBERS)
-        loss = float(np.log(total[:, 0] * total[:, 1]) @ weight) - sum(float(np.log(d.ravel().take(hit)) @ weight) for hit in hits)
+            np.matmul(u[i:j], powers[g], out=d[i:j])
+        odds(d, _largest(u) * float(np.abs(powers).sum(1).max()), MOST_OUT)
+        d *= self.priors.take(prior, 0)
+        weight, total = real.ravel().take(order).astype(np.float32) / n, d @ _PARTS
+        loss = -sum(float(np.log(d.ravel().take(hit) / total[:, i]) @ weight) for i, hit in enumerate(hits))
         d *= (weight[:, None] / total) @ _PARTS.T
         for hit in hits:
             d.ravel()[hit] -= weight
-        d *= slope
         du, both = np.empty_like(u), np.empty_like(layers)
         for g, i, j in groups:
             np.matmul(d[i:j], layers[g].T, out=du[i:j])
@@ -286,36 +291,30 @@ class Trainer:
         g = {"group": both[:, :, :GROUPS].sum(0), "out": both[:, :, GROUPS:].transpose(1, 0, 2).reshape(SIZE, CLASSES)}
         dz = np.empty_like(du)
         dz[order] = du
-        dz -= z * ((dz * z) @ _MEAN)
-        dz *= scale
         dact = dz @ p["down"].T
         dact *= act > 0
-        g["down"], g["up"], g["bias"] = act.T @ dz, h.T @ dact, np.ones(len(dact), np.float32) @ dact
+        g["down"], g["up"], g["bias"] = _crossed(act, dz), _crossed(h, dact), np.ones(len(dact), np.float32) @ dact
         dh = dact @ p["up"].T
         dh += dz
+        g["value"] = _crossed(mixed, dh)
         # the attention's weights are a / their sum
-        by_class = np.empty((len(dh), 4 * SIZE), np.float32)
-        by_class[:, :SIZE] = dh
-        parts = [three(by_class)[:, :, i * SIZE : (i + 1) * SIZE] for i in range(4)]
-        dh *= share
-        mixed *= dh
-        dh = three(dh)
-        np.matmul(a.transpose(0, 2, 1), dh, out=parts[3])
-        da = dh @ v.transpose(0, 2, 1)
-        da -= three(mixed @ _MEAN[:, :1]) * np.float32(SIZE)
+        dmixed = np.empty((len(dh), SIZE + 1), np.float32)
+        inner = np.matmul(dh, p["value"].T)
+        inner *= share
+        mixed *= inner
+        dmixed[:, :SIZE] = inner
+        np.matmul(mixed, _TOTAL, out=dmixed[:, SIZE:])
+        da = three(dmixed) @ before
         da *= a
         low = _APART >= 0
         g["near"] = np.bincount(_APART[low], da.sum(0)[low], WINDOW)
-        da *= bend
-        np.matmul(da, k, out=parts[1])
-        np.matmul(da.transpose(0, 2, 1), q, out=parts[2])
-        order = np.argsort(flat_x, kind="stable")
-        tables = _class_sums(by_class.take(order, 0), flat_x[order])
-        g["embed"] = tables[:, :SIZE].copy()
-        for i, (name, by) in enumerate((("query", eighth), ("key", np.float32(1)), ("value", np.float32(1)))):
-            part = tables[:, (i + 1) * SIZE : (i + 2) * SIZE] * by
-            g[name] = own.T @ part
-            g["embed"] += part @ p[name].T
+        dq = (da @ three(e)).reshape(-1, SIZE)
+        dq *= near
+        dh += dq @ p["query"].T
+        dh += (a.transpose(0, 2, 1) @ three(inner)).reshape(-1, SIZE)
+        q *= LN_2
+        dh += (da.transpose(0, 2, 1) @ q).reshape(-1, SIZE)
+        g["embed"], g["query"] = _class_sums(dh, flat_x), _crossed(e, dq)
         return loss, np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> float:
@@ -344,29 +343,24 @@ def text_scores(model: Model, after: After, ids: np.ndarray, counts: np.ndarray,
     """log10 probability of each text. Windows overlap; each position is scored once, where it has the most context.
 
     The first window of a text scores all its positions, each further one the STRIDE positions that the ones before it
-    did not reach, in batches of so many windows of all texts.
+    did not reach. So texts are laid out in steps of STRIDE positions, a step that does not count before each: every step
+    is scored after the one before it, in batches of so many steps of all texts.
     """
     x, y, edge = sequences(after.classes, ids, counts)
-    lengths = counts + 1
-    doc = np.repeat(np.arange(len(counts)), lengths)
-    total = np.bincount(doc, after.log_shares(x, y, np.insert(ids, np.cumsum(counts), after.classes.end_id)), len(counts))
-    more = np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
-    own = np.repeat(np.arange(len(counts)), more)
-    plans = [(edge[:-1], np.arange(len(counts)), 0), (edge[own] + STRIDE * ragged(np.ones(len(counts), np.int64), more), own, WINDOW - STRIDE)]
-    for start, of, first in plans:
-        for a in range(0, len(start), at_once * 4):
-            states, kept, owner = [], [], []
-            for b in range(a, min(a + at_once * 4, len(start)), at_once):
-                s, d = start[b : min(b + at_once, a + at_once * 4)], of[b : min(b + at_once, a + at_once * 4)]
-                place = s[:, None] + np.arange(WINDOW)
-                real = (place < edge[d + 1][:, None])[:, first:].ravel()
-                place = np.minimum(place, edge[d + 1][:, None] - 1)  # what lies behind a text's end is not counted
-                states.append(model.states(x.take(place), first)[real])
-                kept.append(place[:, first:].ravel()[real])
-                owner.append(np.repeat(d, WINDOW - first)[real])
-            place = np.concatenate(kept)
-            total += np.bincount(np.concatenate(owner), model.log_probs(np.concatenate(states), x[place], y[place]), len(counts))
-    return total / np.log(10)
+    steps = -(-(counts + 1) // STRIDE)
+    head = np.cumsum(steps + 1) - steps - 1  # the step before each text
+    place = ragged((head + 1) * STRIDE, counts + 1)
+    spread = np.zeros((2, int((steps + 1).sum()) * STRIDE), np.int64)
+    spread[0, place], spread[1, place] = x, y
+    logs = np.zeros(spread.shape[1], np.float32)
+    for a in range(0, len(logs) // STRIDE - 1, at_once):
+        b = min(a + at_once, len(logs) // STRIDE - 1)
+        own = slice((a + 1) * STRIDE, (b + 1) * STRIDE)
+        heads = head[np.searchsorted(head, a) : np.searchsorted(head, b)] - a
+        logs[own] = model.log_probs(model.later_states(spread[0, a * STRIDE : own.stop], heads), spread[0, own], spread[1, own])
+    logs = logs[place]
+    logs += after.log_shares(x, y, np.insert(ids, np.cumsum(counts), after.classes.end_id))
+    return np.add.reduceat(logs.astype(np.float64), edge[:-1]) / np.log(10) if len(counts) else np.zeros(0)
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -413,7 +407,7 @@ def blocks(docs: DataFrame, learns: Column, tokenizer_path: str) -> DataFrame:
             starts, ends = word_bounds(buf, offsets)
             first = np.searchsorted(starts, offsets)
             hashes = np.insert(span_hashes(LOWER[buf], starts, ends), first[1:], END_WORD)
-            ids, n_ids = encode(buf, offsets)
+            ids, n_ids = encode(buf, offsets, (starts, ends))
             ident = batch.column("doc_id")
             flags = batch.column("learns").to_numpy(zero_copy_only=False).astype(np.uint8) | (ident.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << 1)
             held.append((ident.fill_null(0).to_numpy(), flags, (np.diff(first) + 1).astype(np.uint32), hashes, n_ids.astype(np.uint32), ids.astype(np.uint16)))

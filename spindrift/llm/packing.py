@@ -93,29 +93,31 @@ class Encoder:
         self.hashes = np.concatenate([self.hashes, keys[order]])
         self.table[(keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = place
 
-    def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
+    def __call__(self, buf: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text. bounds: starts and ends of all words, where they are known."""
         if len(self.keys) > CACHE:
             self.clear()
-        starts, ends = word_bounds(buf, offsets)
+        starts, ends = bounds or word_bounds(buf, offsets)
         kind = _KIND[buf]
         lead = np.flatnonzero(buf[:-1] == 0xC3)
         lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
         kind[lead] = kind[lead + 1] = _LETTER
         low = LOWER[buf]
         low[lead[buf[lead + 1] < 0x9F] + 1] += 32
-        odds = np.concatenate([[0], np.cumsum(kind == _ODD)]).astype(np.int32)
-        odd = odds[ends] > odds[starts]
-        inside = np.zeros(len(buf) + 1, np.int8)
-        inside[starts[odd]] += 1
-        inside[ends[odd]] -= 1
-        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        odd = np.zeros(len(starts), bool)
+        odd[np.searchsorted(starts, np.flatnonzero(kind == _ODD), "right") - 1] = True
+        inside = ragged(starts[odd], ends[odd] - starts[odd])
         low[inside] = buf[inside]
         cut = np.zeros(len(buf), bool)
-        cut[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (kind[1:] != _SPACE) & ~inside[1:]
-        cut[starts] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut[1:] |= kind[1:] == _DIGIT
+        cut &= kind != _SPACE
+        cut[inside] = False
+        heads = np.zeros(len(buf), bool)
+        heads[starts] = True
+        cut |= heads
         first = np.flatnonzero(cut)
-        chunk = np.searchsorted(starts, first, "right") - 1
+        chunk = np.cumsum(heads[first]) - 1
         last = np.minimum(np.append(first[1:], len(buf)), ends[chunk])
         hashes = span_hashes(low, first, last)
         place = self.table[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from brute import LOW, WORD
 from pyspark.sql import functions as F
 
-from spindrift.llm import attention, flat, infill, periodic
+from spindrift.llm import attention, flat, infill, packing, periodic
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -382,3 +383,51 @@ def test_counts_after_classes(spark, tmp_path):
     stored = spark.createDataFrame([row] * 3, "learns binary, n_ids binary, ids binary")
     keys, n = attention.counted_after(stored, spark.sparkContext.broadcast(classes))
     assert dict(zip(zip((keys // size).tolist(), (keys % size).tolist(), strict=True), n.tolist(), strict=True)) == {k: 3 * v for k, v in expected.items()}
+
+
+def test_a_step_makes_few_arrays():
+    """Their bytes a position stand for its cost: each pass over all positions makes or reads one."""
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(1, attention.CLASSES, (2, 256, attention.WINDOW))
+    trainer = attention.Trainer(attention.initial(), np.full((attention.CLASSES,) * 2, 1 / attention.CLASSES, np.float32))
+    trainer.step(x, y, np.ones(x.shape, bool))
+    tracemalloc.start()
+    trainer.step(x, y, np.ones(x.shape, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1900 * x.size
+
+
+def test_scores_do_not_hold_all_windows():
+    rng, _, _, classes, after = _toy()
+    model = attention.Model(attention.initial(), attention.class_pairs(after.pairs))
+    ids, counts = rng.integers(0, len(classes.of), 40_000), np.full(40, 1000)
+    attention.text_scores(model, after, ids, counts)
+    tracemalloc.start()
+    attention.text_scores(model, after, ids, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(ids)
+
+
+def test_large_weights_give_finite_scores():
+    """Exponents that could overflow are held; others are not looked at."""
+    rng, ids, counts, _, after = _toy()
+    vector = np.concatenate([x.ravel() if k == "near" else x.ravel() + rng.normal(0, 200, x.size) for k, x in attention.parameters(attention.initial()).items()])
+    model = attention.Model(vector, attention.class_pairs(after.pairs))
+    assert model.bound > attention.MOST_IN and np.isfinite(attention.text_scores(model, after, ids, counts)).all()
+    far = np.array([-500, 3, 500], np.float32)
+    assert attention.odds(far.copy(), 500, 30).tolist() == [2.0**-30, 8, 2.0**30]
+    assert attention.odds(far[1:2].copy(), 3, 30).tolist() == [8]
+
+
+def test_words_are_cut_once(monkeypatch):
+    """The encoder takes words that are known; what is odd in some words leaves the others as they were."""
+    texts = ["It's 20% a<b Éa\x07b", "", " don't ", "x" * 40, "日本 Straße 12 'n", "\x00"]
+    buf, offsets = flat.flat(attention.pa.array(texts))
+    encode = packing.Encoder(TOKENIZER)
+    bounds = flat.word_bounds(buf, offsets)
+    monkeypatch.setattr(packing, "word_bounds", None)
+    ids, n = encode(buf, offsets, bounds)
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
