@@ -94,7 +94,7 @@ def odds(r: np.ndarray, bound: float, most: int) -> np.ndarray:
 
 
 def _longest(rows: np.ndarray) -> float:
-    return float(np.sqrt((rows * rows).sum(-1).max()))
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
 
 
 def _largest(rows: np.ndarray) -> float:
@@ -115,7 +115,7 @@ _APART = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
 
 def parameters(vector: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: vector[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(SHAPES.items(), _CUTS[:-1], _CUTS[1:], strict=True)}
+    return {k: vector[a:b].reshape(s).astype(np.float32, copy=False) for (k, s), a, b in zip(SHAPES.items(), _CUTS[:-1], _CUTS[1:], strict=True)}
 
 
 def initial(seed: int = 7) -> np.ndarray:
@@ -143,7 +143,9 @@ def _priors(pairs: np.ndarray) -> np.ndarray:
 
 def _layers(p: dict[str, np.ndarray]) -> np.ndarray:
     """The output layer for targets in each group: the columns of the groups, then those of the group's members."""
-    return np.stack([np.concatenate([p["group"], p["out"][:, g * MEMBERS : (g + 1) * MEMBERS]], 1) for g in range(GROUPS)])
+    out = np.empty((GROUPS, SIZE, GROUPS + MEMBERS), np.float32)
+    out[:, :, :GROUPS], out[:, :, GROUPS:] = p["group"], p["out"].reshape(SIZE, GROUPS, MEMBERS).transpose(1, 0, 2)
+    return out
 
 
 _GROUP, _MEMBER = (np.arange(CLASSES) // MEMBERS).astype(np.uint8), np.arange(CLASSES) % MEMBERS
@@ -215,7 +217,7 @@ class Model:
         if len(heads):
             s[heads, :, : WINDOW - STRIDE] = 0
         z = (s @ values).reshape(-1, SIZE)
-        z /= (s @ _WHOLE).reshape(-1, 1)
+        z *= 1 / (s @ _WHOLE).reshape(-1, 1)
         z += self.embed.take(last.ravel(), 0)
         h = z @ self.up
         h += self.bias
@@ -277,29 +279,29 @@ class Trainer:
         d = np.empty((len(u), GROUPS + MEMBERS), np.float32)
         for g, i, j in groups:
             np.matmul(u[i:j], powers[g], out=d[i:j])
-        odds(d, _largest(u) * float(np.abs(powers).sum(1).max()), MOST_OUT)
+        odds(d, _largest(u) * LOG2_E * max(float(np.abs(p[k]).sum(0).max()) for k in ("group", "out")), MOST_OUT)
         d *= self.priors.take(prior, 0)
         weight, total = real.ravel().take(order).astype(np.float32) / n, d @ _PARTS
         loss = -sum(float(np.log(d.ravel().take(hit) / total[:, i]) @ weight) for i, hit in enumerate(hits))
         d *= (weight[:, None] / total) @ _PARTS.T
         for hit in hits:
             d.ravel()[hit] -= weight
-        du, both = np.empty_like(u), np.empty_like(layers)
+        du, both, back = np.empty_like(u), np.empty_like(layers), layers.transpose(0, 2, 1).copy()
         for g, i, j in groups:
-            np.matmul(d[i:j], layers[g].T, out=du[i:j])
+            np.matmul(d[i:j], back[g], out=du[i:j])
             np.matmul(u[i:j].T, d[i:j], out=both[g])
         g = {"group": both[:, :, :GROUPS].sum(0), "out": both[:, :, GROUPS:].transpose(1, 0, 2).reshape(SIZE, CLASSES)}
         dz = np.empty_like(du)
         dz[order] = du
         dact = dz @ p["down"].T
-        dact *= act > 0
+        dact *= np.sign(act)
         g["down"], g["up"], g["bias"] = _crossed(act, dz), _crossed(h, dact), np.ones(len(dact), np.float32) @ dact
         dh = dact @ p["up"].T
         dh += dz
         g["value"] = _crossed(mixed, dh)
         # the attention's weights are a / their sum
         dmixed = np.empty((len(dh), SIZE + 1), np.float32)
-        inner = np.matmul(dh, p["value"].T)
+        inner = dh @ p["value"].T
         inner *= share
         mixed *= inner
         dmixed[:, :SIZE] = inner
@@ -377,7 +379,7 @@ def _unpacked(x, dtype) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True) if size else b"", dtype)
 
 
-BLOCK = "block long, doc_id binary, learns binary, n_words binary, place binary, words binary, counted binary, n_ids binary, ids binary"
+BLOCK = "block long, doc_id binary, learns binary, n_words binary, place binary, words binary, counted binary, n_ids binary, ids binary, learnt binary"
 
 
 def blocks(docs: DataFrame, learns: Column, tokenizer_path: str) -> DataFrame:
@@ -385,7 +387,7 @@ def blocks(docs: DataFrame, learns: Column, tokenizer_path: str) -> DataFrame:
 
     doc_id, learns: of each text (a null id has its bit in learns); n_words, place: words and end of each text as places
     in words, the sorted hashes of the block's distinct words; counted: how often each stands in texts to learn from;
-    n_ids, ids: subword ids. Block numbers come from the partition, so a task that is run again gives the same.
+    n_ids, ids: subword ids; learnt: how often each id stands in texts to learn from. Block numbers come from the partition, so a task that is run again gives the same.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
@@ -399,7 +401,8 @@ def blocks(docs: DataFrame, learns: Column, tokenizer_path: str) -> DataFrame:
             ident, learns, n_words, hashes, n_ids, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
             words, place = distinct(hashes)
             counted = np.bincount(place, np.repeat(learns & 1, n_words).astype(np.float64), len(words)).astype(np.uint32)
-            values = [ident, learns, n_words, place.astype(np.uint32), words, counted, n_ids, ids]
+            own = np.bincount(ids[np.repeat((learns & 1) > 0, n_ids)]).astype(np.uint32)
+            values = [ident, learns, n_words, place.astype(np.uint32), words, counted, n_ids, ids, own]
             return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([_packed(v)], pa.large_binary()).cast(pa.binary()) for v in values)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in small(batches):
@@ -518,16 +521,20 @@ def over_texts(stored: DataFrame, make) -> DataFrame:
 
 
 def counted_ids(stored: DataFrame, vocabulary: int, end_id: int) -> np.ndarray:
-    def make():
-        total = np.zeros(vocabulary)
+    """How often each id stands in texts to learn from, from the counts of the blocks; an end a text."""
 
-        def take(ids, counts):
-            np.add(total, np.bincount(ids, minlength=vocabulary), out=total)
-            total[end_id] += len(counts)
+    def run(batches):
+        from pyspark import TaskContext
 
-        return take, lambda: total
+        total = np.zeros(vocabulary)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = _unpacked(batch.column("learnt")[k], np.uint32)
+                total[: len(own)] += own
+                total[end_id] += int((_unpacked(batch.column("learns")[k], np.uint8) & 1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([_packed(total)], pa.binary())], ["part", "v"])
 
-    return summed(over_texts(stored, make), vocabulary)
+    return summed(stored.select("learns", "learnt").mapInArrow(run, "part long, v binary"), vocabulary)
 
 
 def counted_after(stored: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
