@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -183,47 +184,57 @@ PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 WORD = r"^[\p{L}\p{N}_]"
 
 
-def tried(held: DataFrame, kinds: dict[int, set[bool]]) -> DataFrame:
-    """_row, name, places (at, size), _all: for each of held(_row, _all, _pieces) itself, under a name of its own, and
-    its distinct stretches of pieces, of the sizes that names have and that begin as these do (kinds: in a word or not)."""
-    begins = F.transform("_pieces", lambda p, i: F.struct(i.alias("at"), p.alias("p"), (p.rlike(WORD) if any(len(k) == 1 for k in kinds.values()) else F.lit(None).cast("boolean")).alias("word")))
-    held = held.withColumn("_begins", begins)
+def stretches(kinds: dict[int, set[bool]]) -> Column:
+    """(at, size, name) of each stretch of _pieces that has the size of a name and begins as names of that size do (kinds: in a word or not)."""
 
-    def of(n, k):
-        some = F.col("_begins") if len(k) > 1 else F.filter("_begins", lambda b: b["word"] == F.lit(next(iter(k))))
-        return F.transform(some, lambda b: F.struct((b["p"] if n == 1 else F.array_join(F.slice("_pieces", b["at"] + 1, F.lit(n)), "")).alias("name"), b["at"].alias("at"), F.lit(n).alias("size")))
+    def of(n, k):  # pieces are words and others in turn
+        first = F.lit(0) if len(k) > 1 else F.when(F.col("_word") == F.lit(next(iter(k))), 0).otherwise(1)
+        last = F.size("_pieces") - n
+        begins = F.when(first <= last, F.sequence(first, last, F.lit(1 if len(k) > 1 else 2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(begins, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), (F.get("_pieces", i) if n == 1 else F.array_join(F.slice("_pieces", i + 1, F.lit(n)), "")).alias("name")))
 
-    held = held.select("_row", "_all", F.array_sort(F.flatten(F.array(*(of(n, k) for n, k in sorted(kinds.items()))))).alias("_s"))
-    first = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (F.get("_s", i - 1)["name"] != x["name"]), i)), lambda i: i.isNotNull())
-    held = held.withColumn("_first", first)
-    places = lambda i, j: F.transform(F.slice("_s", i + 1, F.coalesce(F.get("_first", j + 1), F.size("_s")) - i), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size")))
-    names = F.transform("_first", lambda i, j: F.struct(F.get("_s", i)["name"].alias("name"), places(i, j).alias("places"), F.lit(False).alias("itself")))
-    itself = F.array(F.struct(F.concat(F.lit("\0"), F.col("_row").cast("string")).alias("name"), F.array().cast("array<struct<at:int,size:int>>").alias("places"), F.lit(True).alias("itself")))
-    return held.select("_row", "_all", F.explode(F.concat(itself, names)).alias("t")).select("_row", "t.name", "t.places", F.when(F.col("t.itself"), F.col("_all")).alias("_all"))
+    return F.concat(*(of(n, k) for n, k in sorted(kinds.items())))
 
 
 def published(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """rows with the names(name, public) in a text replaced, all at once: what was put in is not read again.
 
     From the left, where several names begin the first by code point is taken; a name stands for itself, whatever its
-    characters, and begins and ends where words do. The distinct pieces of each text, with their places, meet the names
-    in an equi join, which the optimizer broadcasts only if it has measured the names to be small, and what met goes
-    back to its row: a piece is one row a text, however often it stands there. A null text stays null; a name listed twice has the least of its public names; null and empty names are nobody's.
+    characters, and begins and ends where words do. Rows are dealt to blocks once, by a hash of what they hold. The
+    distinct pieces of each block meet the names in an equi join, which the optimizer broadcasts only if it has measured
+    the names to be small; what met goes back to its block, where it is sorted among the stretches: of pieces, a block's distinct ones
+    travel, and of texts each once. A null text stays null; a name listed twice has the least of its public names; null and empty names are nobody's.
     """
-    columns = rows.columns
-    table = names.where(F.length("name") > 0).groupBy(F.col("name").alias("_name")).agg(F.min("public").alias("_public"))
-    kinds = table.select(F.size(F.regexp_extract_all("_name", F.lit(PIECE), F.lit(0))), F.col("_name").rlike(WORD)).distinct().collect()  # as few as the longest name has pieces
-    lengths = sorted({r[0] for r in kinds})
-    if not lengths:
+    spark, columns = rows.sparkSession, rows.columns
+    path = f"{scratch(spark)}/{uuid.uuid4().hex[:12]}"
+    names.where(F.length("name") > 0).groupBy("name").agg(F.min("public").alias("public")).write.parquet(path)  # read twice
+    table = spark.read.schema("name string, public string").parquet(path)
+    found = table.select(F.size(F.regexp_extract_all("name", F.lit(PIECE), F.lit(0))), F.col("name").rlike(WORD)).distinct().collect()  # as few as the longest name has pieces
+    kinds = {n: {r[1] for r in found if r[0] == n} for n, _ in found}
+    if not kinds:
         return rows
-    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
-    held = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_all"), F.coalesce(pieces, F.array().cast("array<string>")).alias("_pieces"))
-    met = tried(held, {n: {r[1] for r in kinds if r[0] == n} for n in lengths}).join(table, F.col("name") == F.col("_name"), "left").where("_all IS NOT NULL OR _public IS NOT NULL")
-    found = F.collect_list(F.when(F.col("_all").isNull(), F.struct("name", "places", F.col("_public").alias("public"))))
-    held = met.groupBy("_row").agg(F.max_by("_all", F.col("_all").isNotNull()).alias("_all"), found.alias("_met"))
-    spread = F.transform("_met", lambda m: F.transform(m["places"], lambda x: F.struct(x["at"].alias("at"), m["name"].alias("name"), x["size"].alias("size"), m["public"].alias("public"))))
-    held = held.select("_all", F.array_sort(F.flatten(spread)).alias("_met"), F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
-    if lengths != [1]:  # names of several pieces may overlap: what begins first holds
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    dealt = lambda df: df.repartition(number, "_block")
+    keys = [r[0] for r in spark.range(32 * number).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(number))).agg(F.min("k")).select("min(k)").collect()]  # a block a partition
+    block = F.get(F.array(*map(F.lit, sorted(keys))), F.pmod(F.xxhash64(*hashed), F.lit(len(keys))).cast("int"))
+    blocks = dealt(rows.select(block.alias("_block"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_all")))
+    pieces = lambda x: F.coalesce(F.regexp_extract_all(x[text], F.lit(PIECE), F.lit(0)), F.array().cast("array<string>"))
+    held = blocks.select("_block", "_all", F.element_at(F.transform(F.array("_all"), pieces), 1).alias("_pieces"))  # of whole rows, so that both uses below have one exchange
+    held = held.select("*", F.get("_pieces", F.lit(0)).rlike(WORD).alias("_word"))
+    seen = held.select("_block", F.explode(F.transform(stretches(kinds), lambda t: t["name"])).alias("name")).distinct()
+    hits = dealt(seen.join(table, "name").select("_block", "name", "public"))
+    none = F.lit(None).cast(blocks.schema["_all"].dataType)
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("name"), F.col("_all").alias("all")))
+    each = F.concat(itself, F.transform(stretches(kinds), lambda t: F.struct(t["at"].alias("at"), t["size"].alias("size"), t["name"].alias("name"), none.alias("all"))))  # texts stand beside no stretch: each row of an explode is a copy
+    each = held.withColumn("_row", F.monotonically_increasing_id()).select("_block", "_row", F.explode(each).alias("t"))
+    each = each.select("_block", "_row", "t.at", "t.size", "t.name", F.col("t.all").alias("_all"), F.lit(None).cast("string").alias("public"))
+    told = W.partitionBy("name", "_block").orderBy(F.col("_row").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)  # a hit stands before the stretches of its name
+    met = each.unionByName(hits, allowMissingColumns=True).withColumn("public", F.max("public").over(told)).where("_all IS NOT NULL OR public IS NOT NULL AND _row IS NOT NULL")
+    place = F.struct("at", *(["name"] if set(kinds) != {1} else []), "size", "public")
+    held = met.groupBy("_row", "_block").agg(F.max_by("_all", F.col("_all").isNotNull()).alias("_all"), F.collect_list(F.when(F.col("at") >= 0, place)).alias("_met"))
+    held = held.select("_all", F.array_sort("_met").alias("_met"), F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
+    if set(kinds) != {1}:  # names of several pieces may overlap: what begins first holds
 
         def step(s, m):
             return F.when(m["at"] >= s["next"], F.struct((m["at"] + m["size"]).alias("next"), F.concat(s["kept"], F.array(m)).alias("kept"))).otherwise(s)

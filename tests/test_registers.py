@@ -102,3 +102,23 @@ def test_a_frequent_piece_is_one_row_a_text(spark):
     held = rows.selectExpr("_row", "struct(t) AS _all", "regexp_extract_all(t, '[a-z]+|[^a-z]+', 0) AS _pieces")
     got = sorted((r._row, r.name, len(r.places)) for r in integrity.tried(held, {1: {True}}).where("_all IS NULL").collect())
     assert got == [(0, "word", 1000), (1, "other", 1), (1, "word", 1)]
+
+
+def test_names_travel_once_a_block_and_texts_once(spark, tmp_path):
+    """Names that many texts hold: what is exchanged grows with the distinct names and the texts, not with their product."""
+    rows = spark.range(4000).selectExpr("id", "array_join(transform(sequence(0, 99), k -> concat('name', (id + k * k) % 300)), ' ') AS text").repartition(4)
+    rows.write.parquet(str(tmp_path / "rows"))
+    names = spark.range(300).selectExpr("concat('name', id) AS name", "concat('public', id) AS public")
+    got = integrity.published(spark.read.parquet(str(tmp_path / "rows")), names)
+    for r in got.collect():
+        assert r.text == " ".join(f"public{(r.id + k * k) % 300}" for k in range(100))
+
+    def exchanged(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return exchanged(plan.executedPlan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().length())]
+        return own + sum(map(exchanged, below))
+
+    assert exchanged(got._jdf.queryExecution().executedPlan()) < 4000 * 2 + 300 * 4 * 3
