@@ -196,6 +196,20 @@ def stretches(kinds: dict[int, set[bool]]) -> Column:
     return F.concat(*(of(n, k) for n, k in sorted(kinds.items())))
 
 
+def tried(held: DataFrame, kinds: dict[int, set[bool]], *more: str) -> DataFrame:
+    """`more`, _row, name, places (at, size), _all: for each of held(`more`, _row, _all, _pieces) itself, without a name, and
+    its distinct stretches(). A text stands beside itself only: each row of an explode is a copy of what stands beside."""
+    held = held.withColumn("_word", F.get("_pieces", F.lit(0)).rlike(WORD))
+    held = held.select(*more, "_row", "_all", F.array_sort(F.transform(stretches(kinds), lambda t: F.struct(t["name"].alias("name"), t["at"].alias("at"), t["size"].alias("size")))).alias("_s"))
+    first = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (F.get("_s", i - 1)["name"] != x["name"]), i)), lambda i: i.isNotNull())
+    held = held.withColumn("_first", first)
+    places = lambda i, j: F.transform(F.slice("_s", i + 1, F.coalesce(F.get("_first", j + 1), F.size("_s")) - i), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size")))
+    none = F.lit(None).cast(held.schema["_all"].dataType)
+    names = F.transform("_first", lambda i, j: F.struct(F.get("_s", i)["name"].alias("name"), places(i, j).alias("places"), none.alias("all")))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<struct<at:int,size:int>>").alias("places"), F.col("_all").alias("all")))
+    return held.select(*more, "_row", F.explode(F.concat(itself, names)).alias("t")).select(*more, "_row", "t.name", "t.places", F.col("t.all").alias("_all"))
+
+
 def published(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """rows with the names(name, public) in a text replaced, all at once: what was put in is not read again.
 
@@ -221,19 +235,16 @@ def published(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFram
     blocks = dealt(rows.select(block.alias("_block"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_all")))
     pieces = lambda x: F.coalesce(F.regexp_extract_all(x[text], F.lit(PIECE), F.lit(0)), F.array().cast("array<string>"))
     held = blocks.select("_block", "_all", F.element_at(F.transform(F.array("_all"), pieces), 1).alias("_pieces"))  # of whole rows, so that both uses below have one exchange
-    held = held.select("*", F.get("_pieces", F.lit(0)).rlike(WORD).alias("_word"))
-    seen = held.select("_block", F.explode(F.transform(stretches(kinds), lambda t: t["name"])).alias("name")).distinct()
+    words = held.select("_block", "_pieces", F.get("_pieces", F.lit(0)).rlike(WORD).alias("_word"))
+    seen = words.select("_block", F.explode(F.transform(stretches(kinds), lambda t: t["name"])).alias("name")).distinct()
     hits = dealt(seen.join(table, "name").select("_block", "name", "public"))
-    none = F.lit(None).cast(blocks.schema["_all"].dataType)
-    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("name"), F.col("_all").alias("all")))
-    each = F.concat(itself, F.transform(stretches(kinds), lambda t: F.struct(t["at"].alias("at"), t["size"].alias("size"), t["name"].alias("name"), none.alias("all"))))  # texts stand beside no stretch: each row of an explode is a copy
-    each = held.withColumn("_row", F.monotonically_increasing_id()).select("_block", "_row", F.explode(each).alias("t"))
-    each = each.select("_block", "_row", "t.at", "t.size", "t.name", F.col("t.all").alias("_all"), F.lit(None).cast("string").alias("public"))
+    each = tried(held.withColumn("_row", F.monotonically_increasing_id()), kinds, "_block").withColumn("public", F.lit(None).cast("string"))
     told = W.partitionBy("name", "_block").orderBy(F.col("_row").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)  # a hit stands before the stretches of its name
     met = each.unionByName(hits, allowMissingColumns=True).withColumn("public", F.max("public").over(told)).where("_all IS NOT NULL OR public IS NOT NULL AND _row IS NOT NULL")
-    place = F.struct("at", *(["name"] if set(kinds) != {1} else []), "size", "public")
-    held = met.groupBy("_row", "_block").agg(F.max_by("_all", F.col("_all").isNotNull()).alias("_all"), F.collect_list(F.when(F.col("at") >= 0, place)).alias("_met"))
-    held = held.select("_all", F.array_sort("_met").alias("_met"), F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
+    found = F.collect_list(F.when(F.col("_all").isNull(), F.struct("name", "places", "public")))
+    held = met.groupBy("_row", "_block").agg(F.max_by("_all", F.col("_all").isNotNull()).alias("_all"), found.alias("_met"))
+    spread = F.transform("_met", lambda m: F.transform(m["places"], lambda x: F.struct(x["at"].alias("at"), m["name"].alias("name"), x["size"].alias("size"), m["public"].alias("public"))))
+    held = held.select("_all", F.array_sort(F.flatten(spread)).alias("_met"), F.regexp_extract_all(F.col("_all")[text], F.lit(PIECE), F.lit(0)).alias("_pieces"))
     if set(kinds) != {1}:  # names of several pieces may overlap: what begins first holds
 
         def step(s, m):
