@@ -405,3 +405,23 @@ def test_a_build_cuts_its_texts_once(spark, monkeypatch):
     rows = [(f"{i}.md", f"word {i}") for i in range(7)]
     tables = index.build(spark, spark.createDataFrame(rows, "file string, text string"), "n", HashEmbedder(4), model="offline-hash", limit=2048)
     assert sorted(r.ordinal for r in tables["chunk"].collect()) == list(range(7)) and cut.value == 7
+
+
+def test_a_document_is_read_and_written_in_parts(spark, tmp_path):
+    """One document is many tasks' work, also where what looks like a file's begin is none; damage in a part is the document's."""
+    chunk = lambda f, k: {"text": f'{f} {{"file": [{k}] é🙂', "heading": "", "lines": [k, k], "vector": [k / 7]}
+    files = [{"file": f"{f:03d}.md", "digest": f"d{f}", "chunks": [chunk(f, k) | ({"file": "x"} if f % 3 == 0 else {}) for k in range(f % 5)], "more": {"file": "no", "digest": 1}} for f in range(200)]
+    doc = {"format": 2, "name": "n", "files": files, "odd": [{"file": 1, "chunks": [2]}], "chunk_chars": 7}
+    for folder, indent in (("a", None), ("b", 1)):
+        (tmp_path / folder).mkdir()
+        whole = json.dumps(doc, indent=indent, ensure_ascii=False).encode()
+        (tmp_path / folder / "whole.json").write_bytes(whole)
+        (tmp_path / folder / "cut.json").write_bytes(whole[: len(whole) // 2])
+        (tmp_path / folder / "torn.json").write_bytes(whole.replace(b'"digest": "d150"', b'"digest" "d150"'))
+        rows = index_json.read(spark, str(tmp_path / folder), span=500)
+        got = {r.document: r for r in rows.collect()}
+        assert {d: r.verdict for d, r in got.items()} == {"whole.json": "ok", "cut.json": "index_unreadable", "torn.json": "index_unreadable"}
+        r = got["whole.json"]
+        assert len(r.parts) > 5 and (r.name, r.chunk_chars, r.chunks) == ("n", 7, 400) and got["torn.json"].chunk_chars is None and got["torn.json"].chunks == sum(f % 5 for f in range(150))
+        back = sorted((c.file, c.digest, c.pos, c.text, c.line_start, c.vector) for c in index_json.chunks(rows).collect())
+        assert back == [(f["file"], f["digest"], k, c["text"], k, [k / 7]) for f in files for k, c in enumerate(f["chunks"])]
